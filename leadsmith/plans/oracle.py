@@ -230,8 +230,16 @@ def consolidate_plan(plan, table_type):
 
 
 def enrich_steps(ch: Chain):
+    split_step(ch)
+    emails_step(ch)
+    domain_step(ch)
+    clean_domains_step(ch)
+    cname_step(ch)
+    normalize_step(ch)
+
+
+def split_step(ch: Chain):
     cols = list(ch.cols)
-    # split names
     if "Full Name" in cols:
         plan = OrderedDict(ch.cols)
         first = q("First Name") if "First Name" in cols else "cast(null as varchar)"
@@ -241,7 +249,9 @@ def enrich_steps(ch: Chain):
         plan["First Name"] = f"(case when {ok} and {m3(first)} and len({parts}) >= 1 then {parts}[1] else {first} end)"
         plan["Last Name"] = f"(case when {ok} and {m3(last)} and len({parts}) >= 2 then {parts}[-1] else {last} end)"
         ch.step(plan)
-    # e-mails
+
+
+def emails_step(ch: Chain):
     cols = list(ch.cols)
     ecols = [c for c in cols if "email" in c.lower()]
     arr = "list_filter([" + ", ".join(f"case when not {m4(q(c))} then lower({strip(q(c))}) end" for c in ecols) + \
@@ -256,7 +266,9 @@ def enrich_steps(ch: Chain):
     plan["Work Email"] = f"coalesce(list_filter(__emails, lambda e: not {is_personal('e')})[1], '')"
     ch.raw(f"select *, {arr} as __emails from {{prev}}", list(ch.cols), ch.extra + ["__emails"])
     ch.step(plan, extra=[x for x in ch.extra if x != "__emails"])
-    # company domain from work e-mail
+
+
+def domain_step(ch: Chain):
     cols = list(ch.cols)
     if "Company Domain" in cols and "Work Email" in cols:
         we = q("Work Email")
@@ -268,8 +280,9 @@ def enrich_steps(ch: Chain):
                                   f"coalesce({dom} not in {inlist(FREE_PROVIDERS)}, true) then {dom} "
                                   f"else {q('Company Domain')} end)")
         ch.step(plan)
-    clean_domains_step(ch)
-    # company name from domain
+
+
+def cname_step(ch: Chain):
     cols = list(ch.cols)
     if "Company Domain" in cols:
         name = q("Company Name") if "Company Name" in cols else "''"
@@ -278,7 +291,9 @@ def enrich_steps(ch: Chain):
         plan["Company Name"] = (f"(case when {m3(name)} and not {m3(q('Company Domain'))} and {gen} is not null "
                                 f"then {gen} else {name} end)")
         ch.step(plan)
-    # normalise
+
+
+def normalize_step(ch: Chain):
     plan = OrderedDict(ch.cols)
     for c in list(plan):
         if c == "Source":

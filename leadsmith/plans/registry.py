@@ -105,6 +105,231 @@ def q_company_name_gen(spark, sf):
     return p.select("page_id", X.company_name_from_domain(X.clean_domain(F.col("url"))).alias("company_name"))
 
 
+
+# ---------------------------------------------------------------------------
+# Phase 2 / 3 single operators on fixture P and C
+# ---------------------------------------------------------------------------
+
+from ..functions.constants import NA_TOKENS, PERSONAL_RANKS  # noqa: E402
+from ..operators import payload as PL  # noqa: E402
+
+
+def _p_std(spark, sf):
+    return S.standardize(FX.people_raw(spark, sf), FX.PEOPLE_SPEC, "people")
+
+
+def _c_std(spark, sf):
+    return S.standardize(FX.company_raw(spark, sf), FX.COMPANY_SPEC, "company")
+
+
+def _chain_sql(fixture, cols, spec, tt, steps, final):
+    ch = O.raw_chain(fixture, cols)
+    O.standardize_step(ch, spec, tt)
+    for st in steps:
+        st(ch)
+    return ch.sql(final)
+
+
+def _p_chain(steps, final):
+    return _chain_sql(FX.PEOPLE_SQL, P_COLS, FX.PEOPLE_SPEC, "people", steps, final)
+
+
+def _c_chain(steps, final):
+    return _chain_sql(FX.COMPANY_SQL, C_COLS, FX.COMPANY_SPEC, "company", steps, final)
+
+
+_P_RAW = f"(select {', '.join(f'cast({O.q(c)} as varchar) as {O.q(c)}' for c in P_COLS[2:])}, source, row_idx from ({FX.PEOPLE_SQL}))"
+_C_RAW = f"(select {', '.join(f'cast({O.q(c)} as varchar) as {O.q(c)}' for c in C_COLS[2:])}, source, row_idx from ({FX.COMPANY_SQL}))"
+
+
+@register("na_tokens", "select row_idx as _row, " + ", ".join(
+    f"case when {O.q(c)} in {O.inlist(NA_TOKENS)} then null else {O.q(c)} end as {O.q(c)}" for c in P_COLS[2:])
+    + f" from {_P_RAW}")
+def q_na_tokens(spark, sf):
+    p = FX.people_raw(spark, sf)
+    return p.select("_row", *[X.na_token_to_null(C(c), NA_TOKENS).alias(c) for c in P_COLS[2:]])
+
+
+_UB_B = ["full_name", "work_email", "city", "job_title"]
+
+
+@register("union_by_name",
+          "select row_idx as _row, source as \"Source\", " + ", ".join(O.q(c) for c in P_COLS[2:])
+          + f" from {_P_RAW} where source = 'crm_a.csv' union all select row_idx, source, "
+          + ", ".join(O.q(c) if c in _UB_B else "null" for c in P_COLS[2:])
+          + f" from {_P_RAW} where source = 'crm_b.csv'")
+def q_union_by_name(spark, sf):
+    p = FX.people_raw(spark, sf)
+    a = p.where(C("Source") == "crm_a.csv").select("_row", "Source", *P_COLS[2:])
+    b = p.where(C("Source") == "crm_b.csv").select("_row", "Source", *reversed(_UB_B))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@register("priority_coalesce", _p_chain([], 'select _row, "Work Email" from {prev}'))
+def q_priority_coalesce(spark, sf):
+    p = FX.people_raw(spark, sf)
+    m = S.plan_mappings(FX.PEOPLE_SPEC)
+    return p.select("_row", S.priority_coalesce(p.columns, m["Work Email"]).alias("Work Email"))
+
+
+_UNMAPPED_SPEC = {"mapped_files": [{"filename": "crm_a.csv", "mapped_headers": {
+    k: v for k, v in FX.PEOPLE_SPEC["mapped_files"][0]["mapped_headers"].items() if k != "Person Location"}}]}
+_P_RENAMED_SQL = ("select " + ", ".join(O.q(c) if c != "city" else 'city as "Company Location"' for c in P_COLS)
+                  + f" from ({FX.PEOPLE_SQL})")
+_P_RENAMED_COLS = [c if c != "city" else "Company Location" for c in P_COLS]
+
+
+@register("unmapped_preserve", _chain_sql(_P_RENAMED_SQL, _P_RENAMED_COLS, _UNMAPPED_SPEC, "people", [],
+                                          "select * from {prev}"))
+def q_unmapped_preserve(spark, sf):
+    p = FX.people_raw(spark, sf).withColumnRenamed("city", "Company Location")
+    return S.standardize(p, _UNMAPPED_SPEC, "people")
+
+
+_LI_SPEC = {"mapped_files": [{"filename": "crm_a.csv", "mapped_headers": {
+    k: v for k, v in FX.PEOPLE_SPEC["mapped_files"][0]["mapped_headers"].items() if k != "LinkedIn Profile"}}]}
+_P_LI_SQL = ("select " + ", ".join(O.q(c) if c != "linkedin" else 'linkedin as "Linkedin URL"' for c in P_COLS)
+             + f" from ({FX.PEOPLE_SQL})")
+_P_LI_COLS = [c if c != "linkedin" else "Linkedin URL" for c in P_COLS]
+
+
+@register("consolidate_people", _chain_sql(_P_LI_SQL, _P_LI_COLS, _LI_SPEC, "people", [], "select * from {prev}"))
+def q_consolidate_people(spark, sf):
+    p = FX.people_raw(spark, sf).withColumnRenamed("linkedin", "Linkedin URL")
+    return S.consolidate_variants(S.standardize(p, _LI_SPEC, "people", consolidate=False), "people")
+
+
+@register("consolidate_company", _c_chain([], "select * from {prev}"))
+def q_consolidate_company(spark, sf):
+    c = FX.company_raw(spark, sf)
+    return S.consolidate_variants(S.standardize(c, FX.COMPANY_SPEC, "company", consolidate=False), "company")
+
+
+@register("split_names", _p_chain([O.split_step], 'select _row, "Full Name", "First Name", "Last Name" from {prev}'))
+def q_split_names(spark, sf):
+    return E.split_names(_p_std(spark, sf)).select("_row", "Full Name", "First Name", "Last Name")
+
+
+@register("enrich_emails", _p_chain([O.split_step, O.emails_step],
+                                    'select _row, "Work Email", "Personal Email" from {prev}'))
+def q_enrich_emails(spark, sf):
+    return E.enrich_emails(E.split_names(_p_std(spark, sf))).select("_row", "Work Email", "Personal Email")
+
+
+@register("best_email", _c_chain([O.emails_step], 'select _row, "Work Email", "Personal Email", emails from {prev}'))
+def q_best_email(spark, sf):
+    return E.enrich_emails(_c_std(spark, sf)).select("_row", "Work Email", "Personal Email", "emails")
+
+
+@register("domain_from_email", _p_chain([O.split_step, O.emails_step, O.domain_step],
+                                        'select _row, "Work Email", "Company Domain" from {prev}'))
+def q_domain_from_email(spark, sf):
+    d = E.enrich_company_domain(E.enrich_emails(E.split_names(_p_std(spark, sf))))
+    return d.select("_row", "Work Email", "Company Domain")
+
+
+_UPTO_NAME = [O.split_step, O.emails_step, O.domain_step, O.clean_domains_step, O.cname_step]
+
+
+@register("company_name_people", _p_chain(_UPTO_NAME, 'select _row, "Company Domain", "Company Name" from {prev}'))
+def q_company_name_people(spark, sf):
+    d = E.enrich_company_name(E.clean_domains(E.enrich_company_domain(E.enrich_emails(E.split_names(_p_std(spark, sf))))))
+    return d.select("_row", "Company Domain", "Company Name")
+
+
+@register("clean_domain_company", _c_chain([O.emails_step, O.domain_step, O.clean_domains_step],
+                                           'select _row, "Company Domain" from {prev}'))
+def q_clean_domain_company(spark, sf):
+    d = E.clean_domains(E.enrich_company_domain(E.enrich_emails(_c_std(spark, sf))))
+    return d.select("_row", "Company Domain")
+
+
+@register("normalize_ws", _p_chain(_UPTO_NAME + [O.normalize_step], "select * from {prev}"))
+def q_normalize_ws(spark, sf):
+    return E.enrich(_p_std(spark, sf))
+
+
+@register("title_case", "select page_id, " + O.title_case("regexp_replace(url, '[/.:?#=&]', ' ', 'g')")
+          + " as title from pages")
+def q_title_case(spark, sf):
+    p = FX.table(spark, sf, "pages")
+    return p.select("page_id", X.title_case(F.regexp_replace("url", r"[/.:?#=&]", " ")).alias("title"))
+
+
+@register("title_case_names", f"select row_idx as _row, {O.title_name(O.normalize_text('full_name'))} as full_name, "
+          f"{O.title_name(O.normalize_text('job_title'))} as job_title from {_P_RAW}")
+def q_title_case_names(spark, sf):
+    p = FX.people_raw(spark, sf)
+    return p.select("_row", X.title_name(X.normalize_text(C("full_name"))).alias("full_name"),
+                    X.title_name(X.normalize_text(C("job_title"))).alias("job_title"))
+
+
+@register("clean_integer", f"select row_idx as _row, {O.clean_integer('employees')} as employees, "
+          f"{O.clean_integer('founded')} as founded from {_P_RAW}")
+def q_clean_integer(spark, sf):
+    p = FX.people_raw(spark, sf)
+    return p.select("_row", X.clean_integer(C("employees")).alias("employees"),
+                    X.clean_integer(C("founded")).alias("founded"))
+
+
+@register("clean_integer_acctbal", "select c_custkey, " + O.clean_integer("cast(c_acctbal as varchar)")
+          + " as acctbal_int from customer")
+def q_clean_integer_acctbal(spark, sf):
+    c = FX.table(spark, sf, "customer")
+    return c.select("c_custkey", X.clean_integer(F.col("c_acctbal").cast("string")).alias("acctbal_int"))
+
+
+@register("email_domain", f"select row_idx as _row, {O.email_domain('work_email')} as domain from {_P_RAW}")
+def q_email_domain(spark, sf):
+    p = FX.people_raw(spark, sf)
+    return p.select("_row", X.email_domain(C("work_email")).alias("domain"))
+
+
+@register("personal_rank", f"select row_idx as _row, {O.personal_rank(f'lower({O.strip(O.q('personal_email'))})')} as rank_personal, "
+          f"{O.personal_rank(f'lower({O.strip(O.q('work_email'))})')} as rank_work from {_P_RAW}")
+def q_personal_rank(spark, sf):
+    p = FX.people_raw(spark, sf)
+    return p.select("_row", X.personal_rank(F.lower(X.strip(C("personal_email")))).alias("rank_personal"),
+                    X.personal_rank(F.lower(X.strip(C("work_email")))).alias("rank_work"))
+
+
+@register("personal_email", f"select row_idx as _row, coalesce({O.is_personal('lower(trim(work_email))')}, false) as work_is_personal, "
+          f"coalesce({O.is_personal('lower(trim(email_2))')}, false) as email2_is_personal from {_P_RAW}")
+def q_personal_email(spark, sf):
+    p = FX.people_raw(spark, sf)
+    return p.select("_row",
+                    F.coalesce(X.is_personal_email(F.lower(F.trim(C("work_email")))), F.lit(False)).alias("work_is_personal"),
+                    F.coalesce(X.is_personal_email(F.lower(F.trim(C("email_2")))), F.lit(False)).alias("email2_is_personal"))
+
+
+@register("free_provider_filter", f"select row_idx as _row, {O.domain_from_email('work_email')} as domain from {_P_RAW} "
+          f"where contains(work_email, '@') and {O.domain_from_email('work_email')} not in {O.inlist(__import__('leadsmith').functions.constants.FREE_PROVIDERS)}")
+def q_free_provider_filter(spark, sf):
+    p = FX.people_raw(spark, sf)
+    d = X.domain_from_email(C("work_email"))
+    return p.where(C("work_email").contains("@") & ~X.is_free_provider(d)).select("_row", d.alias("domain"))
+
+
+@register("split_emails", f"select row_idx as _row, array_to_string({O.split_multi_emails('emails')}, '|') as emails_split, "
+          f"len({O.split_multi_emails('emails')}) as n from {_C_RAW}")
+def q_split_emails(spark, sf):
+    c = FX.company_raw(spark, sf)
+    arr = X.split_multi_emails(C("emails"))
+    return c.select("_row", F.array_join(arr, "|").alias("emails_split"), F.size(arr).cast("bigint").alias("n"))
+
+
+_DISTINCT_EMAILS = f"list_filter({O.split_multi_emails('emails')}, lambda x, i: list_position({O.split_multi_emails('emails')}, x) = i)"
+
+
+@register("company_emails", _c_chain([], f"select _row, array_to_string({_DISTINCT_EMAILS}, '|') as emails, "
+                                      f"len({_DISTINCT_EMAILS}) as n from {{prev}}"))
+def q_company_emails(spark, sf):
+    c = _c_std(spark, sf)
+    arr = PL.record_emails(c)
+    return c.select("_row", F.array_join(arr, "|").alias("emails"), F.size(arr).cast("bigint").alias("n"))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
