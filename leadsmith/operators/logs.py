@@ -113,9 +113,11 @@ def delivery_eta(seq: DataFrame, rate: float = DELIVERY_DEFAULT_RATE) -> DataFra
     """Mean of the last 10 durations x remaining (>= 3 samples), else remaining / rate."""
     w10 = job_window().rowsBetween(-(ETA_WINDOW - 1), 0)
     remaining = F.col("total") - F.col("seq")
-    eta = F.when(F.col("seq") >= ETA_MIN_SAMPLES, remaining * F.avg("duration").over(w10)) \
-        .otherwise(remaining / F.lit(float(rate)))
-    return seq.select("job_id", "log_id", "seq", F.round(eta, 6).alias("eta_seconds"))
+    # mean in integer hundredths (durations carry two decimals), so the value is exact and order-free
+    cents = F.sum(F.round(F.col("duration") * 100).cast("bigint")).over(w10)
+    mean_x_remaining = remaining * cents / F.count(F.lit(1)).over(w10) / F.lit(100.0)
+    eta = F.when(F.col("seq") >= ETA_MIN_SAMPLES, mean_x_remaining).otherwise(remaining / F.lit(float(rate)))
+    return seq.select("job_id", "log_id", "seq", eta.alias("eta_seconds"))
 
 
 def delivery_progress(seq: DataFrame) -> DataFrame:

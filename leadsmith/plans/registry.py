@@ -330,6 +330,202 @@ def q_company_emails(spark, sf):
 
 
 
+
+# ---------------------------------------------------------------------------
+# Logs and job status (view L over events)
+# ---------------------------------------------------------------------------
+
+from datetime import datetime, timedelta  # noqa: E402
+
+from ..operators import logs as LG  # noqa: E402
+
+AS_OF = datetime.fromisoformat(FX.LOGS_AS_OF)
+_L = f"with L as ({FX.LOGS_SQL}) "
+
+
+def _lit_ts(d: datetime) -> str:
+    return f"timestamp '{d.strftime('%Y-%m-%d %H:%M:%S')}'"
+
+
+def _logs(spark, sf):
+    return FX.logs(spark, sf)
+
+
+_WEEK = AS_OF - timedelta(days=7)
+
+
+@register("log_query", _L + "select log_id, cast(ts as varchar) as ts, job_id, level, error_type, message from L "
+          f"where ts between {_lit_ts(_WEEK)} and {_lit_ts(AS_OF)} and level = 'ERROR' and error_type = 'HTTP_401' "
+          "order by ts desc, log_id desc limit 1000")
+def q_log_query(spark, sf):
+    r = LG.query_logs(_logs(spark, sf), start=_WEEK, end=AS_OF, level="error", error_type="HTTP_401", as_of=AS_OF)
+    return r.select("log_id", F.col("ts").cast("string").alias("ts"), "job_id", "level", "error_type", "message")
+
+
+_RANGE_SPECS = ["today", "yesterday", "2d", "24h", "2024-01-20T12:00:00Z"]
+
+
+def _range_name(spec):
+    return "n_" + "".join(ch if ch.isalnum() else "_" for ch in spec.lower())
+
+
+@register("log_range", _L + "select " + ", ".join(
+    f"count_if(ts between {_lit_ts(LG.resolve_start(sp, AS_OF))} and {_lit_ts(AS_OF)}) as {_range_name(sp)}"
+    for sp in _RANGE_SPECS) + " from L")
+def q_log_range(spark, sf):
+    lg = _logs(spark, sf)
+    return lg.agg(*[F.count_if(F.col("ts").between(LG._ts(LG.resolve_start(sp, AS_OF)), LG._ts(AS_OF)))
+                    .alias(_range_name(sp)) for sp in _RANGE_SPECS])
+
+
+@register("retention_filter", _L + f"select log_id, job_id from L where ts < {_lit_ts(AS_OF - timedelta(hours=240))}")
+def q_retention_filter(spark, sf):
+    return LG.older_than(_logs(spark, sf), "ts", AS_OF, 240).select("log_id", "job_id")
+
+
+@register("log_retention", _L + f"select log_id, job_id from L where ts >= {_lit_ts(_WEEK)}")
+def q_log_retention(spark, sf):
+    return LG.retained(_logs(spark, sf), AS_OF).select("log_id", "job_id")
+
+
+@register("error_summary", _L + "select coalesce(error_type, 'TOTAL') as error_type, n from (select error_type, "
+          "count(*) as n from (select coalesce(error_type, 'UNKNOWN') as error_type from L where level = 'ERROR' "
+          f"and ts between {_lit_ts(_WEEK)} and {_lit_ts(AS_OF)}) group by rollup (error_type))")
+def q_error_summary(spark, sf):
+    lg = LG.query_logs(_logs(spark, sf), start=_WEEK, end=AS_OF, level="ERROR", limit=None)
+    return LG.error_summary(lg)
+
+
+@register("daily_errors", _L + "select cast(cast(ts as date) as varchar) as day, coalesce(error_type, 'UNKNOWN') "
+          "as error_type, count(*) as n from L where level = 'ERROR' group by all")
+def q_daily_errors(spark, sf):
+    d = LG.daily_errors(_logs(spark, sf))
+    return d.select(F.col("day").cast("string").alias("day"), "error_type", "n")
+
+
+@register("delivery_counts", _L + "select job_id, count_if(status_code = 200) as success, "
+          "count_if(status_code <> 200) as failed from L group by job_id")
+def q_delivery_counts(spark, sf):
+    return LG.delivery_counts(_logs(spark, sf))
+
+
+@register("job_count", _L + "select count(distinct job_id) as jobs from L")
+def q_job_count(spark, sf):
+    return _logs(spark, sf).agg(F.count_distinct("job_id").cast("bigint").alias("jobs"))
+
+
+_SEQ = ("(select *, row_number() over (partition by job_id order by ts, log_id) as seq, "
+        "count(*) over (partition by job_id) as total from L)")
+
+
+@register("record_number", _L + f"select job_id, log_id, seq, total from {_SEQ}")
+def q_record_number(spark, sf):
+    return LG.with_job_sequence(_logs(spark, sf)).select("job_id", "log_id", F.col("seq").cast("bigint"),
+                                                         F.col("total").cast("bigint"))
+
+
+_W10 = "over (partition by job_id order by ts, log_id rows between 9 preceding and current row)"
+
+
+@register("delivery_eta", _L + "select job_id, log_id, seq, case when seq >= 3 then (total - seq) * "
+          f"sum(cast(round(duration * 100) as bigint)) {_W10} / count(*) {_W10} / 100.0 "
+          f"else (total - seq) / 10.0 end as eta_seconds from {_SEQ}")
+def q_delivery_eta(spark, sf):
+    e = LG.delivery_eta(LG.with_job_sequence(_logs(spark, sf)))
+    return e.select("job_id", "log_id", F.col("seq").cast("bigint"), "eta_seconds")
+
+
+@register("delivery_progress", _L + f"select job_id, log_id, seq, cast(80 + floor(seq / total * 20) as bigint) "
+          f"as progress from {_SEQ}")
+def q_delivery_progress(spark, sf):
+    p = LG.delivery_progress(LG.with_job_sequence(_logs(spark, sf)))
+    return p.select("job_id", "log_id", F.col("seq").cast("bigint"), "progress")
+
+
+_UPD = (f"(select job_id, ts, log_id, case when level = 'ERROR' then 'failed' when level = 'WARNING' then "
+        f"'processing' end as status, cast(least(100, floor(seq / 15) * 10) as bigint) as progress, "
+        f"case when level <> 'INFO' then message end as message from {_SEQ})")
+_STATUS = (f"(select job_id, " + ", ".join(
+    f"first({f} order by ts desc, log_id desc) filter (where {f} is not null) as {f}"
+    for f in LG.STATUS_FIELDS) + f", max(ts) as updated_at, min(ts) as created_at from {_UPD} group by job_id)")
+
+
+def _status(spark, sf):
+    return LG.status_merge(LG.status_updates(_logs(spark, sf)))
+
+
+def _status_out(df):
+    return df.select("job_id", *LG.STATUS_FIELDS, F.col("updated_at").cast("string").alias("updated_at"),
+                     F.col("created_at").cast("string").alias("created_at"))
+
+
+@register("status_merge", _L + "select job_id, status, progress, message, cast(updated_at as varchar) as updated_at, "
+          f"cast(created_at as varchar) as created_at from {_STATUS}")
+def q_status_merge(spark, sf):
+    return _status_out(_status(spark, sf))
+
+
+@register("status_lookup", _L + "select job_id, status, progress, message, cast(updated_at as varchar) as updated_at, "
+          f"cast(created_at as varchar) as created_at from {_STATUS} where job_id = 'job_7'")
+def q_status_lookup(spark, sf):
+    return _status_out(LG.status_lookup(_status(spark, sf), "job_7"))
+
+
+@register("recent_jobs", _L + "select job_id, status, progress, message, cast(updated_at as varchar) as updated_at, "
+          f"cast(created_at as varchar) as created_at from {_STATUS} order by created_at desc, job_id desc limit 20")
+def q_recent_jobs(spark, sf):
+    return _status_out(LG.recent_jobs(_status(spark, sf)))
+
+
+@register("stuck_jobs", _L + "select job_id, progress, polls, stuck_seconds, case when stuck_seconds > 300 then 'alert' "
+          "when stuck_seconds > 120 then 'warn' end as severity from (select job_id, any_value(progress) as progress, "
+          "count(*) as polls, cast(floor(epoch(max(ts))) as bigint) - cast(floor(epoch(min(ts))) as bigint) as stuck_seconds from "
+          "(select *, sum(chg) over (partition by job_id order by ts, log_id) as island from (select *, case when "
+          "lag(progress) over (partition by job_id order by ts, log_id) = progress then 0 else 1 end as chg from "
+          f"{_UPD})) group by job_id, island) where progress < 100 and polls > 10 and stuck_seconds > 120")
+def q_stuck_jobs(spark, sf):
+    return LG.stuck_jobs(LG.status_updates(_logs(spark, sf)))
+
+
+@register("throttle_events", _L + "select job_id, first(log_id order by ts, log_id) as first_throttled_log_id, "
+          "cast(min(ts) as varchar) as throttled_at from (select *, sum(case when status_code = 429 then 1 else 0 end) "
+          "over (partition by job_id, epoch order by ts, log_id rows between unbounded preceding and current row) as n429 "
+          "from (select *, sum(case when status_code = 200 then 1 else 0 end) over (partition by job_id order by ts, "
+          "log_id rows between unbounded preceding and current row) as epoch from L)) where n429 >= 3 group by job_id")
+def q_throttle_events(spark, sf):
+    t = LG.throttle_events(_logs(spark, sf))
+    return t.select("job_id", "first_throttled_log_id", F.col("throttled_at").cast("string").alias("throttled_at"))
+
+
+@register("log_newest", _L + f"select log_id, job_id, level from L where ts between {_lit_ts(_WEEK)} and "
+          f"{_lit_ts(AS_OF)} order by ts desc, log_id desc limit 1000")
+def q_log_newest(spark, sf):
+    return LG.query_logs(_logs(spark, sf), start=_WEEK, end=AS_OF, as_of=AS_OF).select("log_id", "job_id", "level")
+
+
+@register("log_times", _L + "select log_id, case when microsecond(ts) % 1000000 = 0 then strftime(ts, "
+          "'%Y-%m-%dT%H:%M:%S+00:00') else strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') end as timestamp_iso, "
+          "cast(floor(epoch(ts)) as bigint) as timestamp_unix from L")
+def q_log_times(spark, sf):
+    lg = _logs(spark, sf)
+    iso, unix = LG.iso_and_unix(F.col("ts"))
+    return lg.select("log_id", iso.alias("timestamp_iso"), unix.cast("bigint").alias("timestamp_unix"))
+
+
+@register("failure_log", _L + "select job_id, record_number, 'ERROR' as level, 'Webhook failed for record ' || "
+          "record_number || ' after 3 attempts: HTTP ' || status_code as message, 'HTTP_' || status_code as error_type "
+          "from L where status_code not in (200, 429)")
+def q_failure_log(spark, sf):
+    from ..operators.delivery import failure_log
+
+    lg = _logs(spark, sf)
+    results = lg.select("job_id", "record_number", (F.col("status_code") == 200).alias("ok"), "status_code",
+                        F.lit(3).alias("attempts"), F.concat(F.lit("HTTP_"), F.col("status_code").cast("string"))
+                        .alias("error_type"), F.col("message").alias("response_text"))
+    fl = failure_log(results, ts=AS_OF)
+    return fl.select("job_id", "record_number", "level", "message", "error_type")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
