@@ -172,3 +172,56 @@ def enrich(df: DataFrame) -> DataFrame:
     df = clean_domains(df)
     df = enrich_company_name(df)
     return normalize(df)
+
+
+def enrich_with_stats(df: DataFrame) -> DataFrame:
+    """``enrich`` plus per-row flags (``__*`` columns) that ``enrich_stats`` counts."""
+    cols = _cols(df)
+    if "Full Name" in cols:
+        first = C("First Name") if "First Name" in cols else F.lit(None).cast("string")
+        last = C("Last Name") if "Last Name" in cols else F.lit(None).cast("string")
+        n = F.size(F.split(strip(C("Full Name")), WS_CLASS + "+"))
+        split = ~m3(C("Full Name")) & (m3(first) | m3(last)) & ((n >= 2) | ((n == 1) & m3(first)))
+    else:
+        split = F.lit(False)
+    df = df.withColumn("__names_split", split)
+    df = split_names(df)
+    emails = collected_emails(_cols(df))
+    df = (df.withColumn("__personal", F.size(F.filter(emails, lambda e: is_personal_email(e))) > 0)
+            .withColumn("__work", F.size(F.filter(emails, lambda e: ~is_personal_email(e))) > 0))
+    df = enrich_emails(df)
+    cols = _cols(df)
+    if "Company Domain" in cols and "Work Email" in cols:
+        dom = domain_from_email(C("Work Email"))
+        df = df.withColumn("__domain_enriched", m3(C("Company Domain")) & work_email_usable(C("Work Email"))
+                           & ~is_free_provider(dom))
+    else:
+        df = df.withColumn("__domain_enriched", F.lit(False))
+    df = enrich_company_domain(df)
+    dcols = domain_columns(_cols(df))
+    changed = [F.when(C(c).isNull() | (C(c) != clean_domain(C(c))), 1).otherwise(0) for c in dcols]
+    df = df.withColumn("__domains_cleaned", sum(changed[1:], changed[0]) if changed else F.lit(0))
+    df = clean_domains(df)
+    cols = _cols(df)
+    if "Company Domain" in cols:
+        name = C("Company Name") if "Company Name" in cols else F.lit("")
+        gen = company_name_from_domain(C("Company Domain"))
+        df = df.withColumn("__name_generated", m3(name) & ~m3(C("Company Domain")) & gen.isNotNull())
+    else:
+        df = df.withColumn("__name_generated", F.lit(False))
+    df = enrich_company_name(df)
+    return normalize(df)
+
+
+def enrich_stats(flagged: DataFrame) -> DataFrame:
+    """A8 counters from ``enrich_with_stats`` flags (one aggregate)."""
+    b = lambda c: F.count_if(F.col(c)).cast("bigint")
+    return flagged.agg(
+        b("__personal").alias("personal_emails_ranked"),
+        b("__work").alias("work_emails_identified"),
+        F.count_if(F.col("__personal") | F.col("__work")).cast("bigint").alias("emails_enriched"),
+        b("__names_split").alias("names_split"),
+        b("__domain_enriched").alias("domains_enriched"),
+        F.sum("__domains_cleaned").cast("bigint").alias("domains_cleaned"),
+        b("__name_generated").alias("company_names_generated"),
+    )

@@ -355,3 +355,61 @@ def clean_leads_sql(fixture_sql: str, fixture_cols: list[str], spec, table_type:
     dedup_step(ch, table_type)
     clean_domains_step(ch)
     return ch.sql(final_select)
+
+
+# ---------------------------------------------------------------------------
+# Column profile (mirrors operators.profile.column_profile)
+# ---------------------------------------------------------------------------
+
+def contains_any(low: str, terms) -> str:
+    arr = "[" + ", ".join(lit(t) for t in terms) + "]"
+    return f"(len(list_filter({arr}, lambda t: contains({low}, t))) > 0)"
+
+
+def is_useless(name: str, sample: str, unwanted=None) -> str:
+    from ..functions.constants import (BOOLEANISH_SAMPLES, HASH_PATTERNS, ID_TERMS, IMPORTANT_TERMS,
+                                       TRACKING_TERMS, UNWANTED_TERMS)
+    unwanted = [t.lower() for t in (unwanted or UNWANTED_TERMS)]
+    low = f"lower({name})"
+    v = strip(f"coalesce({sample}, '')")
+    hashes = " or ".join(f"regexp_matches({v}, {lit(p)})" for p in HASH_PATTERNS)
+    return (f"({contains_any(low, unwanted)} or {contains_any(low, ID_TERMS)} "
+            f"or (length({v}) >= 10 and ({hashes})) "
+            f"or (lower({v}) in {inlist(BOOLEANISH_SAMPLES)} and not {contains_any(low, IMPORTANT_TERMS)}) "
+            f"or (regexp_matches({name}, '^.+/\\d+$') and {v} = '') "
+            f"or {contains_any(low, TRACKING_TERMS)} "
+            f"or (length({name}) - length(replace({name}, '/', ''))) > 2)")
+
+
+def profile_sql(base_sql: str, cols: list[str], header_rows=100, sample_rows=1000) -> str:
+    """base_sql yields cols + "Source" + _row."""
+    cells = ", ".join(f"{{'ordinal': {i}, 'column_name': {lit(c)}, 'value': cast({q(c)} as varchar)}}"
+                      for i, c in enumerate(cols))
+    n = max(header_rows, sample_rows)
+    t = strip("value")
+    return f"""
+with base as materialized ({base_sql}),
+head as materialized (select * from (select *, row_number() over (partition by "Source" order by _row) as pos
+  from base) where pos <= {n}),
+cells as materialized (select "Source", pos, c.ordinal as ordinal, c.column_name as column_name, c.value as value
+  from (select "Source", pos, unnest([{cells}]) as c from head)),
+prof as materialized (select "Source", ordinal, column_name,
+  first(coalesce(value, '') order by pos) as first_value,
+  first({t} order by length({t}) desc, pos) filter (where pos <= {sample_rows} and not {m8('value')}) as best_v,
+  max(length({t})) filter (where pos <= {sample_rows} and not {m8('value')}) as best_n,
+  count_if(pos <= {header_rows} and value is not null) as non_null,
+  count_if(pos <= {header_rows} and (value is null or {t} <> '')) as not_blank,
+  count_if(pos <= {sample_rows} and value is not null) as smp_non_null,
+  count_if(pos <= {sample_rows} and (value is null or {t} <> '')) as smp_not_blank,
+  count_if(pos <= {sample_rows}) as smp_rows
+  from cells group by all),
+flagged as materialized (select "Source", ordinal, column_name, first_value,
+  (non_null = 0 or not_blank = 0) as is_empty,
+  {is_useless('column_name', 'first_value')} as is_junk,
+  case when not (smp_rows > 1 and smp_non_null > 0 and smp_not_blank > 0) then first_value
+       when best_v is null then first_value
+       when not {m8('first_value')} and length({strip('first_value')}) >= best_n then first_value
+       else best_v end as sample_value,
+  cast(non_null as bigint) as non_null_count from prof)
+select *, (not is_empty and (not is_junk or max(case when not is_empty and not is_junk then 1 else 0 end)
+  over (partition by "Source") = 0)) as kept from flagged"""

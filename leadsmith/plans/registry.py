@@ -526,6 +526,292 @@ def q_failure_log(spark, sf):
     return fl.select("job_id", "record_number", "level", "message", "error_type")
 
 
+
+# ---------------------------------------------------------------------------
+# Dedup keys, stats, limits
+# ---------------------------------------------------------------------------
+
+_ALL_ENRICH = [O.split_step, O.emails_step, O.domain_step, O.clean_domains_step, O.cname_step, O.normalize_step]
+
+
+def _p_enriched(spark, sf):
+    return E.enrich(_p_std(spark, sf))
+
+
+@register("dedup_key_people", _p_chain(_ALL_ENRICH, "select _row, " + O.key_expr(
+    ["Work Email", "Personal Email", "LinkedIn Profile", "Full Name", "Company Name"], "people")
+    + " as _key from {prev}"))
+def q_dedup_key_people(spark, sf):
+    return dedup.with_key(_p_enriched(spark, sf), "people").select("_row", "_key")
+
+
+@register("dedup_key_company", _c_chain(_ALL_ENRICH, "select _row, " + O.key_expr(
+    ["Company Name", "Company Domain", "Company LinkedIn"], "company") + " as _key from {prev}"))
+def q_dedup_key_company(spark, sf):
+    return dedup.with_key(E.enrich(_c_std(spark, sf)), "company").select("_row", "_key")
+
+
+@register("source_concat", _final_sql(FX.PEOPLE_SQL, P_COLS, FX.PEOPLE_SPEC, "people",
+                                      'select _key, "Source", _n from {prev}'))
+def q_source_concat(spark, sf):
+    return _people_clean(spark, sf).select("_key", "Source", F.col("_n").cast("bigint").alias("_n"))
+
+
+@register("dedup_stats", _p_chain(_ALL_ENRICH, "select sum(n) as rows_in, count(*) as rows_out, sum(n) - count(*) "
+          "as duplicates_removed from (select k, count(*) as n from (select " + O.key_expr(
+              ["Work Email", "Personal Email", "LinkedIn Profile", "Full Name", "Company Name"], "people")
+          + " as k from {prev}) group by k)"))
+def q_dedup_stats(spark, sf):
+    return dedup.dedup_stats(dedup.with_key(_p_enriched(spark, sf), "people"))
+
+
+@register("record_limit", _final_sql(FX.PEOPLE_SQL, P_COLS, FX.PEOPLE_SPEC, "people",
+                                     "select * exclude (_row, _n) from {prev} order by _key limit 100"))
+def q_record_limit(spark, sf):
+    df = clean_leads(FX.people_raw(spark, sf), FX.PEOPLE_SPEC, "people", record_limit=100, keep_internal=True)
+    return _out(df, [F.col("_key")])
+
+
+@register("merge_stats", f"select count(distinct source) as files_processed, count(*) as total_records, "
+          f"cast({len(P_COLS) - 2} as bigint) as total_columns from {_P_RAW}")
+def q_merge_stats(spark, sf):
+    from ..sources.csv_scan import merge_stats
+
+    return merge_stats(FX.people_raw(spark, sf))
+
+
+def _fill_sql():
+    m = S.plan_mappings(FX.PEOPLE_SPEC)
+    cols = P_COLS[2:]
+    counts = {p: [] for p in S.PRIORITIES}
+    for h in __import__("leadsmith").functions.constants.PEOPLE_FIELDS:
+        if h not in m:
+            continue
+        filled = "false"
+        for p in S.PRIORITIES:
+            for c in m[h][p]:
+                if not c or c not in cols:
+                    continue
+                counts[p].append(f"case when not ({filled}) and not {O.m1(O.q(c))} then 1 else 0 end")
+                filled = f"({filled} or not {O.m1(O.q(c))})"
+    used = {"Source"} | {c for s in m.values() for p in S.PRIORITIES for c in s[p] if c}
+    unm = len([c for c in cols + ["Source"] if c not in used])
+    parts = [f"cast(coalesce(sum({' + '.join(v)}), 0) as bigint) as {p}_mappings" if v
+             else f"cast(0 as bigint) as {p}_mappings" for p, v in counts.items()]
+    return f"select {', '.join(parts)}, cast({unm} as bigint) as unmapped_headers from {_P_RAW}"
+
+
+@register("mapping_stats", _fill_sql())
+def q_mapping_stats(spark, sf):
+    return S.mapping_fill_stats(FX.people_raw(spark, sf), FX.PEOPLE_SPEC, "people")
+
+
+def _enrich_stats_sql():
+    ch = O.raw_chain(FX.PEOPLE_SQL, P_COLS)
+    O.standardize_step(ch, FX.PEOPLE_SPEC, "people")
+    q = O.q
+    parts = f"regexp_split_to_array({O.strip(q('Full Name'))}, '{O.WSC}+')"
+    split = (f"(not {O.m3(q('Full Name'))} and ({O.m3(q('First Name'))} or {O.m3(q('Last Name'))}) and "
+             f"(len({parts}) >= 2 or (len({parts}) = 1 and {O.m3(q('First Name'))})))")
+    ch.raw(f"select *, {split} as __names_split from {{prev}}", list(ch.cols), ch.extra + ["__names_split"])
+    O.split_step(ch)
+    ecols = [c for c in ch.cols if "email" in c.lower()]
+    arr = "list_filter([" + ", ".join(f"case when not {O.m4(q(c))} then lower({O.strip(q(c))}) end"
+                                       for c in ecols) + "]::varchar[], lambda e: e is not null)"
+    ch.raw(f"select *, len(list_filter({arr}, lambda e: {O.is_personal('e')})) > 0 as __personal, "
+           f"len(list_filter({arr}, lambda e: not {O.is_personal('e')})) > 0 as __work from {{prev}}",
+           list(ch.cols), ch.extra + ["__personal", "__work"])
+    O.emails_step(ch)
+    we = q("Work Email")
+    usable = (f"({we} is not null and {O.strip(we)} <> '' and contains({we}, '@') "
+              f"and lower({we}) not in ('nan', 'none', 'null', ''))")
+    dom = O.domain_from_email(we)
+    from ..functions.constants import FREE_PROVIDERS as FP
+    ch.raw(f"select *, ({O.m3(q('Company Domain'))} and {usable} and coalesce({dom} not in {O.inlist(FP)}, true)) "
+           f"as __domain_enriched from {{prev}}", list(ch.cols), ch.extra + ["__domain_enriched"])
+    O.domain_step(ch)
+    dcols = [c for c in ch.cols if "domain" in c.lower() or "website" in c.lower()]
+    changed = " + ".join(f"case when {q(c)} is null or {q(c)} <> {O.clean_domain(q(c))} then 1 else 0 end"
+                         for c in dcols)
+    ch.raw(f"select *, {changed} as __domains_cleaned from {{prev}}", list(ch.cols), ch.extra + ["__domains_cleaned"])
+    O.clean_domains_step(ch)
+    gen = O.company_name_from_domain(q("Company Domain"))
+    ch.raw(f"select *, ({O.m3(q('Company Name'))} and not {O.m3(q('Company Domain'))} and {gen} is not null) "
+           f"as __name_generated from {{prev}}", list(ch.cols), ch.extra + ["__name_generated"])
+    O.cname_step(ch)
+    return ch.sql("select count_if(__personal) as personal_emails_ranked, count_if(__work) as work_emails_identified, "
+                  "count_if(__personal or __work) as emails_enriched, count_if(__names_split) as names_split, "
+                  "count_if(__domain_enriched) as domains_enriched, cast(sum(__domains_cleaned) as bigint) as "
+                  "domains_cleaned, count_if(__name_generated) as company_names_generated from {prev}")
+
+
+@register("enrich_stats", _enrich_stats_sql())
+def q_enrich_stats(spark, sf):
+    return E.enrich_stats(E.enrich_with_stats(_p_std(spark, sf)))
+
+
+@register("missing_matrix", "select " + ", ".join(
+    f"count_if({getattr(O, m)(O.q(c))}) as {m}_{c}" for m in ("m1", "m2", "m3", "m4", "m5", "m6", "m7", "m8")
+    for c in ("first_name", "last_name", "personal_email", "website")) + f" from {_P_RAW}")
+def q_missing_matrix(spark, sf):
+    p = FX.people_raw(spark, sf)
+    return p.agg(*[F.count_if(X.MISSING[m](C(c))).cast("bigint").alias(f"{m}_{c}")
+                   for m in ("m1", "m2", "m3", "m4", "m5", "m6", "m7", "m8")
+                   for c in ("first_name", "last_name", "personal_email", "website")])
+
+
+@register("first_row", f"select * exclude (pos) from (select *, row_number() over (partition by source order by "
+          f"row_idx) as pos from {_P_RAW}) where pos = 1")
+def q_first_row(spark, sf):
+    from ..operators.profile import head_per_group
+
+    p = FX.people_raw(spark, sf)
+    h = head_per_group(p, "Source", "_row", 1)
+    return h.select(*P_COLS[2:], F.col("Source").alias("source"), F.col("_row").alias("row_idx"))
+
+
+# ---------------------------------------------------------------------------
+# Column profile, junk filter, alias mapper, header sets
+# ---------------------------------------------------------------------------
+
+from ..operators import profile as PR  # noqa: E402
+
+_P_PROFILE_BASE = (f"select {', '.join(O.q(c) for c in P_COLS[2:])}, source as \"Source\", "
+                   f"cast(row_idx as bigint) as _row from {_P_RAW}")
+_C_PROFILE_BASE = (f"select {', '.join(O.q(c) for c in C_COLS[2:])}, source as \"Source\", "
+                   f"cast(row_idx as bigint) as _row from {_C_RAW}")
+_MT_TABLES = [("pages", "page_id", ["page_id", "url", "html"]),
+              ("events", "event_id", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
+              ("documents", "doc_id", ["doc_id", "text", "lang", "n_chars"])]
+_MT_COLS = []
+for _t, _id, _cs in _MT_TABLES:
+    for _c in _cs:
+        if _c not in _MT_COLS:
+            _MT_COLS.append(_c)
+_MT_BASE = " union all ".join(
+    "select " + ", ".join((f"cast({c} as varchar) as {O.q(c)}" if c in cs else f"cast(null as varchar) as {O.q(c)}")
+                          for c in _MT_COLS) + f", '{t}.csv' as \"Source\", cast({i} as bigint) as _row from {t}"
+    for t, i, cs in _MT_TABLES)
+
+
+def _mt_frame(spark, sf):
+    """Three driver tables as three 'exports' with differing headers, unioned by name."""
+    out = None
+    for t, i, cs in _MT_TABLES:
+        df = FX.table(spark, sf, t)
+        part = df.select(*[F.col(c).cast("string").alias(c) for c in cs], F.lit(f"{t}.csv").alias("Source"),
+                         F.col(i).cast("bigint").alias("_row"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.select(*[C(c) for c in _MT_COLS], "Source", "_row")
+
+
+_PROFILE_COLS = ["Source", "ordinal", "column_name", "first_value", "is_empty", "is_junk", "sample_value",
+                 "non_null_count", "kept"]
+
+
+def _prof_out(df):
+    return df.select(*_PROFILE_COLS)
+
+
+@register("column_profile", O.profile_sql(_P_PROFILE_BASE, P_COLS[2:]))
+def q_column_profile(spark, sf):
+    return _prof_out(PR.column_profile(FX.people_raw(spark, sf)))
+
+
+@register("column_profile_tables", O.profile_sql(_MT_BASE, _MT_COLS))
+def q_column_profile_tables(spark, sf):
+    return _prof_out(PR.column_profile(_mt_frame(spark, sf)))
+
+
+@register("junk_columns", "select \"Source\", column_name, first_value from (" + O.profile_sql(_MT_BASE, _MT_COLS)
+          + ") where is_junk")
+def q_junk_columns(spark, sf):
+    return PR.column_profile(_mt_frame(spark, sf)).where("is_junk").select("Source", "column_name", "first_value")
+
+
+@register("empty_columns", "select \"Source\", column_name from (" + O.profile_sql(_MT_BASE, _MT_COLS)
+          + ") where is_empty")
+def q_empty_columns(spark, sf):
+    return PR.column_profile(_mt_frame(spark, sf)).where("is_empty").select("Source", "column_name")
+
+
+@register("header_stats", "select count(*) as headers_before_filtering, count(distinct case when kept then column_name "
+          "end) as headers_after_filtering, count(*) - count(distinct case when kept then column_name end) as "
+          "headers_filtered_out, case when count(*) > 0 then round((count(*) - count(distinct case when kept then "
+          "column_name end)) / count(*) * 100, 1) else 0.0 end as filtering_percentage from ("
+          + O.profile_sql(_MT_BASE, _MT_COLS) + ")")
+def q_header_stats(spark, sf):
+    return PR.header_stats(PR.column_profile(_mt_frame(spark, sf)))
+
+
+def _alias_sql(prof_sql, table_type):
+    from ..functions.constants import ALIASES
+    rows = ", ".join(f"({O.lit(a)}, {O.lit(std)}, {i}, {j})" for i, (std, al) in enumerate(ALIASES[table_type].items())
+                     for j, a in enumerate(al))
+    return (f"select p.\"Source\", p.ordinal, p.column_name, a.std, a.std_ord, a.alias_ord from ({prof_sql}) p "
+            f"join (values {rows}) a(alias, std, std_ord, alias_ord) on lower({O.strip('p.column_name')}) = a.alias "
+            f"where p.kept")
+
+
+@register("alias_match", _alias_sql(O.profile_sql(_P_PROFILE_BASE, P_COLS[2:]), "people"))
+def q_alias_match(spark, sf):
+    return PR.alias_matches(PR.column_profile(FX.people_raw(spark, sf)), "people")
+
+
+def _spec_rows_sql():
+    a = _alias_sql(O.profile_sql(_P_PROFILE_BASE, P_COLS[2:]), "people")
+    return (f"select \"Source\" as filename, std, std_ord, ['primary', 'secondary', 'tertiary'][rank] as priority, "
+            f"column_name as source_col from (select *, row_number() over (partition by \"Source\", std order by "
+            f"alias_ord, ordinal) as rank from ({a})) where rank <= 3")
+
+
+@register("mapping_explode", _spec_rows_sql())
+def q_mapping_explode(spark, sf):
+    return PR.mapped_spec_rows(PR.alias_matches(PR.column_profile(FX.people_raw(spark, sf)), "people"))
+
+
+@register("mapping_merge", "select std, priority, source_col, min(filename) as first_file from (" + _spec_rows_sql()
+          + ") group by all")
+def q_mapping_merge(spark, sf):
+    rows = PR.mapped_spec_rows(PR.alias_matches(PR.column_profile(FX.people_raw(spark, sf)), "people"))
+    return rows.groupBy("std", "priority", "source_col").agg(F.min("filename").alias("first_file"))
+
+
+@register("term_semi", "select distinct p.column_name, t.term from (" + O.profile_sql(_MT_BASE, _MT_COLS)
+          + ") p join (values " + ", ".join(f"({O.lit(t)})" for t in __import__("leadsmith").functions.constants.UNWANTED_TERMS)
+          + ") t(term) on contains(lower(p.column_name), t.term)")
+def q_term_semi(spark, sf):
+    return PR.term_hits(PR.column_profile(_mt_frame(spark, sf)))
+
+
+_HDR_P = f"(select distinct column_name from ({O.profile_sql(_P_PROFILE_BASE, P_COLS[2:])}))"
+_HDR_C = f"(select distinct column_name from ({O.profile_sql(_C_PROFILE_BASE, C_COLS[2:])}))"
+
+
+def _hdr(df):
+    return PR.column_profile(df).select("column_name")
+
+
+@register("header_union", f"select column_name from {_HDR_P} union select column_name from {_HDR_C}")
+def q_header_union(spark, sf):
+    return _hdr(FX.people_raw(spark, sf)).union(_hdr(FX.company_raw(spark, sf))).distinct()
+
+
+@register("header_intersect", f"select column_name from {_HDR_P} intersect select column_name from {_HDR_C}")
+def q_header_intersect(spark, sf):
+    return _hdr(FX.people_raw(spark, sf)).intersect(_hdr(FX.company_raw(spark, sf)))
+
+
+_MAPPED_P = sorted({c for s_ in S.plan_mappings(FX.PEOPLE_SPEC).values() for p in S.PRIORITIES for c in s_[p] if c})
+
+
+@register("header_except", f"select column_name from {_HDR_P} except select * from (values "
+          + ", ".join(f"({O.lit(c)})" for c in _MAPPED_P + ["Source"]) + ") m(column_name)")
+def q_header_except(spark, sf):
+    mapped = spark.createDataFrame([(c,) for c in _MAPPED_P + ["Source"]], "column_name string")
+    return _hdr(FX.people_raw(spark, sf)).subtract(mapped)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
