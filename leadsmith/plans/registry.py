@@ -812,6 +812,206 @@ def q_header_except(spark, sf):
     return _hdr(FX.people_raw(spark, sf)).subtract(mapped)
 
 
+
+# ---------------------------------------------------------------------------
+# documents: per-source scans, counts, heads, ids
+# ---------------------------------------------------------------------------
+
+def _docs(spark, sf):
+    return FX.table(spark, sf, "documents")
+
+
+@register("source_tag", "select doc_id, 'documents.parquet' as \"Source\" from documents")
+def q_source_tag(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("Source"))
+
+
+@register("source_filter", "select doc_id, n_chars from documents where source = 'src3'")
+def q_source_filter(spark, sf):
+    return _docs(spark, sf).where(F.col("source") == "src3").select("doc_id", "n_chars")
+
+
+@register("distinct_sources", "select distinct source from documents")
+def q_distinct_sources(spark, sf):
+    return _docs(spark, sf).select("source").distinct()
+
+
+@register("count_records", "select coalesce(source, 'TOTAL') as source, n from (select source, count(*) as n "
+          "from documents group by rollup (source))")
+def q_count_records(spark, sf):
+    r = _docs(spark, sf).rollup("source").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return r.select(F.coalesce("source", F.lit("TOTAL")).alias("source"), "n")
+
+
+@register("head_per_source", "select doc_id, source, pos from (select doc_id, source, row_number() over (partition by "
+          "source order by doc_id) as pos from documents) where pos <= 5")
+def q_head_per_source(spark, sf):
+    from ..operators.profile import head_per_group
+
+    h = head_per_group(_docs(spark, sf).select("doc_id", "source"), "source", "doc_id", 5, "pos")
+    return h.select("doc_id", "source", F.col("pos").cast("bigint").alias("pos"))
+
+
+@register("sample_scan", "select doc_id, source, n_chars from (select doc_id, source, n_chars, row_number() over "
+          "(partition by source order by doc_id) as pos from documents) where pos <= 100")
+def q_sample_scan(spark, sf):
+    from ..operators.profile import head_per_group
+
+    h = head_per_group(_docs(spark, sf).select("doc_id", "source", "n_chars"), "source", "doc_id", 100)
+    return h.select("doc_id", "source", "n_chars")
+
+
+_HASH = __import__("leadsmith").functions.constants.HASH_PATTERNS
+
+
+def _o_hash(x):
+    v = O.strip(x)
+    return f"(length({v}) >= 10 and (" + " or ".join(f"regexp_matches({v}, {O.lit(p)})" for p in _HASH) + "))"
+
+
+@register("hash_like", f"select doc_id, coalesce({_o_hash('md5(text)')}, false) as md5_hash_like, "
+          f"coalesce({_o_hash('source')}, false) as source_hash_like, coalesce({_o_hash('text')}, false) as text_hash_like, "
+          f"coalesce({_o_hash(chr(39) + 'doc-' + chr(39) + ' || lpad(cast(doc_id as varchar), 20, ' + chr(39) + 'x' + chr(39) + ')')}, false) as padded_hash_like from documents")
+def q_hash_like(spark, sf):
+    d = _docs(spark, sf)
+    padded = F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 20, "x"))
+    return d.select("doc_id", F.coalesce(X.is_hash_like(F.md5("text")), F.lit(False)).alias("md5_hash_like"),
+                    F.coalesce(X.is_hash_like(F.col("source")), F.lit(False)).alias("source_hash_like"),
+                    F.coalesce(X.is_hash_like(F.col("text")), F.lit(False)).alias("text_hash_like"),
+                    F.coalesce(X.is_hash_like(padded), F.lit(False)).alias("padded_hash_like"))
+
+
+# ---------------------------------------------------------------------------
+# Payloads (people nested, company flat, generic) and record JSON
+# ---------------------------------------------------------------------------
+
+PAYLOAD_TS = 1706659200  # fixed job clock for reproducible payloads (2024-01-31 00:00:00 UTC)
+
+
+def _numbered(df):
+    from ..operators.logs import global_index
+
+    return global_index(df, ["_key"])
+
+
+def _json_struct(fields):
+    return "{" + ", ".join(f"{O.lit(k)}: {v}" for k, v in fields) + "}"
+
+
+def _add_map(cols, std):
+    extra = [c for c in cols if c not in std and not c.startswith("Company Email ")]
+    if not extra:
+        return "map([]::varchar[], []::varchar[])"
+    entries = "[" + ", ".join(f"{{'k': {O.lit(c)}, 'v': cast({O.q(c)} as varchar)}}" for c in extra) + "]"
+    return f"map_from_entries(list_filter({entries}, lambda e: e.v is not null and e.v <> ''))"
+
+
+def _payload_sql(fixture, cols, spec, tt, kind):
+    from ..functions.constants import COMPANY_FIELDS as CF, PAYLOAD_PERSON_FIELDS as PF
+    ch = O.raw_chain(fixture, cols)
+    O.standardize_step(ch, spec, tt)
+    O.enrich_steps(ch)
+    O.dedup_step(ch, tt)
+    O.clean_domains_step(ch)
+    names = [c.replace("Linked In", "LinkedIn") for c in ch.cols]
+    std = set(PF) | set(CF) | {"Source"}
+    add = _add_map(names, std)
+    rn = "row_number() over (order by _key)"
+    if kind == "company":
+        top = [(c, O.q(c)) for c in names if c in set(CF) | {"Source"}]
+        meta = _json_struct([("record_number", rn), ("timestamp", f"cast({PAYLOAD_TS} as bigint)"),
+                             ("source", "'CSV Merger'"), ("total_additional_fields", f"cast(cardinality({add}) as integer)")])
+        body = _json_struct(top + [("additional_fields", add), ("_metadata", meta)])
+    elif kind == "people":
+        meta = _json_struct([("record_number", rn), ("timestamp", f"cast({PAYLOAD_TS} as bigint)"),
+                             ("source", "'CSV Merger'"), ("total_additional_fields", f"cast(cardinality({add}) as integer)")])
+        person = _json_struct([(c, O.q(c)) for c in names if c in PF])
+        comp = _json_struct([(c, O.q(c)) for c in names if c in CF])
+        body = _json_struct([("person", person), ("company", comp), ("Source", O.q("Source")),
+                             ("additional_fields", add), ("_metadata", meta)])
+    else:
+        meta = _json_struct([("record_number", rn), ("timestamp", f"cast({PAYLOAD_TS} as bigint)"),
+                             ("source", "'CSV Merger'")])
+        body = _json_struct([(c, O.q(c)) for c in names] + [("_metadata", meta)])
+    return ch.sql(f"select {rn} as record_number, to_json({body}) as payload from {{prev}}")
+
+
+@register("payload_people", _payload_sql(FX.PEOPLE_SQL, P_COLS, FX.PEOPLE_SPEC, "people", "people"))
+def q_payload_people(spark, sf):
+    return PL.payloads(_numbered(_people_clean(spark, sf)), "people", PAYLOAD_TS)
+
+
+@register("payload_company", _payload_sql(FX.COMPANY_SQL, C_COLS, FX.COMPANY_SPEC, "company", "company"))
+def q_payload_company(spark, sf):
+    return PL.payloads(_numbered(_company_clean(spark, sf)), "company", PAYLOAD_TS)
+
+
+@register("payload_generic", _payload_sql(FX.PEOPLE_SQL, P_COLS, FX.PEOPLE_SPEC, "people", "generic"))
+def q_payload_generic(spark, sf):
+    return PL.payloads(_numbered(_people_clean(spark, sf)), "generic", PAYLOAD_TS)
+
+
+def _additional_sql(fixture, cols, spec, tt):
+    from ..functions.constants import COMPANY_FIELDS as CF, PAYLOAD_PERSON_FIELDS as PF
+    ch = O.raw_chain(fixture, cols)
+    O.standardize_step(ch, spec, tt)
+    O.enrich_steps(ch)
+    O.dedup_step(ch, tt)
+    O.clean_domains_step(ch)
+    add = _add_map(list(ch.cols), set(PF) | set(CF) | {"Source"})
+    return ch.sql(f"select _key, cast(cardinality({add}) as bigint) as total_additional_fields, "
+                  f"array_to_string(map_keys({add}), ',') as additional_keys, "
+                  f"array_to_string(map_values({add}), ',') as additional_values from {{prev}}")
+
+
+def _additional(df):
+    m = PL.additional_map(PL.data_cols(df))
+    return df.select("_key", F.size(m).cast("bigint").alias("total_additional_fields"),
+                     F.array_join(F.map_keys(m), ",").alias("additional_keys"),
+                     F.array_join(F.map_values(m), ",").alias("additional_values"))
+
+
+@register("additional_fields", _additional_sql(FX.COMPANY_SQL, C_COLS, FX.COMPANY_SPEC, "company"))
+def q_additional_fields(spark, sf):
+    return _additional(_company_clean(spark, sf))
+
+
+@register("additional_fields_people", _additional_sql(FX.PEOPLE_SQL, P_COLS, FX.PEOPLE_SPEC, "people"))
+def q_additional_fields_people(spark, sf):
+    return _additional(_people_clean(spark, sf))
+
+
+def _record_json_sql():
+    ch = O.raw_chain(FX.COMPANY_SQL, C_COLS)
+    O.standardize_step(ch, FX.COMPANY_SPEC, "company")
+    O.enrich_steps(ch)
+    O.dedup_step(ch, "company")
+    O.clean_domains_step(ch)
+    body = _json_struct([(c, O.q(c)) for c in ch.cols])
+    return ch.sql(f"select _key, to_json({body}) as record from {{prev}}")
+
+
+@register("record_json", _record_json_sql())
+def q_record_json(spark, sf):
+    df = _company_clean(spark, sf)
+    cols = PL.data_cols(df)
+    return df.select("_key", F.to_json(F.struct(*[C(c).alias(c) for c in cols]),
+                                       {"ignoreNullFields": "false"}).alias("record"))
+
+
+_C_LI_SQL = ("select " + ", ".join(O.q(c) if c != "linkedin_account" else 'linkedin_account as "Linked In Account"'
+                                   for c in C_COLS) + f" from ({FX.COMPANY_SQL})")
+
+
+@register("header_repair", "select row_idx as _row, " + ", ".join(
+    (O.q(c) if c != "linkedin_account" else '"Linked In Account" as "LinkedIn Account"') for c in C_COLS[2:])
+    + f" from ({_C_LI_SQL})")
+def q_header_repair(spark, sf):
+    c = FX.company_raw(spark, sf).withColumnRenamed("linkedin_account", "Linked In Account").drop("Source")
+    return PL.repair_headers(c).select("_row", *[x for x in PL.repair_headers(c).columns if x != "_row"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
