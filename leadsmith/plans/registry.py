@@ -1012,6 +1012,168 @@ def q_header_repair(spark, sf):
     return PL.repair_headers(c).select("_row", *[x for x in PL.repair_headers(c).columns if x != "_row"])
 
 
+
+# ---------------------------------------------------------------------------
+# Rows-only checks: CSV source/sink, delivery sink, file inventory, streaming
+# ---------------------------------------------------------------------------
+
+def _run_dir(spark, name):
+    from ..streaming.twins import run_dir
+
+    return run_dir(spark, name)
+
+
+def _write_exports(spark, sf):
+    """Fixture P written as two CSV exports with different headers (crm_b: subset, reordered)."""
+    from ..sources.csv_scan import write_csv
+
+    base = _run_dir(spark, "exports")
+    p = FX.people_raw(spark, sf).orderBy("_row")
+    write_csv(p.where(C("Source") == "crm_a.csv").select(*P_COLS[2:]), f"{base}/crm_a", single_file=True)
+    write_csv(p.where(C("Source") == "crm_b.csv").select(*reversed(_UB_B), "person_key"), f"{base}/crm_b",
+              single_file=True)
+    return base
+
+
+@register("csv_scan")
+def q_csv_scan(spark, sf):
+    from ..sources.csv_scan import read_csv_files
+
+    return read_csv_files(spark, [_write_exports(spark, sf)])
+
+
+@register("header_catalog")
+def q_header_catalog(spark, sf):
+    from ..sources.csv_scan import header_catalog, list_csv_files
+
+    base = _write_exports(spark, sf)
+    return header_catalog(spark, list_csv_files(spark, [base]))
+
+
+@register("csv_sink")
+def q_csv_sink(spark, sf):
+    from ..sources.csv_scan import read_csv_files, write_csv
+
+    out = _run_dir(spark, "processed")
+    write_csv(_people_clean(spark, sf), out)
+    return read_csv_files(spark, [out])
+
+
+@register("delivery_sink")
+def q_delivery_sink(spark, sf):
+    from ..operators.delivery import deliver, rule_transport
+
+    pay = PL.payloads(_numbered(_company_clean(spark, sf)), "company", PAYLOAD_TS)
+    return deliver(pay, "job_company", rule_transport(), rate=1000.0, partitions=4, sleep=lambda s: None)
+
+
+@register("delivery_results_summary")
+def q_delivery_results_summary(spark, sf):
+    from ..operators.delivery import deliver, failure_log, rule_transport
+
+    pay = PL.payloads(_numbered(_company_clean(spark, sf)), "company", PAYLOAD_TS)
+    res = deliver(pay, "job_company", rule_transport(), rate=1000.0, partitions=4, sleep=lambda s: None)
+    return failure_log(res, url="https://receiver.invalid/hook", ts=AS_OF)
+
+
+@register("file_inventory")
+def q_file_inventory(spark, sf):
+    from ..sources.csv_scan import file_inventory
+
+    return file_inventory(spark, sf)
+
+
+def _parent(sf):
+    return sf.rstrip("/").rsplit("/", 1)[0] or "/"
+
+
+@register("retention_report")
+def q_retention_report(spark, sf):
+    from ..sources.csv_scan import file_inventory, folder_report
+
+    root = _parent(sf)
+    inv = file_inventory(spark, root)
+    old = LG.older_than(inv, "modificationTime", datetime.utcnow(), 24)
+    return folder_report(old, root)
+
+
+@register("recent_folders")
+def q_recent_folders(spark, sf):
+    from ..sources.csv_scan import file_inventory
+
+    root = _parent(sf)
+    inv = file_inventory(spark, root)
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + root.rstrip("/") + "/", "")
+    folder = F.when(rel.contains("/"), F.substring_index(rel, "/", 1)).otherwise(F.lit("."))
+    name = F.element_at(F.split(rel, "/"), -1)
+    g = inv.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("last_modified"),
+                                                F.max(name.startswith("processed_")).alias("has_processed_file"))
+    return g.orderBy(F.col("last_modified").desc(), F.col("folder")).limit(5)
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    from ..streaming.twins import read_stream_result, stream_clean_csv
+
+    base = _write_exports(spark, sf)
+    path, cols = stream_clean_csv(spark, f"{base}/crm_a", P_COLS[2:], FX.PEOPLE_SPEC, "people")
+    return read_stream_result(spark, path, cols).drop("_row", "_n")
+
+
+@register("stream_errors", ORACLE["daily_errors"])
+def q_stream_errors(spark, sf):
+    from ..streaming.twins import stream_error_counts
+
+    r = stream_error_counts(spark, f"{sf}/events.parquet", FX.logs_frame)
+    return r.select(F.col("day").cast("string").alias("day"), "error_type", "n")
+
+
+@register("stream_status", _L + "select job_id, first(status order by ts desc, log_id desc) filter (where status is not null) "
+          "as status, first(message order by ts desc, log_id desc) filter (where message is not null) as message, "
+          "cast(min(ts) as varchar) as created_at, cast(max(ts) as varchar) as updated_at from (select job_id, ts, log_id, "
+          "case when level = 'ERROR' then 'failed' when level = 'WARNING' then 'processing' end as status, "
+          "case when level <> 'INFO' then message end as message from L) group by job_id")
+def q_stream_status(spark, sf):
+    from ..streaming.twins import stream_status
+
+    def updates(ev):
+        lg = FX.logs_frame(ev)
+        # stream-safe partial updates: no per-job sequence inside a micro-batch
+        return lg.select("job_id", "ts", "log_id",
+                         F.when(F.col("level") == "ERROR", F.lit("failed"))
+                         .when(F.col("level") == "WARNING", F.lit("processing")).alias("status"),
+                         F.when(F.col("level") != "INFO", F.col("message")).alias("message"))
+
+    r = stream_status(spark, f"{sf}/events.parquet", updates, ["status", "message"])
+    return r.select("job_id", "status", "message", F.col("created_at").cast("string").alias("created_at"),
+                    F.col("updated_at").cast("string").alias("updated_at"))
+
+
+@register("stream_delivery")
+def q_stream_delivery(spark, sf):
+    from ..operators.delivery import rule_transport
+    from ..streaming.twins import stream_delivery
+
+    from ..streaming.twins import file_stream
+
+    sup = file_stream(spark, f"{sf}/supplier.parquet")
+    nat = FX.table(spark, sf, "nation")
+    rows = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
+    pay = rows.select(F.col("s_suppkey").alias("record_number"),
+                      F.to_json(F.struct(F.concat(F.lit("the "), F.lower("n_name"), F.lit(" co "),
+                                                  F.col("s_suppkey").cast("string")).alias("Company Name"),
+                                         F.col("n_name").alias("Company Location"))).alias("payload"))
+    return stream_delivery(spark, pay, "job_stream", rule_transport(), rate=1000.0, sleep=lambda s: None)
+
+
+@register("stream_dedup", _L + "select log_id, job_id, level from L")
+def q_stream_dedup(spark, sf):
+    from ..streaming.twins import stream_dedup_events
+
+    r = stream_dedup_events(spark, f"{sf}/events.parquet", FX.logs_frame)
+    return r.select("log_id", "job_id", "level")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -145,6 +145,25 @@ def company_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "cast(row_idx as bigint) as _row")
 
 
+# The same view as DataFrame expressions (usable on a streaming events source).
+LOGS_EXPRS = [
+    "event_id as log_id",
+    "ts as ts",
+    "event_id as record_number",
+    "concat('job_', cast(user_id as string)) as job_id",
+    "case event_type when 'error' then 'ERROR' when 'signup' then 'WARNING' else 'INFO' end as level",
+    "case when event_type <> 'error' then cast(null as string) when event_id % 7 = 0 then cast(null as string) "
+    "else concat('HTTP_', cast(400 + event_id % 4 as string)) end as error_type",
+    "case event_type when 'error' then 429 when 'signup' then 500 else 200 end as status_code",
+    "concat(event_type, ' event ', cast(event_id as string)) as message",
+    "value as duration",
+    "props as metadata",
+]
+
+
+def logs_frame(events: DataFrame) -> DataFrame:
+    return events.selectExpr(*LOGS_EXPRS)
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_tables(spark, sf_dir, ["events"])
-    return spark.sql(LOGS_SQL)
+    return logs_frame(table(spark, sf_dir, "events"))
