@@ -23,6 +23,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # lead exports carry headers that differ only by case ("LinkedIn Url" / "Linkedin Url")
+        .config("spark.sql.caseSensitive", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LEADSMITH_DRIVER_MEMORY", "8g"))
     )

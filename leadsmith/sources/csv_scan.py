@@ -99,6 +99,10 @@ def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS) -> DataFrame
     for r in sorted(cat, key=lambda r: (r["file_ord"], r["ordinal"])):
         by_file.setdefault(r["file_ord"], []).append(r["header"])
         path_of[r["file_ord"]] = r["path"]
+    if spark.conf.get("spark.sql.caseSensitive", "false").lower() != "true":
+        # without case-sensitive resolution, later case variants get a numeric suffix
+        for fo, hs in by_file.items():
+            by_file[fo] = safe_output_names(hs)
     groups: dict[tuple, list[int]] = {}
     for fo in sorted(by_file):
         groups.setdefault(tuple(by_file[fo]), []).append(fo)
