@@ -26,9 +26,23 @@ def C(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+_CACHE: dict = {}
+
+
+def _cached(name: str, make):
+    """Reuse constant Columns (literals, map literals) within one JVM session."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    key = (name, id(sc))
+    if key not in _CACHE:
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 def strip(c: Column) -> Column:
     """Python ``str.strip()``."""
-    return F.btrim(c, F.lit(PY_WS))
+    return F.btrim(c, _cached("ws", lambda: F.lit(PY_WS)))
 
 
 def lower(c: Column) -> Column:
@@ -177,10 +191,12 @@ def email_domain(c: Column) -> Column:
 
 
 def _rank_map() -> Column:
-    items = []
-    for k, v in PERSONAL_RANKS.items():
-        items += [F.lit(k), F.lit(v)]
-    return F.create_map(*items)
+    def make():
+        items = []
+        for k, v in PERSONAL_RANKS.items():
+            items += [F.lit(k), F.lit(v)]
+        return F.create_map(*items)
+    return _cached("ranks", make)
 
 
 def personal_rank(email: Column) -> Column:

@@ -20,7 +20,7 @@ def clean_leads(merged: DataFrame, spec, table_type: str, record_limit: int | No
     """
     if table_type not in ("people", "company"):
         raise ValueError(f"table_type must be 'people' or 'company', got {table_type!r}")
-    std = standardize(merged, spec, table_type)
+    std = standardize(spread(merged), spec, table_type)
     enriched = enrich(std)
     deduped = deduplicate(enriched, table_type)
     final = clean_domains(deduped)
@@ -31,6 +31,20 @@ def clean_leads(merged: DataFrame, spec, table_type: str, record_limit: int | No
     return final
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give the row-local cleaning at least one partition per core.
+
+    Large inputs already arrive in many partitions (files / splits) and are
+    left alone; a source with fewer partitions than the cluster has cores
+    (one small export, a fixture) is spread round-robin, so the regex-heavy
+    narrow stage does not run on a single core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def output_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (ROW, KEY, "_n") and not c.startswith("__")]
 

@@ -1174,6 +1174,50 @@ def q_stream_dedup(spark, sf):
     return r.select("log_id", "job_id", "level")
 
 
+
+# ---------------------------------------------------------------------------
+# Dictionary lookups as joins
+# ---------------------------------------------------------------------------
+
+def _email_long(spark, sf):
+    """(row, column, email) for the three e-mail columns of P, stripped and lower-cased."""
+    p = FX.people_raw(spark, sf)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lower(X.strip(C(c))).alias("email"))
+                                for c in ("work_email", "personal_email", "email_2")])).alias("e")
+    return p.select("_row", cells).select("_row", "e.column", "e.email").where(F.col("email").contains("@"))
+
+
+_E_LONG = ("(select _row, x.c as \"column\", x.e as email from (select row_idx as _row, unnest(["
+           + ", ".join(f"{{'c': '{c}', 'e': lower({O.strip(c)})}}" for c in ("work_email", "personal_email", "email_2"))
+           + "]) as x from " + _P_RAW + ") where contains(x.e, '@'))")
+_RANKS_VALUES = "(values " + ", ".join(f"({O.lit(k)}, {v})" for k, v in PERSONAL_RANKS.items()) + ") r(domain, rank)"
+
+
+@register("rank_join", f"select e._row, e.\"column\", e.email, r.rank from {_E_LONG} e left join {_RANKS_VALUES} "
+          f"on string_split(e.email, '@')[-1] = r.domain")
+def q_rank_join(spark, sf):
+    ranks = spark.createDataFrame(list(PERSONAL_RANKS.items()), "domain string, rank int")
+    e = _email_long(spark, sf)
+    # the dimension is the fixed 26-domain dictionary: a proven size bound for broadcasting
+    j = e.join(F.broadcast(ranks), X.email_domain(e.email) == ranks.domain, "left")
+    return j.select("_row", "column", "email", "rank")
+
+
+_FREE_VALUES = "(values " + ", ".join(f"({O.lit(d)})" for d in __import__("leadsmith").functions.constants.FREE_PROVIDERS) + ") f(domain)"
+
+
+@register("free_provider_anti", f"select _row, domain from (select row_idx as _row, {O.domain_from_email('work_email')} "
+          f"as domain from {_P_RAW} where contains(work_email, '@')) d where not exists (select 1 from {_FREE_VALUES} "
+          f"where f.domain = d.domain)")
+def q_free_provider_anti(spark, sf):
+    from ..functions.constants import FREE_PROVIDERS
+
+    free = spark.createDataFrame([(d,) for d in FREE_PROVIDERS], "domain string")
+    p = FX.people_raw(spark, sf)
+    d = p.where(C("work_email").contains("@")).select("_row", X.domain_from_email(C("work_email")).alias("domain"))
+    return d.join(F.broadcast(free), "domain", "left_anti").select("_row", "domain")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

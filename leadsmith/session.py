@@ -26,6 +26,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # lead exports carry headers that differ only by case ("LinkedIn Url" / "Linkedin Url")
         .config("spark.sql.caseSensitive", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # plans are built from thousands of expression calls; skip per-call origin capture
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("LEADSMITH_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
