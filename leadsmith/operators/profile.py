@@ -112,6 +112,11 @@ def header_stats(profile: DataFrame) -> DataFrame:
                       F.when(b > 0, F.round((b - a) / b * 100, 1)).otherwise(F.lit(0.0)).alias("filtering_percentage"))
 
 
+def header_key(name: Column) -> Column:
+    """Matching form of a header: stripped, lower-cased, '_' read as a space."""
+    return F.replace(F.lower(strip(name)), F.lit("_"), F.lit(" "))
+
+
 def alias_table(spark: SparkSession, table_type: str) -> DataFrame:
     """J3 dimension: (alias, std, std_ord, alias_ord) — first match in dictionary order wins."""
     rows = [(a, std, i, j) for i, (std, al) in enumerate(ALIASES[table_type].items()) for j, a in enumerate(al)]
@@ -122,12 +127,17 @@ def alias_matches(profile: DataFrame, table_type: str) -> DataFrame:
     """Kept profile columns matched to standard headers by alias (broadcast equi-join).
 
     The alias side is the fixed dictionary (< 200 rows), so broadcasting it is bounded.
+    Both sides are compared in ``header_key`` form; an alias that appears in two
+    spellings ('staff size' / 'staff_size') counts once, at its first position.
     """
     spark = profile.sparkSession
-    al = F.broadcast(alias_table(spark, table_type))
+    al = alias_table(spark, table_type).select(header_key(F.col("alias")).alias("alias"), "std", "std_ord",
+                                                "alias_ord")
     cols = profile.where("kept").select("Source", "ordinal", "column_name",
-                                        F.lower(strip(F.col("column_name"))).alias("alias"))
-    return cols.join(al, "alias", "inner").select("Source", "ordinal", "column_name", "std", "std_ord", "alias_ord")
+                                        header_key(F.col("column_name")).alias("alias"))
+    j = cols.join(F.broadcast(al), "alias", "inner")
+    return j.groupBy("Source", "ordinal", "column_name", "std").agg(
+        F.min("std_ord").alias("std_ord"), F.min("alias_ord").alias("alias_ord"))
 
 
 def mapped_spec_rows(matches: DataFrame) -> DataFrame:

@@ -52,3 +52,56 @@ def output_columns(df: DataFrame) -> list[str]:
 def display(df: DataFrame) -> DataFrame:
     """Drop internal columns (order key, row identity)."""
     return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in output_columns(df)])
+
+
+# ---------------------------------------------------------------------------
+# Files in -> processed CSV out (the process-and-download lifecycle)
+# ---------------------------------------------------------------------------
+
+class HeaderMapper:
+    """Pluggable header mapper (U3): profile table -> mapping spec.
+
+    The profile is metadata-sized (sources x columns); an external service can
+    implement ``map_headers`` by sending it the kept columns and samples.
+    """
+
+    def map_headers(self, profile: DataFrame, table_type: str) -> dict:  # pragma: no cover - protocol
+        raise NotImplementedError
+
+
+class AliasHeaderMapper(HeaderMapper):
+    """Deterministic default: alias dictionary match on the kept profile columns."""
+
+    def map_headers(self, profile: DataFrame, table_type: str) -> dict:
+        from ..operators.profile import alias_matches, mapped_spec_rows, spec_from_rows
+
+        rows = mapped_spec_rows(alias_matches(profile, table_type)).collect()  # <= files x 17 x 3 rows
+        if not rows:
+            raise ValueError("no header could be mapped to the standard schema")
+        return spec_from_rows(rows)
+
+
+def process_files(spark, paths, table_type: str, output_dir: str, job_id: str = "job",
+                  mapper: HeaderMapper | None = None, record_limit: int | None = None) -> dict:
+    """Read CSV exports, map, clean, dedupe and write ``processed_<job_id>`` as CSV.
+
+    Returns the output path, the mapping spec used and the written record count.
+    The cleaned table is checkpointed once (to spark.checkpoint.dir) so the
+    write and the count do not recompute the dedup, and a lost executor only
+    recomputes its own partitions.
+    """
+    from ..operators.profile import column_profile
+    from ..sources.csv_scan import read_csv_files, write_csv
+
+    if table_type not in ("people", "company"):
+        raise ValueError(f"table_type must be 'people' or 'company', got {table_type!r}")
+    merged = read_csv_files(spark, paths)
+    spec = (mapper or AliasHeaderMapper()).map_headers(column_profile(merged), table_type)
+    final = clean_leads(merged, spec, table_type, record_limit=record_limit, keep_internal=True)
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    final = final.checkpoint(eager=True)
+    out = f"{output_dir.rstrip('/')}/processed_{job_id}"
+    write_csv(final, out)
+    return {"path": out, "spec": spec, "records": final.count()}

@@ -748,9 +748,10 @@ def _alias_sql(prof_sql, table_type):
     from ..functions.constants import ALIASES
     rows = ", ".join(f"({O.lit(a)}, {O.lit(std)}, {i}, {j})" for i, (std, al) in enumerate(ALIASES[table_type].items())
                      for j, a in enumerate(al))
-    return (f"select p.\"Source\", p.ordinal, p.column_name, a.std, a.std_ord, a.alias_ord from ({prof_sql}) p "
-            f"join (values {rows}) a(alias, std, std_ord, alias_ord) on lower({O.strip('p.column_name')}) = a.alias "
-            f"where p.kept")
+    return (f"select p.\"Source\", p.ordinal, p.column_name, a.std, min(a.std_ord) as std_ord, "
+            f"min(a.alias_ord) as alias_ord from ({prof_sql}) p "
+            f"join (values {rows}) a(alias, std, std_ord, alias_ord) on replace(lower({O.strip('p.column_name')}), '_', ' ') "
+            f"= replace(a.alias, '_', ' ') where p.kept group by all")
 
 
 @register("alias_match", _alias_sql(O.profile_sql(_P_PROFILE_BASE, P_COLS[2:]), "people"))
@@ -1218,6 +1219,18 @@ def q_free_provider_anti(spark, sf):
     return d.join(F.broadcast(free), "domain", "left_anti").select("_row", "domain")
 
 
+
+@register("process_files")
+def q_process_files(spark, sf):
+    """End to end: two CSV exports -> profile -> alias mapper -> clean -> processed CSV (read back)."""
+    from ..sources.csv_scan import read_csv_files
+    from .pipeline import process_files
+
+    base = _write_exports(spark, sf)
+    res = process_files(spark, [base], "people", _run_dir(spark, "uploads"), job_id="people_job")
+    return read_csv_files(spark, [res["path"]])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
