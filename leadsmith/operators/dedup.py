@@ -42,14 +42,25 @@ def with_key(df: DataFrame, table_type: str) -> DataFrame:
     return df.withColumn(KEY, dedup_key(_data_cols(df), table_type))
 
 
-def _best(c: Column) -> Column:
-    """Longest stripped non-missing (M7) value, earliest row on ties."""
+def _best(c: Column, normalized: bool = False) -> Column:
+    """Longest stripped non-missing (M7) value, earliest row on ties.
+
+    ``normalized``: values are already stripped and non-null (Phase-3 output),
+    so stripping again is skipped; the result is identical.
+    """
+    if normalized:
+        missing = c.isNull() | (c == "") | F.lower(c).isin("nan", "none")
+        return F.when(~missing, F.struct(F.length(c).alias("n"), (-F.col(ROW)).alias("r"), c.alias("v")))
     t = strip(c)
     return F.when(~m7(c), F.struct(F.length(t).alias("n"), (-F.col(ROW)).alias("r"), t.alias("v")))
 
 
-def merge_duplicates(keyed: DataFrame) -> DataFrame:
-    """A4/A5: one row per key, columns in input order, plus _key (for ordering) and _n."""
+def merge_duplicates(keyed: DataFrame, normalized: bool = False) -> DataFrame:
+    """A4/A5: one row per key, columns in input order, plus _key (for ordering) and _n.
+
+    A row's raw value is carried only where it differs from its best candidate
+    (size-1 groups output the raw value), which keeps the exchanged rows small.
+    """
     cols = _data_cols(keyed)
     other = [c for c in cols if c != "Source"]
     ids = {c: f"__c{i}" for i, c in enumerate(other)}
@@ -57,8 +68,9 @@ def merge_duplicates(keyed: DataFrame) -> DataFrame:
 
     lvl1 = [F.count(F.lit(1)).alias("__n"), F.min(ROW).alias("__first")]
     for c in other:
-        lvl1.append(F.max(_best(C(c))).alias(ids[c] + "b"))
-        lvl1.append(F.any_value(C(c)).alias(ids[c] + "r"))
+        best = _best(C(c), normalized)
+        lvl1.append(F.max(best).alias(ids[c] + "b"))
+        lvl1.append(F.any_value(F.when(best.isNull() | (best["v"] != C(c)), C(c))).alias(ids[c] + "r"))
     groups = [KEY] + (["Source"] if has_source else [])
     part = keyed.groupBy(*groups).agg(*lvl1)
 
@@ -80,17 +92,18 @@ def merge_duplicates(keyed: DataFrame) -> DataFrame:
             merged = F.array_join(F.array_distinct(F.transform(F.array_sort("__srcs"), lambda x: x["s"])), "; ")
             out.append(F.when(single, F.col("__src_raw")).otherwise(merged).alias("Source"))
         else:
-            merged = F.coalesce(F.col(ids[c] + "b")["v"], F.lit(""))
-            out.append(F.when(single, F.col(ids[c] + "r")).otherwise(merged).alias(c))
+            best_v = F.col(ids[c] + "b")["v"]
+            raw = F.when(F.col(ids[c] + "r").isNotNull(), F.col(ids[c] + "r")).otherwise(best_v)
+            out.append(F.when(single, raw).otherwise(F.coalesce(best_v, F.lit(""))).alias(c))
     return whole.select(*out, F.col(ROW), F.col(KEY), F.col("__n").alias("_n"))
 
 
-def deduplicate(df: DataFrame, table_type: str) -> DataFrame:
+def deduplicate(df: DataFrame, table_type: str, normalized: bool = False) -> DataFrame:
     """Key + merge. Output order is defined by ``_key`` (callers sort only when they need order)."""
     cols = _data_cols(df)
     if not any(k in cols for k in DEDUP_KEYS[table_type]):
         return df.withColumn(KEY, F.concat(F.lit("unique_"), F.col(ROW).cast("string"))).withColumn("_n", F.lit(1).cast("bigint"))
-    return merge_duplicates(with_key(df, table_type))
+    return merge_duplicates(with_key(df, table_type), normalized)
 
 
 def dedup_stats(keyed: DataFrame) -> DataFrame:

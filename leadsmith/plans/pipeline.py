@@ -22,7 +22,7 @@ def clean_leads(merged: DataFrame, spec, table_type: str, record_limit: int | No
         raise ValueError(f"table_type must be 'people' or 'company', got {table_type!r}")
     std = standardize(spread(merged), spec, table_type)
     enriched = enrich(std)
-    deduped = deduplicate(enriched, table_type)
+    deduped = deduplicate(enriched, table_type, normalized=True)
     final = clean_domains(deduped)
     if record_limit is not None:
         final = final.orderBy(KEY).limit(int(record_limit))
