@@ -43,14 +43,57 @@ def _unquote(h):
     return F.replace(h, F.lit('""'), F.lit('"'))
 
 
+def _header_line(raw: bytes) -> tuple[str, bool]:
+    """First CSV record of the bytes (a quoted header may span lines), BOM removed.
+
+    Returns (line, complete): complete is False while no record end was seen.
+    """
+    in_quotes = False
+    for i, b in enumerate(raw):
+        if b == 0x22:
+            in_quotes = not in_quotes
+        elif b in (0x0A, 0x0D) and not in_quotes:
+            return raw[:i].decode("utf-8", "replace").lstrip("\ufeff"), True
+    return raw.decode("utf-8", "replace").lstrip("\ufeff"), False
+
+
+def first_lines(spark: SparkSession, files: list[str], chunk: int = 1 << 16) -> DataFrame:
+    """(path, line): only the first bytes of every file are read, in parallel tasks.
+
+    File paths are spread over tasks; each task opens its files through the
+    Arrow filesystem layer (local, HDFS, object stores) and stops at the end
+    of the header record, so the catalogue never scans file bodies.
+    """
+    import pandas as pd
+
+    def read(batches):
+        import pyarrow.fs as pafs
+
+        for pdf in batches:
+            out = []
+            for p in pdf["path"].tolist():
+                uri = "file://" + p[len("file:"):] if p.startswith("file:") and not p.startswith("file://") else p
+                fs, path = pafs.FileSystem.from_uri(uri)
+                buf = b""
+                with fs.open_input_stream(path) as fh:
+                    while True:
+                        part = fh.read(chunk)
+                        buf += part
+                        line, complete = _header_line(buf)
+                        if complete or not part:
+                            break
+                out.append((p, line))
+            yield pd.DataFrame(out, columns=["path", "line"])
+
+    paths = spark.createDataFrame([(p,) for p in files], "path string")
+    n = max(1, min(len(files), spark.sparkContext.defaultParallelism))
+    return paths.repartition(n).mapInPandas(read, "path string, line string")
+
+
 def header_catalog(spark: SparkSession, files: list[str]) -> DataFrame:
     """(file_ord, path, file_name, ordinal, header) with pandas-style duplicate renaming (x, x.1, ...)."""
     order = spark.createDataFrame([(i, p) for i, p in enumerate(files)], "file_ord int, path string")
-    lines = (spark.read.text(files)
-             .select(F.col("_metadata.file_path").alias("path"), "value",
-                     F.monotonically_increasing_id().alias("mono")))
-    first = lines.groupBy("path").agg(F.min_by("value", "mono").alias("line"))
-    first = first.select("path", F.regexp_replace("line", "^﻿", "").alias("line"))
+    first = first_lines(spark, files)
     heads = first.select("path", F.posexplode(F.split("line", _CSV_SPLIT)).alias("ordinal", "raw"))
     heads = heads.select("path", "ordinal", _unquote(F.col("raw")).alias("header"))
     # pandas renames the k-th repeat of a name to name.k
