@@ -171,7 +171,8 @@ def stuck_jobs(updates: DataFrame, min_polls: int = STUCK_MIN_POLLS,
     runs = isl.groupBy("job_id", "island").agg(
         F.first("progress").alias("progress"), F.count(F.lit(1)).alias("polls"),
         F.min("ts").alias("since"), F.max("ts").alias("until"))
-    secs = F.unix_timestamp(F.col("until").cast("timestamp")) - F.unix_timestamp(F.col("since").cast("timestamp"))
+    floor_s = lambda c: F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
+    secs = floor_s("until") - floor_s("since")
     runs = runs.where((F.col("progress") < 100) & (F.col("polls") > min_polls)).withColumn("stuck_seconds", secs)
     sev = F.when(F.col("stuck_seconds") > alert_s, "alert").when(F.col("stuck_seconds") > warn_s, "warn")
     return runs.select("job_id", "progress", F.col("polls").cast("bigint").alias("polls"),
@@ -197,12 +198,15 @@ def throttle_events(logs: DataFrame, after: int = 3) -> DataFrame:
 # X19 ------------------------------------------------------------------------
 
 def iso_and_unix(ts: Column) -> tuple[Column, Column]:
-    """UTC ISO text (Python isoformat, microseconds only when non-zero) and epoch seconds."""
-    t = ts.cast("timestamp")
-    micros = F.unix_micros(t) % 1000000
-    iso = F.when(micros == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")) \
-        .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
-    return iso, F.unix_seconds(t)
+    """UTC ISO text (Python isoformat, microseconds only when non-zero) and epoch seconds.
+
+    ``ts`` is a UTC wall-clock TIMESTAMP_NTZ; nothing here depends on the session time zone.
+    """
+    frac = F.date_format(ts, "SSSSSS")
+    iso = F.when(frac == "000000", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")) \
+        .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
+    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return iso, epoch
 
 
 def global_index(df: DataFrame, order_cols: list[str], name: str = "record_number") -> DataFrame:
