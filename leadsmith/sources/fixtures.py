@@ -31,9 +31,10 @@ select c_custkey*2 + d.dup as row_idx,
  case when d.dup=0 then concat(cast(c_custkey % 500 as varchar(10)), '.5') else '50-100' end as employees,
  case when c_custkey % 2 = 0 then '1999.0' else '' end as founded,
  n_name as city
-from customer join nation on c_nationkey = n_nationkey
- cross join (select 0 as dup union all select 1 as dup) d
-where d.dup = 0 or c_custkey % 3 <> 0
+from (select c.*, n.*, 0 as dup from customer c join nation n on c.c_nationkey = n.n_nationkey
+ union all
+ select c.*, n.*, 1 as dup from customer c join nation n on c.c_nationkey = n.n_nationkey
+ where c.c_custkey % 3 <> 0) d
 """
 
 # Mapping spec for P (as the external mapper would answer it).
@@ -75,9 +76,12 @@ select s_suppkey*3 + d.dup as row_idx, concat('export_', cast(d.dup as varchar(2
  case when d.dup = 0 then concat('info@shop', cast(s_suppkey as varchar(10)), '.io:sales@shop', cast(s_suppkey as varchar(10)), '.io;info@shop', cast(s_suppkey as varchar(10)), '.io') when d.dup = 1 then concat('hello@shop', cast(s_suppkey as varchar(10)), '.io') else 'n/a' end as emails,
  cast(round(s_acctbal) as varchar(20)) as employee_count,
  cast(1950 + s_suppkey % 70 as varchar(10)) as founded, n_name as hq
-from supplier join nation on s_nationkey = n_nationkey
- cross join (select 0 as dup union all select 1 as dup union all select 2 as dup) d
-where d.dup < 2 or s_suppkey % 5 = 0
+from (select s.*, n.*, 0 as dup from supplier s join nation n on s.s_nationkey = n.n_nationkey
+ union all
+ select s.*, n.*, 1 as dup from supplier s join nation n on s.s_nationkey = n.n_nationkey
+ union all
+ select s.*, n.*, 2 as dup from supplier s join nation n on s.s_nationkey = n.n_nationkey
+ where s.s_suppkey % 5 = 0) d
 """
 
 # Mapping spec for C: domain_url, linkedin_account and employee_count are left
