@@ -22,22 +22,25 @@ WS_CLASS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in PY_WS) + "]"
 
 
 def C(name: str) -> Column:
-    """Column by its exact name (spaces, dots and back-ticks allowed)."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-_CACHE: dict = {}
+    """Column by its exact name (spaces, dots and back-ticks allowed); reused per session."""
+    return _cached("col:" + name, lambda: F.col("`" + name.replace("`", "``") + "`"))
 
 
 def _cached(name: str, make):
-    """Reuse constant Columns (literals, map literals) within one JVM session."""
+    """Reuse constant Columns (names, literals, map literals) within one SparkContext.
+
+    The cache lives on the active SparkContext object, so a stopped context
+    takes its Columns with it.
+    """
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    key = (name, id(sc))
-    if key not in _CACHE:
-        _CACHE[key] = make()
-    return _CACHE[key]
+    if sc is None:
+        return make()
+    cache = sc.__dict__.setdefault("_leadsmith_columns", {})
+    if name not in cache:
+        cache[name] = make()
+    return cache[name]
 
 
 def strip(c: Column) -> Column:

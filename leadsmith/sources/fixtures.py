@@ -122,14 +122,22 @@ from events
 LOGS_AS_OF = "2024-01-31 00:00:00"
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
-    """Register the driver parquet tables as temp views (lazy; nothing is read)."""
-    for t in names or TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+_TABLES: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table (the relation is resolved once per session, so repeated
+    queries do not list files and read footers again)."""
+    key = (id(spark._jsparkSession), sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
+
+
+def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
+    """Register the driver parquet tables as temp views (lazy; nothing is read)."""
+    for t in names or TABLES:
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
 
 
 def people_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
