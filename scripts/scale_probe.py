@@ -22,8 +22,7 @@ from leadsmith.sources import fixtures as FX  # noqa: E402
 
 def replicated(spark, sf, k):
     p = FX.people_raw(spark, sf)
-    rep = spark.range(k).withColumnRenamed("id", "__rep")
-    x = p.crossJoin(F.broadcast(rep))  # k is a small parameter of the probe
+    x = p.withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>")))
     tag = F.concat(F.lit("r"), F.col("__rep").cast("string"))
     cols = []
     for c in p.columns:
