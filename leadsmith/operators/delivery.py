@@ -28,7 +28,7 @@ from ..functions.constants import (
 )
 
 RESULT_SCHEMA = ("job_id string, record_number long, ok boolean, status_code int, attempts int, "
-                 "error_type string, response_text string, throttled boolean")
+                 "error_type string, response_text string, throttled boolean, duration double")
 
 # transport(payload_json, record_number, attempt) -> (status_code, response_text)
 Transport = Callable[[str, int, int], "tuple[int, str]"]
@@ -89,7 +89,9 @@ def deliver(payloads: DataFrame, job_id: str, transport_factory: Callable[[], Tr
     """Send every payload; returns one result row per record.
 
     ``payloads`` has (record_number, payload). The global ``rate`` (req/s) is
-    divided over the partitions, so the whole job never exceeds it.
+    divided over the partitions, so the whole job never exceeds it. Sending
+    happens when the result is evaluated: write or checkpoint it once (as
+    ``plans.pipeline.deliver_job`` does) instead of evaluating it twice.
     """
     src = payloads.select("record_number", "payload")
     if partitions:
@@ -107,11 +109,13 @@ def deliver(payloads: DataFrame, job_id: str, transport_factory: Callable[[], Tr
         for pdf in batches:
             out = []
             for rn, body in zip(pdf["record_number"].tolist(), pdf["payload"].tolist()):
+                t0 = time.perf_counter()
                 ok, status, attempts, err, text = sender.send(body, int(rn))
-                out.append((job_id, int(rn), ok, status, attempts, err, text, sender.throttled))
+                took = time.perf_counter() - t0  # send + retries, not the rate pause
+                out.append((job_id, int(rn), ok, status, attempts, err, text, sender.throttled, took))
                 do_sleep(1.0 / sender.rate if sender.rate > 0 else 0.0)
             yield pd.DataFrame(out, columns=["job_id", "record_number", "ok", "status_code", "attempts",
-                                             "error_type", "response_text", "throttled"])
+                                             "error_type", "response_text", "throttled", "duration"])
 
     return src.sortWithinPartitions("record_number").mapInPandas(run, RESULT_SCHEMA)
 
@@ -156,3 +160,26 @@ def rule_transport(fail_every: int = 11, throttle_every: int = 7) -> Callable[[]
             return 200, "ok"
         return send
     return factory
+
+
+def delivery_status(results: DataFrame, rate: float = DELIVERY_DEFAULT_RATE) -> DataFrame:
+    """Per-record job-status updates from delivery results (W3 ETA, W4 progress, sent/total).
+
+    Windows are partitioned by job and ordered by record number; the job total
+    comes from a per-job count, so nothing runs in a single global task.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.constants import ETA_MIN_SAMPLES, ETA_WINDOW, PROGRESS_BASE, PROGRESS_SPAN
+
+    w = Window.partitionBy("job_id").orderBy("record_number")
+    seq = F.row_number().over(w)
+    total = F.count(F.lit(1)).over(Window.partitionBy("job_id"))
+    x = results.select("job_id", "record_number", "ok", "duration", seq.alias("sent"), total.alias("total"))
+    recent = F.avg("duration").over(w.rowsBetween(-(ETA_WINDOW - 1), 0))
+    remaining = F.col("total") - F.col("sent")
+    eta = F.when(F.col("sent") >= ETA_MIN_SAMPLES, remaining * recent).otherwise(remaining / F.lit(float(rate)))
+    progress = (F.lit(PROGRESS_BASE) + F.floor(F.col("sent") / F.col("total") * PROGRESS_SPAN)).cast("int")
+    return x.select("job_id", "record_number", F.lit("processing").alias("status"), progress.alias("progress"),
+                    eta.alias("estimated_seconds_remaining"), F.col("sent").cast("long").alias("webhooks_sent"),
+                    F.col("total").cast("long").alias("webhooks_total"))

@@ -105,3 +105,26 @@ def process_files(spark, paths, table_type: str, output_dir: str, job_id: str =
     out = f"{output_dir.rstrip('/')}/processed_{job_id}"
     write_csv(final, out)
     return {"path": out, "spec": spec, "records": final.count()}
+
+
+def deliver_job(merged: DataFrame, spec, table_type: str, job_id: str, transport_factory,
+                rate: float = 10.0, partitions: int | None = None, timestamp: int | None = None, sleep=None):
+    """Process-and-deliver: clean, number, build payloads, send, and derive logs/status.
+
+    Returns (results, failure_log, status_updates) DataFrames. Record numbers
+    follow the dedup-key order of the cleaned table.
+    """
+    import time as _time
+
+    from ..operators.delivery import deliver, delivery_status, failure_log
+    from ..operators.logs import global_index
+    from ..operators.payload import number_emails, payloads
+
+    final = clean_leads(merged, spec, table_type, keep_internal=True)
+    if table_type == "company":
+        final = number_emails(final)
+    numbered = global_index(final, [KEY])
+    pay = payloads(numbered, table_type, int(timestamp if timestamp is not None else _time.time()))
+    results = deliver(pay, job_id, transport_factory, rate=rate, partitions=partitions, sleep=sleep)
+    results = results.checkpoint(eager=True)  # sends happen exactly once; later reads reuse the results
+    return results, failure_log(results), delivery_status(results, rate)

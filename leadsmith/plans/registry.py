@@ -1231,6 +1231,19 @@ def q_process_files(spark, sf):
     return read_csv_files(spark, [res["path"]])
 
 
+
+@register("delivery_status")
+def q_delivery_status(spark, sf):
+    """Process-and-deliver on the company fixture with the deterministic fake receiver."""
+    from ..operators.delivery import rule_transport
+    from .pipeline import deliver_job
+
+    _, _, status = deliver_job(FX.company_raw(spark, sf), FX.COMPANY_SPEC, "company", "job_company",
+                               rule_transport(), rate=1000.0, partitions=4, timestamp=PAYLOAD_TS,
+                               sleep=lambda s: None)
+    return status.select("job_id", "record_number", "status", "progress", "webhooks_sent", "webhooks_total")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
