@@ -134,3 +134,17 @@ def test_retry_schedule_without_spark():
     assert sleeps == [0.5, 0.5] and s.throttled and s.rate == 5
     sleeps.clear()
     assert s.send("{}", 3)[:3] == (True, 200, 2) and s.n429 == 0 and s.throttled
+
+
+def test_deliver_job_status(spark):
+    from leadsmith.operators.delivery import rule_transport
+    from leadsmith.plans.pipeline import deliver_job
+
+    results, flog, status = deliver_job(FX.company_raw(spark, SF_SMALL), FX.COMPANY_SPEC, "company", "j",
+                                        rule_transport(fail_every=5, throttle_every=0), rate=1000.0,
+                                        partitions=2, timestamp=0, sleep=lambda s: None)
+    n = results.count()
+    st = status.orderBy("record_number").collect()
+    assert [r["webhooks_sent"] for r in st] == list(range(1, n + 1))
+    assert st[-1]["progress"] == 100 and st[-1]["estimated_seconds_remaining"] == 0
+    assert sorted(r["record_number"] for r in flog.collect()) == [k for k in range(1, n + 1) if k % 5 == 0]
