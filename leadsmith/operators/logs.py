@@ -45,6 +45,21 @@ def resolve_start(spec: str | None, as_of: datetime) -> datetime:
 
 # F9 -------------------------------------------------------------------------
 
+def write_logs(events: DataFrame, path: str) -> str:
+    """S13 store: append log events as parquet partitioned by event date.
+
+    Expects the log columns (``ts`` is the event time); ``level`` is upper-cased
+    on the way in. Queries with a time range then prune whole date partitions.
+    """
+    out = events.withColumn("level", F.upper("level")).withColumn("date", F.to_date("ts"))
+    out.write.mode("append").partitionBy("date").parquet(path)
+    return path
+
+
+def read_logs(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def query_logs(logs: DataFrame, start=None, end=None, job_id=None, level=None, error_type=None,
                limit: int | None = LOG_DEFAULT_LIMIT, as_of: datetime | None = None) -> DataFrame:
     """Inclusive time range, all given filters ANDed, newest first, top ``limit``."""
@@ -52,6 +67,8 @@ def query_logs(logs: DataFrame, start=None, end=None, job_id=None, level=None, e
     end = end or as_of
     start = start or (end - timedelta(days=LOG_RETENTION_DAYS))
     cond = F.col("ts").between(_ts(start), _ts(end))
+    if "date" in logs.columns:  # date-partitioned store: prune partitions outside the range
+        cond &= F.col("date").between(F.to_date(_ts(start)), F.to_date(_ts(end)))
     if job_id is not None:
         cond &= F.col("job_id") == job_id
     if level is not None:

@@ -1244,6 +1244,23 @@ def q_delivery_status(spark, sf):
     return status.select("job_id", "record_number", "status", "progress", "webhooks_sent", "webhooks_total")
 
 
+
+@register("log_query_store", ORACLE["log_query"])
+def q_log_query_store(spark, sf):
+    """F9 over the date-partitioned log store (written once per call under the checkpoint folder)."""
+    path = LG.write_logs(_logs(spark, sf), _run_dir(spark, "logs") + "/events")
+    r = LG.query_logs(LG.read_logs(spark, path), start=_WEEK, end=AS_OF, level="error", error_type="HTTP_401",
+                      as_of=AS_OF)
+    return r.select("log_id", F.col("ts").cast("string").alias("ts"), "job_id", "level", "error_type", "message")
+
+
+@register("count_records_csv")
+def q_count_records_csv(spark, sf):
+    from ..sources.csv_scan import count_records
+
+    return count_records(spark, [_write_exports(spark, sf)])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

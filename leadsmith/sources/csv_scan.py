@@ -182,6 +182,13 @@ def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS) -> DataFrame
     return merged.select(*[C(c) for c in col_order], base.alias("Source"), row)
 
 
+def count_records(spark: SparkSession, paths) -> DataFrame:
+    """A1: data records per file (blank lines are not records) plus a TOTAL row."""
+    merged = read_csv_files(spark, paths)
+    r = merged.rollup("Source").agg(F.count(F.lit(1)).cast("bigint").alias("records"))
+    return r.select(F.coalesce("Source", F.lit("TOTAL")).alias("file"), "records")
+
+
 def merge_stats(merged: DataFrame) -> DataFrame:
     """A2: files, records, columns (without Source)."""
     ncols = len([c for c in merged.columns if c not in ("Source", "_row") and not c.startswith("__")])

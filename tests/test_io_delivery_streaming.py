@@ -148,3 +148,24 @@ def test_deliver_job_status(spark):
     assert [r["webhooks_sent"] for r in st] == list(range(1, n + 1))
     assert st[-1]["progress"] == 100 and st[-1]["estimated_seconds_remaining"] == 0
     assert sorted(r["record_number"] for r in flog.collect()) == [k for k in range(1, n + 1) if k % 5 == 0]
+
+
+def test_log_store_partition_pruning(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="leadsmith-logs-"), "logs")
+    LG.write_logs(FX.logs(spark, SF_SMALL).withColumn("level", F.lower("level")), out)
+    store = LG.read_logs(spark, out)
+    q = LG.query_logs(store, start=datetime(2024, 1, 24), end=datetime(2024, 1, 31), level="error",
+                      limit=None)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "date" in plan
+    direct = LG.query_logs(FX.logs(spark, SF_SMALL), start=datetime(2024, 1, 24), end=datetime(2024, 1, 31),
+                           level="ERROR", limit=None)
+    assert sorted(r["log_id"] for r in q.collect()) == sorted(r["log_id"] for r in direct.collect())
+
+
+def test_count_records_per_file(spark):
+    d = tempfile.mkdtemp(prefix="leadsmith-count-")
+    _write(os.path.join(d, "a.csv"), "x,y\n1,2\n\n3,4\n")
+    _write(os.path.join(d, "b.csv"), "y\n5\n")
+    got = {r["file"]: r["records"] for r in CS.count_records(spark, [d]).collect()}
+    assert got == {"a.csv": 2, "b.csv": 1, "TOTAL": 3}
