@@ -138,11 +138,19 @@ def normalize_text(c: Column) -> Column:
     return F.when(c.isNull() | (c == "nan"), F.lit("")).otherwise(collapse_ws(c))
 
 
+# Python's "cased" characters (upper, lower and title case letters) decide word starts in str.title().
+CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+
+
 def title_case(c: Column) -> Column:
-    """Python ``str.title()``: capitalise the first letter after any non-letter."""
-    pieces = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    """Python ``str.title()``: title-case the first cased letter after any uncased character.
+
+    The lower-cased text is cut into runs of cased / uncased characters; each
+    run's first character goes through ``initcap`` (Java title-case mapping).
+    """
+    pieces = F.regexp_extract_all(F.lower(c), F.lit(f"([{CASED}]+|[^{CASED}]+)"), 1)
     return F.array_join(
-        F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))),
+        F.transform(pieces, lambda w: F.concat(F.initcap(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))),
         "",
     )
 
@@ -230,7 +238,7 @@ def company_name_from_domain(domain: Column) -> Column:
     base = F.regexp_replace(F.regexp_replace(d, rf"\.(?:{alts})$", ""), r"^www\.", "")
     words = F.transform(
         F.split(base, "-"),
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))),
+        lambda w: F.concat(F.initcap(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))),
     )
     return F.when(d.contains(".") & (base != ""), F.array_join(words, " "))
 

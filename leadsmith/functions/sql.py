@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .columns import PY_FLOAT_RE, PY_WS, WS_CLASS
+from .columns import CASED, PY_FLOAT_RE, PY_WS, WS_CLASS
 from .constants import FREE_PROVIDERS, HASH_PATTERNS, NAME_TLDS, PERSONAL_RANKS
 
 
@@ -57,8 +57,9 @@ def normalize_text_sql(x: str = "x") -> str:
 
 
 def title_case_sql(x: str = "x") -> str:
-    return (f"array_join(transform(regexp_extract_all(lower({x}), {_s('(\\p{L}+|\\P{L}+)')}, 1), "
-            f"w -> concat(upper(substr(w, 1, 1)), substr(w, 2))), '')")
+    runs = f"([{CASED}]+|[^{CASED}]+)"
+    return (f"array_join(transform(regexp_extract_all(lower({x}), {_s(runs)}, 1), "
+            f"w -> concat(initcap(substr(w, 1, 1)), substr(w, 2))), '')")
 
 
 def personal_rank_sql(x: str = "x") -> str:
@@ -70,7 +71,7 @@ def company_name_sql(x: str = "x") -> str:
     alts = "|".join(t[1:] for t in NAME_TLDS)
     d = f"lower({_strip(x)})"
     base = f"regexp_replace(regexp_replace({d}, {_s(f'[.](?:{alts})$')}, ''), {_s('^www[.]')}, '')"
-    words = f"transform(split({base}, '-'), w -> concat(upper(substr(w, 1, 1)), lower(substr(w, 2))))"
+    words = f"transform(split({base}, '-'), w -> concat(initcap(substr(w, 1, 1)), lower(substr(w, 2))))"
     return f"CASE WHEN contains({d}, '.') AND {base} <> '' THEN array_join({words}, ' ') END"
 
 

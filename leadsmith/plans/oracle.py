@@ -77,7 +77,8 @@ def normalize_text(x):
 
 
 def title_case(x):
-    return (f"array_to_string(list_transform(regexp_extract_all(lower({x}), '(\\p{{L}}+|\\P{{L}}+)', 1), "
+    cased = "\\p{Lu}\\p{Ll}\\p{Lt}"
+    return (f"array_to_string(list_transform(regexp_extract_all(lower({x}), '([{cased}]+|[^{cased}]+)', 1), "
             f"lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), '')")
 
 

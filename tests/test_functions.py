@@ -61,6 +61,7 @@ def test_clean_integer(spark):
 TITLE_CASES = [
     ("o'neil mcDONALD", "O'Neil Mcdonald"), ("3m co", "3M Co"), ("VP-sales", "Vp-Sales"),
     ("it's", "It'S"), ("a1b2c3", "A1B2C3"), ("élodie du pré", "Élodie Du Pré"), ("", ""),
+    ("a中b", "A中B"), ("ǆemal", "ǅemal"),
 ]
 
 
