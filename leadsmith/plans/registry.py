@@ -887,6 +887,8 @@ def q_hash_like(spark, sf):
 # Payloads (people nested, company flat, generic) and record JSON
 # ---------------------------------------------------------------------------
 
+from ..functions.constants import PAYLOAD_SOURCE_LABEL  # noqa: E402
+
 PAYLOAD_TS = 1706659200  # fixed job clock for reproducible payloads (2024-01-31 00:00:00 UTC)
 
 
@@ -922,18 +924,18 @@ def _payload_sql(fixture, cols, spec, tt, kind):
     if kind == "company":
         top = [(c, O.q(c)) for c in names if c in set(CF) | {"Source"}]
         meta = _json_struct([("record_number", rn), ("timestamp", f"cast({PAYLOAD_TS} as bigint)"),
-                             ("source", "'CSV Merger'"), ("total_additional_fields", f"cast(cardinality({add}) as integer)")])
+                             ("source", O.lit(PAYLOAD_SOURCE_LABEL)), ("total_additional_fields", f"cast(cardinality({add}) as integer)")])
         body = _json_struct(top + [("additional_fields", add), ("_metadata", meta)])
     elif kind == "people":
         meta = _json_struct([("record_number", rn), ("timestamp", f"cast({PAYLOAD_TS} as bigint)"),
-                             ("source", "'CSV Merger'"), ("total_additional_fields", f"cast(cardinality({add}) as integer)")])
+                             ("source", O.lit(PAYLOAD_SOURCE_LABEL)), ("total_additional_fields", f"cast(cardinality({add}) as integer)")])
         person = _json_struct([(c, O.q(c)) for c in names if c in PF])
         comp = _json_struct([(c, O.q(c)) for c in names if c in CF])
         body = _json_struct([("person", person), ("company", comp), ("Source", O.q("Source")),
                              ("additional_fields", add), ("_metadata", meta)])
     else:
         meta = _json_struct([("record_number", rn), ("timestamp", f"cast({PAYLOAD_TS} as bigint)"),
-                             ("source", "'CSV Merger'")])
+                             ("source", O.lit(PAYLOAD_SOURCE_LABEL))])
         body = _json_struct([(c, O.q(c)) for c in names] + [("_metadata", meta)])
     return ch.sql(f"select {rn} as record_number, to_json({body}) as payload from {{prev}}")
 

@@ -64,10 +64,12 @@ def test_payload_shapes(spark):
     df = spark.createDataFrame([(1, "Acme", "acme.com", "a.csv", "v", "", "w@acme.com")],
                                "record_number long, `Company Name` string, `Company Domain` string, Source string, "
                                "`Linked In Page` string, empty string, `Work Email` string")
+    from leadsmith.functions.constants import PAYLOAD_SOURCE_LABEL
+
     comp = payloads(df, "company", 10).first()["payload"]
     assert comp == ('{"Company Name":"Acme","Company Domain":"acme.com","Source":"a.csv",'
                     '"additional_fields":{"LinkedIn Page":"v"},"_metadata":{"record_number":1,"timestamp":10,'
-                    '"source":"CSV Merger","total_additional_fields":1}}')
+                    f'"source":"{PAYLOAD_SOURCE_LABEL}","total_additional_fields":1}}}}')
     ppl = payloads(df, "people", 10).first()["payload"]
     assert ppl.startswith('{"person":{"Work Email":"w@acme.com"},"company":{"Company Name":"Acme"')
 
