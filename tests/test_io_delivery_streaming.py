@@ -171,3 +171,28 @@ def test_count_records_per_file(spark):
     _write(os.path.join(d, "b.csv"), "y\n5\n")
     got = {r["file"]: r["records"] for r in CS.count_records(spark, [d]).collect()}
     assert got == {"a.csv": 2, "b.csv": 1, "TOTAL": 3}
+
+
+def test_process_files_end_to_end(spark):
+    from leadsmith.plans.pipeline import process_files
+
+    d = tempfile.mkdtemp(prefix="leadsmith-e2e-")
+    _write(os.path.join(d, "a.csv"), "full_name,Email,Company,website,avatar_url\n"
+                                     "ann lee,ANN@acme.io,,https://www.acme.io/x,http://img\n"
+                                     "bob ray,bob@gmail.com,Beta,beta.com,\n")
+    _write(os.path.join(d, "b.csv"), "Email,full_name,phone\nann@acme.io,Ann  Lee,555\n")
+    out = tempfile.mkdtemp(prefix="leadsmith-e2e-out-")
+    res = process_files(spark, [d], "people", out, job_id="t1")
+    mapped = res["spec"]["mapped_files"]
+    assert {m["filename"] for m in mapped} == {"a.csv", "b.csv"}
+    a = next(m for m in mapped if m["filename"] == "a.csv")["mapped_headers"]
+    assert a["Full Name"]["primary"] == "full_name" and a["Work Email"]["primary"] == "Email"
+    assert "avatar_url" not in {v["primary"] for v in a.values()}
+    # plain read: the CSV scan would (by design) overwrite Source with the part-file name
+    back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(res["path"])
+    rows = {r["Full Name"]: r.asDict() for r in back.collect()}
+    assert res["records"] == 2 and set(rows) == {"Ann Lee", "Bob Ray"}
+    ann = rows["Ann Lee"]
+    assert ann["Work Email"] == "ann@acme.io" and ann["Company Domain"] == "acme.io"
+    assert ann["Company Name"] == "Acme" and ann["Source"] == "a.csv; b.csv" and ann["Phone Number"] == "555"
+    assert rows["Bob Ray"]["Personal Email"] == "bob@gmail.com" and rows["Bob Ray"]["Work Email"] is None
