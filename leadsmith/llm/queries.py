@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadsmith.llm.bpe import digests, encode_decode
 from leadsmith.llm.divergence import quality_rules
+from leadsmith.llm.packing import pack
 from leadsmith.llm.shared import documents
 from leadsmith.llm.stream_dedup import exact_dedup
 
@@ -15,12 +17,22 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op3_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), keep_ids=False)
+
+
+def op5_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode_decode(documents(spark, sf_dir)))
+
+
 def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
+    "op3_concat_cut_packing": op3_concat_cut_packing,
+    "op5_rank_array_bpe": op5_rank_array_bpe,
     "op8_stream_dedup": op8_stream_dedup,
 }
 

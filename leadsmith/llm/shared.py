@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +42,23 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they need not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_corpus_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="corpus-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._corpus_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, and this package on the workers."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
