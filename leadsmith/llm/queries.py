@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadsmith.llm.bpe import digests, encode_decode
 from leadsmith.llm.divergence import quality_rules
+from leadsmith.llm.odd_sketch import near_dedup
 from leadsmith.llm.packing import pack
 from leadsmith.llm.shared import documents
 from leadsmith.llm.stream_dedup import exact_dedup
@@ -21,6 +22,10 @@ def op3_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), keep_ids=False)
 
 
+def op4_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), width=2)
+
+
 def op5_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(documents(spark, sf_dir)))
 
@@ -32,6 +37,7 @@ def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op3_concat_cut_packing": op3_concat_cut_packing,
+    "op4_odd_sketch_dedup": op4_odd_sketch_dedup,
     "op5_rank_array_bpe": op5_rank_array_bpe,
     "op8_stream_dedup": op8_stream_dedup,
 }
