@@ -12,6 +12,7 @@ from leadsmith.llm.odd_sketch import near_dedup
 from leadsmith.llm.packing import pack
 from leadsmith.llm.shared import documents
 from leadsmith.llm.stream_dedup import exact_dedup
+from leadsmith.llm.toxicity import toxicity
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +35,17 @@ def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op3_concat_cut_packing": op3_concat_cut_packing,
     "op4_odd_sketch_dedup": op4_odd_sketch_dedup,
     "op5_rank_array_bpe": op5_rank_array_bpe,
     "op8_stream_dedup": op8_stream_dedup,
+    "op10_toxicity_trees": op10_toxicity_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
