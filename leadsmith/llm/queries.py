@@ -10,6 +10,7 @@ from leadsmith.llm.bpe import digests, encode_decode
 from leadsmith.llm.divergence import quality_rules
 from leadsmith.llm.odd_sketch import near_dedup
 from leadsmith.llm.packing import pack
+from leadsmith.llm.pseudonyms import pseudonymize
 from leadsmith.llm.shared import documents
 from leadsmith.llm.stream_dedup import exact_dedup
 from leadsmith.llm.toxicity import toxicity
@@ -19,6 +20,10 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(documents(spark, sf_dir))
+
+
 def op3_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), keep_ids=False)
 
@@ -41,6 +46,7 @@ def op10_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
+    "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_concat_cut_packing": op3_concat_cut_packing,
     "op4_odd_sketch_dedup": op4_odd_sketch_dedup,
     "op5_rank_array_bpe": op5_rank_array_bpe,
