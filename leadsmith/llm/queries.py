@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadsmith.llm.bpe import digests, encode_decode
 from leadsmith.llm.divergence import quality_rules
+from leadsmith.llm.lpf import suffix_dedup
 from leadsmith.llm.odd_sketch import near_dedup
 from leadsmith.llm.packing import pack
 from leadsmith.llm.pseudonyms import pseudonymize
+from leadsmith.llm.recompression import repeated_words
 from leadsmith.llm.shared import documents
 from leadsmith.llm.stream_dedup import exact_dedup
 from leadsmith.llm.toxicity import toxicity
@@ -36,10 +38,18 @@ def op5_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(documents(spark, sf_dir)))
 
 
+def op6_suffix_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(documents(spark, sf_dir))
+
+
 def op10_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -50,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_concat_cut_packing": op3_concat_cut_packing,
     "op4_odd_sketch_dedup": op4_odd_sketch_dedup,
     "op5_rank_array_bpe": op5_rank_array_bpe,
+    "op6_suffix_lpf_dedup": op6_suffix_lpf_dedup,
     "op8_stream_dedup": op8_stream_dedup,
+    "op9_recompression_dedup": op9_recompression_dedup,
     "op10_toxicity_trees": op10_toxicity_trees,
 }
 
