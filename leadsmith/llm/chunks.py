@@ -108,11 +108,21 @@ def shorten(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def pack_keys(short: np.ndarray) -> bytes:
-    return np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+    """Sorted keys as gaps, one byte plane after the other, so that the planes of high bytes compress."""
+    gaps = np.diff(short, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.T).tobytes())
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    short = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
-    wide = np.zeros((len(short), 8), np.uint8)
-    wide[:, :KEY_BYTES] = short
-    return wide.view("<u8").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(KEY_BYTES, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :KEY_BYTES] = planes.T
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u4").tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype(np.int64)

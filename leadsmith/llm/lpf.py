@@ -28,14 +28,14 @@ class EarlierBytes(Scheme):
         units = np.arange(len(data))
         return View(data, units, units + 1, at[:-1], at[1:] - 1)
 
-    def keys(self, view: View) -> np.ndarray:
+    def keys(self, view: View) -> tuple[np.ndarray, None]:
         low = rolling_hashes(view.data, self.gram)
         span, done = self.width - self.gram + 1, 1
         while done < span:  # the minimum over ``span`` hashes in a row, by doubling
             step = min(done, span - done)
             low = np.minimum(low[:-step], low[step:])
             done += step
-        return np.concatenate([low, np.zeros(len(view.data) - len(low), np.uint64)])
+        return np.concatenate([low, np.zeros(len(view.data) - len(low), np.uint64)]), None
 
     def occurrences(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")

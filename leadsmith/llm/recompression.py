@@ -18,6 +18,7 @@ from leadsmith.llm.words import ODD, joined, mix, ragged, span_hashes, word_span
 
 WINDOW, LEVELS = 35, 5
 U = np.uint64
+PLACE = U(2**26 - 1)
 
 
 def next_level(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray, wall: np.ndarray, level: int) -> tuple:
@@ -61,7 +62,7 @@ class RepeatedWords(Scheme):
         canon[out_end - 1] = 0x20
         return View(canon, out_end - size - 1, out_end - 1, first, first + count)
 
-    def keys(self, view: View) -> np.ndarray:
+    def keys(self, view: View) -> tuple[np.ndarray, np.ndarray]:
         n = len(view.begin)
         wall = view.begin == view.end
         sym = span_hashes(view.data, view.begin, view.end)
@@ -70,7 +71,7 @@ class RepeatedWords(Scheme):
         for level in range(self.levels):
             sym, lo, hi, wall = next_level(sym, lo, hi, wall, level)
             levels.append((sym, lo, hi))
-        keys = np.zeros(n, np.uint64)
+        keys, symbol = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         todo = ragged(view.at, np.maximum(view.stop - view.at - self.width + 1, 0))
         for level in range(self.levels, -1, -1):
             if not len(todo):
@@ -80,11 +81,15 @@ class RepeatedWords(Scheme):
             b = np.searchsorted(hi, todo + self.width, "right")
             some = a < b
             if some.any():
-                value = np.append(mix(sym ^ U(ODD[30 + level])), U(0))
+                value = mix(sym ^ U(ODD[30 + level]))
+                # The low bits give way to the place, so that the minimum is the first of the smallest symbols.
+                placed = np.append((value & ~PLACE) | np.arange(len(value), dtype=np.uint64), U(0))
                 pairs = np.stack([a[some], b[some]], 1).ravel()
-                keys[todo[some]] = np.minimum.reduceat(value, pairs)[::2]
+                at = (np.minimum.reduceat(placed, pairs)[::2] & PLACE).astype(np.int64)
+                keys[todo[some]] = value[at]
+                symbol[todo[some]] = at + (level << 32)
             todo = todo[~some]
-        return keys
+        return keys, symbol
 
     def occurrences(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         distinct, count = np.unique(keys, return_counts=True)

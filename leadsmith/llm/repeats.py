@@ -48,8 +48,8 @@ class Scheme:
     def view(self, texts: list[bytes]) -> View:
         raise NotImplementedError
 
-    def keys(self, view: View) -> np.ndarray:
-        """Key of the window that starts at each unit (anything where ``starts`` is false)."""
+    def keys(self, view: View) -> tuple[np.ndarray, np.ndarray | None]:
+        """Key of the window at each unit (anything where none starts), and which occurrence of it in the chunk it is."""
         raise NotImplementedError
 
     def occurrences(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,14 +73,18 @@ class Scheme:
 
 
 def runs(scheme: Scheme, view: View) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one key: key, first and last window's unit."""
+    """Runs of neighbouring windows with one occurrence of a key: key, first and last window's unit."""
     count = np.maximum(view.stop - view.at - scheme.width + 1, 0)
     starts = ragged(view.at, count)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, starts
-    keys = scheme.keys(view)[starts]
+    keys, place = scheme.keys(view)
+    keys = keys[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1] + 1)
+    if place is not None:
+        place = place[starts]
+        new[1:] |= place[1:] != place[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     return keys[first], starts[first], starts[last]
