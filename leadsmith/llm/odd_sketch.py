@@ -56,10 +56,10 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         if hi - lo >= width:
             sets.append(np.unique(grams[lo : hi - width + 1]))
         elif hi > lo:
-            short = np.uint64(hi - lo)
+            short = np.array([hi - lo], np.uint64)
             for k in range(lo, hi):
-                short = mix(np.array([words[k] * np.uint64(ODD[k - lo]) + short]))[0]
-            sets.append(np.array([short], np.uint64))
+                short = mix(words[k : k + 1] * np.uint64(ODD[k - lo]) + short)
+            sets.append(short)
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
