@@ -30,7 +30,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
     ship(spark)
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.sha2(normalized(F.col("text")), 256) == F.col("kept_sha"))
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.sha2(normalized(docs["text"]), 256) == kept["kept_sha"])
     return docs.join(kept, same, "left_semi")
 
 
@@ -38,7 +38,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each component of near copies (five-word shingles, similarity 0.8 or more)."""
     ship(spark)
     kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

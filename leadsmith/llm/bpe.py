@@ -269,7 +269,7 @@ class Encoder:
         ids = self.pool[index]
         ids[marked] = marks[marks >= 0]
         per_piece = np.diff(np.concatenate([[0], ends[edge_word]]))
-        return ids, np.bincount(np.asarray(owner), weights=per_piece, minlength=len(texts)).astype(np.int64)
+        return ids, np.bincount(np.asarray(owner, np.int64), weights=per_piece, minlength=len(texts)).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, special tokens included; bytes that are no UTF-8 become replacement characters."""

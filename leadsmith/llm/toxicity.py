@@ -149,9 +149,9 @@ def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
 
     token = _LETTER[data] | _MASK[data]
     t_start, t_end = spans(token)
-    masks = np.concatenate([[0], np.cumsum(_MASK[data])])
-    inner = masks[np.maximum(t_end - 1, t_start)] - masks[t_start]
-    mixed = (inner > 0) & (inner < t_end - t_start)
+    lead = np.append(_MASK[data[:-1]] & _LETTER[data[1:]], False)  # a look-alike with a letter behind it
+    leads = np.concatenate([[0], np.cumsum(lead)])
+    mixed = leads[t_end] > leads[t_start]
     m_start, m_end = t_start[mixed], t_end[mixed]
     m_owner = np.searchsorted(at, m_start, "right") - 1
     disguised = lexicon.word_scores(_DISGUISE[lowered(data)], m_start, m_end) >= math.log(20)
