@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Longest word, in bytes, that the rank array takes; the texts that are encoded together, in characters; and the ids that
 #: a worker remembers (it forgets all beyond that, which costs time but changes no result).
-SHORT, BATCH_CHARS, REMEMBERED = 48, 1_500_000, 12_000_000
+SHORT, BATCH_CHARS, REMEMBERED = 48, 1_500_000, 4_000_000
 NONE = np.int32(2**30)
 LETTER, NUMBER, BLANK, OTHER, EDGE = range(5)
 #: White space as the tokenizer's pattern takes it, without the information separators 1C to 1F.
