@@ -223,6 +223,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many there are of each."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         pieces, special, owner = [], [], []
         for k, text in enumerate(texts):
             for piece, i in self._pieces(text) if any(s in text for s in self.special) else ((text, -1),):

@@ -83,7 +83,7 @@ def test_exact_dedup_matches_brute_force(spark, tmp_path, bits):
 def test_exact_dedup_repeated_rows_and_null_ids(spark, tmp_path):
     docs = stored_frame(spark, tmp_path, ["a b", "a b", "a  b", "a  b", None], [5, 5, None, 7, None])
     rows = sorted(((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs).collect()), key=str)
-    assert rows == [(-1, None, 1, True), (-1, 7, 4, False), (5, 7, 4, False), (5, 7, 4, False), (7, 7, 4, True)]
+    assert rows == [(-1, 7, 4, False), (-1, None, 1, True), (5, 7, 4, False), (5, 7, 4, False), (7, 7, 4, True)]
 
 
 def test_state_outlives_a_run(spark, tmp_path):
