@@ -5,9 +5,10 @@ sketch), they tell by the population count of an exclusive or how similar two ca
 that are surely unlike. What is left is confirmed on the full shingle sets.
 
 Equal sets are one class with one representative from the start. Within a band's bucket, two representatives (the smallest
-and the largest identifier) are compared with all others, which links any group of copies in a number of pairs that grows
-with its rows; only where a bucket still holds several components are the pairs between those looked at one by one, each
-pair in one bucket alone. No bucket is capped and none is gathered in a task.
+and the largest identifier) are compared with all others; where a bucket then still holds several components, the rows
+outside its largest one are compared with PIVOTS members of that one, in ROUNDS rounds. That links any group of copies in a
+number of pairs that grows with its rows. Only the pairs that are left between components of one bucket are looked at one by
+one, each pair in one bucket alone, so that no link is lost. No bucket is capped and none is gathered in a task.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SKETCH_LONGS = 8
 #: Estimates below this are over five standard errors under 0.8: no link.
 LEAST_ESTIMATE = 0.55
 BATCH_BYTES = 4_000_000
+#: Members of a bucket's largest component that the rest of the bucket is compared with, and how often.
+PIVOTS, ROUNDS = 16, 2
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +181,54 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("u", "v")
 
 
+def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs, those that the sketches leave open and the full sets confirm."""
+    pairs = pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sketch_u = reps.select(F.col("rep").alias("u"), F.col("sketch").alias("ku"))
+    sketch_v = reps.select(F.col("rep").alias("v"), F.col("sketch").alias("kv"))
+    alike = pairs.join(sketch_u, "u").join(sketch_v, "v").where(_differing("ku", "kv") <= MOST_BITS).select("u", "v")
+    return stored(confirmed(alike, sets, percent), "links")
+
+
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, label) after joining the components that ``links`` connect."""
+    u = labels.select(F.col("rep").alias("u"), F.col("label").alias("lu"))
+    v = labels.select(F.col("rep").alias("v"), F.col("label").alias("lv"))
+    found = components(links.join(u, "u").join(v, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    found = found.select(F.col("node").alias("label"), F.col("label").alias("low"))
+    return stored(labels.join(found, "label", "left").select("rep", F.coalesce("low", "label").alias("label")), "labels")
+
+
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    labelled = buckets.select("rep", "band", "key").join(labels, "rep")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    return stored(labelled.join(mixed, "key").select("rep", "band", "key", "label"), "open")
+
+
+def _pivot_pairs(rows: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """Rows outside their bucket's largest component, each with PIVOTS members of that component."""
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", F.col("label").alias("to"))).alias("m")).select("key", "m.to")
+    outside = rows.join(largest, "key").where("label != to").select("rep", "to").distinct()
+    chosen = [F.min_by("rep", F.xxhash64("rep", F.lit(seed * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
+    wanted = outside.select("to").distinct()
+    pivots = labels.join(wanted, labels["label"] == wanted["to"]).groupBy("to").agg(*chosen)
+    pairs = outside.join(pivots, "to")
+    return pairs.select(F.col("rep").alias("u"), F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("v"))
+
+
+def _rest_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """All pairs across components of a bucket that their sketches leave open, each in the first bucket that it shares."""
+    full = stored(rows.join(reps, "rep"), "rest")
+    a = full.select("key", "band", *[F.col(c).alias(f"{c}_u") for c in ("rep", "label", "bands", "sketch")])
+    b = full.select("key", *[F.col(c).alias(f"{c}_v") for c in ("rep", "label", "bands", "sketch")])
+    earlier = F.exists(F.slice(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), 1, F.col("band")), lambda same: same)
+    across = (a["key"] == b["key"]) & (F.col("rep_u") < F.col("rep_v")) & (F.col("label_u") != F.col("label_v"))
+    pairs = a.join(b, across & (_differing("sketch_u", "sketch_v") <= MOST_BITS) & ~earlier)
+    return pairs.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -191,54 +242,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signs = stored(signatures(read, width), "signatures")
     key = ["n", "d1", "d2"]
-    named = signs.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    named = stored(signs.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = stored(
         signs.where("n > 0").join(named, key).where("doc_id = rep").select("rep", "bands", "sketch").dropDuplicates(["rep"]),
         "representatives",
     )
     members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     pivots = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    shared = stored(members.join(pivots, "key"), "buckets")
-
-    # Stars: every member with the smallest and the largest one of its bucket.
-    stars = shared.select(F.explode(F.array("low", "high")).alias("u"), F.col("rep").alias("v")).where("u != v")
-    stars = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sketch_u = reps.select(F.col("rep").alias("u"), F.col("sketch").alias("ku"))
-    sketch_v = reps.select(F.col("rep").alias("v"), F.col("sketch").alias("kv"))
-    alike = stars.join(sketch_u, "u").join(sketch_v, "v").where(_differing("ku", "kv") <= MOST_BITS).select("u", "v")
-    wanted = shared.select("rep").distinct()
-    sets = stored(full_sets(read.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text"), width), "sets")
-    links = stored(confirmed(alike, sets, percent), "links")
-    labels = components(links)
-
-    # The rest: pairs across components in buckets that still hold several, each pair in the first bucket it shares.
-    own = F.coalesce("label", "rep").alias("label")
-    labelled = shared.select("rep", "band", "key").join(labels, F.col("rep") == F.col("node"), "left").select("rep", "band", "key", own)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    open_rows = stored(labelled.join(mixed, "key").join(reps, "rep"), "open")
-    a = open_rows.select("key", "band", *[F.col(c).alias(f"{c}_u") for c in ("rep", "label", "bands", "sketch")])
-    b = open_rows.select("key", *[F.col(c).alias(f"{c}_v") for c in ("rep", "label", "bands", "sketch")])
-    earlier = F.exists(
-        F.slice(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), 1, F.col("band")), lambda same: same
-    )
-    rest = (
-        a.join(
-            b,
-            (a["key"] == b["key"])
-            & (F.col("rep_u") < F.col("rep_v"))
-            & (F.col("label_u") != F.col("label_v"))
-            & (_differing("sketch_u", "sketch_v") <= MOST_BITS)
-            & ~earlier,
-        )
-        .select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
-    )
-    more = stored(confirmed(rest, sets, percent), "more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    buckets = stored(members.join(pivots, "key"), "buckets")
+    labels = stored(buckets.select("rep").distinct().withColumn("label", F.col("rep")), "labels")
+    sets = stored(full_sets(read.join(labels, F.col("doc_id") == F.col("rep")).select("rep", "text"), width), "sets")
+
+    stars = buckets.select(F.explode(F.array("low", "high")).alias("u"), F.col("rep").alias("v"))
+    labels = _relabel(labels, _links(stars, reps, sets, percent))
+    rows = _open(buckets, labels)
+    for seed in range(ROUNDS):
+        links = _links(_pivot_pairs(rows, labels, seed), reps, sets, percent)
+        if links.isEmpty():
+            break
+        labels = _relabel(labels, links)
+        rows = _open(rows, labels)
+    links = _links(_rest_pairs(rows, reps), reps, sets, percent)
+    if not links.isEmpty():
+        labels = _relabel(labels, links)
     return (
         signs.select("doc_id", *key)
         .join(named, key, "left")
-        .join(labels, F.col("rep") == F.col("node"), "left")
+        .join(labels, "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
