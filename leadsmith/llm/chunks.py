@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from leadsmith.llm.shared import shuffle_partitions
 
 #: Bytes of text in a chunk, or one longer text.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Stands for a null identifier, and sorts behind all others.
 NO_ID = np.int64(2**63 - 1)
 #: Bytes kept of a key below its bucket's bits.
@@ -90,8 +90,8 @@ def unpack_texts(sizes: bytes, blob: bytes) -> list[bytes]:
 
 
 def bucket_bits(spark: SparkSession) -> int:
-    """Bits of the key space's buckets: about four buckets for a shuffle partition."""
-    return max(4, (4 * shuffle_partitions(spark) - 1).bit_length())
+    """Bits of the key space's buckets: eight buckets or more for a shuffle partition."""
+    return max(4, (8 * shuffle_partitions(spark) - 1).bit_length())
 
 
 def by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:

@@ -12,13 +12,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from leadsmith.llm.repeats import Scheme, View, remove_repeats
-from leadsmith.llm.words import joined, ragged, rolling_hashes
+from leadsmith.llm.words import joined, ragged, rolling_hashes, span_hashes
 
 WINDOW, GRAM = 50, 26
 
 
 class EarlierBytes(Scheme):
     answers_single_only = False
+    dtype = np.uint8
 
     def __init__(self, width: int = WINDOW, gram: int = GRAM):
         self.width, self.gram = width, gram
@@ -54,6 +55,10 @@ class EarlierBytes(Scheme):
         removed = ids > low[group]
         return removed, ~removed, np.zeros(len(ids), bool)
 
+    def fragments(self, view: View, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        end = last + self.width
+        return view.data, first, end, span_hashes(view.data, first, end)
+
     def fragment_windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = np.diff(at) - self.width + 1
         start = ragged(at[:-1], count)
@@ -70,8 +75,8 @@ class EarlierBytes(Scheme):
         found[order] = _smaller_before(doc, block) | _smaller_before(doc[::-1], block[-1] - block[::-1])[::-1]
         return found
 
-    def keep(self, text: bytes, view: View, row: int, kept: np.ndarray | None) -> bytes:
-        return text if kept is None else view.data[view.at[row] : view.stop[row]][kept].tobytes()
+    def keep(self, view: View, row: int, kept: np.ndarray) -> bytes:
+        return view.data[view.at[row] : view.stop[row]][kept].tobytes()
 
 
 def _smaller_before(doc: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -84,11 +89,11 @@ def _smaller_before(doc: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left) of every row.
 
     Null texts are empty. Texts shorter than a window keep all. A document is later than another if its identifier is
     larger; null identifiers come last, and rows that repeat one identifier are never earlier than each other. An empty
     table gives an empty result. Only the two named columns are read.
     """
     found = remove_repeats(docs, EarlierBytes(width, (width + 2) // 2), id_col, text_col)
-    return found.withColumnRenamed("n_units", "n_bytes").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.withColumnRenamed("n_units", "n_bytes").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadsmith.llm.backoff import backoff_scores
 from leadsmith.llm.bpe import digests, encode_decode
@@ -40,7 +41,8 @@ def op5_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(documents(spark, sf_dir))
+    found = suffix_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,9 @@ def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_words(documents(spark, sf_dir))
+    found = repeated_words(documents(spark, sf_dir))
+    sha = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", sha, "n_spans")
 
 
 def op10_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

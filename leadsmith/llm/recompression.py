@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leadsmith.llm.repeats import Scheme, View, remove_repeats
-from leadsmith.llm.words import ODD, joined, mix, ragged, span_hashes, word_spans
+from leadsmith.llm.words import ODD, joined, mix, powers, ragged, span_hashes, word_spans
 
 WINDOW, LEVELS = 35, 5
 U = np.uint64
@@ -40,6 +41,7 @@ def next_level(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray, wall: np.ndarray
 
 class RepeatedWords(Scheme):
     answers_single_only = True
+    dtype = np.uint64
 
     def __init__(self, width: int = WINDOW, levels: int = LEVELS):
         self.width, self.levels = width, levels
@@ -102,21 +104,29 @@ class RepeatedWords(Scheme):
         first[np.unique(group, return_index=True)[1]] = True
         return several, first, several
 
+    def fragments(self, view: View, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A run's key, then a 64-bit sum over the words of each of its windows: 128 bits tell windows apart."""
+        words = mix(span_hashes(view.data, view.begin, view.end) ^ U(ODD[42]))
+        up, down = powers(len(words) + 1)
+        sums = np.concatenate([[U(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+        n = max(len(words) - self.width + 1, 0)
+        windows = mix((sums[self.width :] - sums[:n]) * down[:n])
+        size = last - first + 2
+        end = np.cumsum(size)
+        begin = end - size
+        data = np.empty(int(end[-1]) if len(end) else 0, np.uint64)
+        head = np.zeros(len(data), bool)
+        head[begin] = True
+        data[head] = keys
+        data[~head] = windows[ragged(first, size - 1)]
+        content = np.add.reduceat(mix(data + U(ODD[43]) * (np.arange(len(data)) - np.repeat(begin, size)).astype(U)), begin) if len(end) else data
+        return data, begin, end, content
+
     def fragment_windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows as pairs of 64-bit sums over their words' hashes. Fragments have no gap: each begins a word at ``at``."""
-        gap = data == 0x20
-        starts = np.unique(np.concatenate([np.flatnonzero(gap) + 1, at[:-1]]))
-        ends = np.unique(np.concatenate([np.flatnonzero(gap), at[1:]]))
-        words = span_hashes(data, starts, ends)
-        first = np.searchsorted(starts, at[:-1])
-        count = np.diff(np.append(first, len(words))) - self.width + 1
-        begin = ragged(first, count)
-        windows = np.zeros((len(begin), 2), np.uint64)
-        for k in range(self.width):
-            w = words[begin + k]
-            windows[:, 0] = windows[:, 0] * U(ODD[40]) + w
-            windows[:, 1] = windows[:, 1] * U(ODD[41]) + mix(w ^ U(ODD[42]))
-        return windows, np.repeat(np.arange(len(count)), count)
+        count = np.diff(at) - 1
+        place = ragged(at[:-1] + 1, count)
+        fragment = np.repeat(np.arange(len(count)), count)
+        return np.stack([data[at[:-1]][fragment], data[place]], 1), fragment
 
     def repeated(self, windows: np.ndarray, ids: np.ndarray, several: np.ndarray) -> np.ndarray:
         order = np.lexsort((windows[:, 1], windows[:, 0]))
@@ -127,22 +137,18 @@ class RepeatedWords(Scheme):
         place[order] = np.cumsum(new) - 1
         return (np.bincount(place, weights=1 + several) > 1)[place]
 
-    def keep(self, text: bytes, view: View, row: int, kept: np.ndarray | None) -> bytes:
-        a, b = int(view.at[row]), int(view.stop[row])
-        if a == b:
-            return b""
-        if kept is None:
-            return view.data[view.begin[a] : view.end[b - 1]].tobytes()
-        use = np.flatnonzero(kept) + a
+    def keep(self, view: View, row: int, kept: np.ndarray) -> bytes:
+        use = np.flatnonzero(kept) + view.at[row]
         return view.data[ragged(view.begin[use], view.end[use] - view.begin[use] + 1)].tobytes()[:-1]
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, n_spans of every row.
+    """doc_id, n_words, n_removed, n_spans, kept (the words that are left, joined by one space) of every row.
 
     A word goes if a window of ``width`` words covers it that also starts anywhere else, in the same text too. Null texts
     have no words. Repeated rows repeat all their windows, whatever their identifiers; null identifiers stay null. An empty
     table gives an empty result. Only the two named columns are read.
     """
     found = remove_repeats(docs, RepeatedWords(width), id_col, text_col)
-    return found.withColumnRenamed("n_units", "n_words").select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+    kept = F.decode("kept", F.lit("UTF-8")).alias("kept")
+    return found.withColumnRenamed("n_units", "n_words").select("doc_id", "n_words", "n_removed", "n_spans", kept)

@@ -3,13 +3,12 @@
 A scheme names each window of a text by a key that depends on nothing but the window's content, so that equal windows have
 equal keys wherever they stand, and neighbouring windows mostly share one. Pass one finds the keys that occur more than
 once. Pass two cuts out the fragments around those keys, settles equal fragments within a chunk there, and sends one of each
-to its key's bucket, where windows are compared in full. Pass three removes what was found. A passage that very many
-documents share costs each chunk one fragment, whatever the number of documents.
+to its key's bucket, where windows are compared in full. Pass three reads the texts again and removes what was found. A
+passage that very many documents share costs each chunk one fragment, whatever the number of documents.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from leadsmith.llm import chunks as C
-from leadsmith.llm.shared import stored
-from leadsmith.llm.words import ragged, span_hashes
+from leadsmith.llm.shared import release, stored
+from leadsmith.llm.words import ragged
 
-WORK = "kind string, chunk bigint, bucket int, ids binary, text_rows binary, starts binary, sizes binary, blob binary"
+WORK_COLUMNS = ["chunk", "bucket", "ids", "text_rows", "starts", "sizes", "blob"]
+WORK = "chunk bigint, bucket int, ids binary, text_rows binary, starts binary, sizes binary, blob binary"
 SPANS = "chunk bigint, text_rows binary, starts binary, sizes binary"
 
 
@@ -41,9 +41,14 @@ class View:
 
 
 class Scheme:
-    """What the two operators differ in."""
+    """What the two operators differ in.
+
+    ``dtype`` is that of the fragments' data; ``answers_single_only`` leaves out fragments that were settled in their chunk.
+    """
 
     width: int
+    dtype: type
+    answers_single_only: bool
 
     def view(self, texts: list[bytes]) -> View:
         raise NotImplementedError
@@ -61,14 +66,18 @@ class Scheme:
         raise NotImplementedError
 
     def repeated(self, windows: np.ndarray, ids: np.ndarray, several: np.ndarray) -> np.ndarray:
-        """Which of the windows (rows of bytes or of numbers) of a bucket are to be removed."""
+        """Which of a bucket's windows (rows of bytes or of numbers) are to be removed."""
+        raise NotImplementedError
+
+    def fragments(self, view: View, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Data from which a bucket compares the windows of runs: all in one array, where each run's lies (from, to), a hash."""
         raise NotImplementedError
 
     def fragment_windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of fragments at[k] to at[k + 1], and the fragment that each is from, in order."""
+        """Windows of the fragments at[k] to at[k + 1] of such data, and the fragment that each is from, in order."""
         raise NotImplementedError
 
-    def keep(self, text: bytes, view: View, row: int, kept: np.ndarray) -> bytes:
+    def keep(self, view: View, row: int, kept: np.ndarray) -> bytes:
         raise NotImplementedError
 
 
@@ -135,60 +144,45 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "bucket", "bits"])
 
 
-def _work(kind: str, chunk: int, bucket: int = -1, ids=b"", rows=b"", starts=b"", sizes=b"", blob=b"") -> tuple:  # noqa: ANN001
-    return kind, chunk, bucket, *(x.tobytes() if isinstance(x, np.ndarray) else x for x in (ids, rows, starts, sizes, blob))
+def _work(chunk: int, bucket: int, *parts: np.ndarray | bytes) -> tuple:
+    return chunk, bucket, *(x.tobytes() if isinstance(x, np.ndarray) else x for x in parts)
 
 
 def _fragments(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """Pass two over one chunk."""
+    """Pass two over one chunk: fragments for the buckets, and under bucket -1 the spans settled here."""
     if not len(texts):
         raise RuntimeError("the input came out in another order when it was read again; write it to a table first")
-    number = int(texts["chunk"].iat[0])
-    ids = np.frombuffer(texts["ids"].iat[0], np.int64)
-    bodies = C.unpack_texts(texts["sizes"].iat[0], texts["blob"].iat[0])
-    view = scheme.view(bodies)
     out: list[tuple] = []
-    marked = np.zeros(len(ids), bool)
     if len(answers):
+        number = int(texts["chunk"].iat[0])
+        ids = np.frombuffer(texts["ids"].iat[0], np.int64)
+        view = scheme.view(C.unpack_texts(texts["sizes"].iat[0], texts["blob"].iat[0]))
         keys, first, last = runs(scheme, view)
-        row = view.rows_of(first)
-        distinct, _ = scheme.occurrences(keys, row)
+        distinct, _ = scheme.occurrences(keys, view.rows_of(first))
         shared = np.zeros(len(distinct), bool)
         given = dict(zip(answers["bucket"], answers["bits"], strict=True))
         for b, i, j in C.by_bucket(distinct, bits):
             if b in given:
                 shared[i:j] = _mask(given[b], j - i)
         pick = shared[np.searchsorted(distinct, keys)]
-        keys, first, last, row = keys[pick], first[pick], last[pick], row[pick]
-        marked[row] = True
-        lo, hi = view.begin[first], view.end[last + scheme.width - 1]
-        content = span_hashes(view.data, lo, hi)
+        keys, first, last = keys[pick], first[pick], last[pick]
+        row = view.rows_of(first)
+        data, lo, hi, content = scheme.fragments(view, keys, first, last)
         _, group = np.unique(np.stack([keys, content], 1), axis=0, return_inverse=True)
         removed, sent, several = scheme.settle(group.ravel(), ids[row])
         local = first - view.at[row]
         if removed.any():
             r = np.flatnonzero(removed)
-            out.append(
-                _work("spans", number, rows=row[r].astype(np.int32), starts=local[r], sizes=(last - first)[r] + scheme.width)
-            )
+            sizes = (last - first)[r] + scheme.width
+            out.append(_work(number, -1, b"", row[r].astype(np.int32), local[r], sizes, b""))
         order = np.flatnonzero(sent)
         order = order[np.argsort(keys[order], kind="stable")]
         for b, i, j in C.by_bucket(keys[order], bits):
             o = order[i:j]
-            data = view.data[ragged(lo[o], hi[o] - lo[o])].tobytes()
-            blob = C.zstandard.ZstdCompressor(level=1).compress(data)
+            blob = C.zstandard.ZstdCompressor(level=1).compress(data[ragged(lo[o], hi[o] - lo[o])].tobytes())
             sizes = np.stack([hi[o] - lo[o], several[o].astype(np.int64)]).astype(np.int32)
-            out.append(_work("fragments", number, b, ids[row[o]], row[o].astype(np.int32), local[o], sizes, blob))
-    done = np.flatnonzero(~marked)
-    if len(done):
-        kept = [scheme.keep(bodies[k], view, k, None) for k in done]
-        shas = b"".join(hashlib.sha256(x).digest() for x in kept)
-        out.append(_work("done", number, ids=ids[done], sizes=(view.stop - view.at)[done], blob=shas))
-    left = np.flatnonzero(marked)
-    if len(left):
-        sizes, blob = C.pack_texts([bodies[k] for k in left])
-        out.append(_work("text", number, ids=ids[left], rows=left.astype(np.int32), sizes=sizes, blob=blob))
-    return pd.DataFrame(out, columns=["kind", "chunk", "bucket", "ids", "text_rows", "starts", "sizes", "blob"])
+            out.append(_work(number, b, ids[row[o]], row[o].astype(np.int32), local[o], sizes, blob))
+    return pd.DataFrame(out, columns=WORK_COLUMNS)
 
 
 def _compare(scheme: Scheme, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,7 +194,8 @@ def _compare(scheme: Scheme, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, row, start = np.frombuffer(r.ids, np.int64), np.frombuffer(r.text_rows, np.int32), np.frombuffer(r.starts, np.int64)
         parts.append((np.full(len(ids), r.chunk), ids, row, start, sizes[0].astype(np.int64), sizes[1] > 0, data))
     chunk, ids, row, start, size, several = (np.concatenate([p[k] for p in parts]) for k in range(6))
-    data = np.frombuffer(b"".join(p[6] for p in parts), np.uint8)
+    data = np.frombuffer(b"".join(p[6] for p in parts), scheme.dtype)
+    del parts
     windows, fragment = scheme.fragment_windows(data, np.concatenate([[0], np.cumsum(size)]))
     hit = scheme.repeated(windows, ids[fragment], several[fragment])
     # Flagged windows in a row become one span.
@@ -223,53 +218,32 @@ def _compare(scheme: Scheme, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "text_rows", "starts", "sizes"])
 
 
-RESULT = ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256", "kept"]
+RESULT = ["doc_id", "n_units", "n_removed", "n_spans", "kept"]
 
 
-def _finish(scheme: Scheme, keep_text: bool, texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    """Pass three over the texts of one chunk that share a key with others."""
+def _finish(scheme: Scheme, texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+    """Pass three over one chunk."""
+    if not len(texts):
+        raise RuntimeError("the input came out in another order when it was read again; write it to a table first")
+    ids = np.frombuffer(texts["ids"].iat[0], np.int64)
+    view = scheme.view(C.unpack_texts(texts["sizes"].iat[0], texts["blob"].iat[0]))
+    change = np.zeros(int(view.stop[-1]) + 2, np.int32)
+    for s in spans.itertuples():
+        lo = view.at[np.frombuffer(s.text_rows, np.int32)] + np.frombuffer(s.starts, np.int64)
+        np.add.at(change, lo, 1)
+        np.add.at(change, lo + np.frombuffer(s.sizes, np.int64), -1)
+    gone = np.cumsum(change) > 0
     out = []
-    for t in texts.itertuples():
-        ids, number = np.frombuffer(t.ids, np.int64), np.frombuffer(t.text_rows, np.int32)
-        bodies = C.unpack_texts(t.sizes, t.blob)
-        view = scheme.view(bodies)
-        change = np.zeros(int(view.stop[-1]) + 2, np.int32)
-        for s in spans.itertuples():
-            k = np.searchsorted(number, np.frombuffer(s.text_rows, np.int32))
-            lo = view.at[k] + np.frombuffer(s.starts, np.int64)
-            np.add.at(change, lo, 1)
-            np.add.at(change, lo + np.frombuffer(s.sizes, np.int64), -1)
-        gone = np.cumsum(change) > 0
-        for k, doc_id in enumerate(ids):
-            mine = gone[view.at[k] : view.stop[k]]
-            n_spans = int(np.count_nonzero(np.diff(np.concatenate([[0], mine.astype(np.int8)])) == 1))
-            kept = scheme.keep(bodies[k], view, k, ~mine)
-            sha = hashlib.sha256(kept).hexdigest()
-            text = kept.decode("utf-8", "replace") if keep_text else None
-            out.append((None if doc_id == C.NO_ID else doc_id, len(mine), int(mine.sum()), n_spans, sha, text))
-    found = pd.DataFrame(out, columns=RESULT)
-    return found.astype({"doc_id": "Int64"})
-
-
-def _done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, sizes, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            doc, n = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-            zero = np.zeros(len(doc), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc, mask=doc == C.NO_ID),
-                    pa.array(n),
-                    pa.array(zero),
-                    pa.array(zero),
-                    pa.array([blob[k : k + 32].hex() for k in range(0, len(blob), 32)], pa.string()),
-                ],
-                names=RESULT[:5],
-            )
+    for k, doc_id in enumerate(ids.tolist()):
+        mine = gone[view.at[k] : view.stop[k]]
+        n_spans = int(np.count_nonzero(np.diff(mine.astype(np.int8), prepend=0) == 1))
+        kept = scheme.keep(view, k, ~mine)
+        out.append((None if doc_id == C.NO_ID else doc_id, len(mine), int(mine.sum()), n_spans, kept))
+    return pd.DataFrame(out, columns=RESULT).astype({"doc_id": "Int64"})
 
 
 def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_units, n_removed, n_spans, and what is kept (bytes) of every row."""
     spark = docs.sparkSession
     bits = C.bucket_bits(spark)
     read = C.read_columns(docs, id_col, text_col)
@@ -281,14 +255,14 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str)
         .applyInPandas(lambda t, a: _fragments(scheme, bits, t, a), WORK),
         "work",
     )
-    found = work.where("kind = 'fragments'").groupBy("bucket").applyInPandas(lambda p: _compare(scheme, p), SPANS)
-    settled = work.where("kind = 'spans'").select("chunk", "text_rows", "starts", "sizes")
-    spans = found.unionByName(settled)  # in this order: the columns of the co-grouped tables must not be the same ones
-    schema = "doc_id bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    finished = (
-        work.where("kind = 'text'")
+    del answers
+    release(spark)
+    found = work.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda p: _compare(scheme, p), SPANS)
+    spans = found.unionByName(work.where("bucket < 0").select("chunk", "text_rows", "starts", "sizes"))
+    schema = "doc_id bigint, n_units bigint, n_removed bigint, n_spans bigint, kept binary"
+    return (
+        C.packed_texts(read)
         .groupBy("chunk")
         .cogroup(spans.groupBy("chunk"))
-        .applyInPandas(lambda t, s: _finish(scheme, False, t, s)[RESULT[:5]], schema)
+        .applyInPandas(lambda t, s: _finish(scheme, t, s), schema)
     )
-    return finished.unionByName(work.where("kind = 'done'").select("ids", "sizes", "blob").mapInArrow(_done, schema))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -56,6 +57,12 @@ def ship(spark: SparkSession) -> None:
     context._corpus_shipped = True
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of passes whose results are written: Spark drops them when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table, and this package on the workers."""
     ship(spark)
