@@ -150,5 +150,5 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table gives an empty result. Only the two named columns are read.
     """
     found = remove_repeats(docs, RepeatedWords(width), id_col, text_col)
-    kept = F.decode("kept", F.lit("UTF-8")).alias("kept")
+    kept = F.col("kept").cast("string").alias("kept")
     return found.withColumnRenamed("n_units", "n_words").select("doc_id", "n_words", "n_removed", "n_spans", kept)
