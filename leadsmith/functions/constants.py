@@ -232,10 +232,18 @@ DELIVERY_THROTTLE_AFTER_429 = 3
 DELIVERY_RESPONSE_TEXT_CHARS = 500
 PAYLOAD_SOURCE_LABEL = "CSV Merger"
 
+# Messages of the failure log, and of status updates while sending.
+LOG_FAILURE_MESSAGE = "Webhook failed for record %d after %d attempts: HTTP %d"
+LOG_EXCEPTION_MESSAGE = "Webhook exception for record %d after %d attempts: %s"
+STATUS_SENDING_MESSAGE = "Sent record %d of %d"
+
+# Name of a processed export.
+EXPORT_NAME = "{table_type}_leads_processed_{stamp}.csv"
+EXPORT_STAMP = "%Y-%m-%d_%H-%M"
+
 # Logs: retention and default query window.
 LOG_RETENTION_DAYS = 7
 LOG_DEFAULT_LIMIT = 1000
-LOG_SUMMARY_LIMIT = 10000
 
 # Progress band used while delivering, and ETA window.
 PROGRESS_BASE = 80
@@ -248,10 +256,8 @@ STUCK_MIN_POLLS = 10
 STUCK_WARN_S = 120
 STUCK_ALERT_S = 300
 
-# Composite-sample scan and header-sample sizes (sampling operators).
-PROFILE_HEADER_ROWS = 100
+# Rows of the composite-sample scan (a sampling operator).
 PROFILE_SAMPLE_ROWS = 1000
-HEAD_PER_SOURCE = 5
 
 # ---------------------------------------------------------------------------
 # END FIXED VALUES

@@ -3,11 +3,11 @@
 Plan shape (skew-safe, no group is ever collected):
 
 1. key column (``concat_ws`` over non-missing key parts, else ``unique_<row>``);
-2. aggregate by (key, Source) with map-side partials: per column the best
-   candidate ``max(struct(length, -row, value))``, the row count, the first row;
-3. aggregate by key: ``max`` of the candidates (exact: max is associative),
-   sum of counts, and the (first_row, Source) pairs — at most one per source
-   file, so the only list that is built is bounded by the number of files.
+2. one aggregate by key with map-side partials: per column the best candidate
+   ``max(struct(length, -row, value))``, the row count, the first row, and the
+   set of (file ordinal, Source), at most one entry per source file. The file
+   ordinal is the high bits of ``_row`` (see ``sources.csv_scan``), so the order
+   of first appearance needs no aggregate of its own.
 
 A key holding a third of all rows is reduced to one row per map task before
 the first exchange, so no task ever sees the hot group whole.
@@ -55,37 +55,38 @@ def _best(c: Column, normalized: bool = False) -> Column:
     return F.when(~m7(c), F.struct(F.length(t).alias("n"), (-F.col(ROW)).alias("r"), t.alias("v")))
 
 
-def merge_duplicates(keyed: DataFrame, normalized: bool = False) -> DataFrame:
-    """A4/A5: one row per key, columns in input order, plus _key (for ordering) and _n.
+FILE_BITS = 33
 
-    A row's raw value is carried only where it differs from its best candidate
-    (size-1 groups output the raw value), which keeps the exchanged rows small.
-    """
-    cols = _data_cols(keyed)
-    other = [c for c in cols if c != "Source"]
-    ids = {c: f"__c{i}" for i, c in enumerate(other)}
-    has_source = "Source" in cols
 
-    lvl1 = [F.count(F.lit(1)).alias("__n"), F.min(ROW).alias("__first")]
-    for c in other:
+def partial_aggs(cols: list[str], normalized: bool = False) -> list[Column]:
+    """Aggregates of one batch of keyed rows; ``fold_aggs`` folds any number of their results."""
+    aggs = [F.count(F.lit(1)).alias("__n"), F.min(ROW).alias("__first")]
+    for i, c in enumerate(c for c in cols if c != "Source"):
         best = _best(C(c), normalized)
-        lvl1.append(F.max(best).alias(ids[c] + "b"))
-        lvl1.append(F.any_value(F.when(best.isNull() | (best["v"] != C(c)), C(c))).alias(ids[c] + "r"))
-    groups = [KEY] + (["Source"] if has_source else [])
-    part = keyed.groupBy(*groups).agg(*lvl1)
-
-    lvl2 = [F.sum("__n").alias("__n"), F.min("__first").alias(ROW)]
-    for c in other:
-        lvl2.append(F.max(ids[c] + "b").alias(ids[c] + "b"))
-        lvl2.append(F.any_value(ids[c] + "r").alias(ids[c] + "r"))
-    if has_source:
-        src_ok = ~m7(C("Source"))
-        lvl2.append(F.collect_list(F.when(src_ok, F.struct(F.col("__first").alias("f"),
-                                                             strip(C("Source")).alias("s")))).alias("__srcs"))
-        lvl2.append(F.any_value(C("Source")).alias("__src_raw"))
-    whole = part.groupBy(KEY).agg(*lvl2)
-
+        aggs.append(F.max(best).alias(f"__c{i}b"))
+        # the raw value is carried only where it differs from its candidate: rows stay small
+        aggs.append(F.any_value(F.when(best.isNull() | (best["v"] != C(c)), C(c))).alias(f"__c{i}r"))
+    if "Source" in cols:
+        at = F.struct(F.shiftright(ROW, FILE_BITS).alias("f"), strip(C("Source")).alias("s"))
+        aggs.append(F.collect_set(F.when(~m7(C("Source")), at)).alias("__srcs"))
+        aggs.append(F.any_value(C("Source")).alias("__src_raw"))
+    return aggs
+
+
+def fold_aggs(cols: list[str]) -> list[Column]:
+    aggs = [F.sum("__n").alias("__n"), F.min("__first").alias("__first")]
+    for i in range(len([c for c in cols if c != "Source"])):
+        aggs += [F.max(f"__c{i}b").alias(f"__c{i}b"), F.any_value(f"__c{i}r").alias(f"__c{i}r")]
+    if "Source" in cols:
+        aggs += [F.array_distinct(F.flatten(F.collect_list("__srcs"))).alias("__srcs"),
+                 F.any_value("__src_raw").alias("__src_raw")]
+    return aggs
+
+
+def merged_rows(whole: DataFrame, cols: list[str]) -> DataFrame:
+    """Final records from the aggregates of whole keys: size-1 groups keep their raw values."""
     single = F.col("__n") == 1
+    ids = {c: f"__c{i}" for i, c in enumerate(c for c in cols if c != "Source")}
     out = []
     for c in cols:
         if c == "Source":
@@ -93,9 +94,15 @@ def merge_duplicates(keyed: DataFrame, normalized: bool = False) -> DataFrame:
             out.append(F.when(single, F.col("__src_raw")).otherwise(merged).alias("Source"))
         else:
             best_v = F.col(ids[c] + "b")["v"]
-            raw = F.when(F.col(ids[c] + "r").isNotNull(), F.col(ids[c] + "r")).otherwise(best_v)
+            raw = F.coalesce(ids[c] + "r", best_v)
             out.append(F.when(single, raw).otherwise(F.coalesce(best_v, F.lit(""))).alias(c))
-    return whole.select(*out, F.col(ROW), F.col(KEY), F.col("__n").alias("_n"))
+    return whole.select(*out, F.col("__first").alias(ROW), F.col(KEY), F.col("__n").alias("_n"))
+
+
+def merge_duplicates(keyed: DataFrame, normalized: bool = False) -> DataFrame:
+    """A4/A5: one row per key, columns in input order, plus _key (for ordering) and _n."""
+    cols = _data_cols(keyed)
+    return merged_rows(keyed.groupBy(KEY).agg(*partial_aggs(cols, normalized)), cols)
 
 
 def deduplicate(df: DataFrame, table_type: str, normalized: bool = False) -> DataFrame:

@@ -1,16 +1,19 @@
 """Per-record delivery sink with retries and a shared rate budget.
 
-Delivery is network I/O, so this is the one place with per-row Python: each
-partition sends its records in order through an injected transport inside
-``mapInPandas`` and emits one result row per record. The global rate is split
-evenly over the partitions, and throttle state (3 x 429 since the last 200 ->
-slower rate, sticky) lives per partition. Results are an ordinary DataFrame
-that feeds the delivery analytics and the failure log.
+Delivery is network I/O, so this is the one place with per-row Python: an
+explicit number of senders, no larger than the tasks that run at one time,
+share the job's rate, and each sends its records in order through an injected
+transport inside ``mapInPandas``. Throttle state (3 x 429 since the last 200 ->
+slower rate, sticky) lives per sender; the throttled rate is shared out like
+the full one. Results are log events as well (``ts``, ``log_id``), so the
+failure log and the status updates are appended to the log store and read by
+the log and status operators.
+
+Delivery is at least once: a task that is run again sends its records again.
 """
 
 from __future__ import annotations
 
-import json
 import random
 import time
 import urllib.error
@@ -24,11 +27,14 @@ from pyspark.sql import functions as F
 from ..functions.constants import (
     DELIVERY_429_PAUSE_S, DELIVERY_BACKOFF_BASE_S, DELIVERY_DEFAULT_RATE, DELIVERY_JITTER,
     DELIVERY_MAX_ATTEMPTS, DELIVERY_RESPONSE_TEXT_CHARS, DELIVERY_THROTTLE_AFTER_429,
-    DELIVERY_THROTTLED_RATE,
+    DELIVERY_THROTTLED_RATE, ETA_MIN_SAMPLES, ETA_WINDOW, LOG_EXCEPTION_MESSAGE, LOG_FAILURE_MESSAGE,
+    PROGRESS_BASE, PROGRESS_SPAN, STATUS_SENDING_MESSAGE,
 )
 
 RESULT_SCHEMA = ("job_id string, record_number long, ok boolean, status_code int, attempts int, "
-                 "error_type string, response_text string, throttled boolean, duration double")
+                 "error_type string, response_text string, exception_type string, throttled boolean, "
+                 "duration double, finished double")
+RESULT_COLUMNS = [f.split()[0] for f in RESULT_SCHEMA.split(", ")]
 
 # transport(payload_json, record_number, attempt) -> (status_code, response_text)
 Transport = Callable[[str, int, int], "tuple[int, str]"]
@@ -49,137 +55,125 @@ def http_transport(url: str, timeout: float = 30.0) -> Transport:
 
 class _Sender:
     def __init__(self, transport: Transport, rate: float, max_attempts: int,
-                 sleep: Callable[[float], None], rng: random.Random):
+                 sleep: Callable[[float], None], rng: random.Random,
+                 throttled_rate: float = DELIVERY_THROTTLED_RATE):
         self.transport, self.rate, self.max_attempts = transport, rate, max_attempts
+        self.throttled_rate = throttled_rate
         self.sleep, self.rng = sleep, rng
         self.n429 = 0
         self.throttled = False
 
     def send(self, payload: str, rn: int):
-        status, text, err = None, None, None
+        status, text, err, exc = None, None, None, None
         for attempt in range(self.max_attempts):
             last = attempt == self.max_attempts - 1
             try:
                 status, text = self.transport(payload, rn, attempt)
                 if status == 200:
                     self.n429 = 0
-                    return True, status, attempt + 1, None, None
+                    return True, status, attempt + 1, None, None, None
                 if status == 429:
                     self.n429 += 1
                     if self.n429 >= DELIVERY_THROTTLE_AFTER_429 and not self.throttled:
                         self.throttled = True
-                        self.rate = min(self.rate, DELIVERY_THROTTLED_RATE)
+                        self.rate = min(self.rate, self.throttled_rate)
                     err = "HTTP_429"
                     if not last:
                         self.sleep(DELIVERY_429_PAUSE_S)
                         continue
-                    return False, status, attempt + 1, err, None
-                err = f"HTTP_{status}"
+                    return False, status, attempt + 1, err, None, None
+                err, exc = f"HTTP_{status}", None
             except Exception as e:  # noqa: BLE001 — transport failure is a result, not a crash
-                status, text, err = None, f"{type(e).__name__}: {e}", "EXCEPTION"
+                status, text, err, exc = None, str(e), "EXCEPTION", type(e).__name__
             if not last:
                 self.sleep((2 ** attempt) * DELIVERY_BACKOFF_BASE_S * self.rng.uniform(*DELIVERY_JITTER))
-        return False, status, self.max_attempts, err, (text or "")[:DELIVERY_RESPONSE_TEXT_CHARS] or None
+        if exc is None:
+            text = (text or "")[:DELIVERY_RESPONSE_TEXT_CHARS] or None
+        return False, status, self.max_attempts, err, text, exc
 
 
 def deliver(payloads: DataFrame, job_id: str, transport_factory: Callable[[], Transport],
             rate: float = DELIVERY_DEFAULT_RATE, partitions: int | None = None,
             max_attempts: int = DELIVERY_MAX_ATTEMPTS, sleep: Callable[[float], None] | None = None,
-            seed: int = 0) -> DataFrame:
+            seed: int = 0, clock: Callable[[], float] | None = None) -> DataFrame:
     """Send every payload; returns one result row per record.
 
-    ``payloads`` has (record_number, payload). The global ``rate`` (req/s) is
-    divided over the partitions, so the whole job never exceeds it. Sending
-    happens when the result is evaluated: write or checkpoint it once (as
+    ``payloads`` has (record_number, payload). ``partitions`` senders share
+    ``rate`` (req/s); by default, and at most, as many as tasks run together,
+    so that the budget is neither exceeded nor left unused. Sending happens
+    when the result is evaluated: write or checkpoint it once (as
     ``plans.pipeline.deliver_job`` does) instead of evaluating it twice.
     """
-    src = payloads.select("record_number", "payload")
-    if partitions:
-        src = src.repartition(int(partitions), "record_number")
-    n_parts = max(1, src.rdd.getNumPartitions())
-    per_part_rate = float(rate) / n_parts
+    cores = payloads.sparkSession.sparkContext.defaultParallelism
+    senders = max(1, min(int(partitions or cores), cores))
+    src = payloads.select("record_number", "payload").repartition(senders, "record_number")
+    own_rate, own_throttled = float(rate) / senders, float(DELIVERY_THROTTLED_RATE) / senders
     do_sleep = sleep if sleep is not None else time.sleep
+    now = clock if clock is not None else time.time
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        sender = _Sender(transport_factory(), per_part_rate, max_attempts, do_sleep, random.Random(seed + pid))
+        sender = _Sender(transport_factory(), own_rate, max_attempts, do_sleep, random.Random(seed + pid), own_throttled)
         for pdf in batches:
             out = []
             for rn, body in zip(pdf["record_number"].tolist(), pdf["payload"].tolist()):
                 t0 = time.perf_counter()
-                ok, status, attempts, err, text = sender.send(body, int(rn))
+                ok, status, attempts, err, text, exc = sender.send(body, int(rn))
                 took = time.perf_counter() - t0  # send + retries, not the rate pause
-                out.append((job_id, int(rn), ok, status, attempts, err, text, sender.throttled, took))
+                out.append((job_id, int(rn), ok, status, attempts, err, text, exc, sender.throttled, took, now()))
                 do_sleep(1.0 / sender.rate if sender.rate > 0 else 0.0)
-            yield pd.DataFrame(out, columns=["job_id", "record_number", "ok", "status_code", "attempts",
-                                             "error_type", "response_text", "throttled", "duration"])
+            yield pd.DataFrame(out, columns=RESULT_COLUMNS)
 
     return src.sortWithinPartitions("record_number").mapInPandas(run, RESULT_SCHEMA)
 
 
+def _event_time(ts=None):
+    """UTC wall-clock time at which the record was done, as the log store keeps it."""
+    if ts is not None:
+        return F.lit(ts).cast("timestamp_ntz")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("finished").cast("decimal(18,6)"))
+
+
 def failure_log(results: DataFrame, url: str = "", max_attempts: int = DELIVERY_MAX_ATTEMPTS,
                 ts=None) -> DataFrame:
-    """One ERROR log row per record whose final attempt failed (429 exhaustion is not logged)."""
+    """One ERROR log event per record whose final attempt failed (429 exhaustion is not logged).
+
+    The rows have the log store's columns (``operators.logs.write_logs`` takes them as they are).
+    """
     failed = results.where(~F.col("ok") & (F.coalesce(F.col("status_code"), F.lit(0)) != 429))
     is_exc = F.col("error_type") == "EXCEPTION"
-    msg = F.when(is_exc, F.format_string("Webhook exception for record %d after %d attempts: %s",
-                                         "record_number", F.lit(max_attempts), F.col("response_text"))) \
-        .otherwise(F.format_string("Webhook failed for record %d after %d attempts: HTTP %d",
-                                   "record_number", F.lit(max_attempts), "status_code"))
-    meta = F.create_map(F.lit("status_code"), F.col("status_code").cast("string"),
-                        F.lit("response_text"), F.col("response_text"),
-                        F.lit("webhook_url"), F.lit(url))
-    stamp = F.current_timestamp() if ts is None else F.lit(ts).cast("timestamp")
-    return failed.select(stamp.alias("timestamp"), F.lit("ERROR").alias("level"), msg.alias("message"),
-                         "job_id", "error_type", "record_number", meta.alias("metadata"))
-
-
-def scripted_transport(codes: dict[int, list[int]], default: int = 200) -> Callable[[], Transport]:
-    """Test transport: per record a list of status codes by attempt (last one repeats)."""
-    def factory():
-        def send(payload, rn, attempt):
-            seq = codes.get(rn, [default])
-            code = seq[min(attempt, len(seq) - 1)]
-            return code, json.dumps({"code": code})
-        return send
-    return factory
-
-
-def rule_transport(fail_every: int = 11, throttle_every: int = 7) -> Callable[[], Transport]:
-    """Deterministic fake receiver: 500 for every `fail_every`-th record, one 429 then 200 for
-    every `throttle_every`-th record, 200 otherwise."""
-    def factory():
-        def send(payload, rn, attempt):
-            if fail_every and rn % fail_every == 0:
-                return 500, "server error"
-            if throttle_every and rn % throttle_every == 0 and attempt == 0:
-                return 429, "slow down"
-            return 200, "ok"
-        return send
-    return factory
-
-
-def delivery_status(results: DataFrame, rate: float = DELIVERY_DEFAULT_RATE) -> DataFrame:
+    msg = F.when(is_exc, F.format_string(LOG_EXCEPTION_MESSAGE, "record_number", F.lit(max_attempts), "response_text")) \
+        .otherwise(F.format_string(LOG_FAILURE_MESSAGE, "record_number", F.lit(max_attempts), "status_code"))
+    http = F.create_map(F.lit("status_code"), F.col("status_code").cast("string"),
+                        F.lit("response_text"), F.col("response_text"), F.lit("webhook_url"), F.lit(url))
+    raised = F.create_map(F.lit("exception_type"), F.col("exception_type"),
+                          F.lit("exception_message"), F.col("response_text"), F.lit("webhook_url"), F.lit(url))
+    return failed.select(F.col("record_number").alias("log_id"), _event_time(ts).alias("ts"), "record_number", "job_id",
+                         F.lit("ERROR").alias("level"), "error_type", "status_code", msg.alias("message"), "duration",
+                         F.to_json(F.when(is_exc, raised).otherwise(http), {"ignoreNullFields": "false"}).alias("metadata"))
+
+
+def delivery_status(results: DataFrame, rate: float = DELIVERY_DEFAULT_RATE, ts=None) -> DataFrame:
     """Per-record job-status updates from delivery results (W3 ETA, W4 progress, sent/total).
 
-    Windows are partitioned by job and ordered by record number; the job total
-    comes from a per-job count, so nothing runs in a single global task.
+    The record number is the number of records sent, so no row needs a place
+    among all of its job's; the last durations come from windows over blocks
+    of record numbers (see ``operators.logs.recent``). The updates carry ``ts``
+    and ``log_id``: ``operators.logs.status_merge`` folds them.
     """
-    from pyspark.sql import Window
-
-    from ..functions.constants import ETA_MIN_SAMPLES, ETA_WINDOW, PROGRESS_BASE, PROGRESS_SPAN
-
-    w = Window.partitionBy("job_id").orderBy("record_number")
-    seq = F.row_number().over(w)
-    total = F.count(F.lit(1)).over(Window.partitionBy("job_id"))
-    x = results.select("job_id", "record_number", "ok", "duration", seq.alias("sent"), total.alias("total"))
-    recent = F.avg("duration").over(w.rowsBetween(-(ETA_WINDOW - 1), 0))
-    remaining = F.col("total") - F.col("sent")
-    eta = F.when(F.col("sent") >= ETA_MIN_SAMPLES, remaining * recent).otherwise(remaining / F.lit(float(rate)))
-    progress = (F.lit(PROGRESS_BASE) + F.floor(F.col("sent") / F.col("total") * PROGRESS_SPAN)).cast("int")
-    return x.select("job_id", "record_number", F.lit("processing").alias("status"), progress.alias("progress"),
-                    eta.alias("estimated_seconds_remaining"), F.col("sent").cast("long").alias("webhooks_sent"),
-                    F.col("total").cast("long").alias("webhooks_total"))
+    from .logs import recent
+
+    totals = results.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    x = recent(results, "record_number", "duration", ETA_WINDOW).join(totals, "job_id")
+    sent, total = F.col("record_number"), F.col("total")
+    remaining = total - sent
+    eta = F.when(sent >= ETA_MIN_SAMPLES, remaining * F.col("recent_mean")).otherwise(remaining / F.lit(float(rate)))
+    progress = (F.lit(PROGRESS_BASE) + F.floor(sent / total * PROGRESS_SPAN)).cast("bigint")
+    message = F.format_string(STATUS_SENDING_MESSAGE, sent, total)
+    return x.select("job_id", "record_number", F.col("record_number").alias("log_id"), _event_time(ts).alias("ts"),
+                    F.lit("processing").alias("status"), progress.alias("progress"), message.alias("message"),
+                    eta.alias("estimated_seconds_remaining"), sent.cast("long").alias("webhooks_sent"),
+                    total.cast("long").alias("webhooks_total"))

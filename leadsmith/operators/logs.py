@@ -1,14 +1,20 @@
 """Structured logs and job status as ordinary tables.
 
 Log events: (log_id, ts, record_number, job_id, level, error_type, status_code,
-message, duration, metadata). All windows are partitioned by job, never global;
-global positions use per-partition counts + offsets (``global_index``).
+message, duration, metadata).
+
+One job may hold most events, so no window takes a job as its partition. A
+job's events are numbered within hours, with offsets from the hours' counts;
+everything that runs along a job then works on blocks of ``BLOCK`` numbers:
+running values add the totals of the blocks before (``running``), and windows
+over the last few rows get those few copied from the block before (``recent``,
+``with_previous``).
 """
 
 from __future__ import annotations
 
 import re
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +69,7 @@ def read_logs(spark, path: str) -> DataFrame:
 def query_logs(logs: DataFrame, start=None, end=None, job_id=None, level=None, error_type=None,
                limit: int | None = LOG_DEFAULT_LIMIT, as_of: datetime | None = None) -> DataFrame:
     """Inclusive time range, all given filters ANDed, newest first, top ``limit``."""
-    as_of = as_of or datetime.utcnow()
+    as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
     end = end or as_of
     start = start or (end - timedelta(days=LOG_RETENTION_DAYS))
     cond = F.col("ts").between(_ts(start), _ts(end))
@@ -116,25 +122,79 @@ def daily_errors(logs: DataFrame) -> DataFrame:
 
 # W2-W4 ----------------------------------------------------------------------
 
-def job_window() -> Window:
-    return Window.partitionBy("job_id").orderBy(*ORDER)
+BLOCK = 10_000
+
+
+def _offsets(parts: DataFrame, part: str, value: str, fold=F.sum) -> DataFrame:
+    """Per (job, part): ``__before``, the fold of ``value`` over the job's earlier parts (one row per part)."""
+    w = Window.partitionBy("job_id").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("__before", fold(value).over(w))
 
 
 def with_job_sequence(logs: DataFrame) -> DataFrame:
     """1-based record number per job, plus the job's total."""
-    return logs.withColumn("seq", F.row_number().over(job_window())) \
-        .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("job_id")))
+    x = logs.withColumn("__hour", F.date_trunc("hour", "ts"))
+    hours = x.groupBy("job_id", "__hour").agg(F.count(F.lit(1)).alias("__n"))
+    off = _offsets(hours, "__hour", "__n").withColumn("total", F.sum("__n").over(Window.partitionBy("job_id")))
+    x = x.join(off.select("job_id", "__hour", "__before", "total"), ["job_id", "__hour"])
+    seq = F.row_number().over(Window.partitionBy("job_id", "__hour").orderBy(*ORDER))
+    return x.withColumn("seq", seq + F.coalesce("__before", F.lit(0))).drop("__hour", "__before")
+
+
+def _block(seq: str = "seq"):
+    return F.floor((F.col(seq) - 1) / BLOCK)
+
+
+def running(df: DataFrame, value: Column, name: str, fold=F.sum, seq: str = "seq") -> DataFrame:
+    """``name``: the fold (sum or max) of ``value`` over the job's rows up to this one, nulls left out."""
+    x = df.withColumn("__block", _block(seq)).withColumn("__value", value)
+    totals = x.groupBy("job_id", "__block").agg(fold("__value").alias("__total"))
+    x = x.join(_offsets(totals, "__block", "__total", fold).select("job_id", "__block", "__before"), ["job_id", "__block"])
+    w = Window.partitionBy("job_id", "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    here = fold("__value").over(w)
+    both = F.coalesce(here, F.lit(0)) + F.coalesce("__before", F.lit(0)) if fold is F.sum else F.greatest(here, "__before")
+    return x.withColumn(name, both).drop("__block", "__value", "__before")
+
+
+def _overlapping(df: DataFrame, rows: int, seq: str) -> DataFrame:
+    """Every row in its block, and the last ``rows`` of each block once more, as ``__copy``, in the next one."""
+    x = df.withColumn("__block", _block(seq)).withColumn("__copy", F.lit(False))
+    last = (F.col(seq) - 1) % BLOCK >= BLOCK - rows
+    return x.unionByName(x.where(last).withColumn("__block", F.col("__block") + 1).withColumn("__copy", F.lit(True)))
+
+
+def recent(df: DataFrame, seq: str, value: str, n: int, unit: int | None = None) -> DataFrame:
+    """``recent_mean``: the mean of ``value`` over the job's last ``n`` rows up to this one.
+
+    ``unit`` sums whole units (hundredths for 100), which makes the mean independent of the order of addition.
+    """
+    w = Window.partitionBy("job_id", "__block").orderBy(seq).rowsBetween(-(n - 1), 0)
+    x = _overlapping(df, n - 1, seq)
+    if unit is None:
+        mean = F.avg(value).over(w)
+    else:
+        mean = F.sum(F.round(F.col(value) * unit).cast("bigint")).over(w) / F.count(F.lit(1)).over(w) / F.lit(float(unit))
+    return x.withColumn("recent_mean", mean).where(~F.col("__copy")).drop("__block", "__copy")
+
+
+def with_previous(df: DataFrame, value: str, name: str, seq: str = "seq") -> DataFrame:
+    """``name``: ``value`` of the job's row before this one (null on the first)."""
+    w = Window.partitionBy("job_id", "__block").orderBy(seq)
+    x = _overlapping(df, 1, seq).withColumn(name, F.lag(value).over(w))
+    return x.where(~F.col("__copy")).drop("__block", "__copy")
 
 
 def delivery_eta(seq: DataFrame, rate: float = DELIVERY_DEFAULT_RATE) -> DataFrame:
     """Mean of the last 10 durations x remaining (>= 3 samples), else remaining / rate."""
-    w10 = job_window().rowsBetween(-(ETA_WINDOW - 1), 0)
     remaining = F.col("total") - F.col("seq")
+    x = _overlapping(seq, ETA_WINDOW - 1, "seq")
+    w = Window.partitionBy("job_id", "__block").orderBy("seq").rowsBetween(-(ETA_WINDOW - 1), 0)
     # mean in integer hundredths (durations carry two decimals), so the value is exact and order-free
-    cents = F.sum(F.round(F.col("duration") * 100).cast("bigint")).over(w10)
-    mean_x_remaining = remaining * cents / F.count(F.lit(1)).over(w10) / F.lit(100.0)
+    cents = F.sum(F.round(F.col("duration") * 100).cast("bigint")).over(w)
+    x = x.withColumn("__cents", cents).withColumn("__k", F.count(F.lit(1)).over(w)).where(~F.col("__copy"))
+    mean_x_remaining = remaining * F.col("__cents") / F.col("__k") / F.lit(100.0)
     eta = F.when(F.col("seq") >= ETA_MIN_SAMPLES, mean_x_remaining).otherwise(remaining / F.lit(float(rate)))
-    return seq.select("job_id", "log_id", "seq", eta.alias("eta_seconds"))
+    return x.select("job_id", "log_id", "seq", eta.alias("eta_seconds"))
 
 
 def delivery_progress(seq: DataFrame) -> DataFrame:
@@ -148,18 +208,6 @@ def delivery_progress(seq: DataFrame) -> DataFrame:
 STATUS_FIELDS = ["status", "progress", "message"]
 
 
-def status_updates(logs: DataFrame) -> DataFrame:
-    """Partial status updates derived from log events (absent field = null)."""
-    seq = with_job_sequence(logs)
-    return seq.select(
-        "job_id", "ts", "log_id",
-        F.when(F.col("level") == "ERROR", F.lit("failed")).when(F.col("level") == "WARNING", F.lit("processing"))
-        .alias("status"),
-        F.least(F.lit(100), F.floor(F.col("seq") / 15) * 10).cast("bigint").alias("progress"),
-        F.when(F.col("level") != "INFO", F.col("message")).alias("message"),
-    )
-
-
 def status_merge(updates: DataFrame, fields=STATUS_FIELDS) -> DataFrame:
     """Per job, each field's latest non-null value (last write wins, absent fields persist)."""
     order = F.struct("ts", "log_id")
@@ -181,12 +229,14 @@ def recent_jobs(status: DataFrame, n: int = 20) -> DataFrame:
 
 def stuck_jobs(updates: DataFrame, min_polls: int = STUCK_MIN_POLLS,
                warn_s: int = STUCK_WARN_S, alert_s: int = STUCK_ALERT_S) -> DataFrame:
-    """Runs of unchanged progress (< 100) longer than min_polls; warn/alert by duration."""
-    w = job_window()
-    changed = F.when(F.lag("progress").over(w) == F.col("progress"), 0).otherwise(1)
-    isl = updates.withColumn("chg", changed).withColumn("island", F.sum("chg").over(w))
-    runs = isl.groupBy("job_id", "island").agg(
-        F.first("progress").alias("progress"), F.count(F.lit(1)).alias("polls"),
+    """Runs of unchanged progress (< 100) seen again more than min_polls times; warn/alert by duration.
+
+    ``updates`` carry ``seq``, their number within the job (``with_job_sequence``).
+    """
+    x = with_previous(updates, "progress", "__was")
+    x = running(x, F.when(F.col("__was") == F.col("progress"), 0).otherwise(1), "island")
+    runs = x.groupBy("job_id", "island").agg(
+        F.min("progress").alias("progress"), (F.count(F.lit(1)) - 1).alias("polls"),
         F.min("ts").alias("since"), F.max("ts").alias("until"))
     floor_s = lambda c: F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
     secs = floor_s("until") - floor_s("since")
@@ -201,13 +251,10 @@ def stuck_jobs(updates: DataFrame, min_polls: int = STUCK_MIN_POLLS,
 
 def throttle_events(logs: DataFrame, after: int = 3) -> DataFrame:
     """First event per job where >= `after` 429s occurred since the last 200 (sticky)."""
-    w = job_window()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    epoch = F.sum(F.when(F.col("status_code") == 200, 1).otherwise(0)).over(upto)
-    x = logs.withColumn("epoch", epoch)
-    w2 = Window.partitionBy("job_id", "epoch").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("n429", F.sum(F.when(F.col("status_code") == 429, 1).otherwise(0)).over(w2))
-    hit = x.where(F.col("n429") >= after)
+    x = running(with_job_sequence(logs), F.when(F.col("status_code") == 429, 1).otherwise(0), "n429")
+    # the 429s counted when the last 200 came in: counts only grow, so that is the largest one at a 200
+    x = running(x, F.when(F.col("status_code") == 200, F.col("n429")), "at200", F.max)
+    hit = x.where(F.col("n429") - F.coalesce("at200", F.lit(0)) >= after)
     return hit.groupBy("job_id").agg(F.min_by("log_id", F.struct(*ORDER)).alias("first_throttled_log_id"),
                                      F.min("ts").alias("throttled_at"))
 

@@ -33,13 +33,20 @@ def record_emails(df: DataFrame) -> Column:
     return F.array_distinct(F.flatten(F.array(*[split_multi_emails(C(c)) for c in ecols])))
 
 
-def number_emails(df: DataFrame, max_n: int | None = None) -> DataFrame:
-    """Company Email 1..n columns (n = largest list size, found by one aggregate)."""
-    arr = record_emails(df)
-    x = df.withColumn("__emails", arr)
-    if max_n is None:
-        max_n = x.agg(F.max(F.size("__emails"))).first()[0] or 0
-    return x.select(*df.columns, *[F.get("__emails", i).alias(f"Company Email {i + 1}") for i in range(max_n)])
+def number_emails(df: DataFrame) -> DataFrame:
+    """The record's distinct addresses as ``__emails``; ``payloads`` gives it its own Company Email 1..n."""
+    return df.withColumn("__emails", record_emails(df))
+
+
+def email_fields(emails: Column) -> Column:
+    """Map 'Company Email k' -> k-th address: as many keys as the record has addresses."""
+    return F.map_from_entries(F.transform(emails, lambda e, i: F.struct(
+        F.concat(F.lit("Company Email "), (i + 1).cast("string")).alias("key"), e.alias("value"))))
+
+
+def _inner(json: Column) -> Column:
+    """What stands between the braces of a JSON object; null if nothing does."""
+    return F.when(F.length(json) > 2, F.substring(json, F.lit(2), F.length(json) - 2))
 
 
 def _fields(cols, wanted) -> list[str]:
@@ -60,15 +67,23 @@ def _struct(cols) -> Column:
     return F.struct(*[C(c).alias(c) for c in cols]) if cols else F.struct(F.lit(None).alias("_"))
 
 
+def company_payload(df: DataFrame, record_number: Column, ts: Column) -> Column:
+    """Standard company fields, numbered e-mails, additional fields and metadata as one JSON object."""
+    cols = data_cols(df)
+    options = {"ignoreNullFields": "false"}
+    add = additional_map(cols)
+    meta = F.struct(record_number.alias("record_number"), ts.alias("timestamp"),
+                    F.lit(PAYLOAD_SOURCE_LABEL).alias("source"), F.size(add).alias("total_additional_fields"))
+    top = [c for c in cols if c in set(COMPANY_FIELDS) | {"Source"}]
+    parts = [_inner(F.to_json(_struct(top), options))] if top else []
+    if "__emails" in df.columns:
+        parts.append(_inner(F.to_json(email_fields(F.col("__emails")))))
+    parts.append(_inner(F.to_json(F.struct(add.alias("additional_fields"), meta.alias("_metadata")), options)))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def payload_struct(df: DataFrame, table_type: str, record_number: Column, ts: Column) -> Column:
     cols = data_cols(df)
-    emails = [c for c in cols if c.startswith("Company Email ")]
-    if table_type == "company":
-        top = [c for c in cols if c in set(COMPANY_FIELDS) | {"Source"} or c in emails]
-        add = additional_map(cols)
-        meta = F.struct(record_number.alias("record_number"), ts.alias("timestamp"),
-                        F.lit(PAYLOAD_SOURCE_LABEL).alias("source"), F.size(add).alias("total_additional_fields"))
-        return F.struct(*[C(c).alias(c) for c in top], add.alias("additional_fields"), meta.alias("_metadata"))
     if table_type == "people":
         add = additional_map(cols)
         meta = F.struct(record_number.alias("record_number"), ts.alias("timestamp"),
@@ -85,6 +100,9 @@ def payload_struct(df: DataFrame, table_type: str, record_number: Column, ts: Co
 def payloads(df: DataFrame, table_type: str, timestamp: int, record_col: str = "record_number") -> DataFrame:
     """(record_number, payload JSON text); nulls are kept as JSON null."""
     fixed = repair_headers(df)
-    p = payload_struct(fixed, table_type, F.col(record_col).cast("bigint"), F.lit(int(timestamp)).cast("bigint"))
-    return fixed.select(F.col(record_col).cast("bigint").alias("record_number"),
-                        F.to_json(p, {"ignoreNullFields": "false"}).alias("payload"))
+    number, stamp = F.col(record_col).cast("bigint"), F.lit(int(timestamp)).cast("bigint")
+    if table_type == "company":
+        body = company_payload(fixed, number, stamp)
+    else:
+        body = F.to_json(payload_struct(fixed, table_type, number, stamp), {"ignoreNullFields": "false"})
+    return fixed.select(number.alias("record_number"), body.alias("payload"))

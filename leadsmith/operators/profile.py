@@ -1,10 +1,12 @@
 """Column profile, junk-column filter and the default alias mapper.
 
-The profile looks at the first rows of each source only — that is the feature
-(a header sample of 100 rows, a composite-sample scan of 1000 rows). The
-"first N per source" cut is a ``row_number() <= N`` window, which Spark plans
-as a WindowGroupLimit before and after the exchange, so even a source holding
-a third of all rows ships at most N rows per map task.
+Only sample values come from the first rows of each file: that is the feature
+(the first row, a composite-sample scan of 1000 rows). The "first N per source"
+cut is a ``row_number() <= N`` window, which Spark plans as a WindowGroupLimit
+before and after the exchange, so even a source holding a third of all rows
+ships at most N rows per map task. Whether a column is empty, and so left out
+of the mapping, is one aggregate over all rows. A file is profiled over the
+columns of its own header.
 """
 
 from __future__ import annotations
@@ -14,8 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import C, is_hash_like, m8, strip
 from ..functions.constants import (
-    ALIASES, BOOLEANISH_SAMPLES, ID_TERMS, IMPORTANT_TERMS, PROFILE_HEADER_ROWS,
-    PROFILE_SAMPLE_ROWS, TRACKING_TERMS, UNWANTED_TERMS,
+    ALIASES, BOOLEANISH_SAMPLES, ID_TERMS, IMPORTANT_TERMS, PROFILE_SAMPLE_ROWS, TRACKING_TERMS, UNWANTED_TERMS,
 )
 
 ROW = "_row"
@@ -27,14 +28,43 @@ def head_per_group(df: DataFrame, group: str, order: str, n: int, pos: str = "__
     return df.withColumn(pos, F.row_number().over(w)).where(F.col(pos) <= n)
 
 
-def long_cells(df: DataFrame, cols: list[str], pos: str = "__pos") -> DataFrame:
+#: Columns per file, by header: (columns, file names). None: every file has all columns.
+Headers = list[tuple[list[str], list[str]]]
+
+
+def _own_cells(cols: list[str], headers: Headers | None, cell) -> Column:
+    """Array of ``cell(ordinal, column)`` over the columns of the row's own file."""
+    if headers is None:
+        return F.array(*[cell(i, c) for i, c in enumerate(cols)])
+    out = None
+    for own, files in headers:
+        wanted = set(own)
+        cells = F.array(*[cell(i, c) for i, c in enumerate(cols) if c in wanted])
+        here = C("Source").isin(files)
+        out = F.when(here, cells) if out is None else out.when(here, cells)
+    return out
+
+
+def long_cells(df: DataFrame, cols: list[str], pos: str = "__pos", headers: Headers | None = None) -> DataFrame:
     """Unpivot to (Source, ordinal, column_name, value, pos)."""
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), C(c).cast("string").alias("value"))
-        for i, c in enumerate(cols)
-    ])).alias("cell")
-    return df.select(C("Source"), F.col(pos), cells).select(
-        C("Source"), F.col(pos).alias("pos"), "cell.ordinal", "cell.column_name", "cell.value")
+    def cell(i, c):
+        return F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), C(c).cast("string").alias("value"))
+
+    x = df.select(C("Source"), F.col(pos), F.explode(_own_cells(cols, headers, cell)).alias("cell"))
+    return x.select(C("Source"), F.col(pos).alias("pos"), "cell.ordinal", "cell.column_name", "cell.value")
+
+
+def filled_counts(df: DataFrame, cols: list[str], headers: Headers | None = None) -> DataFrame:
+    """(Source, ordinal, non_null, not_blank) over all rows: one aggregate per file, then unpivoted."""
+    aggs = []
+    for i, c in enumerate(cols):
+        v = C(c).cast("string")
+        aggs += [F.count_if(v.isNotNull()).alias(f"__f{i}"), F.count_if(v.isNull() | (strip(v) != "")).alias(f"__b{i}")]
+    def cell(i, c):
+        return F.struct(F.lit(i).alias("ordinal"), F.col(f"__f{i}").alias("non_null"), F.col(f"__b{i}").alias("not_blank"))
+
+    wide = df.groupBy("Source").agg(*aggs)
+    return wide.select(C("Source"), F.explode(_own_cells(cols, headers, cell)).alias("cell")).select(C("Source"), "cell.*")
 
 
 def _contains_any(text: Column, terms) -> Column:
@@ -57,27 +87,23 @@ def is_useless_column(name: Column, sample: Column, unwanted_terms=None) -> Colu
     )
 
 
-def column_profile(df: DataFrame, header_rows: int = PROFILE_HEADER_ROWS,
-                   sample_rows: int = PROFILE_SAMPLE_ROWS, unwanted_terms=None) -> DataFrame:
-    """Per (Source, column): first value, composite sample, emptiness, junk flag, kept flag."""
+def column_profile(df: DataFrame, sample_rows: int = PROFILE_SAMPLE_ROWS, unwanted_terms=None,
+                   headers: Headers | None = None) -> DataFrame:
+    """Per (Source, column of its header): first value, composite sample, emptiness, junk flag, kept flag."""
     cols = [c for c in df.columns if c not in (ROW, "Source") and not c.startswith("__")]
-    head = head_per_group(df, "Source", ROW, max(header_rows, sample_rows))
-    cells = long_cells(head, cols)
+    head = head_per_group(df, "Source", ROW, sample_rows)
+    cells = long_cells(head, cols, headers=headers)
     v = F.col("value")
-    in_hdr = F.col("pos") <= header_rows
     in_smp = F.col("pos") <= sample_rows
     t = strip(v)
     prof = cells.groupBy("Source", "ordinal", "column_name").agg(
         F.min_by(F.coalesce(v, F.lit("")), F.col("pos")).alias("first_value"),
         F.max(F.when(in_smp & ~m8(v), F.struct(F.length(t).alias("n"), (-F.col("pos")).alias("p"),
                                                  t.alias("v")))).alias("best"),
-        F.count_if(in_hdr & v.isNotNull()).alias("non_null"),
-        F.count_if(in_hdr & (v.isNull() | (strip(v) != ""))).alias("not_blank"),
         F.count_if(in_smp & v.isNotNull()).alias("smp_non_null"),
         F.count_if(in_smp & (v.isNull() | (strip(v) != ""))).alias("smp_not_blank"),
-        F.count_if(in_hdr).alias("hdr_rows"),
         F.count_if(in_smp).alias("smp_rows"),
-    )
+    ).join(filled_counts(df, cols, headers), ["Source", "ordinal"])
     first = F.col("first_value")
     first_ok = ~m8(first)
     enriched_ok = (F.col("smp_rows") > 1) & (F.col("smp_non_null") > 0) & (F.col("smp_not_blank") > 0)
@@ -136,14 +162,22 @@ def alias_matches(profile: DataFrame, table_type: str) -> DataFrame:
     cols = profile.where("kept").select("Source", "ordinal", "column_name",
                                         header_key(F.col("column_name")).alias("alias"))
     j = cols.join(F.broadcast(al), "alias", "inner")
-    return j.groupBy("Source", "ordinal", "column_name", "std").agg(
-        F.min("std_ord").alias("std_ord"), F.min("alias_ord").alias("alias_ord"))
+    first = F.min(F.struct("std_ord", "alias_ord", "std")).alias("m")
+    return j.groupBy("Source", "ordinal", "column_name").agg(first).select(
+        "Source", "ordinal", "column_name", "m.std", "m.std_ord", "m.alias_ord")
 
 
-def mapped_spec_rows(matches: DataFrame) -> DataFrame:
-    """Default mapper: per (file, std) the 1st/2nd/3rd matching column become primary/secondary/tertiary."""
+def _ranked(matches: DataFrame) -> DataFrame:
     w = Window.partitionBy("Source", "std").orderBy("alias_ord", "ordinal")
-    ranked = matches.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return matches.withColumn("rank", F.row_number().over(w))
+
+
+def mapped_spec_rows(matches: DataFrame) -> DataFrame:
+    """Default mapper: per (file, std) the 1st/2nd/3rd matching column become primary/secondary/tertiary.
+
+    A mapping spec has these three places; ``left_over_columns`` lists the columns that find none.
+    """
+    ranked = _ranked(matches).where("rank <= 3")
     return ranked.select(
         F.col("Source").alias("filename"), "std", "std_ord",
         F.element_at(F.array(F.lit("primary"), F.lit("secondary"), F.lit("tertiary")), F.col("rank")).alias("priority"),
@@ -151,6 +185,12 @@ def mapped_spec_rows(matches: DataFrame) -> DataFrame:
     )
 
 
+def left_over_columns(matches: DataFrame) -> DataFrame:
+    """(filename, std, source_col) of matching columns beyond the three places; they stay as additional columns."""
+    return _ranked(matches).where("rank > 3").select(
+        F.col("Source").alias("filename"), "std", F.col("column_name").alias("source_col"))
+
+
 def spec_from_rows(rows) -> dict:
     """Metadata rows (filename, std, std_ord, priority, source_col) -> mapping spec dict."""
     files: dict = {}
@@ -160,6 +200,22 @@ def spec_from_rows(rows) -> dict:
     return {"mapped_files": [{"filename": f, "mapped_headers": mh} for f, mh in files.items()]}
 
 
+def header_set(catalog: DataFrame) -> DataFrame:
+    """The distinct header names of a header catalogue (no file body is read)."""
+    return catalog.select(F.col("header").alias("column_name")).distinct()
+
+
+def unmapped_headers(catalog: DataFrame, mapped: list[str]) -> DataFrame:
+    """Header names that the mapping spec does not use."""
+    return header_set(catalog).where(~F.col("column_name").isin(*mapped))
+
+
+def common_columns(profile: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Per file, the kept columns of its profile that its header holds."""
+    own = catalog.select(F.col("file_name").alias("Source"), F.col("header").alias("column_name"))
+    return profile.where("kept").select("Source", "column_name").join(own, ["Source", "column_name"], "left_semi")
+
+
 def term_hits(profile: DataFrame, unwanted_terms=None) -> DataFrame:
     """(column, unwanted term) pairs where the term occurs in the lower column name.
 

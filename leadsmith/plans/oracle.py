@@ -382,24 +382,23 @@ def is_useless(name: str, sample: str, unwanted=None) -> str:
             f"or (length({name}) - length(replace({name}, '/', ''))) > 2)")
 
 
-def profile_sql(base_sql: str, cols: list[str], header_rows=100, sample_rows=1000) -> str:
-    """base_sql yields cols + "Source" + _row."""
+def profile_sql(base_sql: str, cols: list[str], sample_rows=1000, headers=None) -> str:
+    """base_sql yields cols + "Source" + _row; headers: file -> its columns (None: all files have all)."""
     cells = ", ".join(f"{{'ordinal': {i}, 'column_name': {lit(c)}, 'value': cast({q(c)} as varchar)}}"
                       for i, c in enumerate(cols))
-    n = max(header_rows, sample_rows)
+    own = "true" if headers is None else " or ".join(
+        f"(\"Source\" = {lit(f)} and c.column_name in {inlist(cs)})" for f, cs in headers.items())
     t = strip("value")
     return f"""
-with base as materialized ({base_sql}),
-head as materialized (select * from (select *, row_number() over (partition by "Source" order by _row) as pos
-  from base) where pos <= {n}),
+with base as materialized (select *, row_number() over (partition by "Source" order by _row) as pos from ({base_sql})),
 cells as materialized (select "Source", pos, c.ordinal as ordinal, c.column_name as column_name, c.value as value
-  from (select "Source", pos, unnest([{cells}]) as c from head)),
+  from (select "Source", pos, unnest([{cells}]) as c from base) where {own}),
 prof as materialized (select "Source", ordinal, column_name,
   first(coalesce(value, '') order by pos) as first_value,
   first({t} order by length({t}) desc, pos) filter (where pos <= {sample_rows} and not {m8('value')}) as best_v,
   max(length({t})) filter (where pos <= {sample_rows} and not {m8('value')}) as best_n,
-  count_if(pos <= {header_rows} and value is not null) as non_null,
-  count_if(pos <= {header_rows} and (value is null or {t} <> '')) as not_blank,
+  count_if(value is not null) as non_null,
+  count_if(value is null or {t} <> '') as not_blank,
   count_if(pos <= {sample_rows} and value is not null) as smp_non_null,
   count_if(pos <= {sample_rows} and (value is null or {t} <> '')) as smp_not_blank,
   count_if(pos <= {sample_rows}) as smp_rows

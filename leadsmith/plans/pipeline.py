@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.dedup import KEY, deduplicate
@@ -12,7 +12,7 @@ from ..operators.standardize import ROW, standardize
 
 def clean_leads(merged: DataFrame, spec, table_type: str, record_limit: int | None = None,
                 keep_internal: bool = False) -> DataFrame:
-    """Phase 2 + Phase 3 as one lazy plan (one shuffle stage pair for the dedup).
+    """Phase 2 + Phase 3 as one lazy plan with one shuffle, on the dedup key.
 
     ``merged`` carries ``Source`` and a ``_row`` identity (see sources.csv_scan).
     The result is in dedup-key order only when a ``record_limit`` is requested
@@ -20,7 +20,7 @@ def clean_leads(merged: DataFrame, spec, table_type: str, record_limit: int | No
     """
     if table_type not in ("people", "company"):
         raise ValueError(f"table_type must be 'people' or 'company', got {table_type!r}")
-    std = standardize(spread(merged), spec, table_type)
+    std = standardize(merged, spec, table_type)
     enriched = enrich(std)
     deduped = deduplicate(enriched, table_type, normalized=True)
     final = clean_domains(deduped)
@@ -31,20 +31,6 @@ def clean_leads(merged: DataFrame, spec, table_type: str, record_limit: int | No
     return final
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give the row-local cleaning at least one partition per core.
-
-    Large inputs already arrive in many partitions (files / splits) and are
-    left alone; a source with fewer partitions than the cluster has cores
-    (one small export, a fixture) is spread round-robin, so the regex-heavy
-    narrow stage does not run on a single core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def output_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (ROW, KEY, "_n") and not c.startswith("__")]
 
@@ -85,39 +71,41 @@ def process_files(spark, paths, table_type: str, output_dir: str, job_id: str =
                   mapper: HeaderMapper | None = None, record_limit: int | None = None) -> dict:
     """Read CSV exports, map, clean, dedupe and write ``processed_<job_id>`` as CSV.
 
-    Returns the output path, the mapping spec used and the written record count.
-    The cleaned table is checkpointed once (to spark.checkpoint.dir) so the
-    write and the count do not recompute the dedup, and a lost executor only
-    recomputes its own partitions.
+    Returns the output path, the mapping spec used and the written record count
+    (counted by the write itself).
     """
     from ..operators.profile import column_profile
-    from ..sources.csv_scan import read_csv_files, write_csv
+    from ..sources.csv_scan import file_headers, read_csv_files, write_csv
 
     if table_type not in ("people", "company"):
         raise ValueError(f"table_type must be 'people' or 'company', got {table_type!r}")
     merged = read_csv_files(spark, paths)
-    spec = (mapper or AliasHeaderMapper()).map_headers(column_profile(merged), table_type)
+    profile = column_profile(merged, headers=file_headers(spark, paths))
+    spec = (mapper or AliasHeaderMapper()).map_headers(profile, table_type)
+    seen = Observation()
     final = clean_leads(merged, spec, table_type, record_limit=record_limit, keep_internal=True)
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    final = final.checkpoint(eager=True)
+    final = final.observe(seen, F.count(F.lit(1)).alias("records"))
     out = f"{output_dir.rstrip('/')}/processed_{job_id}"
     write_csv(final, out)
-    return {"path": out, "spec": spec, "records": final.count()}
+    return {"path": out, "spec": spec, "records": seen.get["records"]}
 
 
 def deliver_job(merged: DataFrame, spec, table_type: str, job_id: str, transport_factory,
-                rate: float = 10.0, partitions: int | None = None, timestamp: int | None = None, sleep=None):
+                rate: float = 10.0, partitions: int | None = None, timestamp: int | None = None, sleep=None,
+                log_path: str | None = None, status_path: str | None = None):
     """Process-and-deliver: clean, number, build payloads, send, and derive logs/status.
 
     Returns (results, failure_log, status_updates) DataFrames. Record numbers
-    follow the dedup-key order of the cleaned table.
+    follow the dedup-key order of the cleaned table. With ``log_path`` the
+    failures are appended to that log store, with ``status_path`` the status
+    updates to that table. Sends are at least once: results are written when
+    they are first evaluated and read from there, but a task that is run again
+    sends again.
     """
     import time as _time
 
     from ..operators.delivery import deliver, delivery_status, failure_log
-    from ..operators.logs import global_index
+    from ..operators.logs import global_index, write_logs
     from ..operators.payload import number_emails, payloads
 
     final = clean_leads(merged, spec, table_type, keep_internal=True)
@@ -126,5 +114,10 @@ def deliver_job(merged: DataFrame, spec, table_type: str, job_id: str, transport
     numbered = global_index(final, [KEY])
     pay = payloads(numbered, table_type, int(timestamp if timestamp is not None else _time.time()))
     results = deliver(pay, job_id, transport_factory, rate=rate, partitions=partitions, sleep=sleep)
-    results = results.checkpoint(eager=True)  # sends happen exactly once; later reads reuse the results
-    return results, failure_log(results), delivery_status(results, rate)
+    results = results.checkpoint(eager=True)
+    failures, status = failure_log(results), delivery_status(results, rate)
+    if log_path:
+        write_logs(failures, log_path)
+    if status_path:
+        status.write.mode("append").parquet(status_path)
+    return results, failures, status

@@ -451,7 +451,7 @@ _STATUS = (f"(select job_id, " + ", ".join(
 
 
 def _status(spark, sf):
-    return LG.status_merge(LG.status_updates(_logs(spark, sf)))
+    return LG.status_merge(FX.status_updates(_logs(spark, sf)))
 
 
 def _status_out(df):
@@ -479,12 +479,12 @@ def q_recent_jobs(spark, sf):
 
 @register("stuck_jobs", _L + "select job_id, progress, polls, stuck_seconds, case when stuck_seconds > 300 then 'alert' "
           "when stuck_seconds > 120 then 'warn' end as severity from (select job_id, any_value(progress) as progress, "
-          "count(*) as polls, cast(floor(epoch(max(ts))) as bigint) - cast(floor(epoch(min(ts))) as bigint) as stuck_seconds from "
+          "count(*) - 1 as polls, cast(floor(epoch(max(ts))) as bigint) - cast(floor(epoch(min(ts))) as bigint) as stuck_seconds from "
           "(select *, sum(chg) over (partition by job_id order by ts, log_id) as island from (select *, case when "
           "lag(progress) over (partition by job_id order by ts, log_id) = progress then 0 else 1 end as chg from "
           f"{_UPD})) group by job_id, island) where progress < 100 and polls > 10 and stuck_seconds > 120")
 def q_stuck_jobs(spark, sf):
-    return LG.stuck_jobs(LG.status_updates(_logs(spark, sf)))
+    return LG.stuck_jobs(FX.status_updates(_logs(spark, sf)))
 
 
 @register("throttle_events", _L + "select job_id, first(log_id order by ts, log_id) as first_throttled_log_id, "
@@ -521,7 +521,8 @@ def q_failure_log(spark, sf):
     lg = _logs(spark, sf)
     results = lg.select("job_id", "record_number", (F.col("status_code") == 200).alias("ok"), "status_code",
                         F.lit(3).alias("attempts"), F.concat(F.lit("HTTP_"), F.col("status_code").cast("string"))
-                        .alias("error_type"), F.col("message").alias("response_text"))
+                        .alias("error_type"), F.col("message").alias("response_text"),
+                        F.lit(None).cast("string").alias("exception_type"), "duration")
     fl = failure_log(results, ts=AS_OF)
     return fl.select("job_id", "record_number", "level", "message", "error_type")
 
@@ -681,7 +682,7 @@ _P_PROFILE_BASE = (f"select {', '.join(O.q(c) for c in P_COLS[2:])}, source as \
 _C_PROFILE_BASE = (f"select {', '.join(O.q(c) for c in C_COLS[2:])}, source as \"Source\", "
                    f"cast(row_idx as bigint) as _row from {_C_RAW}")
 _MT_TABLES = [("pages", "page_id", ["page_id", "url", "html"]),
-              ("events", "event_id", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
+              ("events", "event_id", ["event_id", "ts", "user_id", "event_type", "value", "props", "note"]),
               ("documents", "doc_id", ["doc_id", "text", "lang", "n_chars"])]
 _MT_COLS = []
 for _t, _id, _cs in _MT_TABLES:
@@ -689,8 +690,8 @@ for _t, _id, _cs in _MT_TABLES:
         if _c not in _MT_COLS:
             _MT_COLS.append(_c)
 _MT_BASE = " union all ".join(
-    "select " + ", ".join((f"cast({c} as varchar) as {O.q(c)}" if c in cs else f"cast(null as varchar) as {O.q(c)}")
-                          for c in _MT_COLS) + f", '{t}.csv' as \"Source\", cast({i} as bigint) as _row from {t}"
+    "select " + ", ".join("'  ' as note" if c == "note" and c in cs else f"cast({c} as varchar) as {O.q(c)}" if c in cs
+                          else f"cast(null as varchar) as {O.q(c)}" for c in _MT_COLS) + f", '{t}.csv' as \"Source\", cast({i} as bigint) as _row from {t}"
     for t, i, cs in _MT_TABLES)
 
 
@@ -699,12 +700,22 @@ def _mt_frame(spark, sf):
     out = None
     for t, i, cs in _MT_TABLES:
         df = FX.table(spark, sf, t)
+        if "note" in cs:  # a column that is blank in every row
+            df = df.withColumn("note", F.lit("  "))
         part = df.select(*[F.col(c).cast("string").alias(c) for c in cs], F.lit(f"{t}.csv").alias("Source"),
                          F.col(i).cast("bigint").alias("_row"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out.select(*[C(c) for c in _MT_COLS], "Source", "_row")
 
 
+_MT_HEADERS = {f"{t}.csv": cs for t, _, cs in _MT_TABLES}
+_MT_PROFILE = O.profile_sql(_MT_BASE, _MT_COLS, headers=_MT_HEADERS)
+
+
+def _mt_profile(spark, sf):
+    return PR.column_profile(_mt_frame(spark, sf), headers=[(cs, [f]) for f, cs in _MT_HEADERS.items()])
+
+
 _PROFILE_COLS = ["Source", "ordinal", "column_name", "first_value", "is_empty", "is_junk", "sample_value",
                  "non_null_count", "kept"]
 
@@ -718,40 +729,40 @@ def q_column_profile(spark, sf):
     return _prof_out(PR.column_profile(FX.people_raw(spark, sf)))
 
 
-@register("column_profile_tables", O.profile_sql(_MT_BASE, _MT_COLS))
+@register("column_profile_tables", _MT_PROFILE)
 def q_column_profile_tables(spark, sf):
-    return _prof_out(PR.column_profile(_mt_frame(spark, sf)))
+    return _prof_out(_mt_profile(spark, sf))
 
 
-@register("junk_columns", "select \"Source\", column_name, first_value from (" + O.profile_sql(_MT_BASE, _MT_COLS)
+@register("junk_columns", "select \"Source\", column_name, first_value from (" + _MT_PROFILE
           + ") where is_junk")
 def q_junk_columns(spark, sf):
-    return PR.column_profile(_mt_frame(spark, sf)).where("is_junk").select("Source", "column_name", "first_value")
+    return _mt_profile(spark, sf).where("is_junk").select("Source", "column_name", "first_value")
 
 
-@register("empty_columns", "select \"Source\", column_name from (" + O.profile_sql(_MT_BASE, _MT_COLS)
+@register("empty_columns", "select \"Source\", column_name from (" + _MT_PROFILE
           + ") where is_empty")
 def q_empty_columns(spark, sf):
-    return PR.column_profile(_mt_frame(spark, sf)).where("is_empty").select("Source", "column_name")
+    return _mt_profile(spark, sf).where("is_empty").select("Source", "column_name")
 
 
 @register("header_stats", "select count(*) as headers_before_filtering, count(distinct case when kept then column_name "
           "end) as headers_after_filtering, count(*) - count(distinct case when kept then column_name end) as "
           "headers_filtered_out, case when count(*) > 0 then round((count(*) - count(distinct case when kept then "
           "column_name end)) / count(*) * 100, 1) else 0.0 end as filtering_percentage from ("
-          + O.profile_sql(_MT_BASE, _MT_COLS) + ")")
+          + _MT_PROFILE + ")")
 def q_header_stats(spark, sf):
-    return PR.header_stats(PR.column_profile(_mt_frame(spark, sf)))
+    return PR.header_stats(_mt_profile(spark, sf))
 
 
 def _alias_sql(prof_sql, table_type):
     from ..functions.constants import ALIASES
     rows = ", ".join(f"({O.lit(a)}, {O.lit(std)}, {i}, {j})" for i, (std, al) in enumerate(ALIASES[table_type].items())
                      for j, a in enumerate(al))
-    return (f"select p.\"Source\", p.ordinal, p.column_name, a.std, min(a.std_ord) as std_ord, "
-            f"min(a.alias_ord) as alias_ord from ({prof_sql}) p "
-            f"join (values {rows}) a(alias, std, std_ord, alias_ord) on replace(lower({O.strip('p.column_name')}), '_', ' ') "
-            f"= replace(a.alias, '_', ' ') where p.kept group by all")
+    return (f"select \"Source\", ordinal, column_name, first(std order by std_ord, alias_ord) as std, min(std_ord) as std_ord, "
+            f"first(alias_ord order by std_ord, alias_ord) as alias_ord from (select p.\"Source\", p.ordinal, p.column_name, a.* "
+            f"from ({prof_sql}) p join (values {rows}) a(alias, std, std_ord, alias_ord) on "
+            f"replace(lower({O.strip('p.column_name')}), '_', ' ') = replace(a.alias, '_', ' ') where p.kept) group by \"Source\", ordinal, column_name")
 
 
 @register("alias_match", _alias_sql(O.profile_sql(_P_PROFILE_BASE, P_COLS[2:]), "people"))
@@ -771,47 +782,47 @@ def q_mapping_explode(spark, sf):
     return PR.mapped_spec_rows(PR.alias_matches(PR.column_profile(FX.people_raw(spark, sf)), "people"))
 
 
-@register("mapping_merge", "select std, priority, source_col, min(filename) as first_file from (" + _spec_rows_sql()
-          + ") group by all")
-def q_mapping_merge(spark, sf):
-    rows = PR.mapped_spec_rows(PR.alias_matches(PR.column_profile(FX.people_raw(spark, sf)), "people"))
-    return rows.groupBy("std", "priority", "source_col").agg(F.min("filename").alias("first_file"))
-
-
-@register("term_semi", "select distinct p.column_name, t.term from (" + O.profile_sql(_MT_BASE, _MT_COLS)
-          + ") p join (values " + ", ".join(f"({O.lit(t)})" for t in __import__("leadsmith").functions.constants.UNWANTED_TERMS)
-          + ") t(term) on contains(lower(p.column_name), t.term)")
-def q_term_semi(spark, sf):
-    return PR.term_hits(PR.column_profile(_mt_frame(spark, sf)))
-
-
-_HDR_P = f"(select distinct column_name from ({O.profile_sql(_P_PROFILE_BASE, P_COLS[2:])}))"
-_HDR_C = f"(select distinct column_name from ({O.profile_sql(_C_PROFILE_BASE, C_COLS[2:])}))"
-
-
-def _hdr(df):
-    return PR.column_profile(df).select("column_name")
+def _spec_values():
+    """The people spec's entries, written out by file, standard header and priority."""
+    rows = []
+    for i, f in enumerate(FX.PEOPLE_SPEC["mapped_files"]):
+        for j, (std, slots) in enumerate(f["mapped_headers"].items()):
+            rows += [(i, f["filename"], j, std, pr, slots[pr]) for pr in ("primary", "secondary", "tertiary") if pr in slots]
+    return "(values " + ", ".join(f"({i}, {O.lit(f)}, {j}, {O.lit(std)}, {O.lit(pr)}, {O.lit(c)})"
+                                  for i, f, j, std, pr, c in rows) + ") t(file_ord, filename, std_ord, std, priority, source_col)"
 
 
-@register("header_union", f"select column_name from {_HDR_P} union select column_name from {_HDR_C}")
-def q_header_union(spark, sf):
-    return _hdr(FX.people_raw(spark, sf)).union(_hdr(FX.company_raw(spark, sf))).distinct()
-
+_SPEC_FILL = ("select m.filename, m.std, m.priority, m.source_col, count(p.row_idx) as rows_in_file from (select * from "
+              + _spec_values() + f") m left join {_P_RAW} p on p.source = m.filename group by all")
 
-@register("header_intersect", f"select column_name from {_HDR_P} intersect select column_name from {_HDR_C}")
-def q_header_intersect(spark, sf):
-    return _hdr(FX.people_raw(spark, sf)).intersect(_hdr(FX.company_raw(spark, sf)))
 
+@register("mapping_table", _SPEC_FILL)
+def q_mapping_table(spark, sf):
+    """The mapping spec as a table, joined to the rows of the file that each entry maps."""
+    spec = S.mapping_table(spark, FX.PEOPLE_SPEC).select("filename", "std", "priority", "source_col")
+    sizes = FX.people_raw(spark, sf).groupBy(C("Source").alias("filename")).agg(F.count(F.lit(1)).alias("rows_in_file"))
+    return spec.join(sizes, "filename", "left").withColumn("rows_in_file", F.coalesce("rows_in_file", F.lit(0)).cast("bigint"))
 
-_MAPPED_P = sorted({c for s_ in S.plan_mappings(FX.PEOPLE_SPEC).values() for p in S.PRIORITIES for c in s_[p] if c})
 
+@register("mapping_merge", "select std, priority, source_col, min(file_ord) as first_file_ord, sum(rows_in_file)::bigint as "
+          f"rows_mapped from ({_SPEC_FILL}) join (select distinct filename, file_ord from {_spec_values()}) using (filename) "
+          "group by std, priority, source_col")
+def q_mapping_merge(spark, sf):
+    """The fold over all files' specs, one row per (standard header, priority, source column)."""
+    table = S.mapping_table(spark, FX.PEOPLE_SPEC)
+    merged = S.merged_mapping_table(table)
+    sizes = FX.people_raw(spark, sf).groupBy(C("Source").alias("filename")).agg(F.count(F.lit(1)).alias("n"))
+    rows = (table.join(sizes, "filename", "left").groupBy("std", "priority", "source_col")
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows_mapped")))
+    return merged.select("std", "priority", "source_col", F.col("first_seen.file_ord").alias("first_file_ord")).join(
+        rows, ["std", "priority", "source_col"])
 
-@register("header_except", f"select column_name from {_HDR_P} except select * from (values "
-          + ", ".join(f"({O.lit(c)})" for c in _MAPPED_P + ["Source"]) + ") m(column_name)")
-def q_header_except(spark, sf):
-    mapped = spark.createDataFrame([(c,) for c in _MAPPED_P + ["Source"]], "column_name string")
-    return _hdr(FX.people_raw(spark, sf)).subtract(mapped)
 
+@register("term_semi", "select distinct p.column_name, t.term from (" + _MT_PROFILE
+          + ") p join (values " + ", ".join(f"({O.lit(t)})" for t in __import__("leadsmith").functions.constants.UNWANTED_TERMS)
+          + ") t(term) on contains(lower(p.column_name), t.term)")
+def q_term_semi(spark, sf):
+    return PR.term_hits(_mt_profile(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -950,6 +961,33 @@ def q_payload_company(spark, sf):
     return PL.payloads(_numbered(_company_clean(spark, sf)), "company", PAYLOAD_TS)
 
 
+def _payload_emails_sql():
+    from ..functions.constants import COMPANY_FIELDS as CF, PAYLOAD_PERSON_FIELDS as PF
+    ch = O.raw_chain(FX.COMPANY_SQL, C_COLS)
+    O.standardize_step(ch, FX.COMPANY_SPEC, "company")
+    names = [c.replace("Linked In", "LinkedIn") for c in ch.cols]
+    add = _add_map(names, set(PF) | set(CF) | {"Source"})
+    rn = "row_number() over (order by _row)"
+    top = _json_struct([(c, O.q(c)) for c in names if c in set(CF) | {"Source"}])
+    meta = _json_struct([("record_number", rn), ("timestamp", f"cast({PAYLOAD_TS} as bigint)"), ("source", O.lit(PAYLOAD_SOURCE_LABEL)),
+                         ("total_additional_fields", f"cast(cardinality({add}) as integer)")])
+    tail = _json_struct([("additional_fields", add), ("_metadata", meta)])
+    inner = lambda j: f"substring(cast({j} as varchar), 2, length(cast({j} as varchar)) - 2)"
+    keys = (f"array_to_string(list_transform({_DISTINCT_EMAILS}, lambda e, i: '\"Company Email ' || i || '\":' || "
+            "cast(to_json(e) as varchar)), ',')")
+    return ch.sql(f"select {rn} as record_number, chr(123) || concat_ws(',', {inner(f'to_json({top})')}, nullif({keys}, ''), "
+                  f"{inner(f'to_json({tail})')}) || chr(125) as payload from {{prev}}")
+
+
+@register("payload_company_emails", _payload_emails_sql())
+def q_payload_company_emails(spark, sf):
+    """P9 + P12: each record's own Company Email 1..n, from the e-mail columns before they are blanked."""
+    from ..operators.logs import global_index
+
+    numbered = global_index(PL.number_emails(_c_std(spark, sf)), ["_row"])
+    return PL.payloads(numbered, "company", PAYLOAD_TS)
+
+
 @register("payload_generic", _payload_sql(FX.PEOPLE_SQL, P_COLS, FX.PEOPLE_SPEC, "people", "generic"))
 def q_payload_generic(spark, sf):
     return PL.payloads(_numbered(_people_clean(spark, sf)), "generic", PAYLOAD_TS)
@@ -1026,101 +1064,195 @@ def _run_dir(spark, name):
     return run_dir(spark, name)
 
 
+_EXPORT_B = [*reversed(_UB_B), "person_key"]
+
+
 def _write_exports(spark, sf):
     """Fixture P written as two CSV exports with different headers (crm_b: subset, reordered)."""
     from ..sources.csv_scan import write_csv
 
     base = _run_dir(spark, "exports")
-    p = FX.people_raw(spark, sf).orderBy("_row")
-    write_csv(p.where(C("Source") == "crm_a.csv").select(*P_COLS[2:]), f"{base}/crm_a", single_file=True)
-    write_csv(p.where(C("Source") == "crm_b.csv").select(*reversed(_UB_B), "person_key"), f"{base}/crm_b",
-              single_file=True)
+    p = FX.people_raw(spark, sf).repartition("Source").sortWithinPartitions("_row")
+    write_csv(p.where(C("Source") == "crm_a.csv").select(*P_COLS[2:]), f"{base}/crm_a.csv", single_file=True)
+    write_csv(p.where(C("Source") == "crm_b.csv").select(*_EXPORT_B), f"{base}/crm_b.csv", single_file=True)
     return base
 
 
-@register("csv_scan")
+def _na(c):
+    return f"case when {O.q(c)} in {O.inlist(NA_TOKENS)} or {O.q(c)} = '' then null else {O.q(c)} end"
+
+
+_EXPORTS = ("(select " + ", ".join(f"{_na(c)} as {O.q(c)}" for c in P_COLS[2:])
+            + f", source, row_idx from {_P_RAW} where source = 'crm_a.csv' union all select "
+            + ", ".join(f"{_na(c) if c in _EXPORT_B else 'null'}" for c in P_COLS[2:])
+            + f", source, row_idx from {_P_RAW} where source = 'crm_b.csv')")
+
+
+@register("csv_scan", "select " + ", ".join(O.q(c) for c in P_COLS[2:]) + f", source as \"Source\" from {_EXPORTS}")
 def q_csv_scan(spark, sf):
     from ..sources.csv_scan import read_csv_files
 
-    return read_csv_files(spark, [_write_exports(spark, sf)])
+    return read_csv_files(spark, [_write_exports(spark, sf)]).drop("_row")
 
 
-@register("header_catalog")
+@register("header_catalog", "select * from (values " + ", ".join(
+    f"({k}, {O.lit(f)}, {i}, {O.lit(h)})" for k, (f, hs) in enumerate((("crm_a.csv", P_COLS[2:]), ("crm_b.csv", _EXPORT_B)))
+    for i, h in enumerate(hs)) + ") t(file_ord, file_name, ordinal, header)")
 def q_header_catalog(spark, sf):
     from ..sources.csv_scan import header_catalog, list_csv_files
 
     base = _write_exports(spark, sf)
-    return header_catalog(spark, list_csv_files(spark, [base]))
+    return header_catalog(spark, list_csv_files(spark, [base])).drop("path")
+
+
+def _write_company_exports(spark, sf):
+    from ..sources.csv_scan import write_csv
+
+    base = _run_dir(spark, "company-exports")
+    c = FX.company_raw(spark, sf).repartition("Source").sortWithinPartitions("_row")
+    for k in range(3):
+        write_csv(c.where(C("Source") == f"export_{k}.csv").select(*C_COLS[2:]), f"{base}/export_{k}.csv", single_file=True)
+    return base
 
 
-@register("csv_sink")
+def _catalog(spark, *folders):
+    from ..sources.csv_scan import header_catalog, list_csv_files
+
+    return header_catalog(spark, list_csv_files(spark, list(folders)))
+
+
+def _names_sql(names):
+    return "(select * from (values " + ", ".join(f"({O.lit(c)})" for c in names) + ") h(column_name))"
+
+
+@register("header_union", f"select column_name from {_names_sql(P_COLS[2:])} union select column_name from {_names_sql(C_COLS[2:])}")
+def q_header_union(spark, sf):
+    return PR.header_set(_catalog(spark, _write_exports(spark, sf), _write_company_exports(spark, sf)))
+
+
+_KEPT_P = ("select \"Source\", column_name from (" + O.profile_sql(
+    "select " + ", ".join(O.q(c) for c in P_COLS[2:]) + f", source as \"Source\", row_idx as _row "
+    f"from {_EXPORTS}", P_COLS[2:], headers={"crm_a.csv": P_COLS[2:], "crm_b.csv": _EXPORT_B}) + ") where kept")
+
+
+@register("header_intersect", _KEPT_P)
+def q_header_intersect(spark, sf):
+    """The kept columns of the profile that the file's own header holds."""
+    from ..sources.csv_scan import file_headers, read_csv_files
+
+    base = _write_exports(spark, sf)
+    profile = PR.column_profile(read_csv_files(spark, [base]), headers=file_headers(spark, [base]))
+    return PR.common_columns(profile, _catalog(spark, base))
+
+
+_MAPPED_P = sorted({c for f in FX.PEOPLE_SPEC["mapped_files"] for m in f["mapped_headers"].values() for c in m.values()})
+
+
+@register("header_except", f"select column_name from {_names_sql(P_COLS[2:])} except select column_name from {_names_sql(_MAPPED_P)}")
+def q_header_except(spark, sf):
+    return PR.unmapped_headers(_catalog(spark, _write_exports(spark, sf)), _MAPPED_P)
+
+
+def _csv_sink_sql():
+    ch = O.raw_chain(FX.PEOPLE_SQL, P_COLS)
+    O.standardize_step(ch, FX.PEOPLE_SPEC, "people")
+    O.enrich_steps(ch)
+    O.dedup_step(ch, "people")
+    O.clean_domains_step(ch)
+    return ch.sql("select " + ", ".join(f"{_na(c)} as {O.q(c)}" for c in ch.cols if c != "Source")
+                  + ", 'people.csv' as \"Source\" from {prev}")
+
+
+@register("csv_sink", _csv_sink_sql())
 def q_csv_sink(spark, sf):
     from ..sources.csv_scan import read_csv_files, write_csv
 
-    out = _run_dir(spark, "processed")
-    write_csv(_people_clean(spark, sf), out)
-    return read_csv_files(spark, [out])
+    out = f"{_run_dir(spark, 'processed')}/people.csv"
+    return read_csv_files(spark, [write_csv(_people_clean(spark, sf), out, single_file=True)]).drop("_row")
 
 
-@register("delivery_sink")
-def q_delivery_sink(spark, sf):
-    from ..operators.delivery import deliver, rule_transport
+def _final_count_sql():
+    """Numbers 1..n of the n cleaned company records."""
+    return ("(select unnest(range(1, n + 1)) as rn, n from (select count(*) as n from ("
+            + _final_sql(FX.COMPANY_SQL, C_COLS, FX.COMPANY_SPEC, "company") + ")))")
 
-    pay = PL.payloads(_numbered(_company_clean(spark, sf)), "company", PAYLOAD_TS)
-    return deliver(pay, "job_company", rule_transport(), rate=1000.0, partitions=4, sleep=lambda s: None)
 
+_RESULTS = ("(select rn, n, rn % 11 <> 0 as ok, case when rn % 11 = 0 then 500 else 200 end as status_code, "
+            "case when rn % 11 = 0 then 3 when rn % 7 = 0 then 2 else 1 end as attempts from " + _final_count_sql() + ")")
 
-@register("delivery_results_summary")
-def q_delivery_results_summary(spark, sf):
-    from ..operators.delivery import deliver, failure_log, rule_transport
+
+def _sent(spark, sf):
+    from ..operators.delivery import deliver
 
     pay = PL.payloads(_numbered(_company_clean(spark, sf)), "company", PAYLOAD_TS)
-    res = deliver(pay, "job_company", rule_transport(), rate=1000.0, partitions=4, sleep=lambda s: None)
-    return failure_log(res, url="https://receiver.invalid/hook", ts=AS_OF)
+    return deliver(pay, "job_company", FX.rule_transport(), rate=1000.0, partitions=4, sleep=lambda s: None)
 
 
-@register("file_inventory")
-def q_file_inventory(spark, sf):
-    from ..sources.csv_scan import file_inventory
+@register("delivery_sink", "select 'job_company' as job_id, rn as record_number, ok, status_code, attempts, "
+          "case when not ok then 'HTTP_500' end as error_type, case when not ok then 'server error' end as response_text, "
+          f"cast(null as varchar) as exception_type, false as throttled from {_RESULTS}")
+def q_delivery_sink(spark, sf):
+    return _sent(spark, sf).drop("duration", "finished")
 
-    return file_inventory(spark, sf)
 
+_FAILED = ("(select rn as record_number, 'ERROR' as level, 'HTTP_500' as error_type, 'Webhook failed for record ' || rn || "
+           f"' after 3 attempts: HTTP 500' as message from {_RESULTS} where not ok)")
 
-def _parent(sf):
-    return sf.rstrip("/").rsplit("/", 1)[0] or "/"
 
+@register("delivery_results_summary", "select record_number as log_id, record_number, 'job_company' as job_id, level, error_type, "
+          "message, '{\"status_code\":\"500\",\"response_text\":\"server error\",\"webhook_url\":"
+          f"\"https://receiver.invalid/hook\"}}' as metadata from {_FAILED}")
+def q_delivery_results_summary(spark, sf):
+    from ..operators.delivery import failure_log
 
-@register("retention_report")
-def q_retention_report(spark, sf):
-    from ..sources.csv_scan import file_inventory, folder_report
+    log = failure_log(_sent(spark, sf), url="https://receiver.invalid/hook", ts=AS_OF)
+    return log.select("log_id", "record_number", "job_id", "level", "error_type", "message", "metadata")
 
-    root = _parent(sf)
-    inv = file_inventory(spark, root)
-    old = LG.older_than(inv, "modificationTime", datetime.utcnow(), 24)
-    return folder_report(old, root)
+
+def _job(spark, sf):
+    from .pipeline import deliver_job
+
+    base = _run_dir(spark, "job")
+    out = deliver_job(FX.company_raw(spark, sf), FX.COMPANY_SPEC, "company", "job_company", FX.rule_transport(),
+                      rate=1000.0, partitions=4, timestamp=PAYLOAD_TS, sleep=lambda s: None,
+                      log_path=f"{base}/logs", status_path=f"{base}/status")
+    return base, out
+
+
+@register("delivery_log_chain", "select coalesce(error_type, 'TOTAL') as error_type, n from (select error_type, count(*) as n "
+          f"from {_FAILED} group by rollup(error_type))")
+def q_delivery_log_chain(spark, sf):
+    """Failures go to the log store, and the log operators read them there."""
+    base, _ = _job(spark, sf)
+    logs = LG.query_logs(LG.read_logs(spark, f"{base}/logs"), job_id="job_company", level="error", limit=None)
+    return LG.error_summary(logs)
 
 
-@register("recent_folders")
-def q_recent_folders(spark, sf):
-    from ..sources.csv_scan import file_inventory
+@register("delivery_status_folded", "select 'job_company' as job_id, 'processing' as status, cast(100 as bigint) as progress, "
+          f"'Sent record ' || max(rn) || ' of ' || max(n) as message from {_RESULTS}")
+def q_delivery_status_folded(spark, sf):
+    """Status updates of a delivery, folded to the job's current status."""
+    base, _ = _job(spark, sf)
+    # records finish in any order over the senders: the record number tells how far the job has come
+    updates = spark.read.parquet(f"{base}/status").withColumn("ts", F.lit(AS_OF).cast("timestamp_ntz"))
+    return LG.status_merge(updates).select("job_id", *LG.STATUS_FIELDS)
 
-    root = _parent(sf)
-    inv = file_inventory(spark, root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + root.rstrip("/") + "/", "")
-    folder = F.when(rel.contains("/"), F.substring_index(rel, "/", 1)).otherwise(F.lit("."))
-    name = F.element_at(F.split(rel, "/"), -1)
-    g = inv.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("last_modified"),
-                                                F.max(name.startswith("processed_")).alias("has_processed_file"))
-    return g.orderBy(F.col("last_modified").desc(), F.col("folder")).limit(5)
 
+_EXPORTS_FIXTURE = ("select row_idx, source, " + ", ".join(f"{_na(c)} as {O.q(c)}" for c in P_COLS[2:])
+                    + f" from {_P_RAW} where source = 'crm_a.csv' union all select row_idx, source, "
+                    + ", ".join(_na(c) if c in _EXPORT_B else "null" for c in P_COLS[2:])
+                    + f" from {_P_RAW} where source = 'crm_b.csv'")
 
-@register("stream_ingest")
+
+@register("stream_ingest", _final_sql(_EXPORTS_FIXTURE, P_COLS, FX.PEOPLE_SPEC, "people",
+                                      "select * exclude (_row, _n, _key) from {prev}"))
 def q_stream_ingest(spark, sf):
     from ..streaming.twins import read_stream_result, stream_clean_csv
 
     base = _write_exports(spark, sf)
-    path, cols = stream_clean_csv(spark, f"{base}/crm_a", P_COLS[2:], FX.PEOPLE_SPEC, "people")
-    return read_stream_result(spark, path, cols).drop("_row", "_n")
+    path, cols = stream_clean_csv(spark, [(f"{base}/crm_a.csv", P_COLS[2:]), (f"{base}/crm_b.csv", _EXPORT_B)],
+                                  FX.PEOPLE_SPEC, "people")
+    return read_stream_result(spark, path, cols).drop("_row", "_n", "_key")
 
 
 @register("stream_errors", ORACLE["daily_errors"])
@@ -1152,21 +1284,21 @@ def q_stream_status(spark, sf):
                     F.col("updated_at").cast("string").alias("updated_at"))
 
 
-@register("stream_delivery")
+@register("stream_delivery", "select s_suppkey as record_number, s_suppkey % 11 <> 0 as ok, case when s_suppkey % 11 = 0 then 500 "
+          "else 200 end as status_code, case when s_suppkey % 11 = 0 then 3 when s_suppkey % 7 = 0 then 2 else 1 end as attempts "
+          "from supplier join nation on s_nationkey = n_nationkey")
 def q_stream_delivery(spark, sf):
-    from ..operators.delivery import rule_transport
-    from ..streaming.twins import stream_delivery
-
-    from ..streaming.twins import file_stream
+    from ..streaming.twins import file_stream, stream_delivery
 
     sup = file_stream(spark, f"{sf}/supplier.parquet")
     nat = FX.table(spark, sf, "nation")
     rows = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
-    pay = rows.select(F.col("s_suppkey").alias("record_number"),
+    pay = rows.select(F.col("s_suppkey").cast("bigint").alias("record_number"),
                       F.to_json(F.struct(F.concat(F.lit("the "), F.lower("n_name"), F.lit(" co "),
                                                   F.col("s_suppkey").cast("string")).alias("Company Name"),
                                          F.col("n_name").alias("Company Location"))).alias("payload"))
-    return stream_delivery(spark, pay, "job_stream", rule_transport(), rate=1000.0, sleep=lambda s: None)
+    out = stream_delivery(spark, pay, "job_stream", FX.rule_transport(), rate=1000.0, sleep=lambda s: None)
+    return out.select("record_number", "ok", "status_code", "attempts")
 
 
 @register("stream_dedup", _L + "select log_id, job_id, level from L")
@@ -1234,19 +1366,15 @@ def q_process_files(spark, sf):
 
 
 
-@register("delivery_status")
+@register("delivery_status", "select 'job_company' as job_id, rn as record_number, 'processing' as status, "
+          "cast(80 + floor(rn / n * 20) as bigint) as progress, rn as webhooks_sent, n as webhooks_total "
+          f"from {_RESULTS}")
 def q_delivery_status(spark, sf):
     """Process-and-deliver on the company fixture with the deterministic fake receiver."""
-    from ..operators.delivery import rule_transport
-    from .pipeline import deliver_job
-
-    _, _, status = deliver_job(FX.company_raw(spark, sf), FX.COMPANY_SPEC, "company", "job_company",
-                               rule_transport(), rate=1000.0, partitions=4, timestamp=PAYLOAD_TS,
-                               sleep=lambda s: None)
+    _, (_, _, status) = _job(spark, sf)
     return status.select("job_id", "record_number", "status", "progress", "webhooks_sent", "webhooks_total")
 
 
-
 @register("log_query_store", ORACLE["log_query"])
 def q_log_query_store(spark, sf):
     """F9 over the date-partitioned log store (written once per call under the checkpoint folder)."""
@@ -1256,7 +1384,8 @@ def q_log_query_store(spark, sf):
     return r.select("log_id", F.col("ts").cast("string").alias("ts"), "job_id", "level", "error_type", "message")
 
 
-@register("count_records_csv")
+@register("count_records_csv", "select coalesce(source, 'TOTAL') as file, n as records from (select source, count(*) as n "
+          f"from {_P_RAW} group by rollup(source))")
 def q_count_records_csv(spark, sf):
     from ..sources.csv_scan import count_records
 

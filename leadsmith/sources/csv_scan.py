@@ -1,12 +1,13 @@
-"""CSV exports in, CSV out (S1-S4, S9, S14) plus global row positions.
+"""CSV exports in, CSV out (S1-S4, S9) plus global row positions.
 
-* The header catalogue is read from the first line of every file with a
-  grouped ``min_by`` (one pass, output = files x headers).
+* The header catalogue is read from the first record of every file.
 * Bodies are read per header signature with physical names ``c0..cn`` (Spark
-  would otherwise rename duplicate / case-colliding headers), then renamed to
-  the catalogue names and unioned by name in first-seen column order.
-* ``_row`` is the pandas-style positional index of the merged table: file
-  offset (prefix sum of per-file counts, a files-sized table) + position in file.
+  would otherwise rename duplicate headers), then renamed to the catalogue
+  names and unioned by name in first-seen column order.
+* ``_row`` orders rows by file and position: the file's ordinal in the high
+  bits, the reader's position in the low bits. No job is run to number rows.
+* Nothing is lost in silence: an empty file, and a record with more cells than
+  its header, fail with the file's name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import C, na_token_to_null
-from ..functions.constants import NA_TOKENS
+from ..functions.constants import EXPORT_NAME, EXPORT_STAMP, NA_TOKENS
 
 # Split a CSV header line on commas outside double quotes.
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -95,14 +96,17 @@ def header_catalog(spark: SparkSession, files: list[str]) -> DataFrame:
     order = spark.createDataFrame([(i, p) for i, p in enumerate(files)], "file_ord int, path string")
     first = first_lines(spark, files)
     heads = first.select("path", F.posexplode(F.split("line", _CSV_SPLIT)).alias("ordinal", "raw"))
-    heads = heads.select("path", "ordinal", _unquote(F.col("raw")).alias("header"))
+    named = _unquote(F.col("raw"))
+    # a blank header takes its position's name, as an index column of an export has it
+    named = F.when(named == "", F.concat(F.lit("Unnamed: "), F.col("ordinal").cast("string"))).otherwise(named)
+    heads = heads.select("path", "ordinal", named.alias("header"))
     # pandas renames the k-th repeat of a name to name.k
     from pyspark.sql import Window
     w = Window.partitionBy("path", "header").orderBy("ordinal")
     k = F.row_number().over(w) - 1
     heads = heads.withColumn("header", F.when(k == 0, F.col("header"))
                              .otherwise(F.concat("header", F.lit("."), k.cast("string"))))
-    return (heads.join(F.broadcast(order), "path")
+    return (heads.join(order, "path")
             .select("file_ord", "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
                     "ordinal", "header"))
 
@@ -133,51 +137,58 @@ def with_partition_offsets(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.col("__off") + F.col("__pos") + 1).drop("__pid", "__pos", "__off")
 
 
+def header_signatures(catalog: DataFrame) -> list[tuple[list[str], list[str], list[int]]]:
+    """(headers, paths, file ordinals) of each distinct header, in order of its first file.
+
+    One collected row per distinct header and its list of files (the listing the driver holds already).
+    """
+    per_file = catalog.groupBy("file_ord", "path").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "header"))), lambda x: x["header"]).alias("headers"))
+    rows = per_file.groupBy("headers").agg(F.array_sort(F.collect_list(F.struct("file_ord", "path"))).alias("files"))
+    found = [(r["headers"], [f["path"] for f in r["files"]], [f["file_ord"] for f in r["files"]]) for r in rows.collect()]
+    return sorted(found, key=lambda x: x[2][0])
+
+
+def file_headers(spark: SparkSession, paths) -> list[tuple[list[str], list[str]]]:
+    """(headers, file names) of each distinct header."""
+    found = header_signatures(header_catalog(spark, list_csv_files(spark, paths)))
+    return [([h for h in headers if h != "Source"], [p.rsplit("/", 1)[-1] for p in files]) for headers, files, _ in found]
+
+
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    """Balanced union by name, so that many header signatures do not nest deeply."""
+    while len(parts) > 1:
+        parts = [parts[i] if i + 1 == len(parts) else parts[i].unionByName(parts[i + 1], allowMissingColumns=True)
+                 for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS) -> DataFrame:
     """Many CSV files with differing headers -> one all-string table + Source + _row."""
     files = list_csv_files(spark, paths)
-    cat = header_catalog(spark, files).collect()  # files x headers (metadata)
-    by_file: dict[int, list[str]] = {}
-    path_of: dict[int, str] = {}
-    for r in sorted(cat, key=lambda r: (r["file_ord"], r["ordinal"])):
-        by_file.setdefault(r["file_ord"], []).append(r["header"])
-        path_of[r["file_ord"]] = r["path"]
-    if spark.conf.get("spark.sql.caseSensitive", "false").lower() != "true":
-        # without case-sensitive resolution, later case variants get a numeric suffix
-        for fo, hs in by_file.items():
-            by_file[fo] = safe_output_names(hs)
-    groups: dict[tuple, list[int]] = {}
-    for fo in sorted(by_file):
-        groups.setdefault(tuple(by_file[fo]), []).append(fo)
-    ords = spark.createDataFrame([(i, p) for i, p in enumerate(files)], "__file_ord int, __path string")
+    signatures = header_signatures(header_catalog(spark, files))
+    col_order = list(dict.fromkeys(h for headers, _, _ in signatures for h in headers if h != "Source"))
+    if spark.conf.get("spark.sql.caseSensitive", "false").lower() != "true" and \
+            len({h.lower() for h in col_order}) < len(col_order):
+        raise ValueError("headers differ by case only: set spark.sql.caseSensitive to true to read these files")
     parts = []
-    col_order: list[str] = []
-    for fo in sorted(by_file):
-        for h in by_file[fo]:
-            if h not in col_order and h != "Source":
-                col_order.append(h)
-    for headers, fos in groups.items():
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
+    for headers, group, _ in signatures:
+        # one column more than the header has: it is null unless a record is too long
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers) + 1)])
         body = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
                 .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-                .option("encoding", "UTF-8").csv([path_of[f] for f in fos]))
+                .option("encoding", "UTF-8").csv(group))
         sel = [na_token_to_null(F.col(f"c{i}"), na_tokens).alias(h)
                for i, h in enumerate(headers) if h != "Source"]
-        parts.append(body.select(*sel, F.col("_metadata.file_path").alias("__path"),
-                                 F.monotonically_increasing_id().alias("__mono")))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p, allowMissingColumns=True)
-    merged = merged.join(F.broadcast(ords), "__path")
-    # positional index: per-file counts and first id (files-sized), prefix-summed on the driver
-    stats = merged.groupBy("__file_ord").agg(F.count(F.lit(1)).alias("n"), F.min("__mono").alias("m0")).collect()
-    offs, acc = [], 0
-    for r in sorted(stats, key=lambda r: r["__file_ord"]):
-        offs.append((r["__file_ord"], acc, r["m0"]))
-        acc += r["n"]
-    off = spark.createDataFrame(offs or [(0, 0, 0)], "__file_ord int, __off long, __m0 long")
-    merged = merged.join(F.broadcast(off), "__file_ord")
-    row = (F.col("__off") + F.col("__mono") - F.col("__m0")).alias("_row")
+        path = F.col("_metadata.file_path")
+        checked = F.when(F.col(f"c{len(headers)}").isNull(), path).otherwise(
+            F.raise_error(F.concat(F.lit("a record has more cells than the header of "), path)).cast("string"))
+        parts.append(body.select(*sel, checked.alias("__path"), F.monotonically_increasing_id().alias("__mono")))
+    merged = _union_all(parts)
+    ords = spark.createDataFrame([(i, p) for i, p in enumerate(files)], "__file_ord int, __path string")
+    merged = merged.join(ords, "__path")
+    position = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
+    row = F.shiftleft(F.col("__file_ord").cast("bigint"), 33).bitwiseOR(position).alias("_row")
     base = F.element_at(F.split("__path", "/"), -1)
     return merged.select(*[C(c) for c in col_order], base.alias("Source"), row)
 
@@ -197,44 +208,28 @@ def merge_stats(merged: DataFrame) -> DataFrame:
                       F.lit(ncols).cast("bigint").alias("total_columns"))
 
 
-def safe_output_names(cols: list[str]) -> list[str]:
-    """Names unique under case-insensitive comparison (case collisions get a numeric suffix)."""
-    seen: dict[str, int] = {}
-    out = []
-    for c in cols:
-        k = c.lower()
-        if k in seen:
-            seen[k] += 1
-            out.append(f"{c}_{seen[k]}")
-        else:
-            seen[k] = 0
-            out.append(c)
-    return out
-
-
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> str:
-    """Header CSV (optionally one file). Internal columns are dropped."""
+    """Header CSV, cells as they are. Internal columns are dropped.
+
+    ``single_file`` writes one file of that very name (as exports are handed out), by one task.
+    """
     cols = [c for c in df.columns if c not in ("_row", "_key", "_n") and not c.startswith("__")]
-    names = safe_output_names(cols)
-    out = df.select(*[C(c).alias(n) for c, n in zip(cols, names)])
+    out = df.select(*[C(c) for c in cols])
+    target = f"{path}__parts" if single_file else path
+    ((out.coalesce(1) if single_file else out).write.mode(mode).option("header", "true")
+     .option("quote", '"').option("escape", '"').option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(target))
     if single_file:
-        out = out.coalesce(1)
-    (out.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"')
-     .option("emptyValue", "").csv(path))
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(target)
+        fs = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+        part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        fs.delete(hadoop.Path(path), False)
+        fs.rename(part, hadoop.Path(path))
+        fs.delete(folder, True)
     return path
 
 
-def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime, length) of every non-hidden file (content is never read)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return df.select("path", "modificationTime", "length")
-
-
-def folder_report(inventory: DataFrame, root: str) -> DataFrame:
-    """Per top-level folder under root: files, bytes, newest modification."""
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.regexp_replace(rel, "^" + root.rstrip("/") + "/", "")
-    folder = F.when(rel.contains("/"), F.substring_index(rel, "/", 1)).otherwise(F.lit("."))
-    return inventory.groupBy(folder.alias("folder")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("files"), F.sum("length").cast("bigint").alias("bytes"),
-        F.max("modificationTime").alias("last_modified"))
+def export_name(table_type: str, stamp) -> str:
+    """The time-stamped name of a processed export."""
+    return EXPORT_NAME.format(table_type=table_type, stamp=stamp.strftime(EXPORT_STAMP))

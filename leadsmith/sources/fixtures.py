@@ -7,15 +7,19 @@ plans start from identical rows. Fixture rows scale with the source tables
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
 
-# People fixture "P": messy merged export from two sources (crm_a.csv, crm_b.csv).
+# People fixture "P": messy merged export from two sources (crm_a.csv, crm_b.csv). Row numbers hold the file in
+# their high bits, as the CSV source numbers them.
 PEOPLE_SQL = """
-select c_custkey*2 + d.dup as row_idx,
+select cast(d.dup as bigint) * 8589934592 + c_custkey as row_idx,
  case when d.dup=0 then 'crm_a.csv' else 'crm_b.csv' end as source,
  c_custkey as person_key,
  case when c_custkey % 11 = 3 then 'nan' else concat('jo-ann  o''neil ', lower(c_mktsegment), cast(c_custkey % 400 as varchar(10))) end as full_name,
@@ -69,7 +73,7 @@ PEOPLE_SPEC = {
 
 # Company fixture "C": three exports of supplier rows.
 COMPANY_SQL = """
-select s_suppkey*3 + d.dup as row_idx, concat('export_', cast(d.dup as varchar(2)), '.csv') as source,
+select cast(d.dup as bigint) * 8589934592 + s_suppkey as row_idx, concat('export_', cast(d.dup as varchar(2)), '.csv') as source,
  case when s_suppkey % 4 = 1 then '' else concat('the ', lower(n_name), ' co ', cast(s_suppkey as varchar(10))) end as company_name,
  case when d.dup = 0 then concat('https://www.Shop-', cast(s_suppkey as varchar(10)), '.io/?utm=1') when d.dup = 1 then concat('shop-', cast(s_suppkey as varchar(10)), '.io, ***redacted***') else cast(null as varchar(10)) end as domain_url,
  case when s_suppkey % 3 = 0 then concat('linkedin.com/company/s', cast(s_suppkey as varchar(10))) end as linkedin_account,
@@ -122,16 +126,13 @@ from events
 LOGS_AS_OF = "2024-01-31 00:00:00"
 
 
-_TABLES: dict = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table (the relation is resolved once per session, so repeated
-    queries do not list files and read footers again)."""
-    key = (id(spark._jsparkSession), sf_dir, name)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _TABLES[key]
+def _spread(df: DataFrame) -> DataFrame:
+    """The fixture tables are one small file each: spread their rows, as a folder of exports would be."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
@@ -143,7 +144,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
 def people_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture P with merged-table column names: Source and the _row identity."""
     register_tables(spark, sf_dir, ["customer", "nation"])
-    df = spark.sql(PEOPLE_SQL)
+    df = _spread(spark.sql(PEOPLE_SQL))
     cols = [c for c in df.columns if c not in ("row_idx", "source")]
     return df.selectExpr(*[f"cast(`{c}` as string) as `{c}`" for c in cols], "source as Source",
                          "cast(row_idx as bigint) as _row")
@@ -151,7 +152,7 @@ def people_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def company_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_tables(spark, sf_dir, ["supplier", "nation"])
-    df = spark.sql(COMPANY_SQL)
+    df = _spread(spark.sql(COMPANY_SQL))
     cols = [c for c in df.columns if c not in ("row_idx", "source")]
     return df.selectExpr(*[f"cast(`{c}` as string) as `{c}`" for c in cols], "source as Source",
                          "cast(row_idx as bigint) as _row")
@@ -179,3 +180,42 @@ def logs_frame(events: DataFrame) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_frame(table(spark, sf_dir, "events"))
+
+
+# Fake receivers for checks and tests (nothing in the library uses them).
+
+def scripted_transport(codes: dict[int, list[int]], default: int = 200):
+    """Per record a list of status codes by attempt (the last one repeats)."""
+    def factory():
+        def send(payload, rn, attempt):
+            seq = codes.get(rn, [default])
+            code = seq[min(attempt, len(seq) - 1)]
+            return code, json.dumps({"code": code})
+        return send
+    return factory
+
+
+def rule_transport(fail_every: int = 11, throttle_every: int = 7):
+    """500 for every ``fail_every``-th record, one 429 then 200 for every ``throttle_every``-th, 200 otherwise."""
+    def factory():
+        def send(payload, rn, attempt):
+            if fail_every and rn % fail_every == 0:
+                return 500, "server error"
+            if throttle_every and rn % throttle_every == 0 and attempt == 0:
+                return 429, "slow down"
+            return 200, "ok"
+        return send
+    return factory
+
+
+def status_updates(logs: DataFrame) -> DataFrame:
+    """Partial status updates derived from the log fixture (absent field = null)."""
+    from ..operators.logs import with_job_sequence
+
+    return with_job_sequence(logs).select(
+        "job_id", "ts", "log_id", "seq",
+        F.when(F.col("level") == "ERROR", F.lit("failed")).when(F.col("level") == "WARNING", F.lit("processing"))
+        .alias("status"),
+        F.least(F.lit(100), F.floor(F.col("seq") / 15) * 10).cast("bigint").alias("progress"),
+        F.when(F.col("level") != "INFO", F.col("message")).alias("message"),
+    )

@@ -4,13 +4,13 @@ Each twin reuses the batch transforms. Stateful merges are associative, so a
 micro-batch only has to fold its partial aggregate into the keyed state:
 
 * T1 lead ingest: row-local cleaning in the stream; per micro-batch the dedup
-  level-1 partials (per key and Source: best value per column, count, first
-  row) are appended to a partial table keyed by batch id (idempotent on
-  replay); the final table is the level-2 merge over all partials.
-* T2 rolling error counts: event-time watermark + 1-day tumbling windows.
+  partials are appended to a partial table keyed by batch id (idempotent on
+  replay); the final table folds all partials.
+* T2 rolling error counts: event-time watermark + 1-day tumbling windows, in
+  update mode to files, so that closed windows leave the state.
 * T3 job status: per-field (ts, id, value) maxima folded per micro-batch.
-* T4 delivery: ``foreachBatch`` runs the delivery sink; results are written
-  per batch id, so a replayed batch overwrites instead of duplicating.
+* T4 delivery: ``foreachBatch`` runs the delivery sink; records with a result
+  are not sent again, so a replayed batch does nothing.
 * T5 exactly-once log identity: ``dropDuplicatesWithinWatermark``.
 
 Checkpoints and state live under ``spark.checkpoint.dir`` (shared storage on a
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import C, m7, strip
+from ..functions.columns import C, na_token_to_null
+from ..functions.constants import NA_TOKENS
 from ..operators import dedup as D
+from ..operators.delivery import RESULT_SCHEMA, deliver
 from ..operators.enrich import enrich
 from ..operators.standardize import standardize
 from ..session import ensure_checkpoint_dir
@@ -50,77 +52,50 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 # T1 -------------------------------------------------------------------------
 
-def level1_partials(keyed: DataFrame) -> DataFrame:
-    """Dedup level 1 on one micro-batch: per (key, Source) best candidates, counts, first row."""
-    cols = [c for c in keyed.columns if c not in (D.ROW, D.KEY) and not c.startswith("__")]
-    other = [c for c in cols if c != "Source"]
-    aggs = [F.count(F.lit(1)).alias("__n"), F.min(D.ROW).alias("__first")]
-    for i, c in enumerate(other):
-        t = strip(C(c))
-        aggs.append(F.max(F.when(~m7(C(c)), F.struct(F.length(t).alias("n"), (-F.col(D.ROW)).alias("r"),
-                                                       t.alias("v")))).alias(f"__c{i}b"))
-        aggs.append(F.any_value(C(c)).alias(f"__c{i}r"))
-    return keyed.groupBy(D.KEY, "Source").agg(*aggs)
+def merge_partials(partials: DataFrame, cols: list[str]) -> DataFrame:
+    """Fold appended partials (any number of batches) into final merged records."""
+    return D.merged_rows(partials.groupBy(D.KEY).agg(*D.fold_aggs(cols)), cols)
 
 
-def merge_partials(partials: DataFrame, cols: list[str]) -> DataFrame:
-    """Fold appended level-1 partials (any number of batches) into final merged records."""
-    other = [c for c in cols if c != "Source"]
-    lvl1 = [F.sum("__n").alias("__n"), F.min("__first").alias("__first")]
-    for i, _ in enumerate(other):
-        lvl1 += [F.max(f"__c{i}b").alias(f"__c{i}b"), F.any_value(f"__c{i}r").alias(f"__c{i}r")]
-    per_src = partials.groupBy(D.KEY, "Source").agg(*lvl1)
-    lvl2 = [F.sum("__n").alias("__n"), F.min("__first").alias(D.ROW)]
-    for i, _ in enumerate(other):
-        lvl2 += [F.max(f"__c{i}b").alias(f"__c{i}b"), F.any_value(f"__c{i}r").alias(f"__c{i}r")]
-    lvl2 += [F.collect_list(F.when(~m7(C("Source")), F.struct(F.col("__first").alias("f"),
-                                                               strip(C("Source")).alias("s")))).alias("__srcs"),
-             F.any_value(C("Source")).alias("__src_raw")]
-    whole = per_src.groupBy(D.KEY).agg(*lvl2)
-    single = F.col("__n") == 1
-    out = []
-    for c in cols:
-        if c == "Source":
-            merged = F.array_join(F.array_distinct(F.transform(F.array_sort("__srcs"), lambda x: x["s"])), "; ")
-            out.append(F.when(single, F.col("__src_raw")).otherwise(merged).alias("Source"))
-        else:
-            i = other.index(c)
-            out.append(F.when(single, F.col(f"__c{i}r")).otherwise(F.coalesce(F.col(f"__c{i}b")["v"], F.lit("")))
-                       .alias(c))
-    return whole.select(*out, D.ROW, D.KEY, F.col("__n").alias("_n"))
-
-
-def stream_clean_csv(spark: SparkSession, input_dir: str, headers: list[str], spec, table_type: str,
+def stream_clean_csv(spark: SparkSession, inputs: list[tuple[str, list[str]]], spec, table_type: str,
                      state_dir: str | None = None) -> tuple[str, list[str]]:
     """Clean CSV files as they arrive; returns (partials path, output columns).
 
-    Files in one folder share one header (``headers``); the stream reads them
-    with that schema. Call ``merge_partials`` on the partials path for the result.
+    ``inputs`` lists (folder, file name pattern) by header: (path pattern, headers). Each header has a stream of its own
+    (a stream has one schema); all of them append partials to one table, over the union of the columns. Call
+    ``read_stream_result`` on the partials path for the result.
     """
-    from ..operators.enrich import clean_domains
-
     state_dir = state_dir or run_dir(spark, "stream-ingest")
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-    src = (spark.readStream.schema(schema).option("header", "true").option("multiLine", "true")
-           .option("escape", '"').option("pathGlobFilter", "*.csv").csv(input_dir))
-    src = src.select(*[C(h) for h in headers],
-                     F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("Source"),
-                     F.lit(0).cast("bigint").alias("_row"))
-    cleaned = enrich(standardize(src, spec, table_type))
-    out_cols = [c for c in cleaned.columns if c != "_row"]
+    columns = list(dict.fromkeys(h for _, headers in inputs for h in headers if h != "Source"))
     partial_path = f"{state_dir}/partials"
-
-    def fold(batch: DataFrame, batch_id: int):
-        # row identity inside the batch: batch id in the high bits, position in the low bits
-        numbered = batch.withColumn("_row", F.lit(int(batch_id)).cast("bigint") * F.lit(1 << 40)
-                                    + F.monotonically_increasing_id())
-        part = level1_partials(D.with_key(numbered, table_type))
-        part.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite") \
-            .parquet(f"{partial_path}/batch_id={int(batch_id)}")
-
-    q = (cleaned.writeStream.foreachBatch(fold).trigger(availableNow=True)
-         .option("checkpointLocation", f"{state_dir}/checkpoint").start())
-    q.awaitTermination()
+    out_cols: list[str] = []
+
+    def start(number: int, pattern: str, headers: list[str]):
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
+        folder, _, leaf = pattern.rpartition("/")
+        src = (spark.readStream.schema(schema).option("header", "true").option("multiLine", "true")
+               .option("escape", '"').option("pathGlobFilter", leaf).csv(folder))
+        src = src.select(*[na_token_to_null(C(h), NA_TOKENS).alias(h) if h in headers else F.lit(None).cast("string").alias(h)
+                           for h in columns],
+                         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("Source"),
+                         F.lit(0).cast("bigint").alias("_row"))
+        cleaned = enrich(standardize(src, spec, table_type))
+        out_cols[:] = [c for c in cleaned.columns if c != "_row"]
+
+        def fold(batch: DataFrame, batch_id: int):
+            # the arrival's ordinal in the high bits, the position in the low bits, as the CSV source numbers rows
+            arrival = F.lit(int(batch_id) * len(inputs) + number).cast("bigint")
+            position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << D.FILE_BITS) - 1))
+            numbered = batch.withColumn("_row", F.shiftleft(arrival, D.FILE_BITS).bitwiseOR(position))
+            keyed = D.with_key(numbered, table_type)
+            part = keyed.groupBy(D.KEY).agg(*D.partial_aggs(out_cols))
+            part.write.mode("overwrite").parquet(f"{partial_path}/batch_id={int(batch_id) * len(inputs) + number}")
+
+        return (cleaned.writeStream.foreachBatch(fold).trigger(availableNow=True)
+                .option("checkpointLocation", f"{state_dir}/checkpoint-{number}").start())
+
+    for number, (pattern, headers) in enumerate(inputs):
+        start(number, pattern, headers).awaitTermination()
     return partial_path, out_cols
 
 
@@ -142,12 +117,17 @@ def stream_error_counts(spark: SparkSession, events_path: str, logs_transform, w
     err = lg.where(F.col("level") == "ERROR").withWatermark("event_time", watermark)
     agg = err.groupBy(F.window("event_time", "1 day").alias("w"),
                       F.coalesce("error_type", F.lit("UNKNOWN")).alias("error_type")).count()
-    name = "errors_" + uuid.uuid4().hex[:8]
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
+    path = f"{state_dir}/counts"
+
+    def keep(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(keep)
          .option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name).select(F.to_date(F.col("w.start")).alias("day"), "error_type",
-                                    F.col("count").cast("bigint").alias("n"))
+    # update mode: a window's last count stands in the last batch that touched it
+    last = spark.read.parquet(path).groupBy("w", "error_type").agg(F.max_by("count", "batch_id").alias("n"))
+    return last.select(F.to_date(F.col("w.start")).alias("day"), "error_type", F.col("n").cast("bigint").alias("n"))
 
 
 # T3 -------------------------------------------------------------------------
@@ -182,17 +162,27 @@ def stream_status(spark: SparkSession, events_path: str, updates_transform, fiel
 
 # T4 -------------------------------------------------------------------------
 
+def _results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The results written so far; None before the first batch."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return spark.read.schema(f"{RESULT_SCHEMA}, batch_id int").parquet(path)
+
+
 def stream_delivery(spark: SparkSession, payload_stream: DataFrame, job_id: str, transport_factory,
                     rate: float, sleep=None, state_dir: str | None = None) -> DataFrame:
     """T4: deliver each micro-batch; results keyed by (job_id, record_number), one folder per batch."""
-    from ..operators.delivery import deliver
-
     state_dir = state_dir or run_dir(spark, "stream-delivery")
     path = f"{state_dir}/results"
 
     def send(batch: DataFrame, batch_id: int):
-        res = deliver(batch, job_id, transport_factory, rate=rate, sleep=sleep)
-        res.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+        """Sends what no earlier batch has sent; a batch that is played again finds its records done."""
+        done = _results(spark, path)
+        todo = batch if done is None else batch.join(done.select("record_number").distinct(), "record_number", "left_anti")
+        res = deliver(todo, job_id, transport_factory, rate=rate, sleep=sleep)
+        if done is None or done.where(F.col("batch_id") == int(batch_id)).isEmpty():
+            res.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
 
     q = (payload_stream.writeStream.foreachBatch(send).trigger(availableNow=True)
          .option("checkpointLocation", f"{state_dir}/checkpoint").start())
@@ -209,8 +199,8 @@ def stream_dedup_events(spark: SparkSession, events_path: str, logs_transform, k
     ev = file_stream(spark, events_path)
     lg = logs_transform(ev).withColumn("event_time", F.col("ts").cast("timestamp"))
     once = lg.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([key])
-    name = "dedup_" + uuid.uuid4().hex[:8]
-    q = (once.writeStream.outputMode("append").format("memory").queryName(name)
+    path = f"{state_dir}/events"
+    q = (once.writeStream.outputMode("append").format("parquet").option("path", path)
          .option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(path)
