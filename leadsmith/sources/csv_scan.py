@@ -25,6 +25,21 @@ from ..functions.constants import EXPORT_NAME, EXPORT_STAMP, NA_TOKENS
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
+def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """CSV files of no length, which Spark's readers leave out without a word."""
+    hadoop, found = spark._jvm.org.apache.hadoop.fs, []
+    for p in paths:
+        at = hadoop.Path(p)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for top in fs.globStatus(at) or []:
+            files = fs.listFiles(top.getPath(), True)
+            while files.hasNext():
+                f = files.next()
+                if f.getLen() == 0 and f.getPath().getName().endswith(".csv"):
+                    found.append(f.getPath().toString())
+    return sorted(found)
+
+
 def list_csv_files(spark: SparkSession, paths) -> list[str]:
     """Expand folders/globs to *.csv files, sorted by base name then path (deterministic order)."""
     if isinstance(paths, str):

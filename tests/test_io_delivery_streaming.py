@@ -1,13 +1,18 @@
 """CSV source/sink round trip, scripted delivery, streaming twins, log helpers."""
 
+import json
 import os
+import random
+import re
 import tempfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from leadsmith.operators import logs as LG
+from leadsmith.operators import profile as PR
 from leadsmith.operators.delivery import deliver, failure_log
 from leadsmith.operators.payload import number_emails, payloads
 from leadsmith.sources import csv_scan as CS
@@ -47,12 +52,145 @@ def test_csv_edge_cases(spark):
 
 
 def test_csv_requires_files(spark):
-    import pytest
-
     with pytest.raises(ValueError):
         CS.read_csv_files(spark, [])
 
 
+def test_record_longer_than_its_header_fails_with_the_file(spark):
+    d = tempfile.mkdtemp(prefix="leadsmith-ragged-")
+    _write(os.path.join(d, "good.csv"), "name,mail\nann,a@x.io\n")
+    _write(os.path.join(d, "ragged.csv"), "name,mail\nann\nbob,b@x.io,EXTRA,MORE\n")
+    with pytest.raises(Exception, match="more cells than the header of .*ragged.csv"):
+        CS.read_csv_files(spark, [d]).collect()
+
+
+def test_short_records_are_filled(spark):
+    d = tempfile.mkdtemp(prefix="leadsmith-short-")
+    _write(os.path.join(d, "a.csv"), "name,mail\nann\n")
+    assert [tuple(r)[:2] for r in CS.read_csv_files(spark, [d]).collect()] == [("ann", None)]
+
+
+def test_empty_file_fails_with_its_name(spark):
+    d = tempfile.mkdtemp(prefix="leadsmith-empty-")
+    _write(os.path.join(d, "a.csv"), "x\n1\n")
+    _write(os.path.join(d, "none.csv"), "")
+    with pytest.raises(ValueError, match="none.csv"):
+        CS.read_csv_files(spark, [d])
+
+
+def test_blank_headers_and_blanks_are_kept(spark):
+    d = tempfile.mkdtemp(prefix="leadsmith-blank-")
+    _write(os.path.join(d, "a.csv"), ",name,\n0,'  lead ',x\n".replace("'", ""))
+    df = CS.read_csv_files(spark, [d])
+    assert df.columns[:3] == ["Unnamed: 0", "name", "Unnamed: 2"]
+    out = os.path.join(tempfile.mkdtemp(prefix="leadsmith-blank-out-"), "people.csv")
+    CS.write_csv(df, out, single_file=True)
+    assert os.path.isfile(out) and "0,  lead ,x" in open(out, encoding="utf-8").read()
+
+
+def test_export_name():
+    assert CS.export_name("people", datetime(2024, 3, 5, 7, 9)) == "people_leads_processed_2024-03-05_07-09.csv"
+
+
+def test_throttled_rate_is_shared_by_the_senders(spark):
+    """429s on 4 senders: together they fall to 5 requests a second, not each of them."""
+    pay = spark.range(1, 201).select(F.col("id").alias("record_number"), F.lit("{}").alias("payload"))
+    folder = tempfile.mkdtemp(prefix="leadsmith-rate-")
+
+    def note(seconds):
+        from pyspark import TaskContext
+
+        with open(os.path.join(folder, str(TaskContext.get().partitionId())), "a") as fh:
+            fh.write(f"{seconds}\n")
+
+    transport = scripted_transport({}, default=429)
+    res = deliver(pay, "job", transport, rate=10, partitions=4, sleep=note).collect()
+    assert len({r["record_number"] for r in res}) == 200 and any(r["throttled"] for r in res)
+    pauses = {f: [float(x) for x in open(os.path.join(folder, f))] for f in os.listdir(folder)}
+    last = [1 / p[-1] for p in pauses.values()]  # the pause behind the last record is 1 / rate
+    assert len(last) == 4 and sum(last) == pytest.approx(5)
+
+
+def test_exceptions_are_logged_with_their_type(spark, tmp_path):
+    def broken():
+        def send(payload, rn, attempt):
+            raise ConnectionError("no route")
+        return send
+
+    pay = spark.createDataFrame([(1, "{}")], "record_number long, payload string")
+    res = deliver(pay, "job", broken, rate=10, partitions=1, sleep=lambda s: None, clock=lambda: 1706659200.5)
+    log = failure_log(res, url="u")
+    row = log.first()
+    assert row["message"] == "Webhook exception for record 1 after 3 attempts: no route"
+    assert json.loads(row["metadata"]) == {"exception_type": "ConnectionError", "exception_message": "no route", "webhook_url": "u"}
+    path = str(tmp_path / "store")
+    LG.write_logs(log, path)
+    found = LG.query_logs(LG.read_logs(spark, path), start=datetime(2024, 1, 31), end=datetime(2024, 2, 1), level="error").collect()
+    assert [(r["log_id"], str(r["ts"])) for r in found] == [(1, "2024-01-31 00:00:00.500000")]
+
+
+def test_one_job_with_all_events_is_split(spark, monkeypatch):
+    """Per-job values on one hot job, in small blocks, equal those of a plain pass; no window takes a job whole."""
+    monkeypatch.setattr(LG, "BLOCK", 16)
+    rng = random.Random(2)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), "hot", rng.choice([200, 429, 429, 429, 500]), rng.randrange(100) / 100)
+            for i in range(400)]
+    logs = spark.createDataFrame(rows, "log_id long, ts timestamp_ntz, job_id string, status_code int, duration double")
+    seq = LG.with_job_sequence(logs)
+    assert [(r["log_id"], r["seq"], r["total"]) for r in seq.orderBy("log_id").collect()] == [(i, i + 1, 400) for i in range(400)]
+    eta = {r["seq"]: r["eta_seconds"] for r in LG.delivery_eta(seq).collect()}
+    for k in (1, 2, 3, 10, 16, 17, 100, 399, 400):
+        last = [r[4] for r in rows[max(0, k - 10):k]]
+        want = (400 - k) * sum(last) / len(last) if k >= 3 else (400 - k) / 10
+        assert eta[k] == pytest.approx(want)
+    count = 0
+    for r in rows:
+        count = 0 if r[3] == 200 else count + (r[3] == 429)
+        if count >= 3:
+            break
+    assert LG.throttle_events(logs).first()["first_throttled_log_id"] == r[0]
+    plan = LG.throttle_events(logs)._jdf.queryExecution().executedPlan().toString()
+    rows_windows = [w for w in re.findall(r"Window \[.*?\], \[([^\]]*)\]", plan) if "__block" not in w and "__hour" not in w]
+    assert all("__n" in line or "__total" in line for line in re.findall(r"Window \[[^\n]*\], \[job_id#\d+\][^\n]*", plan)), rows_windows
+
+
+def test_stuck_counts_repeats_only(spark):
+    def polls(n):
+        return [("j", datetime(2024, 1, 1) + timedelta(seconds=20 * i), i, i + 1, 50) for i in range(n)]
+
+    for n, want in ((11, 0), (12, 1)):  # the first sighting is no repeat: 11 repeats are more than 10
+        df = spark.createDataFrame(polls(n), "job_id string, ts timestamp_ntz, log_id long, seq long, progress long")
+        assert LG.stuck_jobs(df).count() == want
+
+
+def test_first_alias_match_wins(spark):
+    df = spark.createDataFrame([("Ann", "linkedin.com/in/ann", "a@x.io", "f.csv", 0)],
+                               "full_name string, linkedin string, email string, Source string, _row long")
+    found = {(r["column_name"], r["std"]) for r in PR.alias_matches(PR.column_profile(df), "people").collect()}
+    assert ("linkedin", "LinkedIn Profile") in found and len(found) == 3
+
+
+def test_profile_is_per_file_and_looks_at_all_rows(spark):
+    rows = [(None, "x", "a.csv", i) for i in range(150)] + [("late", "x", "a.csv", 150), (None, None, "b.csv", 1 << 33)]
+    df = spark.createDataFrame(rows, "sparse string, name string, Source string, _row long")
+    prof = PR.column_profile(df, headers=[(["sparse", "name"], ["a.csv"]), (["name"], ["b.csv"])])
+    got = {(r["Source"], r["column_name"]): r["is_empty"] for r in prof.collect()}
+    assert got == {("a.csv", "sparse"): False, ("a.csv", "name"): False, ("b.csv", "name"): True}
+
+
+def test_replayed_stream_batch_sends_nothing(spark, tmp_path):
+    from leadsmith.streaming.twins import stream_delivery
+
+    src, state = str(tmp_path / "src"), str(tmp_path / "state")
+    schema = "record_number long, payload string"
+    spark.createDataFrame([(i, "{}") for i in range(5)], schema).write.parquet(src)
+    stream = lambda: spark.readStream.schema(schema).parquet(src)
+    first = stream_delivery(spark, stream(), "j", rule_transport(0, 0), 1000.0, lambda s: None, state).count()
+    spark.createDataFrame([(i, "{}") for i in range(3, 8)], schema).write.mode("append").parquet(src)
+    again = stream_delivery(spark, stream(), "j", rule_transport(0, 0), 1000.0, lambda s: None, state)
+    assert first == 5 and sorted(r["record_number"] for r in again.collect()) == list(range(8))
+
+
 def test_numbered_company_emails(spark):
     df = spark.createDataFrame([("info@x.com:support@x.com:sales@x.com", "info@x.com"), ("n/a", None)],
                                "emails string, `Other Email` string")
