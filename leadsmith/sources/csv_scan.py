@@ -48,6 +48,9 @@ def list_csv_files(spark: SparkSession, paths) -> list[str]:
         raise ValueError("no files provided for merging")
     df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
           .option("recursiveFileLookup", "true").load(list(paths)).select("path"))
+    blank = _empty_files(spark, paths)
+    if blank:
+        raise ValueError(f"no columns to read in empty file(s): {', '.join(blank)}")
     files = [r["path"] for r in df.collect()]  # file listing: metadata, one row per file
     if not files:
         raise ValueError(f"no .csv files under {paths}")
