@@ -10,8 +10,11 @@ from leadsmith.llm.shared import stored
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: each node has one edge downwards, or stands at the lower end alone."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionAll(edges.select("v", F.lit(0)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+    return nodes.where("up > 1 or (up = 1 and low = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,20 +26,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges"
     )
-    before = _state(edges)
     for _ in range(MAX_ROUNDS):
+        if _settled(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return stored(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "labels")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

@@ -5,10 +5,10 @@ sketch), they tell by the population count of an exclusive or how similar two ca
 that are surely unlike. What is left is confirmed on the full shingle sets.
 
 Equal sets are one class with one representative from the start. Within a band's bucket, two representatives (the smallest
-and the largest identifier) are compared with all others; where a bucket then still holds several components, the rows
-outside its largest one are compared with PIVOTS members of that one, in ROUNDS rounds. That links any group of copies in a
-number of pairs that grows with its rows. Only the pairs that are left between components of one bucket are looked at one by
-one, each pair in one bucket alone, so that no link is lost. No bucket is capped and none is gathered in a task.
+and the largest identifier) are compared with all others, which links any group of copies in a number of pairs that grows
+with its rows. Only where a bucket still holds several components are the pairs between those looked at one by one, each
+pair in one bucket alone; shingles that no other such row has bound from above what a row can share with any of them, which
+leaves out the rows that were changed too much without comparing them. No bucket is capped and none is gathered in a task.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ SKETCH_LONGS = 8
 #: Estimates below this are over five standard errors under 0.8: no link.
 LEAST_ESTIMATE = 0.55
 BATCH_BYTES = 4_000_000
-#: Members of a bucket's largest component that the rest of the bucket is compared with, and how often.
-PIVOTS, ROUNDS = 16, 2
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -190,11 +188,13 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     return stored(confirmed(alike, sets, percent), "links")
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, label) after joining the components that ``links`` connect."""
+def _relabel(labels: DataFrame, links: DataFrame, first: bool = False) -> DataFrame:
+    """(rep, label) after joining the components that ``links`` connect; at ``first`` each rep is its own label."""
     u = labels.select(F.col("rep").alias("u"), F.col("label").alias("lu"))
     v = labels.select(F.col("rep").alias("v"), F.col("label").alias("lv"))
-    found = components(links.join(u, "u").join(v, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    if not first:
+        links = links.join(u, "u").join(v, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    found = components(links)
     found = found.select(F.col("node").alias("label"), F.col("label").alias("low"))
     return stored(labels.join(found, "label", "left").select("rep", F.coalesce("low", "label").alias("label")), "labels")
 
@@ -206,27 +206,32 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(mixed, "key").select("rep", "band", "key", "label"), "open")
 
 
-def _pivot_pairs(rows: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """Rows outside their bucket's largest component, each with PIVOTS members of that component."""
-    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("n", F.col("label").alias("to"))).alias("m")).select("key", "m.to")
-    outside = rows.join(largest, "key").where("label != to").select("rep", "to").distinct()
-    chosen = [F.min_by("rep", F.xxhash64("rep", F.lit(seed * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
-    wanted = outside.select("to").distinct()
-    pivots = labels.join(wanted, labels["label"] == wanted["to"]).groupBy("to").agg(*chosen)
-    pairs = outside.join(pivots, "to")
-    return pairs.select(F.col("rep").alias("u"), F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("v"))
+def _shareable(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, n (shingles), common: how many of them stand in another open row too."""
+    held = rows.select("rep").distinct().join(sets, "rep")
+    alone = held.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("k"))
+    alone = alone.where("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    size = held.select("rep", F.size("shingles").cast("bigint").alias("n"))
+    return size.join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
 
 
-def _rest_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """All pairs across components of a bucket that their sketches leave open, each in the first bucket that it shares."""
-    full = stored(rows.join(reps, "rep"), "rest")
-    a = full.select("key", "band", *[F.col(c).alias(f"{c}_u") for c in ("rep", "label", "bands", "sketch")])
-    b = full.select("key", *[F.col(c).alias(f"{c}_v") for c in ("rep", "label", "bands", "sketch")])
+def _rest_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components of a bucket: pairs that bounds and sketches leave open, each in the first bucket it shares.
+
+    The full sets are compared in the join itself, so that only links leave it.
+    """
+    able = _shareable(rows, sets).where(100 * F.col("common") >= percent * F.col("n"))
+    full = stored(rows.join(able, "rep").join(reps, "rep").join(sets, "rep"), "rest")
+    columns = ("rep", "label", "bands", "sketch", "n", "common", "shingles")
+    a = full.select("key", "band", *[F.col(c).alias(f"{c}_u") for c in columns])
+    b = full.select("key", *[F.col(c).alias(f"{c}_v") for c in columns])
     earlier = F.exists(F.slice(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), 1, F.col("band")), lambda same: same)
     across = (a["key"] == b["key"]) & (F.col("rep_u") < F.col("rep_v")) & (F.col("label_u") != F.col("label_v"))
-    pairs = a.join(b, across & (_differing("sketch_u", "sketch_v") <= MOST_BITS) & ~earlier)
-    return pairs.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
+    most = (100 + percent) * F.least("common_u", "common_v") >= percent * (F.col("n_u") + F.col("n_v"))
+    shared = F.size(F.array_intersect("shingles_u", "shingles_v"))
+    alike = (100 + percent) * shared >= percent * (F.col("n_u") + F.col("n_v"))
+    pairs = a.join(b, across & most & (_differing("sketch_u", "sketch_v") <= MOST_BITS) & ~earlier & alike)
+    return stored(pairs.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")), "links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -254,15 +259,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = stored(full_sets(read.join(labels, F.col("doc_id") == F.col("rep")).select("rep", "text"), width), "sets")
 
     stars = buckets.select(F.explode(F.array("low", "high")).alias("u"), F.col("rep").alias("v"))
-    labels = _relabel(labels, _links(stars, reps, sets, percent))
+    labels = _relabel(labels, _links(stars, reps, sets, percent), first=True)
     rows = _open(buckets, labels)
-    for seed in range(ROUNDS):
-        links = _links(_pivot_pairs(rows, labels, seed), reps, sets, percent)
-        if links.isEmpty():
-            break
-        labels = _relabel(labels, links)
-        rows = _open(rows, labels)
-    links = _links(_rest_pairs(rows, reps), reps, sets, percent)
+    links = _rest_links(rows, reps, sets, percent)
     if not links.isEmpty():
         labels = _relabel(labels, links)
     return (
