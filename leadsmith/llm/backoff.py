@@ -22,6 +22,8 @@ from leadsmith.llm.words import ODD, joined, mix, span_hashes, word_spans
 ORDER, BACKOFF = 3, 0.4
 #: Word scores are decimal logarithms in millionths, so that their sums are exact whatever their order.
 UNIT = 1_000_000
+#: Larger chunks send fewer n-grams, since each chunk sends an n-gram once.
+NGRAM_CHUNK = 4_000_000
 
 
 def ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -50,7 +52,7 @@ def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _asks(docs: DataFrame, order: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in C.chunked(batches):
+        for chunk in C.chunked(batches, NGRAM_CHUNK):
             keys, counts = _distinct(chunk.texts, order)
             short = C.shorten(keys, bits)
             rows = [(b, C.pack_keys(short[i:j]), C.pack_counts(counts[i:j])) for b, i, j in C.by_bucket(keys, bits)]
@@ -144,7 +146,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_corpus = read.agg(F.sum(words.cast("bigint"))).first()[0] or 0
     totals = _asks(read, order, bits).groupBy("bucket").applyInPandas(_totals, "chunk bigint, bucket int, totals binary")
     scored = (
-        C.packed_texts(read)
+        C.packed_texts(read, NGRAM_CHUNK)
         .groupBy("chunk")
         .cogroup(totals.groupBy("chunk"))
         .applyInPandas(lambda t, a: _scores(order, bits, n_corpus, t, a), RESULT)

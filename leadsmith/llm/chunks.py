@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leadsmith.llm.shared import shuffle_partitions
 
-#: Bytes of text in a chunk, or one longer text.
+#: Bytes of text in a chunk (unless an operator says otherwise), or one longer text.
 CHUNK_BYTES = 1_000_000
 #: Stands for a null identifier, and sorts behind all others.
 NO_ID = np.int64(2**63 - 1)
@@ -37,8 +37,9 @@ class Chunk:
     texts: list[bytes]
 
 
-def chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[Chunk]:
-    """Chunks of (identifier, text) batches; null texts are empty."""
+def chunked(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[Chunk]:
+    """Chunks of (identifier, text) batches, of ``most`` bytes of text or one longer text; null texts are empty."""
+    most = most or CHUNK_BYTES
     part, count = TaskContext.get().partitionId(), 0
     ids: list[int] = []
     texts: list[bytes] = []
@@ -54,7 +55,7 @@ def chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[Chunk]:
             ids.append(int(NO_ID) if key is None else key)
             texts.append((text or "").encode())
             size += len(texts[-1]) + 1
-            if size >= CHUNK_BYTES:
+            if size >= most:
                 yield made()
                 ids, texts, size, count = [], [], 0, count + 1
     if ids:
@@ -65,11 +66,11 @@ def read_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
+def packed_texts(docs: DataFrame, most: int | None = None) -> DataFrame:
     """chunk, ids, sizes, blob: one row per chunk with its compressed texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunked(batches):
+        for c in chunked(batches, most):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c.number]), pa.array([c.ids.tobytes()]), *[pa.array([x]) for x in pack_texts(c.texts)]],
                 names=["chunk", "ids", "sizes", "blob"],
@@ -80,7 +81,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    return sizes.tobytes(), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+    return sizes.tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
 
 
 def unpack_texts(sizes: bytes, blob: bytes) -> list[bytes]:
