@@ -198,9 +198,7 @@ def enrich_with_stats(df: DataFrame) -> DataFrame:
     else:
         df = df.withColumn("__domain_enriched", F.lit(False))
     df = enrich_company_domain(df)
-    dcols = domain_columns(_cols(df))
-    changed = [F.when(C(c).isNull() | (C(c) != clean_domain(C(c))), 1).otherwise(0) for c in dcols]
-    df = df.withColumn("__domains_cleaned", sum(changed[1:], changed[0]) if changed else F.lit(0))
+    df = df.withColumn("__domains_cleaned", changed_domains(df))
     df = clean_domains(df)
     cols = _cols(df)
     if "Company Domain" in cols:
@@ -213,10 +211,17 @@ def enrich_with_stats(df: DataFrame) -> DataFrame:
     return normalize(df)
 
 
-def enrich_stats(flagged: DataFrame) -> DataFrame:
-    """A8 counters from ``enrich_with_stats`` flags (one aggregate)."""
+def changed_domains(df: DataFrame) -> Column:
+    """Domain cells of a row that cleaning would change."""
+    cols = domain_columns(_cols(df))
+    changed = [F.when(C(c).isNull() | (C(c) != clean_domain(C(c))), 1).otherwise(0) for c in cols]
+    return sum(changed[1:], changed[0]) if changed else F.lit(0)
+
+
+def enrich_stats(flagged: DataFrame, deduped: DataFrame | None = None) -> DataFrame:
+    """A8 counters from ``enrich_with_stats`` flags; ``deduped`` adds the cells that the pass after the dedup changes."""
     b = lambda c: F.count_if(F.col(c)).cast("bigint")
-    return flagged.agg(
+    first = flagged.agg(
         b("__personal").alias("personal_emails_ranked"),
         b("__work").alias("work_emails_identified"),
         F.count_if(F.col("__personal") | F.col("__work")).cast("bigint").alias("emails_enriched"),
@@ -225,3 +230,8 @@ def enrich_stats(flagged: DataFrame) -> DataFrame:
         F.sum("__domains_cleaned").cast("bigint").alias("domains_cleaned"),
         b("__name_generated").alias("company_names_generated"),
     )
+    if deduped is None:
+        return first
+    second = deduped.agg(F.sum(changed_domains(deduped)).cast("bigint").alias("domains_cleaned"))
+    both = first.unionByName(second, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).cast("bigint").alias(c) for c in first.columns])

@@ -607,6 +607,17 @@ def q_mapping_stats(spark, sf):
     return S.mapping_fill_stats(FX.people_raw(spark, sf), FX.PEOPLE_SPEC, "people")
 
 
+def _second_pass_sql():
+    """Domain cells that the pass after the dedup changes."""
+    ch = O.raw_chain(FX.PEOPLE_SQL, P_COLS)
+    O.standardize_step(ch, FX.PEOPLE_SPEC, "people")
+    O.enrich_steps(ch)
+    O.dedup_step(ch, "people")
+    changed = " + ".join(f"case when {O.q(c)} is null or {O.q(c)} <> {O.clean_domain(O.q(c))} then 1 else 0 end"
+                         for c in ch.cols if "domain" in c.lower() or "website" in c.lower())
+    return ch.sql(f"select cast(sum({changed}) as bigint) from {{prev}}")
+
+
 def _enrich_stats_sql():
     ch = O.raw_chain(FX.PEOPLE_SQL, P_COLS)
     O.standardize_step(ch, FX.PEOPLE_SPEC, "people")
@@ -642,13 +653,14 @@ def _enrich_stats_sql():
     O.cname_step(ch)
     return ch.sql("select count_if(__personal) as personal_emails_ranked, count_if(__work) as work_emails_identified, "
                   "count_if(__personal or __work) as emails_enriched, count_if(__names_split) as names_split, "
-                  "count_if(__domain_enriched) as domains_enriched, cast(sum(__domains_cleaned) as bigint) as "
-                  "domains_cleaned, count_if(__name_generated) as company_names_generated from {prev}")
+                  "count_if(__domain_enriched) as domains_enriched, cast(sum(__domains_cleaned) as bigint) + "
+                  "(" + _second_pass_sql() + ") as domains_cleaned, count_if(__name_generated) as company_names_generated from {prev}")
 
 
 @register("enrich_stats", _enrich_stats_sql())
 def q_enrich_stats(spark, sf):
-    return E.enrich_stats(E.enrich_with_stats(_p_std(spark, sf)))
+    std = _p_std(spark, sf)
+    return E.enrich_stats(E.enrich_with_stats(std), dedup.deduplicate(E.enrich(std), "people", normalized=True))
 
 
 @register("missing_matrix", "select " + ", ".join(
