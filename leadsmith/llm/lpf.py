@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from leadsmith.llm.repeats import Scheme, View, remove_repeats
-from leadsmith.llm.words import joined, ragged, rolling_hashes, span_hashes
+from leadsmith.llm.words import joined, mix, ragged, rolling_hashes, span_hashes
 
 WINDOW, GRAM = 50, 26
 
@@ -36,7 +36,8 @@ class EarlierBytes(Scheme):
             step = min(done, span - done)
             low = np.minimum(low[:-step], low[step:])
             done += step
-        return np.concatenate([low, np.zeros(len(view.data) - len(low), np.uint64)]), None
+        # Minima are small numbers: mixed once more, they spread evenly over the buckets.
+        return np.concatenate([mix(low), np.zeros(len(view.data) - len(low), np.uint64)]), None
 
     def occurrences(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")

@@ -88,7 +88,7 @@ class RepeatedWords(Scheme):
                 placed = np.append((value & ~PLACE) | np.arange(len(value), dtype=np.uint64), U(0))
                 pairs = np.stack([a[some], b[some]], 1).ravel()
                 at = (np.minimum.reduceat(placed, pairs)[::2] & PLACE).astype(np.int64)
-                keys[todo[some]] = value[at]
+                keys[todo[some]] = mix(value[at])  # minima are small numbers: mixed, they spread over the buckets
                 symbol[todo[some]] = at + (level << 32)
             todo = todo[~some]
         return keys, symbol

@@ -3,8 +3,9 @@
 A scheme names each window of a text by a key that depends on nothing but the window's content, so that equal windows have
 equal keys wherever they stand, and neighbouring windows mostly share one. Pass one finds the keys that occur more than
 once. Pass two cuts out the fragments around those keys, settles equal fragments within a chunk there, and sends one of each
-to its key's bucket, where windows are compared in full. Pass three reads the texts again and removes what was found. A
-passage that very many documents share costs each chunk one fragment, whatever the number of documents.
+to its key's bucket, where windows are compared in full. Pass three removes what was found. A passage that very many documents
+share costs each chunk one fragment, whatever the number of documents. The texts are read anew in each pass, so that the
+shuffled texts of one pass are the most that stands on disk beside its keys or fragments.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leadsmith.llm import chunks as C
 from leadsmith.llm.shared import release, stored
@@ -144,44 +146,60 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "bucket", "bits"])
 
 
-def _work(chunk: int, bucket: int, *parts: np.ndarray | bytes) -> tuple:
-    return chunk, bucket, *(x.tobytes() if isinstance(x, np.ndarray) else x for x in parts)
+@dataclass
+class Picked:
+    """The runs of a chunk whose keys occur elsewhere, and what the chunk alone says about them."""
+
+    number: int
+    ids: np.ndarray
+    view: View
+    keys: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    row: np.ndarray
+    data: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    removed: np.ndarray
+    sent: np.ndarray
+    several: np.ndarray
 
 
-def _fragments(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """Pass two over one chunk: fragments for the buckets, and under bucket -1 the spans settled here."""
+def _picked(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFrame) -> Picked:
     if not len(texts):
         raise RuntimeError("the input came out in another order when it was read again; write it to a table first")
+    ids = np.frombuffer(texts["ids"].iat[0], np.int64)
+    view = scheme.view(C.unpack_texts(texts["sizes"].iat[0], texts["blob"].iat[0]))
+    keys, first, last = runs(scheme, view)
+    distinct, _ = scheme.occurrences(keys, view.rows_of(first))
+    shared = np.zeros(len(distinct), bool)
+    given = dict(zip(answers["bucket"], answers["bits"], strict=True))
+    for b, i, j in C.by_bucket(distinct, bits):
+        if b in given:
+            shared[i:j] = _mask(given[b], j - i)
+    pick = shared[np.searchsorted(distinct, keys)] if len(keys) else np.zeros(0, bool)
+    keys, first, last = keys[pick], first[pick], last[pick]
+    row = view.rows_of(first)
+    data, lo, hi, content = scheme.fragments(view, keys, first, last)
+    _, group = np.unique(np.stack([keys, content], 1), axis=0, return_inverse=True)
+    settled = scheme.settle(group.ravel(), ids[row])
+    return Picked(int(texts["chunk"].iat[0]), ids, view, keys, first, last, row, data, lo, hi, *settled)
+
+
+def _fragments(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """Pass two over one chunk: fragments for the buckets."""
     out: list[tuple] = []
     if len(answers):
-        number = int(texts["chunk"].iat[0])
-        ids = np.frombuffer(texts["ids"].iat[0], np.int64)
-        view = scheme.view(C.unpack_texts(texts["sizes"].iat[0], texts["blob"].iat[0]))
-        keys, first, last = runs(scheme, view)
-        distinct, _ = scheme.occurrences(keys, view.rows_of(first))
-        shared = np.zeros(len(distinct), bool)
-        given = dict(zip(answers["bucket"], answers["bits"], strict=True))
-        for b, i, j in C.by_bucket(distinct, bits):
-            if b in given:
-                shared[i:j] = _mask(given[b], j - i)
-        pick = shared[np.searchsorted(distinct, keys)]
-        keys, first, last = keys[pick], first[pick], last[pick]
-        row = view.rows_of(first)
-        data, lo, hi, content = scheme.fragments(view, keys, first, last)
-        _, group = np.unique(np.stack([keys, content], 1), axis=0, return_inverse=True)
-        removed, sent, several = scheme.settle(group.ravel(), ids[row])
-        local = first - view.at[row]
-        if removed.any():
-            r = np.flatnonzero(removed)
-            sizes = (last - first)[r] + scheme.width
-            out.append(_work(number, -1, b"", row[r].astype(np.int32), local[r], sizes, b""))
-        order = np.flatnonzero(sent)
-        order = order[np.argsort(keys[order], kind="stable")]
-        for b, i, j in C.by_bucket(keys[order], bits):
+        p = _picked(scheme, bits, texts, answers)
+        order = np.flatnonzero(p.sent)
+        order = order[np.argsort(p.keys[order], kind="stable")]
+        for b, i, j in C.by_bucket(p.keys[order], bits):
             o = order[i:j]
-            blob = C.zstandard.ZstdCompressor(level=1).compress(data[ragged(lo[o], hi[o] - lo[o])].tobytes())
-            sizes = np.stack([hi[o] - lo[o], several[o].astype(np.int64)]).astype(np.int32)
-            out.append(_work(number, b, ids[row[o]], row[o].astype(np.int32), local[o], sizes, blob))
+            size = p.hi[o] - p.lo[o]
+            blob = C.zstandard.ZstdCompressor(level=1).compress(p.data[ragged(p.lo[o], size)].tobytes())
+            start = p.first[o] - p.view.at[p.row[o]]
+            parts = (p.ids[p.row[o]], p.row[o].astype(np.int32), start, np.stack([size, p.several[o]]).astype(np.int32))
+            out.append((p.number, b, *(x.tobytes() for x in parts), blob))
     return pd.DataFrame(out, columns=WORK_COLUMNS)
 
 
@@ -221,14 +239,15 @@ def _compare(scheme: Scheme, pdf: pd.DataFrame) -> pd.DataFrame:
 RESULT = ["doc_id", "n_units", "n_removed", "n_spans", "kept"]
 
 
-def _finish(scheme: Scheme, texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    """Pass three over one chunk."""
-    if not len(texts):
-        raise RuntimeError("the input came out in another order when it was read again; write it to a table first")
-    ids = np.frombuffer(texts["ids"].iat[0], np.int64)
-    view = scheme.view(C.unpack_texts(texts["sizes"].iat[0], texts["blob"].iat[0]))
+def _finish(scheme: Scheme, bits: int, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """Pass three over one chunk: ``found`` holds the answers of pass one again, and the spans that the buckets found."""
+    p = _picked(scheme, bits, texts, found[found["bucket"] >= 0])
+    view, ids = p.view, p.ids
     change = np.zeros(int(view.stop[-1]) + 2, np.int32)
-    for s in spans.itertuples():
+    gone_first, gone_last = p.first[p.removed], p.last[p.removed]
+    np.add.at(change, gone_first, 1)
+    np.add.at(change, gone_last + scheme.width, -1)
+    for s in found[found["bucket"] < 0].itertuples():
         lo = view.at[np.frombuffer(s.text_rows, np.int32)] + np.frombuffer(s.starts, np.int64)
         np.add.at(change, lo, 1)
         np.add.at(change, lo + np.frombuffer(s.sizes, np.int64), -1)
@@ -247,22 +266,14 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str)
     spark = docs.sparkSession
     bits = C.bucket_bits(spark)
     read = C.read_columns(docs, id_col, text_col)
+    texts = C.packed_texts(read).groupBy("chunk")
     answers = asks(read, scheme, bits).groupBy("bucket").applyInPandas(_answer, "chunk bigint, bucket int, bits binary")
-    work = stored(
-        C.packed_texts(read)
-        .groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInPandas(lambda t, a: _fragments(scheme, bits, t, a), WORK),
-        "work",
-    )
-    del answers
+    answers = stored(answers, "answers")
+    release(spark)
+    fragments = texts.cogroup(answers.groupBy("chunk")).applyInPandas(lambda t, a: _fragments(scheme, bits, t, a), WORK)
+    spans = stored(fragments.groupBy("bucket").applyInPandas(lambda p: _compare(scheme, p), SPANS), "spans")
+    del fragments
     release(spark)
-    found = work.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda p: _compare(scheme, p), SPANS)
-    spans = found.unionByName(work.where("bucket < 0").select("chunk", "text_rows", "starts", "sizes"))
+    found = spans.withColumn("bucket", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
     schema = "doc_id bigint, n_units bigint, n_removed bigint, n_spans bigint, kept binary"
-    return (
-        C.packed_texts(read)
-        .groupBy("chunk")
-        .cogroup(spans.groupBy("chunk"))
-        .applyInPandas(lambda t, s: _finish(scheme, t, s), schema)
-    )
+    return texts.cogroup(found.groupBy("chunk")).applyInPandas(lambda t, f: _finish(scheme, bits, t, f), schema)
