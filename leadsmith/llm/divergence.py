@@ -180,3 +180,73 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.round("word_distance", 6).alias("word_distance"),
         )
     )
+
+
+def oracle_sql() -> str:
+    """The same rules in DuckDB's SQL, over the documents table."""
+    space = r"[\x20\x09-\x0D]"
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    chain, counts, rest = [], [], "t"
+    for name, pattern in CLASSES.items():
+        chain.append(f"regexp_replace({rest}, {q(pattern)}, '', 'g') AS without_{name}")
+        counts.append(f"length({rest}) - length(without_{name})")
+        rest = f"without_{name}"
+    cases = " ".join(
+        f"WHEN {q(lang)} THEN [" + ", ".join(f"len(list_filter(ws, lambda w: w = {q(w)}))" for w in listed[:N_COMMON]) + "]"
+        for lang, listed in COMMON_WORDS.items()
+    )
+    languages = ", ".join(map(q, COMMON_WORDS))
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{k + 1}])" for k in range(n)) + "]"
+    shares = lambda c, n: f"list_transform(list_append({c}, {n} - list_sum({c})), lambda x: x::DOUBLE / {n})"
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((z[1] + z[2]) / 2)) ELSE 0.0 END"
+
+    def distance(p: str, r: str) -> str:
+        term = f"({part.format('z[1]')} + {part.format('z[2]')}) / 2"
+        total = f"list_sum(list_transform(list_zip({p}, {r}), lambda z: {term}))"
+        return f"CASE WHEN {p} IS NOT NULL AND {r} IS NOT NULL THEN sqrt(greatest({total}, 0.0)) END"
+
+    steps = ", ".join(f"s{k + 1} AS (SELECT *, {x} FROM s{k})" for k, x in enumerate(chain))
+    return f"""
+        WITH s0 AS (
+            SELECT doc_id, lang, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda w: w <> '') AS ws,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS ls
+            FROM documents
+        ), {steps},
+        f AS (
+            SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(t)::BIGINT AS n_chars,
+                   (length(t) - (length(without_lower) - length(without_space)))::BIGINT AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+                   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, ws,
+                   [{", ".join(counts)}] AS classes, CASE lang {cases} END AS commons
+            FROM s{len(chain)}
+        ),
+        p AS (
+            SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM f WHERE len(ws) >= 5
+        ),
+        w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 4]) AS n FROM p),
+        c AS (
+            SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words
+            FROM w, (SELECT unnest(range(5)) AS k) WHERE n > 1 GROUP BY doc_id
+        ),
+        r AS (
+            SELECT lang, sum(n_chars) AS ref_chars, sum(n_words) AS ref_words,
+                   {sums("classes", len(CLASSES))} AS ref_classes, {sums("commons", N_COMMON)} AS ref_commons
+            FROM f WHERE lang IN ({languages}) GROUP BY lang
+        ),
+        b AS (
+            SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   CASE WHEN n_chars > 0 THEN {shares("classes", "n_chars")} END AS p_class,
+                   CASE WHEN ref_chars > 0 THEN {shares("ref_classes", "ref_chars")} END AS q_class,
+                   CASE WHEN n_words > 0 THEN {shares("commons", "n_words")} END AS p_word,
+                   CASE WHEN ref_words > 0 THEN {shares("ref_commons", "ref_words")} END AS q_word
+            FROM f LEFT JOIN c USING (doc_id) LEFT JOIN r USING (lang)
+        ),
+        j AS (SELECT *, {distance("p_class", "q_class")} AS cd, {distance("p_word", "q_word")} AS wd,
+                     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce(n_words >= {MIN_CLASS_WORDS} AND cd > {MAX_CLASS_DISTANCE}, false)
+                   AND NOT coalesce(n_words >= {MIN_WORD_WORDS} AND wd > {MAX_WORD_DISTANCE}, false) AS kept,
+               round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+        FROM j
+    """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadsmith.llm.backoff import backoff_scores
 from leadsmith.llm.bpe import digests, encode_decode
+from leadsmith.llm.divergence import oracle_sql as quality_sql
 from leadsmith.llm.divergence import quality_rules
 from leadsmith.llm.lpf import suffix_dedup
 from leadsmith.llm.odd_sketch import near_dedup
@@ -77,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_divergence": quality_sql(),
     "op7_stupid_backoff": r"""
         WITH d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
