@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadsmith.llm.components import components
-from leadsmith.llm.shared import stored
+from leadsmith.llm.shared import release, stored
 from leadsmith.llm.words import LOWER, ODD, joined, mix, span_hashes, word_spans
 
 #: Bands of the MinHash samples. A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
@@ -258,12 +258,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = stored(buckets.select("rep").distinct().withColumn("label", F.col("rep")), "labels")
     sets = stored(full_sets(read.join(labels, F.col("doc_id") == F.col("rep")).select("rep", "text"), width), "sets")
 
+    release(docs.sparkSession)
+
     stars = buckets.select(F.explode(F.array("low", "high")).alias("u"), F.col("rep").alias("v"))
     labels = _relabel(labels, _links(stars, reps, sets, percent), first=True)
     rows = _open(buckets, labels)
     links = _rest_links(rows, reps, sets, percent)
     if not links.isEmpty():
         labels = _relabel(labels, links)
+    release(docs.sparkSession)
     return (
         signs.select("doc_id", *key)
         .join(named, key, "left")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsmith.llm.shared import SPACE, shared_dir
+from leadsmith.llm.shared import SPACE, release, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -114,6 +114,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if digest_bits >= 256:
             raise ValueError("different texts share a SHA-256 digest")
         return exact_dedup(docs, id_col, text_col)
+    release(spark)
     return prints.withColumn("digest", digest("text_sha256", digest_bits)).join(state, "digest").select(
         "doc_id",
         "keep_id",
