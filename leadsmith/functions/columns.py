@@ -48,10 +48,6 @@ def strip(c: Column) -> Column:
     return F.btrim(c, _cached("ws", lambda: F.lit(PY_WS)))
 
 
-def lower(c: Column) -> Column:
-    return F.lower(c)
-
-
 def _lower_in(c: Column, words) -> Column:
     return F.lower(c).isin(list(words))
 

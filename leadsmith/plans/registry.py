@@ -362,7 +362,9 @@ def q_log_query(spark, sf):
     return r.select("log_id", F.col("ts").cast("string").alias("ts"), "job_id", "level", "error_type", "message")
 
 
-_RANGE_SPECS = ["today", "yesterday", "2d", "24h", "2024-01-20T12:00:00Z"]
+# Relative bounds, and where each starts as seen from AS_OF (2024-01-31 00:00): written out for the oracle.
+_RANGE_SPECS = {"today": "2024-01-31 00:00:00", "yesterday": "2024-01-30 00:00:00", "2d": "2024-01-29 00:00:00",
+                "24h": "2024-01-30 00:00:00", "2024-01-20T12:00:00Z": "2024-01-20 12:00:00"}
 
 
 def _range_name(spec):
@@ -370,8 +372,8 @@ def _range_name(spec):
 
 
 @register("log_range", _L + "select " + ", ".join(
-    f"count_if(ts between {_lit_ts(LG.resolve_start(sp, AS_OF))} and {_lit_ts(AS_OF)}) as {_range_name(sp)}"
-    for sp in _RANGE_SPECS) + " from L")
+    f"count_if(ts between timestamp '{start}' and {_lit_ts(AS_OF)}) as {_range_name(sp)}"
+    for sp, start in _RANGE_SPECS.items()) + " from L")
 def q_log_range(spark, sf):
     lg = _logs(spark, sf)
     return lg.agg(*[F.count_if(F.col("ts").between(LG._ts(LG.resolve_start(sp, AS_OF)), LG._ts(AS_OF)))
@@ -582,24 +584,25 @@ def q_merge_stats(spark, sf):
 
 
 def _fill_sql():
-    m = S.plan_mappings(FX.PEOPLE_SPEC)
-    cols = P_COLS[2:]
-    counts = {p: [] for p in S.PRIORITIES}
-    for h in __import__("leadsmith").functions.constants.PEOPLE_FIELDS:
-        if h not in m:
-            continue
-        filled = "false"
-        for p in S.PRIORITIES:
-            for c in m[h][p]:
-                if not c or c not in cols:
-                    continue
-                counts[p].append(f"case when not ({filled}) and not {O.m1(O.q(c))} then 1 else 0 end")
-                filled = f"({filled} or not {O.m1(O.q(c))})"
-    used = {"Source"} | {c for s in m.values() for p in S.PRIORITIES for c in s[p] if c}
-    unm = len([c for c in cols + ["Source"] if c not in used])
+    """Cells that each priority fills, from the spec's entries: the first filled one of a header's columns counts."""
+    slots: dict = {}
+    for f in FX.PEOPLE_SPEC["mapped_files"]:
+        for std, entry in f["mapped_headers"].items():
+            for pr, c in entry.items():
+                slots.setdefault(std, {}).setdefault(pr, {})[c] = None
+    counts = {"primary": [], "secondary": [], "tertiary": []}
+    for by_priority in slots.values():
+        before: list[str] = []
+        for pr in counts:
+            for c in by_priority.get(pr, ()):
+                filled = f"not {O.m1(O.q(c))}"
+                counts[pr].append(f"case when {' and '.join(['not (' + x + ')' for x in before] + [filled])} then 1 else 0 end")
+                before.append(filled)
+    used = {c for by_priority in slots.values() for cs in by_priority.values() for c in cs}
     parts = [f"cast(coalesce(sum({' + '.join(v)}), 0) as bigint) as {p}_mappings" if v
              else f"cast(0 as bigint) as {p}_mappings" for p, v in counts.items()]
-    return f"select {', '.join(parts)}, cast({unm} as bigint) as unmapped_headers from {_P_RAW}"
+    unmapped = len([c for c in P_COLS[2:] if c not in used])
+    return f"select {', '.join(parts)}, cast({unmapped} as bigint) as unmapped_headers from {_P_RAW}"
 
 
 @register("mapping_stats", _fill_sql())
