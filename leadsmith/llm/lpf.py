@@ -18,7 +18,6 @@ WINDOW, GRAM = 50, 26
 
 
 class EarlierBytes(Scheme):
-    answers_single_only = False
     dtype = np.uint8
 
     def __init__(self, width: int = WINDOW, gram: int = GRAM):
@@ -50,7 +49,7 @@ class EarlierBytes(Scheme):
             several = r[at] != r[np.append(at[1:], len(k)) - 1]
         return k[at], several
 
-    def settle(self, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def settle(self, group: np.ndarray, ids: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
         np.minimum.at(low, group, ids)
         removed = ids > low[group]
@@ -60,6 +59,12 @@ class EarlierBytes(Scheme):
         end = last + self.width
         return view.data, first, end, span_hashes(view.data, first, end)
 
+    def fragment_hashes(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return span_hashes(data, at[:-1], at[1:])
+
+    def window_counts(self, sizes: np.ndarray) -> np.ndarray:
+        return sizes - self.width + 1
+
     def fragment_windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = np.diff(at) - self.width + 1
         start = ragged(at[:-1], count)

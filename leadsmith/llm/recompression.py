@@ -40,7 +40,6 @@ def next_level(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray, wall: np.ndarray
 
 
 class RepeatedWords(Scheme):
-    answers_single_only = True
     dtype = np.uint64
 
     def __init__(self, width: int = WINDOW, levels: int = LEVELS):
@@ -97,12 +96,11 @@ class RepeatedWords(Scheme):
         distinct, count = np.unique(keys, return_counts=True)
         return distinct, count > 1
 
-    def settle(self, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        count = np.bincount(group)
-        several = count[group] > 1
+    def settle(self, group: np.ndarray, ids: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        more = (np.bincount(group, weights=1 + several) > 1)[group]
         first = np.zeros(len(group), bool)
         first[np.unique(group, return_index=True)[1]] = True
-        return several, first, several
+        return more, first, more
 
     def fragments(self, view: View, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
         """A run's key, then a 64-bit sum over the words of each of its windows: 128 bits tell windows apart."""
@@ -119,8 +117,16 @@ class RepeatedWords(Scheme):
         head[begin] = True
         data[head] = keys
         data[~head] = windows[ragged(first, size - 1)]
-        content = np.add.reduceat(mix(data + U(ODD[43]) * (np.arange(len(data)) - np.repeat(begin, size)).astype(U)), begin) if len(end) else data
-        return data, begin, end, content
+        return data, begin, end, self.fragment_hashes(data, np.append(begin, len(data)))
+
+    def fragment_hashes(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if len(at) < 2:
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+        return np.add.reduceat(mix(data + U(ODD[43]) * place.astype(U)), at[:-1])
+
+    def window_counts(self, sizes: np.ndarray) -> np.ndarray:
+        return sizes - 1
 
     def fragment_windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = np.diff(at) - 1

@@ -43,14 +43,10 @@ class View:
 
 
 class Scheme:
-    """What the two operators differ in.
-
-    ``dtype`` is that of the fragments' data; ``answers_single_only`` leaves out fragments that were settled in their chunk.
-    """
+    """What the two operators differ in; ``dtype`` is that of the fragments' data."""
 
     width: int
     dtype: type
-    answers_single_only: bool
 
     def view(self, texts: list[bytes]) -> View:
         raise NotImplementedError
@@ -63,8 +59,9 @@ class Scheme:
         """Distinct keys in order, and whether each alone makes a repeat within the chunk."""
         raise NotImplementedError
 
-    def settle(self, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of fragments in groups of equal ones: removed for sure, to be sent, and counted as several when sent."""
+    def settle(self, group: np.ndarray, ids: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of fragments in groups of equal ones (``several``: some stand for more): removed for sure, to be compared with
+        others, and standing for several."""
         raise NotImplementedError
 
     def repeated(self, windows: np.ndarray, ids: np.ndarray, several: np.ndarray) -> np.ndarray:
@@ -75,10 +72,18 @@ class Scheme:
         """Data from which a bucket compares the windows of runs: all in one array, where each run's lies (from, to), a hash."""
         raise NotImplementedError
 
+    def fragment_hashes(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the fragments at[k] to at[k + 1] of such data."""
+        raise NotImplementedError
+
     def fragment_windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows of the fragments at[k] to at[k + 1] of such data, and the fragment that each is from, in order."""
         raise NotImplementedError
 
+    def window_counts(self, sizes: np.ndarray) -> np.ndarray:
+        """Windows in fragments of these sizes."""
+        raise NotImplementedError
+
     def keep(self, view: View, row: int, kept: np.ndarray) -> bytes:
         raise NotImplementedError
 
@@ -165,6 +170,16 @@ class Picked:
     several: np.ndarray
 
 
+def _groups(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of each pair's group of equal pairs."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group
+
+
 def _picked(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFrame) -> Picked:
     if not len(texts):
         raise RuntimeError("the input came out in another order when it was read again; write it to a table first")
@@ -181,8 +196,7 @@ def _picked(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFram
     keys, first, last = keys[pick], first[pick], last[pick]
     row = view.rows_of(first)
     data, lo, hi, content = scheme.fragments(view, keys, first, last)
-    _, group = np.unique(np.stack([keys, content], 1), axis=0, return_inverse=True)
-    settled = scheme.settle(group.ravel(), ids[row])
+    settled = scheme.settle(_groups(keys, content), ids[row], np.zeros(len(row), bool))
     return Picked(int(texts["chunk"].iat[0]), ids, view, keys, first, last, row, data, lo, hi, *settled)
 
 
@@ -214,21 +228,30 @@ def _compare(scheme: Scheme, pdf: pd.DataFrame) -> pd.DataFrame:
     chunk, ids, row, start, size, several = (np.concatenate([p[k] for p in parts]) for k in range(6))
     data = np.frombuffer(b"".join(p[6] for p in parts), scheme.dtype)
     del parts
-    windows, fragment = scheme.fragment_windows(data, np.concatenate([[0], np.cumsum(size)]))
+    at = np.concatenate([[0], np.cumsum(size)])
+    known = several  # their own chunk has removed them
+    # Equal fragments of different chunks settle each other; one of each goes on to be compared window by window.
+    removed, sent, several = scheme.settle(_groups(scheme.fragment_hashes(data, at), size.astype(np.uint64)), ids, several)
+    keep = np.flatnonzero(sent)
+    data = data[ragged(at[:-1][keep], size[keep])]
+    windows, part = scheme.fragment_windows(data, np.concatenate([[0], np.cumsum(size[keep])]))
+    fragment = keep[part]
     hit = scheme.repeated(windows, ids[fragment], several[fragment])
+    del windows
     # Flagged windows in a row become one span.
     order = np.arange(len(fragment)) - np.searchsorted(fragment, fragment)
-    at = np.flatnonzero(hit & ~several[fragment]) if scheme.answers_single_only else np.flatnonzero(hit)
-    if not len(at):
-        return pd.DataFrame([], columns=["chunk", "text_rows", "starts", "sizes"])
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (fragment[at[1:]] != fragment[at[:-1]])
+    places = np.flatnonzero(hit & ~removed[fragment])
+    new = np.ones(len(places), bool)
+    new[1:] = (places[1:] != places[:-1] + 1) | (fragment[places[1:]] != fragment[places[:-1]])
     first = np.flatnonzero(new)
-    length = np.append(first[1:], len(at)) - first
-    f = fragment[at[first]]
-    spans = pd.DataFrame(
-        {"chunk": chunk[f], "row": row[f].astype(np.int32), "start": start[f] + order[at[first]], "size": length - 1 + scheme.width}
-    )
+    length = np.append(first[1:], len(places)) - first
+    whole = np.flatnonzero(removed & ~known)
+    f = np.concatenate([fragment[places[first]], whole])
+    if not len(f):
+        return pd.DataFrame([], columns=["chunk", "text_rows", "starts", "sizes"])
+    begin = np.concatenate([order[places[first]], np.zeros(len(whole), np.int64)])
+    width = np.concatenate([length, scheme.window_counts(size[whole])]) - 1 + scheme.width
+    spans = pd.DataFrame({"chunk": chunk[f], "row": row[f].astype(np.int32), "start": start[f] + begin, "size": width})
     out = [
         (c, g["row"].to_numpy(np.int32).tobytes(), g["start"].to_numpy(np.int64).tobytes(), g["size"].to_numpy(np.int64).tobytes())
         for c, g in spans.groupby("chunk")
