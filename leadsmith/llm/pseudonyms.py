@@ -272,7 +272,7 @@ def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = DEFAUL
         make = lru_cache(100_000)(lambda kind, value: pseudonym(kind, value, feistel))
         for batch in batches:
             texts, kinds = [], {k: [] for k in KINDS}
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).field(text_col).to_pylist():
                 new, counts = (None, {}) if text is None else replace_all(text, feistel, make)
                 texts.append(new)
                 for k in KINDS:
@@ -284,7 +284,7 @@ def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = DEFAUL
         [T.StructField("row", docs.schema), T.StructField("new_text", T.StringType())]
         + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
     )
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:

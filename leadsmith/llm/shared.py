@@ -43,8 +43,18 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker at a time: texts are long, and Spark's default of 10,000 holds too many of them in memory.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session: they need not have it on their path."""
+    """Send this package to the Python workers, once a session: they need not have it on their path.
+
+    Where the session has Spark's default size of Arrow batches, a smaller one is set.
+    """
+    key, default, smaller = ARROW_BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, smaller)
     context = spark.sparkContext
     if getattr(context, "_corpus_shipped", False):
         return

@@ -181,15 +181,16 @@ def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     )
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """The batches, cut where their texts come to BATCH_BYTES."""
+def _text_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Rows and their texts, cut where the texts come to BATCH_BYTES."""
     for batch in batches:
-        sizes = np.array([len(t or "") for t in batch.column(text_at).to_pylist()])
-        part = np.cumsum(sizes) // BATCH_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+        rows = batch.column(0)
+        texts = rows.field(text_col).to_pylist()
+        part = np.cumsum([len(t or "") for t in texts]) // BATCH_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if b > a:
-                yield batch.slice(a, b - a)
+                yield rows.slice(a, b - a), texts[a:b]
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
@@ -235,15 +236,15 @@ def with_features(docs: DataFrame, text_col: str, lexicon: Lexicon) -> DataFrame
     """Column ``row`` with the whole row, and its features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text_batches(batches, 1):
-            found = features(batch.column(1).to_pylist(), lexicon)
+        for rows, texts in _text_batches(batches, text_col):
+            found = features(texts, lexicon)
             offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["row", "features"]
+                [rows, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["row", "features"]
             )
 
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("features", T.ArrayType(T.DoubleType()))])
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
