@@ -166,11 +166,11 @@ def _ssn(text: str, move: Callable) -> str | None:
 
 def _ip(text: str, move: Callable) -> str | None:
     octets = text.split(".")
-    if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets) or not 1 <= int(octets[0]) <= 223:
+    if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
         return None
-    shape = ".".join(str(len(o)) for o in octets)  # octets keep their numbers of digits, the first one stays 1 to 223
-    lows = [(1, 10, 100)[len(o) - 1] if k == 0 or len(o) > 1 else 0 for k, o in enumerate(octets)]
-    sizes = [(9, 99, 223 if k == 0 else 255)[len(o) - 1] - low + 1 for k, (o, low) in enumerate(zip(octets, lows, strict=True))]
+    shape = ".".join(str(len(o)) for o in octets)  # octets keep their numbers of digits
+    lows = [(0, 10, 100)[len(o) - 1] for o in octets]
+    sizes = [(9, 99, 255)[len(o) - 1] - low + 1 for o, low in zip(octets, lows, strict=True)]
     x, bound = 0, 1
     for o, low, size in zip(octets, lows, sizes, strict=True):
         x, bound = x * size + int(o) - low, bound * size

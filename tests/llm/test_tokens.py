@@ -122,6 +122,15 @@ def test_pseudonyms_keep_the_format_and_turn_back(kind):
         assert pseudonyms.pseudonym(kind, new, f, back=True) == value
 
 
+@pytest.mark.parametrize("value", ["233.233.171.252", "224.0.0.251", "255.255.255.255", "240.1.22.133", "0.0.0.0", "0.12.0.1"])
+def test_addresses_of_all_first_octets_are_replaced(value):
+    f = pseudonyms.Feistel(b"k")
+    text, counts = pseudonyms.replace_all(f"from {value}, port 80", f, lambda k, v: pseudonyms.pseudonym(k, v, f))
+    new = text.removeprefix("from ").removesuffix(", port 80")
+    assert counts == {"ip": 1} and new != value and [len(o) for o in new.split(".")] == [len(o) for o in value.split(".")]
+    assert all(int(o) <= 255 for o in new.split(".")) and pseudonyms.pseudonym("ip", new, f, back=True) == value
+
+
 def test_invalid_values_stay():
     f = pseudonyms.Feistel(b"k")
     text = "4041894974608794 999.1.1.1 2020-02-30 000-12-3456 GB83 WEST 1234 5698 7654 32 version 1.2.3 12345678 3.14"
