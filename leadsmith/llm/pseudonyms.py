@@ -32,7 +32,8 @@ PATTERN = re.compile(
   | (?P<secret>(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}
         |(?<=password=)[^\s"']{6,64}|(?<=secret=)[^\s"']{6,64}|(?<=token=)[^\s"']{6,64}|[0-9a-f]{40}|[0-9a-f]{64})(?![A-Za-z0-9]))
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<date>(?<![\w.:/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-]|\.[0-9]))
+  | (?P<date>(?<![\w.:/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=[Tt](?![A-Za-z_]))
+        |(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-]|\.[0-9])))
   | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])
@@ -41,6 +42,36 @@ PATTERN = re.compile(
     """,
     re.VERBOSE,
 )
+#: Lengths of IBANs by country.
+IBAN_SIZES = {
+    c: int(n)
+    for n, countries in (
+        line.split(" ", 1)
+        for line in """15 NO
+16 BE
+18 DK FI FK FO GL NL SD
+19 MK SI
+20 AT BA EE KZ LT LU MN XK
+21 CH CR HR LI LV
+22 BG BH DE GB GE IE IM JE GG ME RS VA
+23 AE GI IL IQ OM SO TL
+24 AD CZ DZ ES MD MR PK RO SA SE SK TN VG
+25 AO CV GW LY MZ PT ST
+26 IR IS TR
+27 BF BI BJ CF CG CI CM DJ FR GA GF GP GR IT KM MC MG ML MQ NC NE PF PM RE SM SN TD TF TG WF YT
+28 AL AZ BY CY DO GT HN HU LB MA NI PL SV
+29 BR EG PS QA UA
+30 JO KW MU YE
+31 MT SC
+32 LC
+33 RU""".splitlines()
+    )
+    for c in countries.split()
+}
+#: Sizes of the groups of digits in which cards are printed.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (13,), (14,), (15,), (16,), (17,), (18,), (19,)}
+#: First digits that issuers of cards have.
+ISSUED = re.compile("3[0-9]|4|5[0-8]|6|2(?:2[2-9]|[3-6][0-9]|7[0-2])")
 #: A text without any of these has nothing that PATTERN could match.
 HINT = re.compile(r"[0-9@]|password=|secret=|token=|gh[pousr]_|sk-|AKIA")
 
@@ -244,27 +275,71 @@ def pseudonym(kind: str, text: str, feistel: Feistel, back: bool = False) -> str
     return MAKERS[kind](text, feistel.back if back else feistel.permute)
 
 
+def _ends(kind: str, value: str) -> list[int]:
+    """Ends of the values that a match may stand for, in the order in which they are tried. A match may have taken in what
+    stands behind its value; shorter readings end where a group of letters or digits does."""
+    ends = [m.end() for m in re.finditer("[0-9A-Za-z]+", value)] if kind in ("card", "iban", "phone") else []
+    shorter = ends[-2::-1]
+    if kind == "iban" and value[:2] in IBAN_SIZES:
+        shorter = [e for e in ends if len(value[:e].replace(" ", "")) == IBAN_SIZES[value[:2]]]
+        return [*shorter, len(value)]
+    if kind == "card":
+        groups = {e: [len(g) for g in re.split("[ -]", value[:e])] for e in shorter}
+        printed = [e for e in shorter if tuple(groups[e]) in CARD_GROUPS]
+        # numbers of one or two digits are counted or dated rather than printed on cards
+        other = [e for e in shorter if e not in printed and 13 <= sum(groups[e]) <= 19 and min(groups[e][:-1]) > 2]
+        return [len(value), *printed, *other]
+    return [len(value), *shorter]
+
+
+def _sure(kind: str, value: str) -> bool:
+    """Whether a valid value looks like its kind as well: card numbers as issued and printed, IBANs of a known country."""
+    if kind == "card":
+        return tuple(len(g) for g in re.split("[ -]", value)) in CARD_GROUPS and ISSUED.match(value) is not None
+    return kind != "iban" or value[:2] in IBAN_SIZES
+
+
+def _cuts(text: str, kind: str, start: int, end: int, make: Callable[[str, str], str | None]) -> bool:
+    """Whether a reading of a card, phone number or IBAN holds the beginning of another value, which then goes first: one that
+    ends behind the reading, or (if the reading is valid by chance perhaps) with it."""
+    sure = _sure(kind, text[start:end])
+    if kind not in ("card", "iban", "phone") or (kind == "iban" and sure):
+        return False
+    others = ("iban", "date", "ip", "ssn") if kind == "card" and sure else ("iban", "date", "ip", "ssn", "card")
+    least = end + 1 if kind == "phone" or sure else end
+    for gap in re.finditer("[ -]", text[start:end]):
+        m = PATTERN.match(text, start + gap.end())
+        if m and m.lastgroup in others:
+            for size in _ends(m.lastgroup, m.group()):
+                value = m.group()[:size]
+                if m.start() + size >= least and make(m.lastgroup, value) is not None and _sure(m.lastgroup, value):
+                    return True
+    return False
+
+
 def replace_all(text: str, feistel: Feistel, make: Callable[[str, str], str | None]) -> tuple[str, dict[str, int]]:
     counts: dict[str, int] = {}
     if not HINT.search(text):
         return text, counts
-
-    def put(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = make(kind, m.group())
-        if new is None:
-            return m.group()
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return PATTERN.sub(put, text), counts
+    out: list[str] = []
+    done = at = 0
+    while m := PATTERN.search(text, at):
+        kind, start, at = m.lastgroup, m.start(), m.start() + 1  # a match that is no value is searched for others
+        for size in _ends(kind, m.group()):
+            new = make(kind, text[start : start + size])
+            if new is not None and not _cuts(text, kind, start, start + size, make):
+                out += [text[done:start], new]
+                done = at = start + size
+                counts[kind] = counts.get(kind, 0) + 1
+                break
+    return "".join([*out, text[done:]]), counts
 
 
 def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
     """Column ``row`` with the whole row, its new text, and how many values of each kind were replaced in it.
 
     A null text stays null and has no values, an empty one stays empty. Values that fail validation (check digits, octets,
-    calendar) stay as they are. Every row stands for itself.
+    calendar) in all their readings stay as they are. Every row stands for itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,6 +131,48 @@ def test_addresses_of_all_first_octets_are_replaced(value):
     assert all(int(o) <= 255 for o in new.split(".")) and pseudonyms.pseudonym("ip", new, f, back=True) == value
 
 
+BEHIND = [
+    ("card", "4111 1111 1111 1111", " 12/27"),
+    ("card", "4041-8949-7460-8795", " 123"),
+    ("card", "4041894974608795", " 12 2027"),
+    ("card", "4111 1111 1111 1111", " 4012 8888"),
+    ("iban", "BE68 5390 0754 7034", " EUR"),
+    ("iban", "BE68 5390 0754 7034", " 100 EUR"),
+    ("iban", "BE68539007547034", " PAID 2024"),
+    ("iban", "GB82 WEST 1234 5698 7654 32", " EUR"),
+    ("date", "1990-01-15", "T10:00"),
+    ("date", "1990-01-15", "T10:00:00Z"),
+    ("date", "1990-01-15", " 10:00"),
+]
+
+
+@pytest.mark.parametrize("kind, value, behind", BEHIND)
+def test_values_are_found_before_others(kind, value, behind):
+    f = pseudonyms.Feistel(b"k")
+    text, counts = pseudonyms.replace_all(f"of {value}{behind}", f, lambda k, v: pseudonyms.pseudonym(k, v, f))
+    new = text[3 : 3 + len(value)]
+    assert counts == {kind: 1} and new != value and text[3 + len(value) :] == behind
+    assert pseudonyms.pseudonym(kind, new, f, back=True) == value
+
+
+@pytest.mark.parametrize("before", ["1234 ", "NR12 ", "+49 30 1234567 ", "2020 ", "4111 1111 1111 1111 "])
+@pytest.mark.parametrize("kind", sorted(VALUES))
+def test_values_are_found_behind_others(kind, before):
+    f = pseudonyms.Feistel(b"k")
+    for value in VALUES[kind]:
+        if value[0] == "(" or before[-2:-1].isdigit() and kind == "phone" and value[0] != "+":
+            continue
+        text, _ = pseudonyms.replace_all(f"{before}{value}", f, lambda k, v: pseudonyms.pseudonym(k, v, f))
+        assert len(text) == len(before + value)
+        assert pseudonyms.pseudonym(kind, text[len(before) :], f, back=True) == value, text
+
+
+def test_phone_before_more_digits_than_a_phone_has():
+    f = pseudonyms.Feistel(b"k")
+    text, counts = pseudonyms.replace_all("+1 988 555 2485 2024 1000 20", f, lambda k, v: pseudonyms.pseudonym(k, v, f))
+    assert counts["phone"] == 1 and "988 555 2485" not in text
+
+
 def test_invalid_values_stay():
     f = pseudonyms.Feistel(b"k")
     text = "4041894974608794 999.1.1.1 2020-02-30 000-12-3456 GB83 WEST 1234 5698 7654 32 version 1.2.3 12345678 3.14"
