@@ -57,6 +57,27 @@ def merge_partials(partials: DataFrame, cols: list[str]) -> DataFrame:
     return D.merged_rows(partials.groupBy(D.KEY).agg(*D.fold_aggs(cols)), cols)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _file_ordinals(spark: SparkSession, path: str, arrival: int, rows: DataFrame) -> DataFrame:
+    """(__path, __file_ord) of the files that ``rows`` come from: numbers that no other arrival's files have, by file name.
+
+    They are written to ``path`` by arrival, so that a replayed batch takes the place of its first run.
+    """
+    base = 0
+    if _exists(spark, path):
+        given = spark.read.schema("__path string, __file_ord bigint, arrival bigint").parquet(path)
+        last = given.where(F.col("arrival") != arrival).agg(F.max("__file_ord")).first()[0]
+        base = 0 if last is None else last + 1
+    files = sorted((r[0] for r in rows.distinct().collect()), key=lambda p: (p.rsplit("/", 1)[-1], p))
+    ords = spark.createDataFrame([(p, base + i) for i, p in enumerate(files)], "__path string, __file_ord bigint")
+    ords.coalesce(1).write.mode("overwrite").parquet(f"{path}/arrival={arrival}")
+    return ords
+
+
 def stream_clean_csv(spark: SparkSession, inputs: list[tuple[str, list[str]]], spec, table_type: str,
                      state_dir: str | None = None) -> tuple[str, list[str]]:
     """Clean CSV files as they arrive; returns (partials path, output columns).
@@ -64,6 +85,10 @@ def stream_clean_csv(spark: SparkSession, inputs: list[tuple[str, list[str]]], s
     ``inputs`` lists (folder, file name pattern) by header: (path pattern, headers). Each header has a stream of its own
     (a stream has one schema); all of them append partials to one table, over the union of the columns. Call
     ``read_stream_result`` on the partials path for the result.
+
+    Rows are numbered per file, as the CSV source numbers them: the file's ordinal in the high bits, the position in the low
+    ones. Files get their ordinals in the order in which they come, those of one micro-batch by name; ordinals given are kept
+    in the state folder.
     """
     state_dir = state_dir or run_dir(spark, "stream-ingest")
     columns = list(dict.fromkeys(h for _, headers in inputs for h in headers if h != "Source"))
@@ -78,18 +103,25 @@ def stream_clean_csv(spark: SparkSession, inputs: list[tuple[str, list[str]]], s
         src = src.select(*[na_token_to_null(C(h), NA_TOKENS).alias(h) if h in headers else F.lit(None).cast("string").alias(h)
                            for h in columns],
                          F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("Source"),
-                         F.lit(0).cast("bigint").alias("_row"))
+                         F.col("_metadata.file_path").alias("_row"))
         cleaned = enrich(standardize(src, spec, table_type))
         out_cols[:] = [c for c in cleaned.columns if c != "_row"]
 
         def fold(batch: DataFrame, batch_id: int):
-            # the arrival's ordinal in the high bits, the position in the low bits, as the CSV source numbers rows
-            arrival = F.lit(int(batch_id) * len(inputs) + number).cast("bigint")
-            position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << D.FILE_BITS) - 1))
-            numbered = batch.withColumn("_row", F.shiftleft(arrival, D.FILE_BITS).bitwiseOR(position))
-            keyed = D.with_key(numbered, table_type)
-            part = keyed.groupBy(D.KEY).agg(*D.partial_aggs(out_cols))
-            part.write.mode("overwrite").parquet(f"{partial_path}/batch_id={int(batch_id) * len(inputs) + number}")
+            arrival = int(batch_id) * len(inputs) + number
+            batch = batch.persist()  # read once for the names of its files and once for its rows
+            try:
+                ords = _file_ordinals(spark, f"{state_dir}/files", arrival, batch.select(F.col("_row").alias("__path")))
+                # the position is that in the partition, so it is taken before the join; no file is in two partitions
+                position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << D.FILE_BITS) - 1))
+                placed = batch.withColumnRenamed("_row", "__path").withColumn("__position", position)
+                row = F.shiftleft("__file_ord", D.FILE_BITS).bitwiseOR(F.col("__position"))
+                numbered = placed.join(F.broadcast(ords), "__path").withColumn("_row", row)
+                keyed = D.with_key(numbered, table_type)
+                part = keyed.groupBy(D.KEY).agg(*D.partial_aggs(out_cols))
+                part.write.mode("overwrite").parquet(f"{partial_path}/batch_id={arrival}")
+            finally:
+                batch.unpersist()
 
         return (cleaned.writeStream.foreachBatch(fold).trigger(availableNow=True)
                 .option("checkpointLocation", f"{state_dir}/checkpoint-{number}").start())
@@ -164,8 +196,7 @@ def stream_status(spark: SparkSession, events_path: str, updates_transform, fiel
 
 def _results(spark: SparkSession, path: str) -> DataFrame | None:
     """The results written so far; None before the first batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, path):
         return None
     return spark.read.schema(f"{RESULT_SCHEMA}, batch_id int").parquet(path)
 

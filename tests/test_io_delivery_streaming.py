@@ -333,3 +333,46 @@ def test_process_files_end_to_end(spark):
     assert ann["Work Email"] == "ann@acme.io" and ann["Company Domain"] == "acme.io"
     assert ann["Company Name"] == "Acme" and ann["Source"] == "a.csv; b.csv" and ann["Phone Number"] == "555"
     assert rows["Bob Ray"]["Personal Email"] == "bob@gmail.com" and rows["Bob Ray"]["Work Email"] is None
+
+
+def _ingested(spark, folder, pattern, headers, state, spec):
+    from leadsmith.streaming.twins import read_stream_result, stream_clean_csv
+
+    path, cols = stream_clean_csv(spark, [(f"{folder}/{pattern}", headers)], spec, "people", state)
+    return read_stream_result(spark, path, cols)
+
+
+def test_stream_numbers_rows_of_all_files_of_a_batch(spark, tmp_path):
+    """Several files in one micro-batch, records without any key part, and a batch that comes later."""
+    from leadsmith.plans.pipeline import clean_leads
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    body = [f"note {k}{'x' * (k % 3)}" for k in range(8)]
+    for k in range(4):
+        _write(folder / f"f{k}.csv", "remark,phone\n" + "".join(f"{b},{k}{i}\n" for i, b in enumerate(body[2 * k : 2 * k + 2])))
+    state = str(tmp_path / "state")
+    headers = ["remark", "phone"]
+    spec = {"mapped_files": [{"filename": "f0.csv", "mapped_headers": {"Work Email": {"primary": "mail"}}}]}
+    got = _ingested(spark, folder, "*.csv", headers, state, spec).collect()
+    assert sorted(r["remark"] for r in got) == body and len({r["_row"] for r in got}) == 8
+    batch = clean_leads(CS.read_csv_files(spark, [str(folder)]), spec, "people", keep_internal=True).collect()
+    assert {r["_row"]: (r["remark"], r["Source"]) for r in got} == {r["_row"]: (r["remark"], r["Source"]) for r in batch}
+    for k in (4, 5):
+        _write(folder / f"f{k}.csv", f"remark,phone\nlate {k},9\n")
+    got = _ingested(spark, folder, "*.csv", headers, state, spec).collect()
+    assert sorted(r["remark"] for r in got) == ["late 4", "late 5", *body] and len({r["_row"] for r in got}) == 10
+    assert [r["_row"] >> 33 for r in sorted(got, key=lambda r: r["_row"])] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 5]
+
+
+def test_stream_merges_files_of_a_batch_as_the_batch_reader_does(spark, tmp_path):
+    from leadsmith.plans.pipeline import clean_leads
+
+    spec = {"mapped_files": [{"filename": f"f{k}.csv", "mapped_headers": {"Work Email": {"primary": "mail"}}} for k in range(3)]}
+    for k in range(3):  # the largest file comes last by name
+        _write(tmp_path / f"f{k}.csv", "mail,remark\n" + f"a@acme.io,note {k}\nb{k}@acme.io,x\n" * (k + 1))
+    state = tempfile.mkdtemp(prefix="leadsmith-stream-")
+    got = _ingested(spark, tmp_path, "*.csv", ["mail", "remark"], state, spec)
+    want = clean_leads(CS.read_csv_files(spark, [str(tmp_path)]), spec, "people", keep_internal=True)
+    cols = [c for c in want.columns if c in got.columns]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and len(cols) > 20
