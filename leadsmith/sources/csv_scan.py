@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,11 @@ from ..functions.constants import EXPORT_NAME, EXPORT_STAMP, NA_TOKENS
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
+def file_path() -> Column:
+    """The path of a row's file as file listings write it; ``_metadata.file_path`` has it URI-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
     """CSV files of no length, which Spark's readers leave out without a word."""
     hadoop, found = spark._jvm.org.apache.hadoop.fs, []
@@ -86,13 +91,16 @@ def first_lines(spark: SparkSession, files: list[str], chunk: int = 1 << 16) ->
     import pandas as pd
 
     def read(batches):
+        from urllib.parse import quote
+
         import pyarrow.fs as pafs
 
         for pdf in batches:
             out = []
             for p in pdf["path"].tolist():
-                uri = "file://" + p[len("file:"):] if p.startswith("file:") and not p.startswith("file://") else p
-                fs, path = pafs.FileSystem.from_uri(uri)
+                scheme, sep, rest = p.partition(":")
+                rest = quote(rest, safe="/:@")
+                fs, path = pafs.FileSystem.from_uri(f"file://{rest}" if scheme == "file" and rest[:2] != "//" else scheme + sep + rest)
                 buf = b""
                 with fs.open_input_stream(path) as fh:
                     while True:
@@ -198,15 +206,17 @@ def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS) -> DataFrame
                 .option("encoding", "UTF-8").csv(group))
         sel = [na_token_to_null(F.col(f"c{i}"), na_tokens).alias(h)
                for i, h in enumerate(headers) if h != "Source"]
-        path = F.col("_metadata.file_path")
+        path = file_path()
         checked = F.when(F.col(f"c{len(headers)}").isNull(), path).otherwise(
             F.raise_error(F.concat(F.lit("a record has more cells than the header of "), path)).cast("string"))
         parts.append(body.select(*sel, checked.alias("__path"), F.monotonically_increasing_id().alias("__mono")))
     merged = _union_all(parts)
     ords = spark.createDataFrame([(i, p) for i, p in enumerate(files)], "__file_ord int, __path string")
-    merged = merged.join(ords, "__path")
+    merged = merged.join(ords, "__path", "left")
+    no_ordinal = F.raise_error(F.concat(F.lit("no file of the listing is named "), F.col("__path"))).cast("bigint")
+    ordinal = F.coalesce(F.col("__file_ord").cast("bigint"), no_ordinal)
     position = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
-    row = F.shiftleft(F.col("__file_ord").cast("bigint"), 33).bitwiseOR(position).alias("_row")
+    row = F.shiftleft(ordinal, 33).bitwiseOR(position).alias("_row")
     base = F.element_at(F.split("__path", "/"), -1)
     return merged.select(*[C(c) for c in col_order], base.alias("Source"), row)
 

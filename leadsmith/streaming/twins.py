@@ -32,6 +32,7 @@ from ..operators.delivery import RESULT_SCHEMA, deliver
 from ..operators.enrich import enrich
 from ..operators.standardize import standardize
 from ..session import ensure_checkpoint_dir
+from ..sources.csv_scan import file_path
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -102,8 +103,8 @@ def stream_clean_csv(spark: SparkSession, inputs: list[tuple[str, list[str]]], s
                .option("escape", '"').option("pathGlobFilter", leaf).csv(folder))
         src = src.select(*[na_token_to_null(C(h), NA_TOKENS).alias(h) if h in headers else F.lit(None).cast("string").alias(h)
                            for h in columns],
-                         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("Source"),
-                         F.col("_metadata.file_path").alias("_row"))
+                         F.element_at(F.split(file_path(), "/"), -1).alias("Source"),
+                         file_path().alias("_row"))
         cleaned = enrich(standardize(src, spec, table_type))
         out_cols[:] = [c for c in cleaned.columns if c != "_row"]
 

@@ -78,6 +78,25 @@ def test_empty_file_fails_with_its_name(spark):
         CS.read_csv_files(spark, [d])
 
 
+def test_files_with_marks_in_their_names_keep_their_rows(spark, tmp_path):
+    names = sorted(["crm a.csv", "#1%.csv", "a+b.csv", "50%25.csv", "plain.csv", "\u00fcber \u00e4.csv", "x&y=z;.csv"])
+    folder = tmp_path / "in #1 of 100%"
+    folder.mkdir()
+    for n in names:
+        _write(folder / n, f"name,mail\n{n},{n}@x.io\n")
+    rows = CS.read_csv_files(spark, [str(folder)]).orderBy("_row").collect()
+    assert [(r["name"], r["Source"], r["_row"] >> 33) for r in rows] == [(n, n, k) for k, n in enumerate(names)]
+    counts = {r["file"]: r["records"] for r in CS.count_records(spark, [str(folder)]).collect()}
+    assert counts == {n: 1 for n in names} | {"TOTAL": len(names)}
+
+
+def test_row_without_an_ordinal_fails(spark, tmp_path, monkeypatch):
+    _write(tmp_path / "a.csv", "name\nann\n")
+    monkeypatch.setattr(CS, "file_path", lambda: F.lit("elsewhere.csv"))
+    with pytest.raises(Exception, match="no file of the listing is named elsewhere.csv"):
+        CS.read_csv_files(spark, [str(tmp_path)]).collect()
+
+
 def test_blank_headers_and_blanks_are_kept(spark):
     d = tempfile.mkdtemp(prefix="leadsmith-blank-")
     _write(os.path.join(d, "a.csv"), ",name,\n0,'  lead ',x\n".replace("'", ""))
@@ -368,9 +387,9 @@ def test_stream_numbers_rows_of_all_files_of_a_batch(spark, tmp_path):
 def test_stream_merges_files_of_a_batch_as_the_batch_reader_does(spark, tmp_path):
     from leadsmith.plans.pipeline import clean_leads
 
-    spec = {"mapped_files": [{"filename": f"f{k}.csv", "mapped_headers": {"Work Email": {"primary": "mail"}}} for k in range(3)]}
+    spec = {"mapped_files": [{"filename": f"f {k}.csv", "mapped_headers": {"Work Email": {"primary": "mail"}}} for k in range(3)]}
     for k in range(3):  # the largest file comes last by name
-        _write(tmp_path / f"f{k}.csv", "mail,remark\n" + f"a@acme.io,note {k}\nb{k}@acme.io,x\n" * (k + 1))
+        _write(tmp_path / f"f {k}.csv", "mail,remark\n" + f"a@acme.io,note {k}\nb{k}@acme.io,x\n" * (k + 1))
     state = tempfile.mkdtemp(prefix="leadsmith-stream-")
     got = _ingested(spark, tmp_path, "*.csv", ["mail", "remark"], state, spec)
     want = clean_leads(CS.read_csv_files(spark, [str(tmp_path)]), spec, "people", keep_internal=True)
