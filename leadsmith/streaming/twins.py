@@ -97,14 +97,17 @@ def stream_clean_csv(spark: SparkSession, inputs: list[tuple[str, list[str]]], s
     out_cols: list[str] = []
 
     def start(number: int, pattern: str, headers: list[str]):
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
+        # one column more than the header has: it is null unless a record is too long
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in [*headers, "__more"]])
         folder, _, leaf = pattern.rpartition("/")
         src = (spark.readStream.schema(schema).option("header", "true").option("multiLine", "true")
                .option("escape", '"').option("pathGlobFilter", leaf).csv(folder))
+        path = F.when(F.col("__more").isNull(), file_path()).otherwise(
+            F.raise_error(F.concat(F.lit("a record has more cells than the header of "), file_path())).cast("string"))
         src = src.select(*[na_token_to_null(C(h), NA_TOKENS).alias(h) if h in headers else F.lit(None).cast("string").alias(h)
                            for h in columns],
                          F.element_at(F.split(file_path(), "/"), -1).alias("Source"),
-                         file_path().alias("_row"))
+                         path.alias("_row"))
         cleaned = enrich(standardize(src, spec, table_type))
         out_cols[:] = [c for c in cleaned.columns if c != "_row"]
 

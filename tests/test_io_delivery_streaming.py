@@ -395,3 +395,12 @@ def test_stream_merges_files_of_a_batch_as_the_batch_reader_does(spark, tmp_path
     want = clean_leads(CS.read_csv_files(spark, [str(tmp_path)]), spec, "people", keep_internal=True)
     cols = [c for c in want.columns if c in got.columns]
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and len(cols) > 20
+
+
+def test_stream_record_longer_than_its_header_fails_with_the_file(spark, tmp_path):
+    spec = {"mapped_files": [{"filename": "a.csv", "mapped_headers": {"Work Email": {"primary": "mail"}}}]}
+    _write(tmp_path / "a.csv", "mail,remark\na@x.io,one,\nb@x.io\n")
+    _write(tmp_path / "ragged.csv", "mail,remark\nc@x.io,two,EXTRA,MORE\n")
+    with pytest.raises(Exception, match="more cells than the header of .*ragged.csv"):
+        _ingested(spark, tmp_path, "*.csv", ["mail", "remark"], str(tmp_path / "state"), spec).collect()
+    assert _ingested(spark, tmp_path, "a.csv", ["mail", "remark"], str(tmp_path / "other"), spec).count() == 2
