@@ -14,6 +14,8 @@ from leadsmith.llm.divergence import quality_rules
 from leadsmith.llm.lpf import suffix_dedup
 from leadsmith.llm.odd_sketch import near_dedup
 from leadsmith.llm.packing import pack
+from leadsmith.llm.prefix_trie import ORACLE_SQL as TRIE_SQL
+from leadsmith.llm.prefix_trie import prefix_trie
 from leadsmith.llm.pseudonyms import pseudonymize
 from leadsmith.llm.recompression import repeated_words
 from leadsmith.llm.shared import documents
@@ -64,6 +66,10 @@ def op10_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_stream_dedup": op8_stream_dedup,
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_toxicity_trees": op10_toxicity_trees,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -138,4 +145,5 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM d
     """,
+    "op11_prefix_trie": TRIE_SQL,
 }
