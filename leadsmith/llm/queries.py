@@ -14,6 +14,8 @@ from leadsmith.llm.divergence import quality_rules
 from leadsmith.llm.lpf import suffix_dedup
 from leadsmith.llm.odd_sketch import near_dedup
 from leadsmith.llm.packing import pack
+from leadsmith.llm.phrases import ORACLE_SQL as PHRASES_SQL
+from leadsmith.llm.phrases import collocations
 from leadsmith.llm.prefix_trie import ORACLE_SQL as TRIE_SQL
 from leadsmith.llm.prefix_trie import prefix_trie
 from leadsmith.llm.pseudonyms import pseudonymize
@@ -70,6 +72,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_phrase_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_toxicity_trees": op10_toxicity_trees,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_phrase_rollup": op12_phrase_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -146,4 +153,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM d
     """,
     "op11_prefix_trie": TRIE_SQL,
+    "op12_phrase_rollup": PHRASES_SQL,
 }
