@@ -29,7 +29,7 @@ from leadsmith.llm.shared import ship, stored
 DIGEST, TURN = 32, 40
 #: Every conversation takes its first turns from the one at the start of its group of conv_ids; fewer than SHARED_TURNS of them.
 GROUP, SHARED_TURNS = 5, 9
-#: A block ends at so many rows or bytes of paths; so many contracted paths are merged at a time.
+#: A block ends at so many rows or bytes of paths; so many partitions, and contracted paths, are merged at a time.
 BLOCK_ROWS, BLOCK_BYTES, FAN = 20_000, 8_000_000, 256
 #: Identifiers in one piece of a list that spans blocks.
 PIECE_IDS = 50_000
@@ -38,7 +38,7 @@ NO_ENDS = hashlib.sha256(b"").hexdigest()
 FOREST = (
     "kind string, conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, "
     "saved_tokens bigint, ends_sha256 string, node binary, block bigint, side int, up bigint, first_id bigint, ids string, "
-    "place bigint, path binary, records array<array<bigint>>"
+    "part bigint, place bigint, path binary, records array<array<bigint>>"
 )
 ARROW = pa.schema(
     [
@@ -57,6 +57,7 @@ ARROW = pa.schema(
         ("up", pa.int64()),
         ("first_id", pa.int64()),
         ("ids", pa.string()),
+        ("part", pa.int64()),
         ("place", pa.int64()),
         ("path", pa.binary()),
         ("records", pa.list_(pa.list_(pa.int64()))),
@@ -197,8 +198,13 @@ def node_digests(path: bytes, depths: list[int]) -> dict[int, bytes]:
     return found
 
 
-def _forest(items: list[Item], ids: list[list[int]] | None, block: int, whole: bool) -> pa.RecordBatch:
-    """Complete nodes, contracted paths and references of one block; ``ids`` are the conversations that end at each item."""
+def _forest(
+    items: list[Item], ids: list[list[int]] | None, block: int, part: int | None, whole: bool
+) -> tuple[pa.RecordBatch, list[Item]]:
+    """Rows of one block: complete nodes, references and, for a part of the next level, contracted paths; and these paths.
+
+    ``ids`` are the conversations that end at each item, if the items are conversations.
+    """
     out = Rows()
     lengths = [len(path) // TURN for path, _ in items]
     deep: dict[int, list[tuple[int, dict]]] = {}
@@ -233,21 +239,22 @@ def _forest(items: list[Item], ids: list[list[int]] | None, block: int, whole: b
             for at in range(0, len(ids[k]), PIECE_IDS):
                 piece = ids[k][at : at + PIECE_IDS]
                 out.add(kind="ends", node=digest, first_id=piece[0], ids=",".join(map(str, piece)))
-    for side, (path, records) in enumerate(ends):
-        out.add(kind="path", place=2 * block + side, path=path, records=[[d, *r] for d, r in sorted(records.items())])
-    return out.batch()
+    for side, (path, records) in enumerate(ends if part is not None else []):
+        out.add(kind="path", part=part, place=2 * block + side, path=path, records=[[d, *r] for d, r in sorted(records.items())])
+    return out.batch(), ends
 
 
 def _leaf_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forests of blocks of sorted conversations; conversations with the same turns are one item."""
-    block = TaskContext.get().partitionId() << 32
+    part = TaskContext.get().partitionId()
+    block = part << 24
     items: list[Item] = []
     ids: list[list[int]] = []
     rows = size = 0
     for batch in batches:
         for conv_id, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if rows >= BLOCK_ROWS or size >= BLOCK_BYTES:
-                yield _forest(items, ids, block, False)
+                yield _forest(items, ids, block, part, False)[0]
                 block, items, ids, rows, size = block + 1, [], [], 0, 0
             if items and items[-1][0] == path:
                 fold(items[-1][1], len(path) // TURN, 1, conv_id, 0, 0, 0)
@@ -258,16 +265,29 @@ def _leaf_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 size += len(path)
             rows += 1
     if items:
-        yield _forest(items, ids, block, False)
+        yield _forest(items, ids, block, part, False)[0]
 
 
-def _merged_forests(level: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Forests of the contracted paths of each partition; equal neighbours (one path over several blocks) are one item."""
+def _merged_forests(level: int, whole: bool, fan: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Forests of groups of contracted paths in order; equal neighbours (one path over several blocks) are one item.
+
+    Whenever ``fan`` paths are gathered they are contracted to two: a group may have any number of blocks.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: list[Item] = []
+        group, block = None, 0
         for batch in batches:
-            for path, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, path, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if items and part != group:
+                    yield _forest(items, None, block, part, whole)[0]
+                    items = []
+                elif len(items) >= fan:
+                    out, items = _forest(items, None, block, None, False)
+                    yield out
+                    block += 1
+                if part != group:
+                    group, block = part, (level << 56) + (part << 24)
                 records = {r[0]: r[1:] for r in flat}
                 if items and items[-1][0] == path:
                     for d, r in records.items():
@@ -275,7 +295,7 @@ def _merged_forests(level: int, whole: bool) -> Callable[[Iterator[pa.RecordBatc
                 else:
                     items.append((path, records))
         if items:
-            yield _forest(items, None, (level << 56) + TaskContext.get().partitionId(), whole)
+            yield _forest(items, None, block, group, whole)[0]
 
     return merge
 
@@ -309,13 +329,12 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     rows = rebuilt_conversations(conversations).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
     levels = [stored(rows.mapInArrow(_leaf_forests, FOREST), "forest")]
     while True:
-        paths = levels[-1].where("kind = 'path'").select("path", "records", "place")
-        n = paths.count()
-        if not n:
+        paths = levels[-1].where("kind = 'path'").select(F.floor(F.col("part") / FAN).alias("part"), "path", "records", "place")
+        last = paths.agg(F.max("part")).first()[0]
+        if last is None:
             break
-        whole = n <= FAN
-        spread = paths.repartition(1) if whole else paths.repartitionByRange(-(-2 * n // FAN), "place")
-        merged = spread.sortWithinPartitions("place").select("path", "records").mapInArrow(_merged_forests(len(levels), whole), FOREST)
+        spread = (paths.repartition("part") if last else paths.repartition(1)).sortWithinPartitions("part", "place")
+        merged = spread.select("part", "path", "records").mapInArrow(_merged_forests(len(levels), not last, FAN), FOREST)
         levels.append(stored(merged, "forest"))
 
     def all_of(kind: str, among: list[DataFrame] = levels) -> DataFrame:
