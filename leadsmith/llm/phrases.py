@@ -2,7 +2,7 @@
 
 Every word of a piece begins one window of MOST_WORDS words: lead columns hold the words behind it, padded with empty
 strings at the end of the piece. Windows are counted once, and a ROLLUP over their columns sums the counts of all their
-prefixes: each occurrence of a phrase is the prefix of exactly one window, so these sums are the phrases' counts.
+shorter prefixes: each occurrence of a phrase is the prefix of exactly one window, so these sums are the phrases' counts.
 
 Most windows are seen once or twice, so a first pass bounds the counts of neighbouring words by a table of PAIR_BUCKETS
 counters; a window ends before a pair whose counter stays under the least count. No phrase with that pair can reach the
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.shared import stored
+from leadsmith.llm.shared import release, stored
 
 MOST_WORDS, LEAST_COUNT, TOP, COVERED = 4, 30, 2000, 80
 #: Counters of neighbouring words; one bit of each goes to the executors (8 MB).
@@ -65,6 +65,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """(lang, size, phrase, n): counts of phrases of 1 to MOST_WORDS words that occur ``least`` times or more; size 0 is all words."""
     found = pieces(docs)
     bits = frequent_pairs(found, least)
+    release(docs.sparkSession)
 
     def frequent(a: str, b: str) -> Column:
         bucket = _bucket(a, b)
@@ -77,13 +78,19 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
         rows = rows.withColumn(W[k], F.when(keep, F.col(W[k])).otherwise(""))
         if k + 1 < MOST_WORDS:
             rows = rows.withColumn(W[k + 1], F.when(F.col(W[k]) != "", F.col(W[k + 1])).otherwise(""))
-    longest = stored(rows.groupBy("lang", *W).agg(F.count("*").alias("n")), "windows")
-    sums = longest.rollup("lang", *W).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
-    size = MOST_WORDS - F.log2(F.col("left_out") + 1).cast("int")
+    window = F.rtrim(F.concat_ws(" ", *W))  # words hold no spaces: one string a window, without its padding, makes the shortest rows
+    longest = stored(rows.groupBy("lang", window.alias("window")).agg(F.count("*").alias("n")), "windows")
+    release(docs.sparkSession)
+    words = F.split("window", " ", -1)
+    longest = longest.select("lang", "window", "n", *(F.coalesce(F.get(words, F.lit(k)), F.lit("")).alias(w) for k, w in enumerate(W)))
+    full = longest.where((F.col(W[-1]) != "") & (F.col("n") >= least)).select("lang", F.lit(MOST_WORDS).alias("size"), F.col("window").alias("phrase"), "n")
+    shorter = W[:-1]
+    sums = longest.rollup("lang", *shorter).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
+    size = len(shorter) - F.log2(F.col("left_out") + 1).cast("int")
     sums = sums.withColumn("size", size).where("lang is not null")
-    last = F.element_at(F.array(F.lit("x"), *W), F.col("size") + 1)
+    last = F.element_at(F.array(F.lit("x"), *shorter), F.col("size") + 1)
     sums = sums.where((F.col("size") == 0) | ((last != "") & (F.col("n") >= least)))
-    return sums.select("lang", "size", F.concat_ws(" ", *W).alias("phrase"), "n")
+    return full.unionByName(sums.select("lang", "size", F.concat_ws(" ", *shorter).alias("phrase"), "n"))
 
 
 def _part(words: Column, start: Column | int, size: Column) -> Column:
@@ -102,6 +109,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP) -> D
     covers in COVERED of 100 occurrences are left out.
     """
     counts = stored(phrase_counts(docs, least), "phrases")
+    release(docs.sparkSession)
     parts = counts.where("size > 0").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"), "size")
     parts = parts.withColumn("salt", F.explode(F.when(F.col("size") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("size")
     found = counts.where("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ", -1).alias("words"))
