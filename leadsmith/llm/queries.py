@@ -11,6 +11,7 @@ from leadsmith.llm.backoff import backoff_scores
 from leadsmith.llm.bpe import digests, encode_decode
 from leadsmith.llm.divergence import oracle_sql as quality_sql
 from leadsmith.llm.divergence import quality_rules
+from leadsmith.llm.language import identify
 from leadsmith.llm.lpf import suffix_dedup
 from leadsmith.llm.odd_sketch import near_dedup
 from leadsmith.llm.packing import pack
@@ -76,6 +77,10 @@ def op12_phrase_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
+def op13_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity_trees": op10_toxicity_trees,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_phrase_rollup": op12_phrase_rollup,
+    "op13_compression_language": op13_compression_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
