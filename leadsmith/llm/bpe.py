@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadsmith.llm.words import span_hashes
+
 #: Longest word, in bytes, that the rank array takes; the texts that are encoded together, in characters; and the ids that
 #: a worker remembers (it forgets all beyond that, which costs time but changes no result).
 SHORT, BATCH_CHARS, REMEMBERED = 48, 1_500_000, 4_000_000
@@ -46,32 +48,6 @@ def _classes() -> np.ndarray:
     return found
 
 
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of the bytes, powers of an odd number modulo 2^64, and the powers of its inverse."""
-    rng = np.random.default_rng(20)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 2**64))
-    n = 4 * BATCH_CHARS + 64
-    up, down = np.full(n, base), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    value, up, down = _powers()
-    if len(data) >= len(up):  # one very long text: longer powers for it alone
-        n = len(data) + 1
-        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, up[1])]))
-        down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, down[1])]))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value[data] * up[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def cut_words(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Where words start, in code points of several texts in a row, each followed by one separator at ``edges``.
 
@@ -245,7 +221,7 @@ class Encoder:
         edge_word = is_edge[starts]
         begin, end = at_byte[starts], at_byte[np.append(starts[1:], len(points))]
         word = ~edge_word
-        hashes = _word_hashes(data, begin[word], end[word])
+        hashes = span_hashes(data, begin[word], end[word])
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if self.n_pool > REMEMBERED:
             self.known, self.n_pool = {}, 0

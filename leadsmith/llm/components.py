@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.shared import stored
+from leadsmith.llm.shared import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        before, edges = edges, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(before, large)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

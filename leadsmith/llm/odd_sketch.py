@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadsmith.llm.components import components
-from leadsmith.llm.shared import release, stored
+from leadsmith.llm.shared import discard, release, stored
 from leadsmith.llm.words import LOWER, ODD, joined, mix, span_hashes, word_spans
 
 #: Bands of the MinHash samples. A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
@@ -31,7 +31,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_LONGS = 8
 #: Estimates below this are over five standard errors under 0.8: no link.
 LEAST_ESTIMATE = 0.55
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +231,9 @@ def _rest_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     shared = F.size(F.array_intersect("shingles_u", "shingles_v"))
     alike = (100 + percent) * shared >= percent * (F.col("n_u") + F.col("n_v"))
     pairs = a.join(b, across & most & (_differing("sketch_u", "sketch_v") <= MOST_BITS) & ~earlier & alike)
-    return stored(pairs.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")), "links")
+    links = stored(pairs.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")), "links")
+    discard(full)
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -262,8 +264,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     stars = buckets.select(F.explode(F.array("low", "high")).alias("u"), F.col("rep").alias("v"))
     labels = _relabel(labels, _links(stars, reps, sets, percent), first=True)
+    release(docs.sparkSession)
     rows = _open(buckets, labels)
+    discard(buckets)
+    release(docs.sparkSession)
     links = _rest_links(rows, reps, sets, percent)
+    discard(rows, reps, sets)
     if not links.isEmpty():
         labels = _relabel(labels, links)
     release(docs.sparkSession)

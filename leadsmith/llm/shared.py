@@ -40,7 +40,17 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more; what was made of them is written by now."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows that go to a Python worker at a time: texts are long, and Spark's default of 10,000 holds too many of them in memory.

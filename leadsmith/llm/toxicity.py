@@ -54,7 +54,7 @@ FEATURES = (
     "stretched",
     "log_words",
 )
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _DISGUISE = LOWER.copy()

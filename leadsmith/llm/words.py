@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cache
 
 import numpy as np
@@ -51,12 +52,30 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: Spans of more bytes than this are hashed one by one with BLAKE2b.
+LANES = 256
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal bytes give equal hashes, on every executor."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_values()[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """64-bit hash of each span of bytes; equal bytes give equal hashes, on every executor.
+
+    Eight bytes at a time are mixed into the hash of those before them, so no sum over byte places can cancel out.
+    """
+    size = np.asarray(end - start, np.int64)
+    padded = np.concatenate([np.ascontiguousarray(data).view(np.uint8).ravel(), np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(padded) - 7,), (1,))
+    h = mix(size.astype(np.uint64) * np.uint64(ODD[62]) + np.uint64(ODD[63]))
+    longest = int(size.max()) if len(size) else 0
+    for lane in range(0, min(longest, LANES), 8):
+        more = np.flatnonzero(size > lane)
+        left = np.minimum(size[more] - lane, 8)
+        block = eight[start[more] + lane] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+        h[more] = mix(mix(h[more] * np.uint64(BASE) + np.uint64(ODD[lane // 8])) ^ block)
+    if longest > LANES:
+        raw = padded.tobytes()
+        for k in np.flatnonzero(size > LANES).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(raw[int(start[k]) : int(end[k])], digest_size=8).digest(), "little")
+    return h
 
 
 def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
