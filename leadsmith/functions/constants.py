@@ -94,6 +94,13 @@ DEDUP_KEYS = {
     "company": ["Company Name", "Company Domain", "Company LinkedIn"],
 }
 
+# Fuzzy record dedup: key fields, and least score of a fuzzy header match (0 to 100).
+FUZZY_KEYS = {
+    "people": ["Full Name", "Company Name"],
+    "company": ["Company Name", "Company Domain"],
+}
+FUZZY_HEADER_LEAST = 85
+
 # Variant consolidation rules: target -> variants, matched case-insensitively, in order.
 CONSOLIDATION_RULES = {
     "company": [

@@ -1407,6 +1407,85 @@ def q_count_records_csv(spark, sf):
     return count_records(spark, [_write_exports(spark, sf)])
 
 
+# ---------------------------------------------------------------------------
+# Fuzzy record dedup (O2) and fuzzy header match (O1)
+# ---------------------------------------------------------------------------
+
+from ..operators import fuzzy as FZ  # noqa: E402
+
+
+def _normal_sql(c):
+    return f"case when {O.m6(c)} then '' else lower(regexp_replace({O.strip(c)}, '\\s+', ' ', 'g')) end"
+
+
+_M_KEYED = ("m as (select *, case when a = '' and b = '' then 'unique_' || cast(row_idx as varchar) else a || chr(31) || b end as k from ("
+            f"select *, {_normal_sql('full_name')} as a, {_normal_sql('company_name')} as b from ({FX.MISSPELT_SQL})))")
+_M_LINKS = (
+    f"with recursive {_M_KEYED}, "
+    "g as (select distinct k, f, substr(' ' || s || ' ', cast(i as int), 3) as t from (select k, f, s, unnest(range(1, length(s) + 1)) as i from ("
+    "select distinct k, 0 as f, a as s from m where a || b <> '' union all select distinct k, 1 as f, b as s from m where a || b <> ''))), "
+    "z as (select k, count(*) filter (f = 0) as n0, count(*) filter (f = 1) as n1 from g group by k), "
+    "sh as (select x.k as u, y.k as v, count(*) filter (x.f = 0) as s0, count(*) filter (x.f = 1) as s1 from g x join g y "
+    "on x.f = y.f and x.t = y.t and x.k < y.k group by 1, 2), "
+    "l as (select u, v from sh join z p on p.k = u join z q on q.k = v "
+    "where s0 * 100 >= (p.n0 + q.n0 - s0) * 60 and s1 * 100 >= (p.n1 + q.n1 - s1) * 60), "
+    "r as (select k as x, k as y from (select distinct k from m) union select r.x, case when l.u = r.y then l.v else l.u end from r join l on r.y in (l.u, l.v)), "
+    "cl as (select x as k, min(y) as class from r group by x) "
+)
+
+
+@register("fuzzy_links_people", _M_LINKS + "select u as key_u, v as key_v from l")
+def q_fuzzy_links_people(spark, sf):
+    """O2: the links between misspelt records' keys."""
+    keyed = FZ.fuzzy_key(FX.misspelt_people(spark, sf), "people")
+    return FZ.fuzzy_links(keyed.select(F.col("_key").alias("key")).distinct())
+
+
+def _longest_sql(c):
+    return f"first({O.strip(c)} order by length({O.strip(c)}) desc, row_idx) filter (where not {O.m7(c)})"
+
+
+@register("fuzzy_dedup_people", _M_LINKS + ", ".join((
+    "select class as _key", "count(*) as _n", "min(row_idx) as _row",
+    *(f"case when count(*) = 1 then any_value({c}) else coalesce({_longest_sql(c)}, '') end as \"{n}\"" for c, n in (
+        ("full_name", "Full Name"), ("company_name", "Company Name"), ("job_title", "Job Title"))),
+    "string_agg(distinct source, '; ' order by source) as \"Source\"")) + " from m join cl using (k) group by class")
+def q_fuzzy_dedup_people(spark, sf):
+    """O2: one record per class of similar names at similar companies, merged like exact duplicates."""
+    return FZ.fuzzy_deduplicate(FX.misspelt_people(spark, sf), "people")
+
+
+_MISSPELT_HEADERS = {"full_name": "Name Full", "job_title": "jobtitel", "company_name": "Compny_Name", "website": "web-site", "city": "Locaton",
+                     "work_email": "work emial", "employees": "Employes Count", "founded": "Founded Yeer", "linkedin": "linkedn url"}
+_H_COLS = [_MISSPELT_HEADERS.get(c, c) for c in P_COLS[2:]]
+_H_BASE = (f"select {', '.join(f'{O.q(c)} as {O.q(h)}' for c, h in zip(P_COLS[2:], _H_COLS))}, source as \"Source\", "
+           f"cast(row_idx as bigint) as _row from {_P_RAW}")
+
+
+def _sorted_words_sql(x):
+    return f"array_to_string(list_sort(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ')"
+
+
+def _fuzzy_alias_sql(profile, table_type):
+    from ..functions.constants import ALIASES, FUZZY_HEADER_LEAST
+
+    values = ", ".join(f"({O.lit(a.strip().lower().replace('_', ' '))}, {O.lit(std)}, {i}, {j})"
+                       for i, (std, al) in enumerate(ALIASES[table_type].items()) for j, a in enumerate(al))
+    return (f"select \"Source\", ordinal, column_name, std, std_ord, alias_ord, alias, score from (select *, "
+            f"replace(lower({O.strip('column_name')}), '_', ' ') = alias as exact, cast(floor((greatest(length(x), length(y)) - levenshtein(x, y)) "
+            "* 100.0 / greatest(length(x), length(y)) + 0.5) as int) as score from (select p.*, a.*, "
+            f"{_sorted_words_sql('p.column_name')} as x, {_sorted_words_sql('a.alias')} as y from ({profile}) p, "
+            f"(values {values}) a(alias, std, std_ord, alias_ord) where p.kept)) where score >= {FUZZY_HEADER_LEAST} "
+            "qualify row_number() over (partition by \"Source\", ordinal, column_name order by exact desc, score desc, std_ord, alias_ord) = 1")
+
+
+@register("fuzzy_header_match", _fuzzy_alias_sql(O.profile_sql(_H_BASE, _H_COLS), "people"))
+def q_fuzzy_header_match(spark, sf):
+    """O1: misspelt headers of an export matched to standard headers."""
+    p = FX.people_raw(spark, sf).withColumnsRenamed(_MISSPELT_HEADERS)
+    return FZ.fuzzy_alias_matches(PR.column_profile(p), "people")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

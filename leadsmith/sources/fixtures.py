@@ -105,6 +105,28 @@ COMPANY_SPEC = [
     }
 ]
 
+# Fixture "M": people from three exports, some of whose names or companies are misspelt in the second and third. Every third
+# person works for one and the same company.
+MISSPELT_SQL = """
+with c as (
+ select c_custkey as k,
+  concat(translate(substring(md5(concat('f', cast(c_custkey % 700 as varchar(10)))), 1, 7), '0123456789', 'ghijklmnop'), ' ',
+   translate(substring(md5(concat('l', cast(c_custkey % 700 as varchar(10)))), 1, 9), '0123456789', 'ghijklmnop')) as name,
+  case when c_custkey % 3 = 0 then 'Global  Freight Holding'
+   else concat(translate(substring(md5(cast(c_custkey % 140 as varchar(10))), 1, 10), '0123456789', 'qrstuvwxyz'), ' ltd') end as company
+ from customer
+)
+select cast(0 as bigint) * 8589934592 + k as row_idx, 'crm_0.csv' as source, name as full_name, company as company_name,
+ concat('role ', cast(k % 9 as varchar(10))) as job_title from c
+union all
+select cast(1 as bigint) * 8589934592 + k, 'crm_1.csv', case when k % 4 = 1 then concat(substring(name, 1, 3), substring(name, 5, 20))
+  when k % 4 = 2 then upper(name) when k % 8 = 3 then '' else name end,
+ case when k % 5 = 1 then concat(company, '.') when k % 8 = 3 then 'nan' else company end, concat('senior role ', cast(k % 7 as varchar(10)))
+from c where k % 2 = 1
+union all
+select cast(2 as bigint) * 8589934592 + k, 'crm_2.csv', concat(name, 'x'), company, cast(null as varchar(10)) from c where k % 5 = 2
+"""
+
 # Log view "L" over events (one row per structured log event).
 LOGS_SQL = """
 select event_id as log_id,
@@ -158,6 +180,13 @@ def company_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "cast(row_idx as bigint) as _row")
 
 
+def misspelt_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture M with standard headers."""
+    register_tables(spark, sf_dir, ["customer"])
+    return _spread(spark.sql(MISSPELT_SQL)).selectExpr(
+        "full_name as `Full Name`", "company_name as `Company Name`", "job_title as `Job Title`", "source as Source", "row_idx as _row")
+
+
 # The same view as DataFrame expressions (usable on a streaming events source).
 LOGS_EXPRS = [
     "event_id as log_id",
