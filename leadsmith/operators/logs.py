@@ -3,12 +3,13 @@
 Log events: (log_id, ts, record_number, job_id, level, error_type, status_code,
 message, duration, metadata).
 
-One job may hold most events, so no window takes a job as its partition. A
-job's events are numbered within hours, with offsets from the hours' counts;
-everything that runs along a job then works on blocks of ``BLOCK`` numbers:
-running values add the totals of the blocks before (``running``), and windows
-over the last few rows get those few copied from the block before (``recent``,
-``with_previous``).
+One job may hold most events, so no window takes a job's events as its
+partition. What runs along a job is folded in two steps: each hour of a job
+first becomes one row that says what it does to any state before it (its count,
+its 429s before and after a 200, its first and last run), and windows along the job go over these rows only. Throttle events and stuck
+jobs read their input once and never join it back; numbering and ETA join the
+hours' rows to the events. Values along record numbers work on blocks of
+``BLOCK`` numbers, whose last rows are copied to the next block (``recent``).
 """
 
 from __future__ import annotations
@@ -125,42 +126,43 @@ def daily_errors(logs: DataFrame) -> DataFrame:
 BLOCK = 10_000
 
 
-def _offsets(parts: DataFrame, part: str, value: str, fold=F.sum) -> DataFrame:
-    """Per (job, part): ``__before``, the fold of ``value`` over the job's earlier parts (one row per part)."""
-    w = Window.partitionBy("job_id").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("__before", fold(value).over(w))
+HOUR = "__hour"
+
+
+def _hourly(logs: DataFrame) -> DataFrame:
+    return logs.withColumn(HOUR, F.date_trunc("hour", "ts"))
+
+
+def _within_hour() -> Window:
+    return Window.partitionBy("job_id", HOUR).orderBy(*ORDER)
+
+
+def _along_job(last: int = -1, first: int = Window.unboundedPreceding) -> Window:
+    """A window over a job's hours (one row each), by default all before this one."""
+    return Window.partitionBy("job_id").orderBy(HOUR).rowsBetween(first, last)
 
 
 def with_job_sequence(logs: DataFrame) -> DataFrame:
     """1-based record number per job, plus the job's total."""
-    x = logs.withColumn("__hour", F.date_trunc("hour", "ts"))
-    hours = x.groupBy("job_id", "__hour").agg(F.count(F.lit(1)).alias("__n"))
-    off = _offsets(hours, "__hour", "__n").withColumn("total", F.sum("__n").over(Window.partitionBy("job_id")))
-    x = x.join(off.select("job_id", "__hour", "__before", "total"), ["job_id", "__hour"])
-    seq = F.row_number().over(Window.partitionBy("job_id", "__hour").orderBy(*ORDER))
-    return x.withColumn("seq", seq + F.coalesce("__before", F.lit(0))).drop("__hour", "__before")
+    x = _hourly(logs)
+    hours = x.groupBy("job_id", HOUR).agg(F.count(F.lit(1)).alias("__n"))
+    off = hours.withColumn("__before", F.sum("__n").over(_along_job())) \
+        .withColumn("total", F.sum("__n").over(Window.partitionBy("job_id")))
+    x = x.join(off.select("job_id", HOUR, "__before", "total"), ["job_id", HOUR])
+    seq = F.row_number().over(_within_hour())
+    return x.withColumn("seq", seq + F.coalesce("__before", F.lit(0))).drop(HOUR, "__before")
 
 
 def _block(seq: str = "seq"):
     return F.floor((F.col(seq) - 1) / BLOCK)
 
 
-def running(df: DataFrame, value: Column, name: str, fold=F.sum, seq: str = "seq") -> DataFrame:
-    """``name``: the fold (sum or max) of ``value`` over the job's rows up to this one, nulls left out."""
-    x = df.withColumn("__block", _block(seq)).withColumn("__value", value)
-    totals = x.groupBy("job_id", "__block").agg(fold("__value").alias("__total"))
-    x = x.join(_offsets(totals, "__block", "__total", fold).select("job_id", "__block", "__before"), ["job_id", "__block"])
-    w = Window.partitionBy("job_id", "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    here = fold("__value").over(w)
-    both = F.coalesce(here, F.lit(0)) + F.coalesce("__before", F.lit(0)) if fold is F.sum else F.greatest(here, "__before")
-    return x.withColumn(name, both).drop("__block", "__value", "__before")
-
-
 def _overlapping(df: DataFrame, rows: int, seq: str) -> DataFrame:
     """Every row in its block, and the last ``rows`` of each block once more, as ``__copy``, in the next one."""
-    x = df.withColumn("__block", _block(seq)).withColumn("__copy", F.lit(False))
     last = (F.col(seq) - 1) % BLOCK >= BLOCK - rows
-    return x.unionByName(x.where(last).withColumn("__block", F.col("__block") + 1).withColumn("__copy", F.lit(True)))
+    copies = F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    x = df.withColumn("__ahead", F.explode(copies))
+    return x.withColumn("__block", _block(seq) + F.col("__ahead")).withColumn("__copy", F.col("__ahead") == 1).drop("__ahead")
 
 
 def recent(df: DataFrame, seq: str, value: str, n: int, unit: int | None = None) -> DataFrame:
@@ -177,13 +179,6 @@ def recent(df: DataFrame, seq: str, value: str, n: int, unit: int | None = None)
     return x.withColumn("recent_mean", mean).where(~F.col("__copy")).drop("__block", "__copy")
 
 
-def with_previous(df: DataFrame, value: str, name: str, seq: str = "seq") -> DataFrame:
-    """``name``: ``value`` of the job's row before this one (null on the first)."""
-    w = Window.partitionBy("job_id", "__block").orderBy(seq)
-    x = _overlapping(df, 1, seq).withColumn(name, F.lag(value).over(w))
-    return x.where(~F.col("__copy")).drop("__block", "__copy")
-
-
 def delivery_eta(seq: DataFrame, rate: float = DELIVERY_DEFAULT_RATE) -> DataFrame:
     """Mean of the last 10 durations x remaining (>= 3 samples), else remaining / rate."""
     remaining = F.col("total") - F.col("seq")
@@ -227,19 +222,32 @@ def recent_jobs(status: DataFrame, n: int = 20) -> DataFrame:
 
 # W6 -------------------------------------------------------------------------
 
+def _seconds(c: str) -> Column:
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
+
+
 def stuck_jobs(updates: DataFrame, min_polls: int = STUCK_MIN_POLLS,
                warn_s: int = STUCK_WARN_S, alert_s: int = STUCK_ALERT_S) -> DataFrame:
     """Runs of unchanged progress (< 100) seen again more than min_polls times; warn/alert by duration.
 
-    ``updates`` carry ``seq``, their number within the job (``with_job_sequence``).
+    Runs are cut within hours. Only an hour's first run can go on with the run before it and only its last can go on
+    after it, so those two, and the runs that are stuck by themselves, are all that is looked at along the job.
     """
-    x = with_previous(updates, "progress", "__was")
-    x = running(x, F.when(F.col("__was") == F.col("progress"), 0).otherwise(1), "island")
-    runs = x.groupBy("job_id", "island").agg(
-        F.min("progress").alias("progress"), (F.count(F.lit(1)) - 1).alias("polls"),
-        F.min("ts").alias("since"), F.max("ts").alias("until"))
-    floor_s = lambda c: F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
-    secs = floor_s("until") - floor_s("since")
+    changed = F.when(F.lag("progress").over(_within_hour()) == F.col("progress"), 0).otherwise(1)
+    x = _hourly(updates).select("job_id", HOUR, *ORDER, "progress", changed.alias("__new"))
+    x = x.withColumn("__run", F.sum("__new").over(_within_hour().rowsBetween(Window.unboundedPreceding, 0)))
+    runs = x.groupBy("job_id", HOUR, "__run").agg(
+        F.min("progress").alias("progress"), F.count(F.lit(1)).alias("__n"), F.min("ts").alias("since"), F.max("ts").alias("until"))
+    last = F.max("__run").over(Window.partitionBy("job_id", HOUR))
+    stuck = (F.col("progress") < 100) & (F.col("__n") - 1 > min_polls) & (_seconds("until") - _seconds("since") > warn_s)
+    runs = runs.withColumn("__last", last).where((F.col("__run") == 1) | (F.col("__run") == F.col("__last")) | stuck)
+    along = Window.partitionBy("job_id").orderBy(HOUR, "__run")
+    goes_on = (F.col("__run") == 1) & (F.lag("progress").over(along) == F.col("progress"))
+    runs = runs.withColumn("__new", F.when(goes_on, 0).otherwise(1))
+    runs = runs.withColumn("island", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("job_id", "island").agg(
+        F.min("progress").alias("progress"), (F.sum("__n") - 1).alias("polls"), F.min("since").alias("since"), F.max("until").alias("until"))
+    secs = _seconds("until") - _seconds("since")
     runs = runs.where((F.col("progress") < 100) & (F.col("polls") > min_polls)).withColumn("stuck_seconds", secs)
     sev = F.when(F.col("stuck_seconds") > alert_s, "alert").when(F.col("stuck_seconds") > warn_s, "warn")
     return runs.select("job_id", "progress", F.col("polls").cast("bigint").alias("polls"),
@@ -250,13 +258,30 @@ def stuck_jobs(updates: DataFrame, min_polls: int = STUCK_MIN_POLLS,
 # W7 -------------------------------------------------------------------------
 
 def throttle_events(logs: DataFrame, after: int = 3) -> DataFrame:
-    """First event per job where >= `after` 429s occurred since the last 200 (sticky)."""
-    x = running(with_job_sequence(logs), F.when(F.col("status_code") == 429, 1).otherwise(0), "n429")
+    """First event per job where >= `after` 429s occurred since the last 200 (sticky).
+
+    Each hour says where it gets there by itself behind a 200 (``__n_hit``), where it does so if 1, 2, ... more 429s are needed
+    while no 200 came yet (``__n_need``), and how many 429s it leaves; along the job, only hours are added up.
+    """
+    here = _within_hour().rowsBetween(Window.unboundedPreceding, 0)
+    x = _hourly(logs).select("job_id", HOUR, *ORDER, "status_code")
+    x = x.withColumn("__count", F.sum(F.when(F.col("status_code") == 429, 1).otherwise(0)).over(here))
     # the 429s counted when the last 200 came in: counts only grow, so that is the largest one at a 200
-    x = running(x, F.when(F.col("status_code") == 200, F.col("n429")), "at200", F.max)
-    hit = x.where(F.col("n429") - F.coalesce("at200", F.lit(0)) >= after)
-    return hit.groupBy("job_id").agg(F.min_by("log_id", F.struct(*ORDER)).alias("first_throttled_log_id"),
-                                     F.min("ts").alias("throttled_at"))
+    x = x.withColumn("__at200", F.max(F.when(F.col("status_code") == 200, F.col("__count"))).over(here))
+    since = F.col("__count") - F.coalesce("__at200", F.lit(0))
+    place, fresh = F.struct(*ORDER), F.col("__at200").isNull()
+    needs = [F.min(F.when(fresh & (since >= k), place)) for k in range(1, after + 1)]
+    hours = x.groupBy("job_id", HOUR).agg(
+        F.min(F.when(~fresh & (since >= after), place)).alias("__n_hit"), F.array(*needs).alias("__n_need"),
+        F.max_by(since, place).alias("__n_left"), F.max(~fresh).alias("__n_reset"))
+    # 429s since the last 200, up to the hour's start: all that were left before, less those left before the last reset
+    hours = hours.withColumn("__n_all", F.coalesce(F.sum("__n_left").over(_along_job()), F.lit(0)))
+    hours = hours.withColumn("__n_mark", F.when(F.col("__n_reset"), F.col("__n_all")))
+    hours = hours.withColumn("__n_carry", F.col("__n_all") - F.coalesce(F.max("__n_mark").over(_along_job()), F.lit(0)))
+    need = F.get("__n_need", (F.lit(after - 1) - F.col("__n_carry")).cast("int"))  # null once the carry is enough: an earlier hour hit
+    hit = hours.select("job_id", F.least(F.when(F.col("__n_carry") < after, need), "__n_hit").alias("hit")).where("hit is not null")
+    first = hit.groupBy("job_id").agg(F.min("hit").alias("hit"))
+    return first.select("job_id", F.col("hit.log_id").alias("first_throttled_log_id"), F.col("hit.ts").alias("throttled_at"))
 
 
 # X19 ------------------------------------------------------------------------
