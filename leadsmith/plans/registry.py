@@ -1110,6 +1110,23 @@ def q_csv_scan(spark, sf):
     return read_csv_files(spark, [_write_exports(spark, sf)]).drop("_row")
 
 
+@register("csv_scan_split", "select " + ", ".join(O.q(c) for c in P_COLS[2:]) + ", source as \"Source\", "
+          "row_number() over (partition by source order by row_idx) - 1 as position from " + _EXPORTS.replace(
+              _na("job_title"), f"case when {_na('job_title')} is not null then concat({_na('job_title')}, chr(10), 'of \"', city, '\"') end"))
+def q_csv_scan_split(spark, sf):
+    """S1 by byte ranges: cells with quotes and line breaks, each file read by many tasks; ``position`` is the record's place in its file."""
+    from ..sources.csv_scan import read_csv_files, write_csv
+
+    base = _run_dir(spark, "split-exports")
+    title = C("job_title")
+    title = F.when(title.isNotNull(), F.concat(title, F.lit('\nof "'), C("city"), F.lit('"')))
+    p = FX.people_raw(spark, sf).withColumn("job_title", title).repartition("Source").sortWithinPartitions("_row")
+    write_csv(p.where(C("Source") == "crm_a.csv").select(*P_COLS[2:]), f"{base}/crm_a.csv", single_file=True)
+    write_csv(p.where(C("Source") == "crm_b.csv").select(*_EXPORT_B), f"{base}/crm_b.csv", single_file=True)
+    found = read_csv_files(spark, [base], split_bytes=1 << 16)
+    return found.withColumn("position", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row")
+
+
 @register("header_catalog", "select * from (values " + ", ".join(
     f"({k}, {O.lit(f)}, {i}, {O.lit(h)})" for k, (f, hs) in enumerate((("crm_a.csv", P_COLS[2:]), ("crm_b.csv", _EXPORT_B)))
     for i, h in enumerate(hs)) + ") t(file_ord, file_name, ordinal, header)")

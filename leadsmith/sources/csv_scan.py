@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import C, na_token_to_null
 from ..functions.constants import EXPORT_NAME, EXPORT_STAMP, NA_TOKENS
+from ..session import ship
+from .csv_split import irregular_files, open_file, range_states, split_records
 
 # Split a CSV header line on commas outside double quotes.
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -47,19 +49,24 @@ def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
 
 def list_csv_files(spark: SparkSession, paths) -> list[str]:
     """Expand folders/globs to *.csv files, sorted by base name then path (deterministic order)."""
+    return [path for path, _ in csv_listing(spark, paths)]
+
+
+def csv_listing(spark: SparkSession, paths) -> list[tuple[str, int]]:
+    """(path, bytes) of the files of ``list_csv_files``."""
     if isinstance(paths, str):
         paths = [paths]
     if not paths:
         raise ValueError("no files provided for merging")
     df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-          .option("recursiveFileLookup", "true").load(list(paths)).select("path"))
+          .option("recursiveFileLookup", "true").load(list(paths)).select("path", "length"))
     blank = _empty_files(spark, paths)
     if blank:
         raise ValueError(f"no columns to read in empty file(s): {', '.join(blank)}")
-    files = [r["path"] for r in df.collect()]  # file listing: metadata, one row per file
+    files = [(r["path"], r["length"]) for r in df.collect()]  # file listing: metadata, one row per file
     if not files:
         raise ValueError(f"no .csv files under {paths}")
-    return sorted(files, key=lambda p: (os.path.basename(p), p))
+    return sorted(files, key=lambda f: (os.path.basename(f[0]), f[0]))
 
 
 def _unquote(h):
@@ -90,19 +97,14 @@ def first_lines(spark: SparkSession, files: list[str], chunk: int = 1 << 16) ->
     """
     import pandas as pd
 
-    def read(batches):
-        from urllib.parse import quote
-
-        import pyarrow.fs as pafs
+    ship(spark)
 
+    def read(batches):
         for pdf in batches:
             out = []
             for p in pdf["path"].tolist():
-                scheme, sep, rest = p.partition(":")
-                rest = quote(rest, safe="/:@")
-                fs, path = pafs.FileSystem.from_uri(f"file://{rest}" if scheme == "file" and rest[:2] != "//" else scheme + sep + rest)
                 buf = b""
-                with fs.open_input_stream(path) as fh:
+                with open_file(p) as fh:
                     while True:
                         part = fh.read(chunk)
                         buf += part
@@ -189,9 +191,30 @@ def _union_all(parts: list[DataFrame]) -> DataFrame:
     return parts[0]
 
 
-def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS) -> DataFrame:
-    """Many CSV files with differing headers -> one all-string table + Source + _row."""
-    files = list_csv_files(spark, paths)
+#: Larger files are read by ranges of bytes, many tasks a file (``csv_split``).
+SPLIT_BYTES = 64 << 20
+READ = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
+
+
+def _splittable(spark: SparkSession, listing: list[tuple[str, int]], split_bytes: int) -> DataFrame | None:
+    """Byte ranges of the large files that can be split."""
+    large = [f for f in listing if f[1] > split_bytes]
+    if not large:
+        return None
+    states = range_states(spark, large, max(split_bytes // 2, 1))
+    whole = irregular_files(states)
+    return states.where(~F.col("path").isin(whole)) if whole else states
+
+
+def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Many CSV files with differing headers -> one all-string table + Source + _row.
+
+    A file is one task up to ``split_bytes``, and one task for each half of that beyond; rows and their order are the same.
+    """
+    listing = csv_listing(spark, paths)
+    files = [path for path, _ in listing]
+    ranges = _splittable(spark, listing, split_bytes)
+    split = {r["path"] for r in ranges.select("path").distinct().collect()} if ranges is not None else set()
     signatures = header_signatures(header_catalog(spark, files))
     col_order = list(dict.fromkeys(h for headers, _, _ in signatures for h in headers if h != "Source"))
     if spark.conf.get("spark.sql.caseSensitive", "false").lower() != "true" and \
@@ -201,15 +224,23 @@ def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS) -> DataFrame
     for headers, group, _ in signatures:
         # one column more than the header has: it is null unless a record is too long
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers) + 1)])
-        body = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
-                .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-                .option("encoding", "UTF-8").csv(group))
         sel = [na_token_to_null(F.col(f"c{i}"), na_tokens).alias(h)
                for i, h in enumerate(headers) if h != "Source"]
-        path = file_path()
-        checked = F.when(F.col(f"c{len(headers)}").isNull(), path).otherwise(
-            F.raise_error(F.concat(F.lit("a record has more cells than the header of "), path)).cast("string"))
-        parts.append(body.select(*sel, checked.alias("__path"), F.monotonically_increasing_id().alias("__mono")))
+
+        def cells(body, path, position):
+            checked = F.when(F.col(f"c{len(headers)}").isNull(), path).otherwise(
+                F.raise_error(F.concat(F.lit("a record has more cells than the header of "), path)).cast("string"))
+            return body.select(*sel, checked.alias("__path"), position.alias("__mono"))
+
+        whole = [p for p in group if p not in split]
+        if whole:
+            body = spark.read.schema(schema).options(header="true", multiLine="true", **READ).csv(whole)
+            parts.append(cells(body, file_path(), F.monotonically_increasing_id()))
+        if len(whole) < len(group):
+            body = split_records(ranges.where(F.col("path").isin([p for p in group if p in split])))
+            row = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "), READ)
+            body = body.select("path", "number", row.alias("r")).select("path", "number", "r.*")
+            parts.append(cells(body, F.col("path"), F.col("number")))
     merged = _union_all(parts)
     ords = spark.createDataFrame([(i, p) for i, p in enumerate(files)], "__file_ord int, __path string")
     merged = merged.join(ords, "__path", "left")
