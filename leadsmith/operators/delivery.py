@@ -30,6 +30,7 @@ from ..functions.constants import (
     DELIVERY_THROTTLED_RATE, ETA_MIN_SAMPLES, ETA_WINDOW, LOG_EXCEPTION_MESSAGE, LOG_FAILURE_MESSAGE,
     PROGRESS_BASE, PROGRESS_SPAN, STATUS_SENDING_MESSAGE,
 )
+from ..session import ship
 
 RESULT_SCHEMA = ("job_id string, record_number long, ok boolean, status_code int, attempts int, "
                  "error_type string, response_text string, exception_type string, throttled boolean, "
@@ -127,6 +128,7 @@ def deliver(payloads: DataFrame, job_id: str, transport_factory: Callable[[], Tr
                 do_sleep(1.0 / sender.rate if sender.rate > 0 else 0.0)
             yield pd.DataFrame(out, columns=RESULT_COLUMNS)
 
+    ship(src.sparkSession)
     return src.sortWithinPartitions("record_number").mapInPandas(run, RESULT_SCHEMA)
 
 
@@ -141,7 +143,8 @@ def failure_log(results: DataFrame, url: str = "", max_attempts: int = DELIVERY_
                 ts=None) -> DataFrame:
     """One ERROR log event per record whose final attempt failed (429 exhaustion is not logged).
 
-    The rows have the log store's columns (``operators.logs.write_logs`` takes them as they are).
+    The rows have the log store's columns (``operators.logs.write_logs`` takes them as they are). ``log_id`` orders the
+    events of a job; ``event_id`` is one event's alone in a store of many jobs and attempts.
     """
     failed = results.where(~F.col("ok") & (F.coalesce(F.col("status_code"), F.lit(0)) != 429))
     is_exc = F.col("error_type") == "EXCEPTION"
@@ -151,7 +154,9 @@ def failure_log(results: DataFrame, url: str = "", max_attempts: int = DELIVERY_
                         F.lit("response_text"), F.col("response_text"), F.lit("webhook_url"), F.lit(url))
     raised = F.create_map(F.lit("exception_type"), F.col("exception_type"),
                           F.lit("exception_message"), F.col("response_text"), F.lit("webhook_url"), F.lit(url))
-    return failed.select(F.col("record_number").alias("log_id"), _event_time(ts).alias("ts"), "record_number", "job_id",
+    at = _event_time(ts)
+    event = F.sha2(F.concat_ws("\x1f", "job_id", F.col("record_number").cast("string"), at.cast("string")), 256)
+    return failed.select(event.alias("event_id"), F.col("record_number").alias("log_id"), at.alias("ts"), "record_number", "job_id",
                          F.lit("ERROR").alias("level"), "error_type", "status_code", msg.alias("message"), "duration",
                          F.to_json(F.when(is_exc, raised).otherwise(http), {"ignoreNullFields": "false"}).alias("metadata"))
 

@@ -8,9 +8,10 @@ micro-batch only has to fold its partial aggregate into the keyed state:
   replay); the final table folds all partials.
 * T2 rolling error counts: event-time watermark + 1-day tumbling windows, in
   update mode to files, so that closed windows leave the state.
-* T3 job status: per-field (ts, id, value) maxima folded per micro-batch.
-* T4 delivery: ``foreachBatch`` runs the delivery sink; records with a result
-  are not sent again, so a replayed batch does nothing.
+* T3 job status: the (ts, id, value) of each job's and field's last update is
+  keyed state, and the status is read from there.
+* T4 delivery: ``foreachBatch`` runs the delivery sink on records that the
+  keyed state has not seen; a replayed batch with results does nothing.
 * T5 exactly-once log identity: ``dropDuplicatesWithinWatermark``.
 
 Checkpoints and state live under ``spark.checkpoint.dir`` (shared storage on a
@@ -20,6 +21,8 @@ cluster), so a restarted query resumes where it stopped.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,68 +171,95 @@ def stream_error_counts(spark: SparkSession, events_path: str, logs_transform, w
 
 # T3 -------------------------------------------------------------------------
 
-def fold_status(updates: DataFrame, fields) -> DataFrame:
-    """Per job and field, the (ts, id, value) maximum over non-null values (associative)."""
-    aggs = [F.max(F.when(F.col(f).isNotNull(), F.struct(F.col("ts").alias("ts"), F.col("log_id").alias("id"),
-                                                          F.col(f).cast("string").alias("v")))).alias(f)
-            for f in fields]
-    return updates.groupBy("job_id").agg(*aggs, F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
+#: Keyed state lives in RocksDB, on disk, with small files; its provider takes part in every checkpoint.
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store reserves megabytes
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """The session's settings for queries with keyed state, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in KEYED_STATE}
+    try:
+        for k, v in KEYED_STATE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stream_status(spark: SparkSession, events_path: str, updates_transform, fields,
                   state_dir: str | None = None) -> DataFrame:
-    """Partial status updates folded into the current status per job."""
-    state_dir = state_dir or run_dir(spark, "stream-status")
-    ev = file_stream(spark, events_path)
-    upd = updates_transform(ev)
-    path = f"{state_dir}/folds"
-
-    def fold(batch: DataFrame, batch_id: int):
-        fold_status(batch, fields).write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+    """Partial status updates folded into the current status per job.
 
-    q = (upd.writeStream.foreachBatch(fold).trigger(availableNow=True)
-         .option("checkpointLocation", f"{state_dir}/checkpoint").start())
-    q.awaitTermination()
-    folds = spark.read.parquet(path)
-    merged = folds.groupBy("job_id").agg(*[F.max(f).alias(f) for f in fields], F.min("created_at").alias("created_at"),
-                                         F.max("updated_at").alias("updated_at"))
-    return merged.select("job_id", *[F.col(f)["v"].alias(f) for f in fields], "created_at", "updated_at")
+    The state holds, by job and field, the (ts, id, value) of the field's last update, and nothing else is written: it has
+    one row per job and field however many updates and batches there were. The status is read from the state.
+    """
+    state_dir = state_dir or run_dir(spark, "stream-status")
+    upd = updates_transform(file_stream(spark, events_path))
+    at = [F.col("ts").alias("ts"), F.col("log_id").alias("id")]
+    cells = [F.struct(F.lit(f).alias("field"), F.struct(*at, F.col(f).cast("string").alias("v")).alias("last")) for f in fields]
+    # the field without a name stands for the update itself: its first and last time are the job's
+    cells.append(F.struct(F.lit("").alias("field"), F.struct(*at, F.lit("").alias("v")).alias("last")))
+    rows = upd.select("job_id", F.explode(F.array(*cells)).alias("c")).where(F.col("c")["last"]["v"].isNotNull())
+    folded = rows.groupBy("job_id", F.col("c.field").alias("field")).agg(F.max("c.last").alias("last"), F.min("c.last.ts").alias("first"))
+    with keyed_state(spark):
+        q = (folded.writeStream.outputMode("update").format("noop").trigger(availableNow=True)
+             .option("checkpointLocation", f"{state_dir}/checkpoint").start())
+        q.awaitTermination()
+    return status_from_state(spark, f"{state_dir}/checkpoint", fields)
+
+
+def status_from_state(spark: SparkSession, checkpoint: str, fields) -> DataFrame:
+    """The status per job as the state of ``stream_status`` has it."""
+    state = spark.read.format("statestore").load(checkpoint)
+    key, value = (state.schema[c].dataType.fieldNames() for c in ("key", "value"))
+    flat = state.select(F.col("key")[key[0]].alias("job_id"), F.col("key")[key[1]].alias("field"),
+                        F.col("value")[value[0]].alias("last"), F.col("value")[value[1]].alias("first"))
+    parts = [F.max(F.when(F.col("field") == f, F.col("last")["v"])).alias(f) for f in fields]
+    whole = F.col("field") == ""
+    return flat.groupBy("job_id").agg(*parts, F.min(F.when(whole, F.col("first"))).alias("created_at"),
+                                      F.max(F.when(whole, F.col("last")["ts"])).alias("updated_at")).select(
+        "job_id", *fields, "created_at", "updated_at")
 
 
 # T4 -------------------------------------------------------------------------
 
-def _results(spark: SparkSession, path: str) -> DataFrame | None:
-    """The results written so far; None before the first batch."""
-    if not _exists(spark, path):
-        return None
-    return spark.read.schema(f"{RESULT_SCHEMA}, batch_id int").parquet(path)
-
-
 def stream_delivery(spark: SparkSession, payload_stream: DataFrame, job_id: str, transport_factory,
                     rate: float, sleep=None, state_dir: str | None = None) -> DataFrame:
-    """T4: deliver each micro-batch; results keyed by (job_id, record_number), one folder per batch."""
+    """T4: deliver each micro-batch; results keyed by (job_id, record_number), one folder per batch.
+
+    Record numbers that came before are known from the stream's keyed state, in the checkpoint of this job, so no batch
+    reads the results of others. A batch that is played again sends nothing if its results are written; if they are not, it
+    sends all its records again (at least once).
+    """
     state_dir = state_dir or run_dir(spark, "stream-delivery")
-    path = f"{state_dir}/results"
+    path = f"{state_dir}/job={quote(job_id, safe='')}"
 
     def send(batch: DataFrame, batch_id: int):
-        """Sends what no earlier batch has sent; a batch that is played again finds its records done."""
-        done = _results(spark, path)
-        todo = batch if done is None else batch.join(done.select("record_number").distinct(), "record_number", "left_anti")
-        res = deliver(todo, job_id, transport_factory, rate=rate, sleep=sleep)
-        if done is None or done.where(F.col("batch_id") == int(batch_id)).isEmpty():
-            res.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
-
-    q = (payload_stream.writeStream.foreachBatch(send).trigger(availableNow=True)
-         .option("checkpointLocation", f"{state_dir}/checkpoint").start())
-    q.awaitTermination()
-    return spark.read.parquet(path)
+        folder = f"{path}/results/batch_id={int(batch_id)}"
+        if not _exists(spark, f"{folder}/_SUCCESS"):
+            deliver(batch, job_id, transport_factory, rate=rate, sleep=sleep).write.mode("overwrite").parquet(folder)
+
+    with keyed_state(spark):
+        q = (payload_stream.dropDuplicates(["record_number"]).writeStream.foreachBatch(send).trigger(availableNow=True)
+             .option("checkpointLocation", f"{path}/checkpoint").start())
+        q.awaitTermination()
+    return spark.read.schema(f"{RESULT_SCHEMA}, batch_id int").parquet(f"{path}/results")
 
 
 # T5 -------------------------------------------------------------------------
 
 def stream_dedup_events(spark: SparkSession, events_path: str, logs_transform, key: str = "log_id",
                         watermark: str = "1 hour", state_dir: str | None = None) -> DataFrame:
-    """T5: one row per event id within the watermark (late replays are dropped)."""
+    """T5: one row per event id within the watermark (late replays are dropped).
+
+    A store that several jobs write to needs a key over all of them: the failure log's is ``event_id``.
+    """
     state_dir = state_dir or run_dir(spark, "stream-dedup")
     ev = file_stream(spark, events_path)
     lg = logs_transform(ev).withColumn("event_time", F.col("ts").cast("timestamp"))
