@@ -218,10 +218,13 @@ def _shareable(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def _rest_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components of a bucket: pairs that bounds and sketches leave open, each in the first bucket it shares.
 
-    The full sets are compared in the join itself, so that only links leave it.
+    The full sets are compared in the join itself, so that only links leave it. The tables given are deleted once they are joined.
     """
     able = _shareable(rows, sets).where(100 * F.col("common") >= percent * F.col("n"))
     full = stored(rows.join(able, "rep").join(reps, "rep").join(sets, "rep"), "rest")
+    discard(rows, reps, sets)
+    del able
+    release(full.sparkSession)
     columns = ("rep", "label", "bands", "sketch", "n", "common", "shingles")
     a = full.select("key", "band", *[F.col(c).alias(f"{c}_u") for c in columns])
     b = full.select("key", *[F.col(c).alias(f"{c}_v") for c in columns])
@@ -269,7 +272,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(buckets)
     release(docs.sparkSession)
     links = _rest_links(rows, reps, sets, percent)
-    discard(rows, reps, sets)
     if not links.isEmpty():
         labels = _relabel(labels, links)
     release(docs.sparkSession)
