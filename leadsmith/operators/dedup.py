@@ -83,7 +83,7 @@ def fold_aggs(cols: list[str]) -> list[Column]:
     return aggs
 
 
-def merged_rows(whole: DataFrame, cols: list[str]) -> DataFrame:
+def merged_rows(whole: DataFrame, cols: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
     """Final records from the aggregates of whole keys: size-1 groups keep their raw values."""
     single = F.col("__n") == 1
     ids = {c: f"__c{i}" for i, c in enumerate(c for c in cols if c != "Source")}
@@ -96,21 +96,25 @@ def merged_rows(whole: DataFrame, cols: list[str]) -> DataFrame:
             best_v = F.col(ids[c] + "b")["v"]
             raw = F.coalesce(ids[c] + "r", best_v)
             out.append(F.when(single, raw).otherwise(F.coalesce(best_v, F.lit(""))).alias(c))
-    return whole.select(*out, F.col("__first").alias(ROW), F.col(KEY), F.col("__n").alias("_n"))
+    return whole.select(*out, F.col("__first").alias(ROW), F.col(KEY), F.col("__n").alias("_n"), *carried)
 
 
-def merge_duplicates(keyed: DataFrame, normalized: bool = False) -> DataFrame:
-    """A4/A5: one row per key, columns in input order, plus _key (for ordering) and _n."""
+def merge_duplicates(keyed: DataFrame, normalized: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """A4/A5: one row per key, columns in input order, plus _key (for ordering) and _n.
+
+    ``carried``: number columns (named ``__...``) that come along as sums over their key.
+    """
     cols = _data_cols(keyed)
-    return merged_rows(keyed.groupBy(KEY).agg(*partial_aggs(cols, normalized)), cols)
+    sums = [F.sum(c).alias(c) for c in carried]
+    return merged_rows(keyed.groupBy(KEY).agg(*partial_aggs(cols, normalized), *sums), cols, carried)
 
 
-def deduplicate(df: DataFrame, table_type: str, normalized: bool = False) -> DataFrame:
+def deduplicate(df: DataFrame, table_type: str, normalized: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """Key + merge. Output order is defined by ``_key`` (callers sort only when they need order)."""
     cols = _data_cols(df)
     if not any(k in cols for k in DEDUP_KEYS[table_type]):
         return df.withColumn(KEY, F.concat(F.lit("unique_"), F.col(ROW).cast("string"))).withColumn("_n", F.lit(1).cast("bigint"))
-    return merge_duplicates(with_key(df, table_type), normalized)
+    return merge_duplicates(with_key(df, table_type), normalized, carried)
 
 
 def dedup_stats(keyed: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions.columns import (
     strip, title_name, WS_CLASS,
 )
 from ..functions.constants import INTEGER_FIELDS
+from .dedup import deduplicate
 
 ROW = "_row"
 
@@ -218,20 +219,25 @@ def changed_domains(df: DataFrame) -> Column:
     return sum(changed[1:], changed[0]) if changed else F.lit(0)
 
 
-def enrich_stats(flagged: DataFrame, deduped: DataFrame | None = None) -> DataFrame:
-    """A8 counters from ``enrich_with_stats`` flags; ``deduped`` adds the cells that the pass after the dedup changes."""
-    b = lambda c: F.count_if(F.col(c)).cast("bigint")
-    first = flagged.agg(
-        b("__personal").alias("personal_emails_ranked"),
-        b("__work").alias("work_emails_identified"),
-        F.count_if(F.col("__personal") | F.col("__work")).cast("bigint").alias("emails_enriched"),
-        b("__names_split").alias("names_split"),
-        b("__domain_enriched").alias("domains_enriched"),
-        F.sum("__domains_cleaned").cast("bigint").alias("domains_cleaned"),
-        b("__name_generated").alias("company_names_generated"),
-    )
-    if deduped is None:
-        return first
-    second = deduped.agg(F.sum(changed_domains(deduped)).cast("bigint").alias("domains_cleaned"))
-    both = first.unionByName(second, allowMissingColumns=True)
-    return both.agg(*[F.sum(c).cast("bigint").alias(c) for c in first.columns])
+def enrich_stats(flagged: DataFrame, table_type: str | None = None) -> DataFrame:
+    """A8 counters from ``enrich_with_stats`` flags.
+
+    With ``table_type`` the cells that the pass after the dedup changes count as well: each row's flags go through the
+    dedup's own aggregate as sums, so the input is read and enriched once.
+    """
+    flag = lambda c: c.cast("bigint")
+    counters = {
+        "personal_emails_ranked": flag(F.col("__personal")),
+        "work_emails_identified": flag(F.col("__work")),
+        "emails_enriched": flag(F.col("__personal") | F.col("__work")),
+        "names_split": flag(F.col("__names_split")),
+        "domains_enriched": flag(F.col("__domain_enriched")),
+        "domains_cleaned": flag(F.col("__domains_cleaned")),
+        "company_names_generated": flag(F.col("__name_generated")),
+    }
+    names = tuple(f"__sum_{c}" for c in counters)
+    rows = flagged.withColumns({f"__sum_{c}": F.coalesce(v, F.lit(0)) for c, v in counters.items()})
+    if table_type is not None:
+        rows = deduplicate(rows, table_type, normalized=True, carried=names)
+        rows = rows.withColumn("__sum_domains_cleaned", F.col("__sum_domains_cleaned") + changed_domains(rows))
+    return rows.agg(*[F.coalesce(F.sum(f"__sum_{c}"), F.lit(0)).cast("bigint").alias(c) for c in counters])

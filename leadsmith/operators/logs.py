@@ -15,7 +15,7 @@ hours' rows to the events. Values along record numbers work on blocks of
 from __future__ import annotations
 
 import re
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,12 +67,7 @@ def read_logs(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def query_logs(logs: DataFrame, start=None, end=None, job_id=None, level=None, error_type=None,
-               limit: int | None = LOG_DEFAULT_LIMIT, as_of: datetime | None = None) -> DataFrame:
-    """Inclusive time range, all given filters ANDed, newest first, top ``limit``."""
-    as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
-    end = end or as_of
-    start = start or (end - timedelta(days=LOG_RETENTION_DAYS))
+def _log_filter(logs: DataFrame, start, end, job_id=None, level=None, error_type=None) -> Column:
     cond = F.col("ts").between(_ts(start), _ts(end))
     if "date" in logs.columns:  # date-partitioned store: prune partitions outside the range
         cond &= F.col("date").between(F.to_date(_ts(start)), F.to_date(_ts(end)))
@@ -82,12 +77,51 @@ def query_logs(logs: DataFrame, start=None, end=None, job_id=None, level=None, e
         cond &= F.col("level") == level.upper()
     if error_type is not None:
         cond &= F.col("error_type") == error_type
-    out = logs.where(cond)
+    return cond
+
+
+def query_logs(logs: DataFrame, start=None, end=None, job_id=None, level=None, error_type=None,
+               limit: int | None = LOG_DEFAULT_LIMIT, as_of: datetime | None = None) -> DataFrame:
+    """Inclusive time range, all given filters ANDed, newest first, top ``limit``."""
+    as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+    end = end or as_of
+    start = start or (end - timedelta(days=LOG_RETENTION_DAYS))
+    out = logs.where(_log_filter(logs, start, end, job_id, level, error_type))
     if limit is not None:
         out = out.orderBy(F.col("ts").desc(), F.col("log_id").desc()).limit(int(limit))
     return out
 
 
+def stored_dates(spark, path: str) -> list[date]:
+    """Dates that a log store has a partition of, oldest first: one listing of the store's folder, no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted(date.fromisoformat(n[5:]) for n in names if re.fullmatch(r"date=\d{4}-\d\d-\d\d", n))
+
+
+def newest_logs(spark, path: str, start=None, end=None, job_id=None, level=None, error_type=None,
+                limit: int = LOG_DEFAULT_LIMIT, as_of: datetime | None = None) -> DataFrame:
+    """L2 over a date-partitioned store of any age: the rows of ``query_logs``, from as few dates as hold them.
+
+    Of the dates in the range, the newest 1, 2, 4, ... are counted, each up to ``limit`` rows, until they hold that many;
+    only these are sorted. Every row of a later date is newer than all of an earlier one, so no other date can add a row.
+    """
+    as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+    end = end or as_of
+    start = start or (end - timedelta(days=LOG_RETENTION_DAYS))
+    logs = read_logs(spark, path)
+    matching = logs.where(_log_filter(logs, start, end, job_id, level, error_type))
+    bound = lambda t: datetime.fromisoformat(t).date() if isinstance(t, str) else t.date()
+    dates = [d for d in stored_dates(spark, path) if bound(start) <= d <= bound(end)]
+    taken, found = 0, matching.where(F.lit(False))
+    while taken < len(dates):
+        taken = min(max(2 * taken, 1), len(dates))
+        found = matching.where(F.col("date") >= F.lit(dates[-taken]))
+        if taken < len(dates) and found.limit(int(limit)).count() >= limit:
+            break
+    return found.orderBy(F.col("ts").desc(), F.col("log_id").desc()).limit(int(limit))
+
+
 def retained(logs: DataFrame, as_of, days: int = LOG_RETENTION_DAYS) -> DataFrame:
     """entries no older than the retention period."""
     return logs.where(F.col("ts") >= _ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))

@@ -12,9 +12,8 @@ from collections import OrderedDict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.columns import C, m1, m2, m2_target
+from ..functions.columns import C, m1, m2, m2_target, strip
 from ..functions.constants import CONSOLIDATION_RULES, standard_fields
 
 PRIORITIES = ("primary", "secondary", "tertiary")
@@ -39,8 +38,17 @@ def _unwrap(spec):
 
 
 def plan_mappings(spec) -> "OrderedDict[str, dict[str, list]]":
-    """Fold all files' specs: std -> {priority: [source columns]} distinct, file order."""
+    """Fold all files' specs: std -> {priority: [source columns]} distinct, file order.
+
+    ``spec`` is the mapper's answer, or the table of ``read_mapping_spec`` / ``mapping_table``, folded by Spark: one
+    collected row per mapped header.
+    """
     merged: OrderedDict = OrderedDict()
+    if isinstance(spec, DataFrame):
+        rows = merged_mapping_table(spec).orderBy("first_seen", "prio_ord").select("std", "priority", "source_col").collect()
+        for std, priority, source_col in rows:
+            merged.setdefault(std, {p: [] for p in PRIORITIES})[priority].append(source_col)
+        return merged
     for fm in _unwrap(spec):
         for std, pm in (fm.get("mapped_headers") or {}).items():
             slot = merged.setdefault(std, {p: [] for p in PRIORITIES})
@@ -50,18 +58,47 @@ def plan_mappings(spec) -> "OrderedDict[str, dict[str, list]]":
     return merged
 
 
-MAPPING_SCHEMA = T.StructType([
-    T.StructField("filename", T.StringType()),
-    T.StructField("mapped_headers", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))),
-])
+FILES_TYPE = "array<struct<filename string, mapped_headers map<string, map<string, string>>>>"
+SPEC_TYPE = f"mapped_files {FILES_TYPE}, _malformed string"
 
 
 def mapping_table(spark: SparkSession, spec) -> DataFrame:
     """Spec as a table (file_ord, filename, std, priority, source_col)."""
-    files = _unwrap(spec)
-    rows = [(i, f.get("filename"), f.get("mapped_headers") or {}) for i, f in enumerate(files)]
-    df = spark.createDataFrame(rows, "file_ord int, filename string, mapped_headers map<string,map<string,string>>")
-    std = df.select("file_ord", "filename", F.posexplode("mapped_headers").alias("std_ord", "std", "pm"))
+    # as JSON text: a dict that becomes a map column by itself loses the order of its entries
+    text = spark.createDataFrame([(json.dumps(_unwrap(spec)),)], "value string")
+    return _spec_entries(text.select(F.from_json("value", FILES_TYPE).alias("mapped_files")))
+
+
+def read_mapping_spec(spark: SparkSession, path: str) -> DataFrame:
+    """A mapper's answer in a JSON file as the table of ``mapping_table``.
+
+    The file holds one object, or an array whose first item counts. Text that is not such JSON, headers of another shape
+    and an answer without mapped files fail with the file's name; so does a folder of several files.
+    """
+    text = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("body"))
+    if len(text.inputFiles()) != 1:
+        raise ValueError(f"{path} holds {len(text.inputFiles())} files; a mapping spec is one")
+    at = spark._jvm.org.apache.hadoop.fs.Path(text.inputFiles()[0])
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen() == 0:  # a scan skips such files
+        raise ValueError(f"mapping spec is empty or malformed: {at.toString()}")
+    body, options = F.col("body"), {"columnNameOfCorruptRecord": "_malformed"}
+    listed = F.get(F.from_json(body, f"array<struct<{SPEC_TYPE}>>", options), F.lit(0))
+    spec = F.when(F.startswith(strip(body), F.lit("[")), listed).otherwise(F.from_json(body, f"struct<{SPEC_TYPE}>", options))
+    read = text.select("path", spec.alias("spec"))
+
+    def fail(reason: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"mapping spec {reason}: "), F.col("path"))).cast(FILES_TYPE)
+
+    files = (F.when(F.col("spec").isNull() | F.col("spec._malformed").isNotNull(), fail("is empty or malformed"))
+             .when(F.coalesce(F.size("spec.mapped_files"), F.lit(0)) <= 0, fail("has no 'mapped_files'"))
+             .otherwise(F.col("spec.mapped_files")))
+    return _spec_entries(read.select(files.alias("mapped_files")))
+
+
+def _spec_entries(spec: DataFrame) -> DataFrame:
+    """The entries of a spec's ``mapped_files``, in its order."""
+    files = spec.select(F.posexplode("mapped_files").alias("file_ord", "f")).select("file_ord", "f.*")
+    std = files.select("file_ord", "filename", F.posexplode("mapped_headers").alias("std_ord", "std", "pm"))
     pr = std.select("file_ord", "filename", "std_ord", "std",
                     F.explode(F.array(*[F.struct(F.lit(i).alias("prio_ord"), F.lit(p).alias("priority"),
                                                  F.col("pm")[p].alias("source_col"))

@@ -7,6 +7,7 @@ SQL-expressible query; the rest are checked rows-only plus unit tests.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -505,6 +506,13 @@ def q_log_newest(spark, sf):
     return LG.query_logs(_logs(spark, sf), start=_WEEK, end=AS_OF, as_of=AS_OF).select("log_id", "job_id", "level")
 
 
+@register("log_newest_store", ORACLE["log_newest"])
+def q_log_newest_store(spark, sf):
+    """L2 over the date-partitioned log store: newest dates first, until they hold the limit."""
+    path = LG.write_logs(_logs(spark, sf), _run_dir(spark, "logs") + "/events")
+    return LG.newest_logs(spark, path, start=_WEEK, end=AS_OF, as_of=AS_OF).select("log_id", "job_id", "level")
+
+
 @register("log_times", _L + "select log_id, case when microsecond(ts) % 1000000 = 0 then strftime(ts, "
           "'%Y-%m-%dT%H:%M:%S+00:00') else strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') end as timestamp_iso, "
           "cast(floor(epoch(ts)) as bigint) as timestamp_unix from L")
@@ -662,8 +670,7 @@ def _enrich_stats_sql():
 
 @register("enrich_stats", _enrich_stats_sql())
 def q_enrich_stats(spark, sf):
-    std = _p_std(spark, sf)
-    return E.enrich_stats(E.enrich_with_stats(std), dedup.deduplicate(E.enrich(std), "people", normalized=True))
+    return E.enrich_stats(E.enrich_with_stats(_p_std(spark, sf)), "people")
 
 
 @register("missing_matrix", "select " + ", ".join(
@@ -819,6 +826,27 @@ def q_mapping_table(spark, sf):
     return spec.join(sizes, "filename", "left").withColumn("rows_in_file", F.coalesce("rows_in_file", F.lit(0)).cast("bigint"))
 
 
+def _spec_file(spark, spec):
+    """A mapper's answer as a JSON file of the run's folder."""
+    path = _run_dir(spark, "spec") + "/mapping"
+    spark.createDataFrame([(json.dumps(spec, indent=1),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@register("mapping_json", _SPEC_FILL)
+def q_mapping_json(spark, sf):
+    """The mapping spec read from its JSON file, joined to the rows of the file that each entry maps."""
+    spec = S.read_mapping_spec(spark, _spec_file(spark, FX.PEOPLE_SPEC)).select("filename", "std", "priority", "source_col")
+    sizes = FX.people_raw(spark, sf).groupBy(C("Source").alias("filename")).agg(F.count(F.lit(1)).alias("rows_in_file"))
+    return spec.join(sizes, "filename", "left").withColumn("rows_in_file", F.coalesce("rows_in_file", F.lit(0)).cast("bigint"))
+
+
+@register("standardize_company_json", ORACLE["standardize_company"])
+def q_standardize_company_json(spark, sf):
+    """P2-P4 planned from an array-wrapped JSON file, folded as a table."""
+    return S.standardize(FX.company_raw(spark, sf), S.read_mapping_spec(spark, _spec_file(spark, FX.COMPANY_SPEC)), "company")
+
+
 @register("mapping_merge", "select std, priority, source_col, min(file_ord) as first_file_ord, sum(rows_in_file)::bigint as "
           f"rows_mapped from ({_SPEC_FILL}) join (select distinct filename, file_ord from {_spec_values()}) using (filename) "
           "group by std, priority, source_col")
