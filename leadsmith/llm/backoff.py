@@ -87,10 +87,9 @@ RESULT = "doc_id bigint, n_words bigint, log_score bigint, n_backed_off bigint,
 
 
 def _scores(order: int, bits: int, n_corpus: int, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    if not len(texts):
-        raise RuntimeError("the input came out in another order when it was read again; write it to a table first")
-    ids = np.frombuffer(texts["ids"].iat[0], np.int64)
-    bodies = C.unpack_texts(texts["sizes"].iat[0], texts["blob"].iat[0])
+    chunk = C.only(texts)
+    ids = np.frombuffer(chunk["ids"], np.int64)
+    bodies = C.unpack_texts(chunk["sizes"], chunk["blob"])
     n_words, grams, valid = ngrams(bodies, order)
     owner = np.repeat(np.arange(len(bodies)), n_words)
     keys, place = np.unique(np.concatenate([g[v] for g, v in zip(grams, valid, strict=True)]), return_inverse=True)

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -26,6 +27,8 @@ from leadsmith.llm.shared import shuffle_partitions
 CHUNK_BYTES = 1_000_000
 #: Stands for a null identifier, and sorts behind all others.
 NO_ID = np.int64(2**63 - 1)
+#: Bits of a chunk's number: its partition, its place there, and a checksum of what is in it.
+PART_BITS, PLACE_BITS, CHECK_BITS = 24, 15, 24
 #: Bytes kept of a key below its bucket's bits.
 KEY_BYTES = 6
 
@@ -37,6 +40,20 @@ class Chunk:
     texts: list[bytes]
 
 
+def chunk_number(part: int, place: int, check: int) -> int:
+    """Unlike for any two chunks of a table; partitions or chunks beyond the bits are an error."""
+    if part >> PART_BITS or place >> PLACE_BITS:
+        raise OverflowError(f"chunk {place} of partition {part} has no number: read the input in more or fewer partitions")
+    return (part << PLACE_BITS | place) << CHECK_BITS | check >> (32 - CHECK_BITS)
+
+
+def only(texts: pd.DataFrame) -> pd.Series:
+    """The one row of a chunk's texts."""
+    if len(texts) != 1:
+        raise RuntimeError("the input came out in another order when it was read again; write it to a table first")
+    return texts.iloc[0]
+
+
 def chunked(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[Chunk]:
     """Chunks of (identifier, text) batches, of ``most`` bytes of text or one longer text; null texts are empty."""
     most = most or CHUNK_BYTES
@@ -48,7 +65,7 @@ def chunked(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Itera
     def made() -> Chunk:
         keys = np.array(ids, np.int64)
         check = zlib.crc32(np.fromiter(map(len, texts), np.int64, len(texts)).tobytes(), zlib.crc32(keys.tobytes()))
-        return Chunk((part & 0xFFFF) << 47 | (count & 0x7FFF) << 32 | check, keys, texts)
+        return Chunk(chunk_number(part, count, check), keys, texts)
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

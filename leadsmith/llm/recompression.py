@@ -84,6 +84,8 @@ class RepeatedWords(Scheme):
             if some.any():
                 value = mix(sym ^ U(ODD[30 + level]))
                 # The low bits give way to the place, so that the minimum is the first of the smallest symbols.
+                if len(value) > int(PLACE):
+                    raise OverflowError(f"{len(value)} symbols in one chunk: places have 26 bits")
                 placed = np.append((value & ~PLACE) | np.arange(len(value), dtype=np.uint64), U(0))
                 pairs = np.stack([a[some], b[some]], 1).ravel()
                 at = (np.minimum.reduceat(placed, pairs)[::2] & PLACE).astype(np.int64)

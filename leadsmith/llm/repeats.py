@@ -181,10 +181,9 @@ def _groups(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _picked(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFrame) -> Picked:
-    if not len(texts):
-        raise RuntimeError("the input came out in another order when it was read again; write it to a table first")
-    ids = np.frombuffer(texts["ids"].iat[0], np.int64)
-    view = scheme.view(C.unpack_texts(texts["sizes"].iat[0], texts["blob"].iat[0]))
+    chunk = C.only(texts)
+    ids = np.frombuffer(chunk["ids"], np.int64)
+    view = scheme.view(C.unpack_texts(chunk["sizes"], chunk["blob"]))
     keys, first, last = runs(scheme, view)
     distinct, _ = scheme.occurrences(keys, view.rows_of(first))
     shared = np.zeros(len(distinct), bool)
@@ -197,7 +196,7 @@ def _picked(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFram
     row = view.rows_of(first)
     data, lo, hi, content = scheme.fragments(view, keys, first, last)
     settled = scheme.settle(_groups(keys, content), ids[row], np.zeros(len(row), bool))
-    return Picked(int(texts["chunk"].iat[0]), ids, view, keys, first, last, row, data, lo, hi, *settled)
+    return Picked(int(chunk["chunk"]), ids, view, keys, first, last, row, data, lo, hi, *settled)
 
 
 def _fragments(scheme: Scheme, bits: int, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
