@@ -61,7 +61,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the toxicity model nor the tokenizer; tests hold the pipeline against a brute-force version.
+#: SQL can express neither the toxicity model nor the tokenizer. Tests hold toxicity and exact dedup to planted rows, near dedup and
+#: PII to losing no row, and packing to its columns; its pieces are held to the tokenizers library by the operator's own tests.
 ORACLE_SQL = None
 
 
