@@ -10,7 +10,8 @@ inside quotes depends on all quotes before it. So two passes read the ranges:
    beyond the range, and ``from_csv`` splits them into cells.
 
 Ranges go by bytes alone, so one file of any size is as many tasks as it has
-ranges, and a task holds one range. Files where quotes stand elsewhere than
+ranges, and a task holds one block of its range and the record that is open at
+the block's end. Files where quotes stand elsewhere than
 around whole cells, or lines end in a lone carriage return, are named by the
 first pass and left to the reader that takes a file as one task.
 """
@@ -29,8 +30,10 @@ from ..session import ensure_checkpoint_dir, ship
 RANGE_BYTES = 32 << 20
 #: A range holds a byte order mark whole.
 LEAST_RANGE = 16
-#: Rows that go back to Spark at a time.
-BATCH_RECORDS = 10_000
+#: Bytes of a range that a task holds at a time, ``LEAST_RANGE`` at least.
+BLOCK_BYTES = 1 << 20
+#: Rows that go back to Spark at a time, and the bytes that end a batch before.
+BATCH_RECORDS, BATCH_BYTES = 10_000, 4 << 20
 QUOTE, COMMA, LF, CR = 0x22, 0x2C, 0x0A, 0x0D
 BOM = b"\xef\xbb\xbf"
 
@@ -50,7 +53,8 @@ def open_file(path: str):
 def _outside(data: np.ndarray, inside: bool) -> np.ndarray:
     """Whether each byte stands outside quotes, the quotes before it counted."""
     quote = data == QUOTE
-    return (np.cumsum(quote) - quote + inside) % 2 == 0
+    # only the parity counts, so the sum may pass a byte
+    return (np.cumsum(quote, dtype=np.uint8) ^ quote ^ inside) & 1 == 0
 
 
 def record_starts(data: np.ndarray, inside: bool, first: bool) -> np.ndarray:
@@ -84,77 +88,103 @@ def first_break(data: np.ndarray, after: int) -> int | None:
     return int(data[k] == CR and (data[k + 1] if k + 1 < len(data) else after) == LF)
 
 
-def _range(fh, at: int, end: int, size: int) -> tuple[bytes, int, int]:
-    """Bytes [at, end), the byte before and the byte behind (line feeds at a file's ends)."""
-    low = max(at - 1, 0)
-    fh.seek(low)
-    raw = fh.read(min(end + 1, size) - low)
-    before = raw[0] if at else LF
-    body = raw[at - low:end - low]
-    return body, before, raw[-1] if end < size else LF
+def _blocks(fh, at: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of the bytes [at, end), a block at a time."""
+    fh.seek(at)
+    while at < end:
+        block = fh.read(min(BLOCK_BYTES, end - at))
+        if not block:
+            return
+        yield at, block
+        at += len(block)
+
+
+def _seams(fh, at: int, end: int, size: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(place, block, byte before, byte behind) of the bytes [at, end); line feeds stand at a file's ends."""
+    before, held = LF, None
+    for place, block in _blocks(fh, max(at - 1, 0), min(end + 1, size)):
+        if place < at:
+            before, place, block = block[0], at, block[1:]
+        if held and block:
+            yield *held[:2], before, block[0]
+            before = held[1][-1]
+        if block:
+            held = (place, block)
+    if held:
+        place, block = held
+        if place + len(block) > end:  # the byte behind the range came along
+            block, after = block[:-1], block[-1]
+        else:
+            after = LF
+        if block:
+            yield place, block, before, after
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for path, at, end, size in pdf.itertuples(index=False):
+            odd, records, bad, crlf = 0, [0, 0], [False, False], None
             with open_file(path) as fh:
-                body, before, after = _range(fh, at, end, size)
-            skip = len(BOM) if at == 0 and body.startswith(BOM) else 0
-            data = np.frombuffer(body, np.uint8)[skip:]
-            row = [path, at, int((data == QUOTE).sum()) % 2]
-            for inside in (False, True):
-                # the byte before the range is a line feed that ends a record only outside quotes
-                led = np.concatenate([[before], data]) if at else data
-                began = inside ^ (before == QUOTE) if at else inside
-                row.append(len(record_starts(led, began, at == 0)))
-                row.append(irregular(data, inside, LF if at == 0 else before, after) if len(data) else False)
-            out.append([*row, first_break(data, after)])
+                for place, block, before, after in _seams(fh, at, end, size):
+                    skip = len(BOM) if place == 0 and block.startswith(BOM) else 0
+                    data = np.frombuffer(block, np.uint8)[skip:]
+                    # the byte before the block is a line feed that ends a record only outside quotes
+                    led = np.concatenate([np.array([before], np.uint8), data]) if place else data
+                    for start in (0, 1):
+                        inside = bool(start ^ odd)
+                        began = inside ^ (before == QUOTE) if place else inside
+                        records[start] += len(record_starts(led, began, place == 0))
+                        bad[start] |= irregular(data, inside, before, after) if len(data) else False
+                    crlf = first_break(data, after) if crlf is None else crlf
+                    odd ^= int((data == QUOTE).sum()) % 2
+            out.append([path, at, odd, records[0], bad[0], records[1], bad[1], crlf])
         yield pd.DataFrame(out, columns=["path", "at", "odd", "records0", "irregular0", "records1", "irregular1", "crlf"]).astype({"crlf": "Int32"})
 
 
-def _records(body: bytes, fh, end: int, size: int, inside: bool, first: bool) -> Iterator[str]:
-    """The records that start in a range; the last is read to its end."""
-    data = np.frombuffer(body, np.uint8)
-    starts = record_starts(data, inside, first).tolist()
-    if not starts:
-        return
-    last = starts[-1]
-    tail, at = body[last:], end
-    while at < size:
-        ends = np.frombuffer(tail, np.uint8)
-        if ((ends == LF) & _outside(ends, False)).any():
-            break
-        more = fh.read(1 << 16)
-        tail, at = tail + more, at + len(more)
-    whole = body[:last] + tail
-    data = np.frombuffer(whole, np.uint8)
-    stops = np.flatnonzero((data == LF) & _outside(data, inside)).tolist() + [len(whole)]
-    k = 0
-    for start in starts:
-        while stops[k] < start:
-            k += 1
-        yield whole[start:stops[k]].removesuffix(b"\r").decode("utf-8", "replace")
+def _records(fh, at: int, end: int, size: int, inside: bool) -> Iterator[bytes]:
+    """The records that start in a range; the last is read to its end. Blank lines are none."""
+    begun: list[bytes] | None = [] if at == 0 else None  # what was read of the open record; None before the first one starts
+    for place, block in _blocks(fh, max(at - 1, 0), size):
+        if place >= end and begun is None:
+            return
+        if place == 0 and at == 0 and block.startswith(BOM):
+            place, block = len(BOM), block[len(BOM):]
+        if place < at:  # the state is that behind this byte
+            inside ^= block[0] == QUOTE
+        data = np.frombuffer(block, np.uint8)
+        start = 0
+        for stop in np.flatnonzero((data == LF) & _outside(data, inside)).tolist():
+            if begun is not None:
+                line = b"".join([*begun, block[start:stop]]).removesuffix(b"\r")
+                if line:
+                    yield line
+            begun, start = [], stop + 1
+            if place + start >= end:
+                return
+        inside ^= bool((data == QUOTE).sum() % 2)
+        if begun is not None:
+            begun.append(block[start:])
+    line = b"".join(begun or []).removesuffix(b"\r")
+    if line:
+        yield line
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, at, end, size, inside, number, crlf in pdf.itertuples(index=False):
             with open_file(path) as fh:
-                low = max(at - 1, 0)
-                fh.seek(low)
-                body = fh.read(end - low)
-                if at == 0 and body.startswith(BOM):
-                    body = body[len(BOM):]
-                began = bool(inside) ^ (at > 0 and body[:1] == b'"')
                 rows: list[tuple[str, int, str]] = []
-                for record in _records(body, fh, end, size, began, at == 0):
+                held = 0
+                for record in _records(fh, at, end, size, bool(inside)):
                     if number:  # the first record of a file is its header
-                        rows.append((path, number - 1, record.replace("\r\n", "\n") if crlf else record))
+                        text = record.decode("utf-8", "replace")
+                        rows.append((path, number - 1, text.replace("\r\n", "\n") if crlf else text))
+                        held += len(record)
                     number += 1
-                    if len(rows) >= BATCH_RECORDS:
+                    if len(rows) >= BATCH_RECORDS or held >= BATCH_BYTES:
                         yield pd.DataFrame(rows, columns=["path", "number", "record"])
-                        rows = []
+                        rows, held = [], 0
                 yield pd.DataFrame(rows, columns=["path", "number", "record"])
 
 

@@ -88,3 +88,44 @@ def test_a_long_record_in_a_split_file_fails_with_its_name(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("a,b\n1,2\n1,2,3\n" + "4,5\n" * 50)
     with pytest.raises(Exception, match="more cells than the header of .*bad.csv"):
         CS.read_csv_files(spark, [str(tmp_path)], split_bytes=20).collect()
+
+
+@pytest.mark.parametrize("block", [16, 17, 61])
+def test_blocks_that_cut_anywhere_give_the_same_records(tmp_path, monkeypatch, block):
+    for seed, end in enumerate(["\n", "\r\n"]):
+        file = tmp_path / f"f {seed}.csv"
+        write(file, random.Random(block + seed), 40, end=end, last=seed == 0, bom=seed == 1)
+        size = file.stat().st_size
+
+        def found():
+            out = []
+            for at in range(0, size, 300):
+                cut = (f"file:{file}", at, min(at + 300, size), size)
+                (row,) = next(SP._counted(iter([pd.DataFrame([cut])]))).itertuples(index=False)
+                for inside in (False, True):
+                    part = pd.concat(SP._split(iter([pd.DataFrame([(*cut, inside, 5, False)])])))
+                    out.append((row, list(part.itertuples(index=False))))
+            return out
+
+        want = found()
+        monkeypatch.setattr(SP, "BLOCK_BYTES", block)
+        assert found() == want
+        monkeypatch.undo()
+
+
+def test_a_range_is_read_a_block_at_a_time(tmp_path):
+    """Memory goes by the block: a range of 8 MB took 150 MB and more when it was read whole."""
+    import tracemalloc
+
+    file = tmp_path / "big.csv"
+    file.write_bytes(b"a,b\n" + b'1,"two\nlines"\n' * 100 + (b"x" * 500 + b',"y"\n') * 16_000)
+    size = file.stat().st_size
+    tracemalloc.start()
+    try:
+        for _ in SP._counted(iter([pd.DataFrame([(f"file:{file}", 0, size, size)])])):
+            pass
+        rows = sum(map(len, SP._split(iter([pd.DataFrame([(f"file:{file}", 0, size, size, False, 0, False)])]))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 16_100 and size > 8_000_000 and peak < 30_000_000
