@@ -1115,9 +1115,9 @@ def _write_exports(spark, sf):
     from ..sources.csv_scan import write_csv
 
     base = _run_dir(spark, "exports")
-    p = FX.people_raw(spark, sf).repartition("Source").sortWithinPartitions("_row")
-    write_csv(p.where(C("Source") == "crm_a.csv").select(*P_COLS[2:]), f"{base}/crm_a.csv", single_file=True)
-    write_csv(p.where(C("Source") == "crm_b.csv").select(*_EXPORT_B), f"{base}/crm_b.csv", single_file=True)
+    p = FX.people_raw(spark, sf)
+    write_csv(p.where(C("Source") == "crm_a.csv").orderBy("_row").select(*P_COLS[2:]), f"{base}/crm_a.csv", single_file=True)
+    write_csv(p.where(C("Source") == "crm_b.csv").orderBy("_row").select(*_EXPORT_B), f"{base}/crm_b.csv", single_file=True)
     return base
 
 
@@ -1148,9 +1148,9 @@ def q_csv_scan_split(spark, sf):
     base = _run_dir(spark, "split-exports")
     title = C("job_title")
     title = F.when(title.isNotNull(), F.concat(title, F.lit('\nof "'), C("city"), F.lit('"')))
-    p = FX.people_raw(spark, sf).withColumn("job_title", title).repartition("Source").sortWithinPartitions("_row")
-    write_csv(p.where(C("Source") == "crm_a.csv").select(*P_COLS[2:]), f"{base}/crm_a.csv", single_file=True)
-    write_csv(p.where(C("Source") == "crm_b.csv").select(*_EXPORT_B), f"{base}/crm_b.csv", single_file=True)
+    p = FX.people_raw(spark, sf).withColumn("job_title", title)
+    write_csv(p.where(C("Source") == "crm_a.csv").orderBy("_row").select(*P_COLS[2:]), f"{base}/crm_a.csv", single_file=True)
+    write_csv(p.where(C("Source") == "crm_b.csv").orderBy("_row").select(*_EXPORT_B), f"{base}/crm_b.csv", single_file=True)
     found = read_csv_files(spark, [base], split_bytes=1 << 16)
     return found.withColumn("position", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row")
 
@@ -1169,9 +1169,9 @@ def _write_company_exports(spark, sf):
     from ..sources.csv_scan import write_csv
 
     base = _run_dir(spark, "company-exports")
-    c = FX.company_raw(spark, sf).repartition("Source").sortWithinPartitions("_row")
+    c = FX.company_raw(spark, sf)
     for k in range(3):
-        write_csv(c.where(C("Source") == f"export_{k}.csv").select(*C_COLS[2:]), f"{base}/export_{k}.csv", single_file=True)
+        write_csv(c.where(C("Source") == f"export_{k}.csv").orderBy("_row").select(*C_COLS[2:]), f"{base}/export_{k}.csv", single_file=True)
     return base
 
 

@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import os
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions.columns import C, na_token_to_null
 from ..functions.constants import EXPORT_NAME, EXPORT_STAMP, NA_TOKENS
 from ..session import ship
-from .csv_split import irregular_files, open_file, range_states, split_records
+from .csv_split import file_system, irregular_files, open_file, range_states, split_records
 
 # Split a CSV header line on commas outside double quotes.
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -270,25 +271,86 @@ def merge_stats(merged: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> str:
     """Header CSV, cells as they are. Internal columns are dropped.
 
-    ``single_file`` writes one file of that very name (as exports are handed out), by one task.
+    ``single_file`` makes one file of that very name (as exports are handed out), rows in the order of the partitions. Its
+    parts are written by all tasks and then joined byte by byte (``join_files``).
     """
     cols = [c for c in df.columns if c not in ("_row", "_key", "_n") and not c.startswith("__")]
     out = df.select(*[C(c) for c in cols])
-    target = f"{path}__parts" if single_file else path
-    ((out.coalesce(1) if single_file else out).write.mode(mode).option("header", "true")
-     .option("quote", '"').option("escape", '"').option("emptyValue", "")
-     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(target))
-    if single_file:
-        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(target)
-        fs = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-        part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
-        fs.delete(hadoop.Path(path), False)
-        fs.rename(part, hadoop.Path(path))
-        fs.delete(folder, True)
+
+    def write(rows: DataFrame, target: str, mode: str, header: str) -> None:
+        (rows.write.mode(mode).option("header", header).option("quote", '"').option("escape", '"').option("emptyValue", "")
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(target))
+
+    if not single_file:
+        write(out, path, mode, "true")
+        return path
+    spark = df.sparkSession
+    write(spark.createDataFrame([], out.schema), f"{path}__parts/head", "overwrite", "true")
+    write(out, f"{path}__parts/body", "overwrite", "false")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}__parts")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = []
+    for part in ("head", "body"):
+        found = [f for f in fs.listStatus(hadoop.Path(folder, part)) if f.getPath().getName().startswith("part-")]
+        # one write's names differ by the number of the partition only, which has five digits or more
+        parts += sorted(((f.getPath().toString(), f.getLen()) for f in found), key=lambda f: (len(f[0]), f[0]))
+    joined = fs.makeQualified(hadoop.Path(folder, "joined"))
+    join_files(spark, parts, joined.toString())
+    fs.delete(hadoop.Path(path), False)
+    if not fs.rename(joined, hadoop.Path(path)):
+        raise OSError(f"{path} could not take the place of its parts")
+    fs.delete(folder, True)
     return path
 
 
+def _copy(part: str, size: int, write, block: int = 1 << 20) -> None:
+    """The bytes of a file, a block at a time."""
+    done = 0
+    with open_file(part) as fh:
+        while data := fh.read(block):
+            write(data, done)
+            done += len(data)
+    if done != size:
+        raise OSError(f"{part} has {done} bytes, {size} were listed")
+
+
+def join_files(spark: SparkSession, parts: list[tuple[str, int]], target: str) -> None:
+    """One new file of the bytes of ``parts``, (path, bytes) each, in their order.
+
+    In a file system that all machines mount, one task for each part writes it at its place. Other stores write a file from
+    its start to its end only: there one task copies the finished parts.
+    """
+    ship(spark)
+
+    def place(part: tuple[str, int, int]) -> None:
+        path, size, at = part
+        fd = os.open(local, os.O_WRONLY | os.O_CREAT, 0o644)
+        try:
+            def write(data, done):
+                while data:
+                    n = os.pwrite(fd, data, at + done)
+                    data, done = data[n:], done + n
+
+            _copy(path, size, write)
+        finally:
+            os.close(fd)
+
+    def append(all_parts: list[tuple[str, int]]) -> None:
+        fs, at = file_system(target)
+        with fs.open_output_stream(at) as out:
+            for path, size in all_parts:
+                _copy(path, size, lambda data, _: out.write(data))
+
+    if target.startswith("file:"):
+        local = spark._jvm.org.apache.hadoop.fs.Path(target).toUri().getPath()
+        ends = list(accumulate(size for _, size in parts))
+        placed = [(path, size, end - size) for (path, size), end in zip(parts, ends, strict=True)]
+        spark.sparkContext.parallelize(placed, len(placed)).foreach(place)
+    else:
+        spark.sparkContext.parallelize([parts], 1).foreach(append)
+
+
 def export_name(table_type: str, stamp) -> str:
     """The time-stamped name of a processed export."""
     return EXPORT_NAME.format(table_type=table_type, stamp=stamp.strftime(EXPORT_STAMP))

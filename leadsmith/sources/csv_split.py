@@ -38,15 +38,20 @@ QUOTE, COMMA, LF, CR = 0x22, 0x2C, 0x0A, 0x0D
 BOM = b"\xef\xbb\xbf"
 
 
-def open_file(path: str):
-    """A random-access file of any store that Arrow knows; ``path`` as file listings write it."""
+def file_system(path: str):
+    """(Arrow's file system, the path in it) of a path as file listings write it."""
     from urllib.parse import quote
 
     import pyarrow.fs as pafs
 
     scheme, _, rest = path.partition(":")
     rest = quote(rest, safe="/:@")
-    fs, at = pafs.FileSystem.from_uri(f"file://{rest}" if scheme == "file" and rest[:2] != "//" else f"{scheme}:{rest}")
+    return pafs.FileSystem.from_uri(f"file://{rest}" if scheme == "file" and rest[:2] != "//" else f"{scheme}:{rest}")
+
+
+def open_file(path: str):
+    """A random-access file of any store that Arrow knows; ``path`` as file listings write it."""
+    fs, at = file_system(path)
     return fs.open_input_file(at)
 
 

@@ -404,3 +404,43 @@ def test_stream_record_longer_than_its_header_fails_with_the_file(spark, tmp_pat
     with pytest.raises(Exception, match="more cells than the header of .*ragged.csv"):
         _ingested(spark, tmp_path, "*.csv", ["mail", "remark"], str(tmp_path / "state"), spec).collect()
     assert _ingested(spark, tmp_path, "a.csv", ["mail", "remark"], str(tmp_path / "other"), spec).count() == 2
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    """Rows of all partitions stand in one file in their order, under one header; each partition is a task of its own."""
+    def tagged(batches):
+        from pyspark import TaskContext
+
+        for pdf in batches:
+            yield pdf.assign(note='say "hi",\n' + pdf["n o"].astype(str), task=TaskContext.get().taskAttemptId())
+
+    rows = spark.range(0, 1000, 1, 7).withColumnRenamed("id", "n o").mapInPandas(tagged, "`n o` long, note string, task long")
+    out = str(tmp_path / "an export.csv")
+    for _ in range(2):  # the second write takes the place of the first
+        assert CS.write_csv(rows, out, single_file=True) == out
+        back = spark.read.options(header="true", multiLine="true", escape='"').csv(out)
+        assert back.columns == ["n o", "note", "task"]
+        found = back.collect()
+        assert [tuple(r)[:2] for r in found] == [(str(k), f'say "hi",\n{k}') for k in range(1000)]
+        assert len({r["task"] for r in found}) == 7
+    assert open(out, encoding="utf-8").read().count("n o,note") == 1
+    assert [f for f in os.listdir(tmp_path) if f[0] != "."] == ["an export.csv"]
+    CS.write_csv(rows.where("false"), out, single_file=True)
+    assert open(out, encoding="utf-8").read() == "n o,note,task\n"
+
+
+def test_joined_files_go_to_their_places(spark, tmp_path, monkeypatch):
+    parts = []
+    for k, text in enumerate(["head\n", "", "x" * 3_000_000, "end"]):
+        (tmp_path / f"part {k}").write_text(text)
+        parts.append((f"file:{tmp_path}/part {k}", len(text)))
+    for scheme in ("file:", ""):  # without a scheme as a store that writes from start to end
+        target = tmp_path / f"joined {scheme[:4]}"
+        if not scheme:
+            import pyarrow.fs as pafs
+
+            monkeypatch.setattr(CS, "file_system", lambda p: (pafs.LocalFileSystem(), p))
+        CS.join_files(spark, parts, f"{scheme}{target}")
+        assert target.read_text() == "head\n" + "x" * 3_000_000 + "end"
+    with pytest.raises(Exception, match="part 3 has 3 bytes, 4 were listed"):
+        CS.join_files(spark, [*parts[:3], (parts[3][0], 4)], f"file:{tmp_path}/short")
