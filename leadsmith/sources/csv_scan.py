@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import os
+import re
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -207,6 +208,49 @@ def _splittable(spark: SparkSession, listing: list[tuple[str, int]], split_bytes
     return states.where(~F.col("path").isin(whole)) if whole else states
 
 
+def _split_paths(ranges: DataFrame | None) -> set[str]:
+    return {r["path"] for r in ranges.select("path").distinct().collect()} if ranges is not None else set()
+
+
+def _bodies(spark: SparkSession, headers: list[str], group: list[str], ranges: DataFrame | None, split: set[str],
+            na_tokens) -> list[DataFrame]:
+    """The rows of files of one header, with their ``__path`` and their position ``__mono``."""
+    # one column more than the header has: it is null unless a record is too long
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers) + 1)])
+    sel = [na_token_to_null(F.col(f"c{i}"), na_tokens).alias(h)
+           for i, h in enumerate(headers) if h != "Source"]
+
+    def cells(body, path, position):
+        checked = F.when(F.col(f"c{len(headers)}").isNull(), path).otherwise(
+            F.raise_error(F.concat(F.lit("a record has more cells than the header of "), path)).cast("string"))
+        return body.select(*sel, checked.alias("__path"), position.alias("__mono"))
+
+    parts = []
+    whole = [p for p in group if p not in split]
+    if whole:
+        body = spark.read.schema(schema).options(header="true", multiLine="true", **READ)
+        # readers take paths as patterns; these are names
+        body = body.csv([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in whole])
+        parts.append(cells(body, file_path(), F.monotonically_increasing_id()))
+    if len(whole) < len(group):
+        body = split_records(ranges.where(F.col("path").isin([p for p in group if p in split])))
+        row = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "), READ)
+        body = body.select("path", "number", row.alias("r")).select("path", "number", "r.*")
+        parts.append(cells(body, F.col("path"), F.col("number")))
+    return parts
+
+
+def _placed(merged: DataFrame, ords: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns``, Source and ``_row`` of rows with ``__path`` and ``__mono``; ``ords`` gives the files their ordinals."""
+    merged = merged.join(ords, "__path", "left")
+    no_ordinal = F.raise_error(F.concat(F.lit("no file of the listing is named "), F.col("__path"))).cast("bigint")
+    ordinal = F.coalesce(F.col("__file_ord"), no_ordinal)
+    position = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
+    row = F.shiftleft(ordinal, 33).bitwiseOR(position).alias("_row")
+    base = F.element_at(F.split("__path", "/"), -1)
+    return merged.select(*[C(c) for c in columns], base.alias("Source"), row)
+
+
 def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Many CSV files with differing headers -> one all-string table + Source + _row.
 
@@ -215,42 +259,25 @@ def read_csv_files(spark: SparkSession, paths, na_tokens=NA_TOKENS, split_bytes:
     listing = csv_listing(spark, paths)
     files = [path for path, _ in listing]
     ranges = _splittable(spark, listing, split_bytes)
-    split = {r["path"] for r in ranges.select("path").distinct().collect()} if ranges is not None else set()
+    split = _split_paths(ranges)
     signatures = header_signatures(header_catalog(spark, files))
     col_order = list(dict.fromkeys(h for headers, _, _ in signatures for h in headers if h != "Source"))
     if spark.conf.get("spark.sql.caseSensitive", "false").lower() != "true" and \
             len({h.lower() for h in col_order}) < len(col_order):
         raise ValueError("headers differ by case only: set spark.sql.caseSensitive to true to read these files")
-    parts = []
-    for headers, group, _ in signatures:
-        # one column more than the header has: it is null unless a record is too long
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers) + 1)])
-        sel = [na_token_to_null(F.col(f"c{i}"), na_tokens).alias(h)
-               for i, h in enumerate(headers) if h != "Source"]
-
-        def cells(body, path, position):
-            checked = F.when(F.col(f"c{len(headers)}").isNull(), path).otherwise(
-                F.raise_error(F.concat(F.lit("a record has more cells than the header of "), path)).cast("string"))
-            return body.select(*sel, checked.alias("__path"), position.alias("__mono"))
-
-        whole = [p for p in group if p not in split]
-        if whole:
-            body = spark.read.schema(schema).options(header="true", multiLine="true", **READ).csv(whole)
-            parts.append(cells(body, file_path(), F.monotonically_increasing_id()))
-        if len(whole) < len(group):
-            body = split_records(ranges.where(F.col("path").isin([p for p in group if p in split])))
-            row = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "), READ)
-            body = body.select("path", "number", row.alias("r")).select("path", "number", "r.*")
-            parts.append(cells(body, F.col("path"), F.col("number")))
-    merged = _union_all(parts)
-    ords = spark.createDataFrame([(i, p) for i, p in enumerate(files)], "__file_ord int, __path string")
-    merged = merged.join(ords, "__path", "left")
-    no_ordinal = F.raise_error(F.concat(F.lit("no file of the listing is named "), F.col("__path"))).cast("bigint")
-    ordinal = F.coalesce(F.col("__file_ord").cast("bigint"), no_ordinal)
-    position = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
-    row = F.shiftleft(ordinal, 33).bitwiseOR(position).alias("_row")
-    base = F.element_at(F.split("__path", "/"), -1)
-    return merged.select(*[C(c) for c in col_order], base.alias("Source"), row)
+    parts = [p for headers, group, _ in signatures for p in _bodies(spark, headers, group, ranges, split, na_tokens)]
+    ords = spark.createDataFrame([(p, i) for i, p in enumerate(files)], "__path string, __file_ord bigint")
+    return _placed(_union_all(parts), ords, col_order)
+
+
+def read_listed_files(spark: SparkSession, listing: list[tuple[str, int]], headers: list[str], columns: list[str], ords: DataFrame,
+                      na_tokens=NA_TOKENS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The rows of the (path, bytes) of a listing that all have ``headers``, over ``columns``; ``ords`` has (__path, __file_ord)."""
+    ranges = _splittable(spark, listing, split_bytes)
+    split = _split_paths(ranges)
+    merged = _union_all(_bodies(spark, headers, [path for path, _ in listing], ranges, split, na_tokens))
+    absent = [F.lit(None).cast("string").alias(c) for c in columns if c not in headers]
+    return _placed(merged.select("*", *absent), ords, columns)
 
 
 def count_records(spark: SparkSession, paths) -> DataFrame:

@@ -28,14 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import C, na_token_to_null
-from ..functions.constants import NA_TOKENS
 from ..operators import dedup as D
 from ..operators.delivery import RESULT_SCHEMA, deliver
 from ..operators.enrich import enrich
 from ..operators.standardize import standardize
 from ..session import ensure_checkpoint_dir
-from ..sources.csv_scan import file_path
+from ..sources.csv_scan import read_listed_files
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -61,31 +59,36 @@ def merge_partials(partials: DataFrame, cols: list[str]) -> DataFrame:
     return D.merged_rows(partials.groupBy(D.KEY).agg(*D.fold_aggs(cols)), cols)
 
 
+#: What the stream of a folder's files gives; their content is not read there.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _file_ordinals(spark: SparkSession, path: str, arrival: int, rows: DataFrame) -> DataFrame:
-    """(__path, __file_ord) of the files that ``rows`` come from: numbers that no other arrival's files have, by file name.
+def _file_ordinals(spark: SparkSession, path: str, arrival: int, names: list[str]) -> DataFrame:
+    """(__path, __file_ord) of the files named: numbers that no other arrival's files have, by file name.
 
-    They are written to ``path`` by arrival, so that a replayed batch takes the place of its first run.
+    They are kept in ``path`` by arrival once the batch is folded, so that a replayed batch takes the place of its first run.
     """
     base = 0
     if _exists(spark, path):
         given = spark.read.schema("__path string, __file_ord bigint, arrival bigint").parquet(path)
         last = given.where(F.col("arrival") != arrival).agg(F.max("__file_ord")).first()[0]
         base = 0 if last is None else last + 1
-    files = sorted((r[0] for r in rows.distinct().collect()), key=lambda p: (p.rsplit("/", 1)[-1], p))
-    ords = spark.createDataFrame([(p, base + i) for i, p in enumerate(files)], "__path string, __file_ord bigint")
-    ords.coalesce(1).write.mode("overwrite").parquet(f"{path}/arrival={arrival}")
-    return ords
+    files = sorted(names, key=lambda p: (p.rsplit("/", 1)[-1], p))
+    return spark.createDataFrame([(p, base + i) for i, p in enumerate(files)], "__path string, __file_ord bigint")
 
 
 def stream_clean_csv(spark: SparkSession, inputs: list[tuple[str, list[str]]], spec, table_type: str,
                      state_dir: str | None = None) -> tuple[str, list[str]]:
     """Clean CSV files as they arrive; returns (partials path, output columns).
 
+    The streams bring the names and lengths of the files; each micro-batch reads its files as the CSV source does, the large
+    ones by many tasks.
+
     ``inputs`` lists (folder, file name pattern) by header: (path pattern, headers). Each header has a stream of its own
     (a stream has one schema); all of them append partials to one table, over the union of the columns. Call
     ``read_stream_result`` on the partials path for the result.
@@ -97,40 +100,32 @@ def stream_clean_csv(spark: SparkSession, inputs: list[tuple[str, list[str]]], s
     state_dir = state_dir or run_dir(spark, "stream-ingest")
     columns = list(dict.fromkeys(h for _, headers in inputs for h in headers if h != "Source"))
     partial_path = f"{state_dir}/partials"
-    out_cols: list[str] = []
+
+    def clean(rows: DataFrame) -> DataFrame:
+        return enrich(standardize(rows, spec, table_type))
+
+    empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "Source"]]))
+    out_cols = clean(empty.withColumn(D.ROW, F.lit(0).cast("bigint"))).columns
+    out_cols.remove(D.ROW)
 
     def start(number: int, pattern: str, headers: list[str]):
-        # one column more than the header has: it is null unless a record is too long
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in [*headers, "__more"]])
         folder, _, leaf = pattern.rpartition("/")
-        src = (spark.readStream.schema(schema).option("header", "true").option("multiLine", "true")
-               .option("escape", '"').option("pathGlobFilter", leaf).csv(folder))
-        path = F.when(F.col("__more").isNull(), file_path()).otherwise(
-            F.raise_error(F.concat(F.lit("a record has more cells than the header of "), file_path())).cast("string"))
-        src = src.select(*[na_token_to_null(C(h), NA_TOKENS).alias(h) if h in headers else F.lit(None).cast("string").alias(h)
-                           for h in columns],
-                         F.element_at(F.split(file_path(), "/"), -1).alias("Source"),
-                         path.alias("_row"))
-        cleaned = enrich(standardize(src, spec, table_type))
-        out_cols[:] = [c for c in cleaned.columns if c != "_row"]
+        files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", leaf).load(folder)
+                 .select("path", "length"))
 
         def fold(batch: DataFrame, batch_id: int):
             arrival = int(batch_id) * len(inputs) + number
-            batch = batch.persist()  # read once for the names of its files and once for its rows
-            try:
-                ords = _file_ordinals(spark, f"{state_dir}/files", arrival, batch.select(F.col("_row").alias("__path")))
-                # the position is that in the partition, so it is taken before the join; no file is in two partitions
-                position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << D.FILE_BITS) - 1))
-                placed = batch.withColumnRenamed("_row", "__path").withColumn("__position", position)
-                row = F.shiftleft("__file_ord", D.FILE_BITS).bitwiseOR(F.col("__position"))
-                numbered = placed.join(F.broadcast(ords), "__path").withColumn("_row", row)
-                keyed = D.with_key(numbered, table_type)
-                part = keyed.groupBy(D.KEY).agg(*D.partial_aggs(out_cols))
-                part.write.mode("overwrite").parquet(f"{partial_path}/batch_id={arrival}")
-            finally:
-                batch.unpersist()
-
-        return (cleaned.writeStream.foreachBatch(fold).trigger(availableNow=True)
+            # file listing: metadata, one row per file; a stream may name a file more than once in a batch
+            listing = [(r["path"], r["length"]) for r in batch.groupBy("path").agg(F.max("length").alias("length")).collect()]
+            if not listing:
+                return
+            ords = _file_ordinals(spark, f"{state_dir}/files", arrival, [path for path, _ in listing])
+            rows = read_listed_files(spark, listing, headers, columns, F.broadcast(ords))
+            part = D.with_key(clean(rows), table_type).groupBy(D.KEY).agg(*D.partial_aggs(out_cols))
+            part.write.mode("overwrite").parquet(f"{partial_path}/batch_id={arrival}")
+            ords.coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/files/arrival={arrival}")
+
+        return (files.writeStream.foreachBatch(fold).trigger(availableNow=True)
                 .option("checkpointLocation", f"{state_dir}/checkpoint-{number}").start())
 
     for number, (pattern, headers) in enumerate(inputs):

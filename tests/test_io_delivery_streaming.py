@@ -444,3 +444,25 @@ def test_joined_files_go_to_their_places(spark, tmp_path, monkeypatch):
         assert target.read_text() == "head\n" + "x" * 3_000_000 + "end"
     with pytest.raises(Exception, match="part 3 has 3 bytes, 4 were listed"):
         CS.join_files(spark, [*parts[:3], (parts[3][0], 4)], f"file:{tmp_path}/short")
+
+
+def test_stream_reads_large_files_by_ranges(spark, tmp_path, monkeypatch):
+    """A large file of a micro-batch is many tasks, line breaks in cells included; its rows are those of the batch reader."""
+    from leadsmith.plans.pipeline import clean_leads
+
+    spec = {"mapped_files": [{"filename": "a.csv", "mapped_headers": {"Work Email": {"primary": "mail"}}}]}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, n in (("a.csv", 60), ("b [1] x+y.csv", 1)):
+        _write(folder / name, "mail,remark\n" + "".join(f'k{k}@acme.io,"note\n{k}, {name}"\n,x{k}\n' for k in range(n)))
+    want = clean_leads(CS.read_csv_files(spark, [str(folder / "a.csv")]), spec, "people", keep_internal=True)
+    seen = []
+    split_records = CS.split_records
+    monkeypatch.setattr(CS, "split_records", lambda states: seen.append(states.count()) or split_records(states))
+    monkeypatch.setattr(CS.read_listed_files, "__defaults__", (*CS.read_listed_files.__defaults__[:-1], 200))
+    got = _ingested(spark, folder, "a.csv", ["mail", "remark"], str(tmp_path / "state"), spec)
+    cols = [c for c in want.columns if c in got.columns and c not in ("_row", "_key")]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and got.count() == 120
+    assert len(seen) == 1 and seen[0] > 10
+    both = _ingested(spark, folder, "*.csv", ["mail", "remark"], str(tmp_path / "both"), spec)
+    assert both.count() == 121 and len({r["_row"] for r in both.collect()}) == 121
